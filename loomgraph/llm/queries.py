@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codec, counts, packing, sharding, sstable
+from . import codec, counts, fingerprints, minhash, packing, quality_rules, sharding, sstable, toxicity, weak_label
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = quality_rules.apply_policy(quality_rules.ledger(documents(spark, sf_dir)), "strict-1")
+    base = F.col("failures").bitwiseAND(F.lit(quality_rules.mask(quality_rules.BASE))) != 0
+    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failures")
+
+
 def op2_token_sstables(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = sstable.write(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return sstable.read(spark, manifest, with_ids=False)
@@ -34,9 +40,67 @@ def op5_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_bagminhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
+def op7_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op8_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.digests(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_sstables, op3_rendezvous_shards, op4_token_counts, op5_hilbert_packing, op8_streaming_bpe)}
-ORACLE_SQL: dict[str, str] = {}
+def op9_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(documents(spark, sf_dir))
+
+
+def op10_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_label.classify(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_quality_ledger,
+        op2_token_sstables,
+        op3_rendezvous_shards,
+        op4_token_counts,
+        op5_hilbert_packing,
+        op6_bagminhash_duplicates,
+        op7_noisy_channel_toxicity,
+        op8_streaming_bpe,
+        op9_weighted_fingerprints,
+        op10_weak_label_quality,
+    )
+}
+
+OP1_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 4), ' ') AS h
+  FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 4)) AS i FROM w WHERE len(ws) >= 5)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, h) AS n FROM win) WHERE n > 1),
+cover AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + 4)) AS p FROM twice) GROUP BY doc_id),
+m AS (
+  SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(cover.n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN cover USING (doc_id)),
+f AS (
+  SELECT *, CAST((n_words < 10)::INT + 2 * (100 * n_repeat_words > 20 * n_words)::INT + 4 * (n_symbols > 0.5 * n_words)::INT
+         + 8 * (n_dup_lines >= 3 AND n_dup_lines > 0.3 * n_lines)::INT + 16 * (word_chars > 25 * n_words)::INT
+         + 32 * (word_chars < 2 * n_words)::INT AS INTEGER) AS failures
+  FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & 3) <> 0 AS base_failed,
+       (failures & 63) = 0 AS kept, failures
+FROM f
+"""
+ORACLE_SQL: dict[str, str] = {"op1_quality_ledger": OP1_SQL}
