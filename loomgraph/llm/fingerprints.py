@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .shared import id_and_text, stored
 
-SAMPLES, SIDE = 64, 8
+SAMPLES, SIDE = 32, 2
 SPACES = "[\\x20\\x09-\\x0D]+"
 _M = (1 << 21) - 1
 
@@ -105,13 +105,13 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     number = F.row_number().over(Window.partitionBy("bucket").orderBy("doc_id", "text"))
     pairs = with_next(rows.withColumn("number", number), ["doc_id", "text"], ["text"]).select("bucket", "number", "doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
 
-    own, other = _words(F.col("text")), _words(F.col("edited"))
+    # A word is a 63-bit hash, and the last bit tells the text from the edited one.
+    coded = lambda text, bit: F.transform(_words(text), lambda w: F.shiftleft(F.xxhash64(w), 1) + bit)
     terms = (
-        pairs.select("bucket", "number", F.size(own).alias("own"), F.posexplode_outer(F.concat(own, other)).alias("at", "word"))
-        .select("bucket", "number", F.xxhash64("word").alias("term"), (F.col("at") < F.col("own")).alias("mine"))
-        .filter("mine is not null")
+        pairs.select("bucket", "number", F.explode(F.concat(coded(F.col("text"), 0), coded(F.col("edited"), 1))).alias("word"))
+        .select("bucket", "number", F.shiftright("word", 1).alias("term"), F.col("word").bitwiseAND(F.lit(1)).alias("edited"))
         .groupBy("bucket", "number", "term")
-        .agg(F.count(F.when(F.col("mine"), 1)).alias("w"), F.count(F.when(~F.col("mine"), 1)).alias("v"))
+        .agg(F.count(F.when(F.col("edited") == 0, 1)).alias("w"), F.count(F.when(F.col("edited") == 1, 1)).alias("v"))
     )
     # SIDE draws to a row: few enough for compiled code to stay small, enough to look up few groups.
     weighed = terms.select("bucket", "number", "term", F.log("w").alias("w"), F.log("v").alias("v"), F.explode(F.array(*map(F.lit, range(SAMPLES // SIDE)))).alias("block"))
