@@ -49,6 +49,11 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _once(**columns: Column) -> Column:
+    """The columns as a generator of one row: a later filter on them is not moved below and computed again."""
+    return F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items()))))
+
+
 def _repeated(words: Column) -> Column:
     """Words that lie in a window of WINDOW words that the text has twice or more.
 
@@ -82,16 +87,18 @@ def measure(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit(f"[^{SPACES}]")))
     return (
         docs.select(*row, F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-        .select(*also, "doc_id", words.alias("words"), lines.alias("lines"), (F.char_length(text) - F.char_length(F.regexp_replace(text, SYMBOLS, ""))).cast("long").alias("n_symbols"))
+        .select(*also, "doc_id", _once(words=words, lines=lines, n_symbols=(F.char_length(text) - F.char_length(F.regexp_replace(text, SYMBOLS, ""))).cast("long")))
         .select(
             *also,
             "doc_id",
-            F.size("words").cast("long").alias("n_words"),
-            F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
-            "n_symbols",
-            F.size("lines").cast("long").alias("n_lines"),
-            (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-            _repeated(F.col("words")).alias("n_repeat_words"),
+            _once(
+                n_words=F.size("words").cast("long"),
+                word_chars=F.char_length(F.array_join("words", "")).cast("long"),
+                n_symbols=F.col("n_symbols"),
+                n_lines=F.size("lines").cast("long"),
+                n_dup_lines=(F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
+                n_repeat_words=_repeated(F.col("words")),
+            ),
         )
     )
 
