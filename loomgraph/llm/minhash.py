@@ -8,11 +8,12 @@ Jaccard similarity, and only as many points are drawn as come before the latest
 
 Candidates. Equal texts are one node first. Nodes that agree on a whole band share a bucket.
 
-Links. In each bucket all nodes are compared with one pivot, the multisets themselves deciding. Nodes that are linked
-are merged into components. Then only buckets whose nodes lie in several components go on: small ones with all pairs
-across components, large ones with twice as many pivots each round, the best linked node among them, until a bucket is
-of one component or every node was a pivot. No pair that shares a bucket and could still join two components is left
-out, and a large group of copies costs a pair for each of its nodes and pivot, not for each pair.
+Links. Nodes of a bucket are compared by their multisets themselves, in three rounds; after each, linked nodes are
+merged into components, and only pairs across components go on. First all with one pivot of their bucket. Then, in
+small buckets, all pairs, and in larger ones all with the bucket's best linked node, which is the text that copies were
+made from where there is one. Last, all pairs that are left, if their sketches (2 bits of each register) agree as pairs at
+the threshold do but for 3.5 standard deviations; that is looked up inside the join. No pair is dropped for a bucket's
+size, and a group of copies costs a pair or two for each of its nodes.
 """
 
 from __future__ import annotations
@@ -24,17 +25,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .shared import id_and_text, slices, stored, texts_of
 from .tokens import Kept
 
-BANDS, ROWS = 24, 5
+BANDS, ROWS, REGISTERS = 24, 5, 256
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 4, 5
 #: Buckets of so many nodes at most are compared with all pairs once the first pivot has merged what it can.
 SMALL = 16
+#: Registers whose 2 bits agree at the threshold: 0.85 of 256, less 3.5 standard deviations (5.7 each).
+AGREE = 198
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _U = np.uint64
@@ -78,7 +81,7 @@ def alike(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return both, len(a) + len(b) - both
 
 
-def signatures(bags: list[tuple[np.ndarray, np.ndarray]], registers: int = BANDS * ROWS) -> np.ndarray:
+def signatures(bags: list[tuple[np.ndarray, np.ndarray]], registers: int = REGISTERS) -> np.ndarray:
     """BagMinHash of (distinct shingles, their counts): a row of register times for each bag; of an empty bag, infinity."""
     h = np.full((len(bags), registers), np.inf)
     flat, parts = h.reshape(-1), []
@@ -86,7 +89,7 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], registers: int = BANDS
         low, block = 0, 0
         while len(keys):
             length = max(1, low)
-            parts.append((mix(keys + _U(block) * _MULTIPLIER), np.full(len(keys), d), np.full(len(keys), length), counts - low))
+            parts.append((mix(keys + _U(block * int(_MULTIPLIER) & (1 << 64) - 1)), np.full(len(keys), d), np.full(len(keys), length), counts - low))
             low, block = low + length, block + 1
             more = counts > low
             keys, counts = keys[more], counts[more]
@@ -113,23 +116,40 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], registers: int = BANDS
     return h
 
 
-def band_keys(h: np.ndarray, bands: int = BANDS) -> np.ndarray:
-    bits = h.view(_U).reshape(len(h), bands, -1)
+def band_keys(h: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """A 64-bit key for each band of the first bands x rows registers."""
+    bits = np.ascontiguousarray(h[:, : bands * rows]).view(_U).reshape(len(h), bands, rows)
     key = np.broadcast_to(np.arange(bands).astype(_U) * _MULTIPLIER, (len(h), bands))
     for k in range(bits.shape[2]):
         key = mix(key * _MULTIPLIER + bits[:, :, k])
     return key.view(np.int64)
 
 
+def sketches(h: np.ndarray) -> np.ndarray:
+    """2 bits of each register, 32 registers to a long."""
+    two = (mix(np.ascontiguousarray(h).view(_U)) & _U(3)).reshape(len(h), -1, 32)
+    return (two << (2 * np.arange(32)).astype(_U)).sum(axis=2, dtype=_U).view(np.int64)
+
+
+def _agreeing(a: str, b: str) -> Column:
+    """Registers on whose 2 bits two sketches agree."""
+    differ = F.lit(0)
+    for k in range(REGISTERS // 32):
+        x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
+        differ = differ + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    return REGISTERS - differ
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
         texts = texts_of(b, 1)
         bags = [np.unique(shingles(x), return_counts=True) for x in texts]
-        keys = band_keys(signatures(bags))
+        registers = signatures(bags)
+        keys, drawn = band_keys(registers), sketches(registers)
         sizes = [int(c.sum()) for _, c in bags]
         offsets = np.concatenate([[0], np.cumsum([keys.shape[1] if n else 0 for n in sizes])]).astype(np.int32)
         rows = keys[np.array(sizes) > 0].reshape(-1) if texts else np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashlib.md5(x.encode()).digest() for x in texts], pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows))], ["doc_id", "node", "size", "bands"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashlib.md5(x.encode()).digest() for x in texts], pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows)), pa.array(list(drawn), pa.list_(pa.int64()))], ["doc_id", "node", "size", "bands", "sketch"])
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,18 +166,21 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
 
-def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+def _pairs(left: DataFrame, right: DataFrame, sketched: bool = False) -> DataFrame:
     """Pairs of nodes of one bucket and different components, least first, whose sizes allow the similarity."""
-    x, y = left.select("band", *(F.col(c).alias(f"{c}_1") for c in ("node", "size", "root"))), right.select("band", *(F.col(c).alias(f"{c}_2") for c in ("node", "size", "root")))
+    columns = ("node", "size", "root", "sketch")
+    x, y = (df.select("band", *(F.col(c).alias(f"{c}_{k}") for c in columns)) for k, df in ((1, left), (2, right)))
     least, most = F.least("size_1", "size_2"), F.greatest("size_1", "size_2")
-    met = x.join(y, "band").filter((F.col("root_1") != F.col("root_2")) & (DENOMINATOR * least >= NUMERATOR * most))
-    return met.select(F.least("node_1", "node_2").alias("a"), F.greatest("node_1", "node_2").alias("b")).distinct()
+    met = (x["band"] == y["band"]) & (F.col("root_1") != F.col("root_2")) & (DENOMINATOR * least >= NUMERATOR * most)
+    if sketched:
+        met = met & (F.col("node_1") < F.col("node_2")) & (_agreeing("sketch_1", "sketch_2") >= AGREE)
+    return x.join(y, met).select(F.least("node_1", "node_2").alias("a"), F.greatest("node_1", "node_2").alias("b")).distinct()
 
 
 def links(signed: DataFrame, docs: DataFrame) -> DataFrame:
-    """Verified links (a, b) that join all nodes whose links are within buckets; signed: doc_id, node, size, bands."""
-    nodes = signed.filter("size > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("size").alias("size"), F.first("bands").alias("bands"))
-    spread = nodes.select("node", "doc_id", "size", F.explode("bands").alias("band"))
+    """Verified links (a, b) that join all nodes whose links are within buckets; signed: doc_id, node, size, bands, sketch."""
+    nodes = signed.filter("size > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("size").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    spread = nodes.select("node", "doc_id", "size", "sketch", F.explode("bands").alias("band"))
     buckets = spread.groupBy("band").agg(F.count("*").alias("nodes"), F.min("node").alias("pivot")).filter("nodes > 1")
     members = stored(spread.join(buckets, "band"), "members")
 
@@ -168,26 +191,23 @@ def links(signed: DataFrame, docs: DataFrame) -> DataFrame:
 
     def verified(pairs: DataFrame) -> DataFrame:
         with_x = pairs.join(bags.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a")
-        return stored(with_x.join(bags.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(_verify, "a binary, b binary, linked boolean"), "links")
+        checked = with_x.join(bags.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(_verify, "a binary, b binary, linked boolean")
+        return stored(checked.filter("linked").select("a", "b"), "links")
 
-    alone = members.withColumn("root", F.col("node"))
-    done = verified(_pairs(alone.filter("node <> pivot"), alone.filter("node = pivot")))
-    pivots = 1
-    while True:
-        linked = done.filter("linked")
-        roots = components(linked, "a", "b")
+    def unmerged(linked: DataFrame) -> DataFrame:
+        """Members of buckets that still have several components, with their root and the bucket's best linked node."""
         degree = linked.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-        now = members.join(roots, "node", "left").join(degree, "node", "left").select("band", "node", "size", "nodes", F.coalesce("root", "node").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
-        open_ = now.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.max(F.struct("degree", F.xxhash64("node"), "node")).alias("best")).filter("r1 <> r2")
-        waiting = (F.col("nodes") <= SMALL) if pivots == 1 else F.lit(False)
-        left = now.join(open_.select("band", F.col("best.node").alias("best")), "band").filter((F.col("nodes") > max(SMALL, pivots)) | waiting)
-        left = stored(left, "open")
-        if left.isEmpty():
-            return linked
-        pivots *= 2
-        share = F.pmod(F.xxhash64("node"), F.lit(1 << 20)) / float(1 << 20) * F.col("nodes")
-        chosen = left.filter((F.col("nodes") <= SMALL) | (F.col("node") == F.col("best")) | (share < pivots))
-        done = done.unionByName(verified(_pairs(chosen, left).join(done, ["a", "b"], "left_anti")))
+        state = components(linked, "a", "b").join(degree, "node")
+        now = members.join(state, "node", "left").withColumns({"root": F.coalesce("root", "node"), "degree": F.coalesce("degree", F.lit(0))})
+        several = now.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.max_by("node", F.struct("degree", F.xxhash64("node"))).alias("best")).filter("r1 <> r2").select("band", "best")
+        return stored(now.filter("nodes > 2").join(several, "band"), "unmerged")
+
+    alone = members.withColumn("root", F.col("node"))
+    linked = verified(_pairs(alone.filter("node <> pivot"), alone.filter("node = pivot")))
+    left = unmerged(linked)
+    linked = stored(linked.unionByName(verified(_pairs(left.filter((F.col("nodes") <= SMALL) | (F.col("node") == F.col("best"))), left))), "links")
+    left = unmerged(linked).filter(F.col("nodes") > SMALL)
+    return linked.unionByName(verified(_pairs(left, left, sketched=True)))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_node: bool = False) -> DataFrame:
@@ -198,7 +218,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     null id takes its class's id, or null if the class has no other. Repeated rows share a class.
     """
     rows = id_and_text(docs, id_col, text_col)
-    signed = stored(rows.mapInArrow(_sign, "doc_id long, node binary, size long, bands array<long>"), "signed")
+    signed = stored(rows.mapInArrow(_sign, "doc_id long, node binary, size long, bands array<long>, sketch array<long>"), "signed")
     roots = components(links(signed, rows), "a", "b")
     placed = signed.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
     ids = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"))
