@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .shared import id_and_text, stored
 
-SAMPLES, SIDE = 32, 2
+SAMPLES, SIDE = 48, 2
 SPACES = "[\\x20\\x09-\\x0D]+"
 _M = (1 << 21) - 1
 
