@@ -34,14 +34,17 @@ def edges(spark: SparkSession, path: str, filter_null_years: bool = True) -> Dat
 def edges_by_year(spark: SparkSession, path: str) -> DataFrame:
     """Edges with their years joined by |, as a row for each year."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in ("subject_id", "object_id", "relation_type", "year_occurrences")] + [T.StructField("number_of_occurrences", T.IntegerType())])
-    return delimited(spark, path, schema).withColumn("year", F.explode(F.split("year_occurrences", r"\|")).cast("int"))
+    return delimited(spark, path, schema).withColumn("year", F.explode(F.split("year_occurrences", r"\|").cast("array<int>")))
 
 
 def ndjson(spark: SparkSession, path: str, schema: T.StructType, *, valid: bool = True) -> DataFrame:
     """Rows that parse; with valid=False those that don't, as text."""
     full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    df = spark.read.json(path, schema=full, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT).withColumn("_kept", F.col(CORRUPT))
-    return df.filter("_kept is null").select(*schema.fieldNames()) if valid else df.filter("_kept is not null").select(F.col("_kept").alias("line"))
+    if valid:
+        df = spark.read.json(path, schema=full, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
+        return df.withColumn("_kept", F.col(CORRUPT)).filter("_kept is null").select(*schema.fieldNames())
+    parsed = F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    return spark.read.text(path).filter((F.trim("value") != "") & parsed[CORRUPT].isNotNull()).select(F.col("value").alias("line"))
 
 
 def publications(spark: SparkSession, path: str) -> DataFrame:
