@@ -187,3 +187,32 @@ def sampler_weights(edges: DataFrame) -> DataFrame:
     for c in counts:
         out = out.join(c, [x for x in c.columns if x in ("dst", "rel")])
     return out.select("src", "rel", "dst", "object_freq", "relation_freq", "pair_freq")
+
+
+def proximity(edges: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
+    """(source, distance, near): the sorted nodes at each true distance up to `depth`, edges taken both ways."""
+    d = distances(undirected(edges), nodes.select(F.col("node").alias("source")).distinct(), depth).filter("distance > 0")
+    return d.groupBy("source", "distance").agg(F.sort_array(F.collect_list("node")).alias("near"))
+
+
+def frequent_hops(walks_: DataFrame, edges: DataFrame, least: int) -> DataFrame:
+    """Walks without the hops whose relation occurs less than `least` times among the edges; the root stays."""
+    kept = edges.groupBy("rel").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    hops = walks_.withColumn("_w", F.monotonically_increasing_id())
+    hops = stored(hops)
+    pairs = hops.filter(F.size("walk") > 2).select("_w", F.posexplode(F.expr("transform(sequence(0, int((size(walk) - 1) / 2) - 1), i -> struct(walk[2 * i + 1] as rel, walk[2 * i + 2] as dst))")).alias("i", "h"))
+    left = pairs.join(kept, pairs["h.rel"] == kept["rel"], "left_semi").groupBy("_w").agg(F.sort_array(F.collect_list(F.struct("i", F.col("h.rel").alias("rel"), F.col("h.dst").alias("dst")))).alias("hs"))
+    flat = F.flatten(F.transform("hs", lambda x: F.array(x["rel"], x["dst"])))
+    return hops.join(left, "_w", "left").select("root", F.concat(F.array("root"), F.coalesce(flat, F.array().cast("array<string>"))).alias("walk"))
+
+
+def name_parts(walk: Column) -> Column:
+    """Lower-case words in the names of a walk: split at signs, between letters and digits and at capitals; each once."""
+    text = F.array_join(walk, " ")
+    apart = F.regexp_replace(F.regexp_replace(text, r"([a-z])([A-Z])", "$1 $2"), r"([A-Za-z])([0-9])|([0-9])([A-Za-z])", "$1$3 $2$4")
+    return F.array_distinct(F.filter(F.split(F.lower(apart), r"[^a-z0-9]+"), lambda x: x != ""))
+
+
+def n_grams(walk: Column, n: int) -> Column:
+    """Runs of n items, each as one name."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(walk) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(walk, i, n), " "))

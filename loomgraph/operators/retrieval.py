@@ -82,3 +82,24 @@ def select_chunks(chunks: DataFrame, group: str, score: str, order: str, size: C
     w = Window.partitionBy(group).orderBy(F.desc(score), order)
     c = chunks.filter(F.col(score) >= least).withColumn("used", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("used") <= budget)
     return c.withColumn("number", F.row_number().over(w))
+
+
+def poll_chunks(entities: DataFrame, most: int, least: int) -> DataFrame:
+    """Weighted polling: entities (entity, rank from 0, n, chunks) get quotas that fall linearly with rank from `most` to `least`; quotas that an entity can't fill go to the first entities with chunks to spare.
+
+    Returns entity, rank, taken. Entities of a question are few; their running sums are over the ranked table.
+    """
+    w = Window.orderBy("rank")
+    quota = F.round(most - (most - least) * F.col("rank") / F.greatest(F.col("n") - 1, F.lit(1))).cast("int")
+    q = entities.withColumn("size", F.size("chunks")).withColumn("own", F.least(quota, F.col("size")))
+    q = q.withColumns({"left": F.sum(quota - F.col("own")).over(Window.partitionBy()), "spare": F.col("size") - F.col("own")})
+    before = F.sum("spare").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    extra = F.greatest(F.least(F.col("spare"), F.col("left") - F.coalesce(before, F.lit(0))), F.lit(0))
+    return q.select("entity", "rank", F.slice("chunks", F.lit(1), (F.col("own") + extra).cast("int")).alias("taken"))
+
+
+def scores_of(triples: DataFrame, ledger: DataFrame, predict: Column) -> DataFrame:
+    """The ledger's score where it has the triple, else the prediction."""
+    key = ["subject_id", "relation_type", "object_id"]
+    known = ledger.select(*key, F.col("score").alias("_known"))
+    return triples.join(known, key, "left").withColumn("score", F.coalesce("_known", predict)).drop("_known")

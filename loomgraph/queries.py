@@ -723,3 +723,45 @@ def q259_negative_samples(spark, d):
 def q282_daily_counts(spark, d):
     """The batch form of streaming.windowed_counts."""
     return t(spark, d, "events").groupBy(F.date_format("ts", "yyyy-MM-dd 00:00:00").alias("day"), "event_type").agg(F.count("*").alias("n"))
+
+
+@query("WITH " + EDGES_SQL + ", " + PLACE_SQL + ", n AS (SELECT DISTINCT dst AS source FROM g WHERE rel = 'PART_OF'), a AS (SELECT source, 1 AS distance, dst AS node FROM n JOIN u ON src = source), b AS (SELECT DISTINCT source, 2 AS distance, u.dst AS node FROM a JOIN u ON u.src = node WHERE u.dst <> source AND NOT EXISTS (SELECT 1 FROM a x WHERE x.source = a.source AND x.node = u.dst)) SELECT source, CAST(distance AS INTEGER) AS distance, array_to_string(list_sort(list(node)), '|') AS near FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2")
+def q222_proximity(spark, d):
+    return graph.proximity(_places(spark, d), _regions(spark, d, "node"), 2).withColumn("near", F.array_join("near", "|"))
+
+
+@query("WITH " + EDGES_SQL + ", " + PLACE_SQL + ", k AS (SELECT rel FROM g GROUP BY 1 HAVING count(*) >= 26) SELECT s.src AS root, s.src || CASE WHEN 'LOCATED_IN' IN (SELECT rel FROM k) THEN '>LOCATED_IN>' || s.dst ELSE '' END || CASE WHEN 'PART_OF' IN (SELECT rel FROM k) THEN '>PART_OF>' || r.dst ELSE '' END AS walk FROM g s JOIN g r ON r.src = s.dst WHERE s.rel = 'LOCATED_IN'")
+def q236_frequent_hops(spark, d):
+    g = _places(spark, d)
+    w = graph.walks(g, t(spark, d, "supplier").select(tx.node_id("SUPPLIER", F.col("s_suppkey")).alias("root")), 3)
+    return graph.frequent_hops(w, g, 26).withColumn("walk", F.array_join("walk", ">"))
+
+
+@query(r"SELECT p_partkey, lower(regexp_replace(replace(p_brand, '#', ' '), '([A-Za-z])([0-9])', '\1 \2', 'g')) AS parts FROM part")
+def q237_name_parts(spark, d):
+    return t(spark, d, "part").select("p_partkey", F.array_join(graph.name_parts(F.array("p_brand")), " ").alias("parts"))
+
+
+@query("WITH l AS (SELECT l_orderkey, list(l_suppkey ORDER BY l_linenumber, l_suppkey) AS w FROM lineitem GROUP BY 1), i AS (SELECT l_orderkey, w, unnest(generate_series(1, greatest(len(w) - 1, 1))) AS i FROM l) SELECT l_orderkey, string_agg(array_to_string(list_slice(w, i, i + 1), ' '), '|' ORDER BY i) AS grams FROM i GROUP BY 1")
+def q235_n_grams(spark, d):
+    w = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_suppkey"))), lambda x: x["l_suppkey"].cast("string")).alias("w"))
+    return w.select("l_orderkey", F.array_join(graph.n_grams(F.col("w"), 2), "|").alias("grams"))
+
+
+@query(WITH_EDGES + ", e AS (SELECT DISTINCT subject_id, relation_type, object_id FROM edges WHERE relation_type = 'SUPPLIES'), k AS (SELECT DISTINCT subject_id, relation_type, object_id FROM edges WHERE relation_type = 'SUPPLIES' AND year = 1995) SELECT e.subject_id, e.object_id, CASE WHEN k.subject_id IS NOT NULL THEN 1.0::DOUBLE ELSE CAST(CAST('0x' || substr(md5(e.subject_id || '|SUPPLIES|' || e.object_id), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 END AS score FROM e LEFT JOIN k USING (subject_id, relation_type, object_id)", score=9)
+def q107_score_ledger(spark, d):
+    e = kg.edges(spark, d).filter("relation_type = 'SUPPLIES'")
+    key = ["subject_id", "relation_type", "object_id"]
+    ledger = e.filter("year = 1995").select(*key).distinct().withColumn("score", F.lit(1.0))
+    return retrieval.scores_of(e.select(*key).distinct(), ledger, conditions.hash_score(*map(F.col, key))).select("subject_id", "object_id", "score")
+
+
+@query("SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS INTEGER) AS lines, length(text) = n_chars AS right_length FROM documents")
+def q117_document_summary(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).alias("lines"), (F.char_length("text") == F.col("n_chars")).alias("right_length"))
+
+
+@query("SELECT c_custkey, (c_acctbal - lo) / (hi - lo) AS scaled FROM customer JOIN (SELECT c_mktsegment, min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer GROUP BY 1) USING (c_mktsegment)", scaled=9)
+def q296_min_max_per_group(spark, d):
+    w = Window.partitionBy("c_mktsegment")
+    return t(spark, d, "customer").select("c_custkey", vx.min_max(F.col("c_acctbal"), F.min("c_acctbal").over(w), F.max("c_acctbal").over(w)).alias("scaled"))

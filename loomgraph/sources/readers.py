@@ -69,3 +69,17 @@ def edge_cache(spark: SparkSession, folder: str) -> DataFrame:
     """Edge-cache files; the start of a file's name gives the direction."""
     df = spark.read.json(folder, schema=schemas.EDGE_CACHE)
     return df.withColumn("direction", F.regexp_extract(F.input_file_name(), r"/(in|out)_[^/]*$", 1))
+
+
+def relation_rules(spark: SparkSession, path: str) -> DataFrame:
+    """Relations that a JSONL rule file keeps or swaps, in capitals with underscores: (original, relation, swap)."""
+    rules = spark.read.json(path, schema="relation string, action string, new_relation string")
+    name = lambda c: F.regexp_replace(F.upper(F.trim(c)), r"\s+", "_")
+    return rules.filter(F.upper("action").isin("KEEP", "SWAP")).select(name(F.col("relation")).alias("original"), name(F.coalesce("new_relation", "relation")).alias("relation"), (F.upper("action") == "SWAP").alias("swap")).distinct()
+
+
+def hypothesis_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Hypothesis CSV files of a folder tree: ids in brackets from the pair's text, score, relation in capitals, kind from the file's name."""
+    df = spark.read.csv(folder, schema="pair string, relation string, score double", header=True, recursiveFileLookup=True)
+    ids = F.regexp_extract_all("pair", F.lit(r"\[([^\]]+)\]"), 1)
+    return df.select(F.get(ids, F.lit(0)).alias("subject"), F.get(ids, F.lit(1)).alias("object"), F.upper("relation").alias("relation"), "score", F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1).alias("kind")).dropna()

@@ -155,3 +155,17 @@ def test_stream_adds_each_key_once(spark, tmp_path):
         q = incremental.append_new(incremental.file_stream(spark, src, spark.read.parquet(src).schema), store, ["k"], str(tmp_path / "checkpoint"))
         q.awaitTermination()
     assert rows(spark.read.parquet(store)) == [(1, "a"), (2, "b"), (3, "d")]
+
+
+def test_polling(spark):
+    e = spark.createDataFrame([("a", 0, 3, list("stuvwxyz")), ("b", 1, 3, ["m"]), ("c", 2, 3, ["p", "q"])], "entity string, rank int, n int, chunks array<string>")
+    got = {r.entity: "".join(r.taken) for r in retrieval.poll_chunks(e, 5, 1).collect()}
+    assert got == {"a": "stuvwxy", "b": "m", "c": "p"}
+
+
+def test_rule_and_hypothesis_files(spark, tmp_path):
+    (tmp_path / "rules.jsonl").write_text('{"relation": "acts on", "action": "KEEP"}\n{"relation": "hit by", "action": "SWAP", "new_relation": "hits"}\n{"relation": "x", "action": "DROP"}\n')
+    assert rows(readers.relation_rules(spark, str(tmp_path / "rules.jsonl"))) == [("ACTS_ON", "ACTS_ON", False), ("HIT_BY", "HITS", True)]
+    (tmp_path / "h" / "deep").mkdir(parents=True)
+    (tmp_path / "h" / "deep" / "drug.csv").write_text("pair,relation,score\nA [1] to B [2],treats,0.5\nno ids,treats,0.5\n")
+    assert rows(readers.hypothesis_files(spark, str(tmp_path / "h"))) == [("1", "2", "TREATS", 0.5, "drug")]
