@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomgraph import schemas
 from loomgraph.functions import text as tx
-from loomgraph.operators import clean, graph, hypotheses, metrics, relational, retrieval, splits
+from loomgraph.operators import chunking, clean, graph, hypotheses, metrics, relational, retrieval, splits
 from loomgraph.plans import conditions
 from loomgraph.sources import readers, writers
 from loomgraph.streaming import incremental
@@ -169,3 +169,15 @@ def test_rule_and_hypothesis_files(spark, tmp_path):
     (tmp_path / "h" / "deep").mkdir(parents=True)
     (tmp_path / "h" / "deep" / "drug.csv").write_text("pair,relation,score\nA [1] to B [2],treats,0.5\nno ids,treats,0.5\n")
     assert rows(readers.hypothesis_files(spark, str(tmp_path / "h"))) == [("1", "2", "TREATS", 0.5, "drug")]
+
+
+def test_section_chunks(spark):
+    text = "intro.\n# A\none. two.\n| table |\n## B\nthree.\n# C\nfour."
+    got = chunking.section_chunks(spark.createDataFrame([(1, text)], "id int, text string"), "id", 6).orderBy("section", "chunk").collect()
+    assert [(r.path, r.chunk_text) for r in got] == [("", "intro."), ("A", "one."), ("A", "two."), ("A / B", "three."), ("C", "four.")]
+
+
+def test_named_paths(spark):
+    p = spark.createDataFrame([(1, "[a-knows->b] <> [b-likes->z]")], "id int, path string")
+    n = spark.createDataFrame([("a", "Ann"), ("b", "Bob")], "node_id string, node_name string")
+    assert [r.path for r in chunking.named_paths(p, n, "id").collect()] == ["[Ann-knows->Bob] <> [Bob-likes->z]"]
