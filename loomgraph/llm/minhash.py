@@ -167,13 +167,17 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pairs(left: DataFrame, right: DataFrame, sketched: bool = False) -> DataFrame:
-    """Pairs of nodes of one bucket and different components, least first, whose sizes allow the similarity."""
-    columns = ("node", "size", "root", "sketch")
+    """Pairs of nodes of one bucket and different components, least first, whose sizes allow the similarity.
+
+    sketched: whose sketches agree too; such a pair is made in the first bucket that it shares.
+    """
+    columns = ("node", "size", "root", "sketch", *["bands"] * sketched)
     x, y = (df.select("band", *(F.col(c).alias(f"{c}_{k}") for c in columns)) for k, df in ((1, left), (2, right)))
     least, most = F.least("size_1", "size_2"), F.greatest("size_1", "size_2")
     met = (x["band"] == y["band"]) & (F.col("root_1") != F.col("root_2")) & (DENOMINATOR * least >= NUMERATOR * most)
     if sketched:
-        met = met & (F.col("node_1") < F.col("node_2")) & (_agreeing("sketch_1", "sketch_2") >= AGREE)
+        first = F.get(F.array_intersect("bands_1", "bands_2"), F.lit(0)) == x["band"]
+        met = met & (F.col("node_1") < F.col("node_2")) & (_agreeing("sketch_1", "sketch_2") >= AGREE) & first
     return x.join(y, met).select(F.least("node_1", "node_2").alias("a"), F.greatest("node_1", "node_2").alias("b")).distinct()
 
 
@@ -207,6 +211,8 @@ def links(signed: DataFrame, docs: DataFrame) -> DataFrame:
     left = unmerged(linked)
     linked = stored(linked.unionByName(verified(_pairs(left.filter((F.col("nodes") <= SMALL) | (F.col("node") == F.col("best"))), left))), "links")
     left = unmerged(linked).filter(F.col("nodes") > SMALL)
+    own = signed.join(left.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).select("node", "bands")
+    left = left.join(own, "node")
     return linked.unionByName(verified(_pairs(left, left, sketched=True)))
 
 
