@@ -11,9 +11,10 @@ Candidates. Equal texts are one node first. Nodes that agree on a whole band sha
 Links. Nodes of a bucket are compared by their multisets themselves, in three rounds; after each, linked nodes are
 merged into components, and only pairs across components go on. First all with one pivot of their bucket. Then, in
 small buckets, all pairs, and in larger ones all with the bucket's best linked node, which is the text that copies were
-made from where there is one. Last, all pairs that are left, if their sketches (2 bits of each register) agree as pairs at
-the threshold do but for 3.5 standard deviations; that is looked up inside the join. No pair is dropped for a bucket's
-size, and a group of copies costs a pair or two for each of its nodes.
+made from where there is one. Last, all pairs of nodes that are left in larger buckets, by an exact prefix filter: each
+node's elements are put in one order for all, those in few nodes first, and a pair at the threshold shares an element
+that comes early in both. No pair is dropped for a bucket's size or by chance, and a group of copies costs a pair or two
+for each of its nodes.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ BANDS, ROWS, REGISTERS = 24, 5, 256
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 4, 5
 #: Buckets of so many nodes at most are compared with all pairs once the first pivot has merged what it can.
 SMALL = 16
-#: Registers whose 2 bits agree at the threshold: 0.85 of 256, less 3.5 standard deviations (5.7 each).
-AGREE = 198
+#: Slots of the table that tells about how many nodes an element is in; only the order of elements depends on it.
+SLOT_BITS = 18
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _U = np.uint64
@@ -125,31 +126,16 @@ def band_keys(h: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray
     return key.view(np.int64)
 
 
-def sketches(h: np.ndarray) -> np.ndarray:
-    """2 bits of each register, 32 registers to a long."""
-    two = (mix(np.ascontiguousarray(h).view(_U)) & _U(3)).reshape(len(h), -1, 32)
-    return (two << (2 * np.arange(32)).astype(_U)).sum(axis=2, dtype=_U).view(np.int64)
-
-
-def _agreeing(a: str, b: str) -> Column:
-    """Registers on whose 2 bits two sketches agree."""
-    differ = F.lit(0)
-    for k in range(REGISTERS // 32):
-        x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
-        differ = differ + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-    return REGISTERS - differ
-
-
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
         texts = texts_of(b, 1)
         bags = [np.unique(shingles(x), return_counts=True) for x in texts]
         registers = signatures(bags)
-        keys, drawn = band_keys(registers), sketches(registers)
+        keys = band_keys(registers)
         sizes = [int(c.sum()) for _, c in bags]
         offsets = np.concatenate([[0], np.cumsum([keys.shape[1] if n else 0 for n in sizes])]).astype(np.int32)
         rows = keys[np.array(sizes) > 0].reshape(-1) if texts else np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashlib.md5(x.encode()).digest() for x in texts], pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows)), pa.array(list(drawn), pa.list_(pa.int64()))], ["doc_id", "node", "size", "bands", "sketch"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashlib.md5(x.encode()).digest() for x in texts], pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows))], ["doc_id", "node", "size", "bands"])
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,25 +152,80 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
 
-def _pairs(left: DataFrame, right: DataFrame, sketched: bool = False) -> DataFrame:
-    """Pairs of nodes of one bucket and different components, least first, whose sizes allow the similarity.
-
-    sketched: whose sketches agree too; such a pair is made in the first bucket that it shares.
-    """
-    columns = ("node", "size", "root", "sketch", *["bands"] * sketched)
-    x, y = (df.select("band", *(F.col(c).alias(f"{c}_{k}") for c in columns)) for k, df in ((1, left), (2, right)))
+def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of nodes of one bucket and different components, least first, whose sizes allow the similarity."""
+    x, y = (df.select("band", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "size", "root"))) for k, df in ((1, left), (2, right)))
     least, most = F.least("size_1", "size_2"), F.greatest("size_1", "size_2")
     met = (x["band"] == y["band"]) & (F.col("root_1") != F.col("root_2")) & (DENOMINATOR * least >= NUMERATOR * most)
-    if sketched:
-        first = F.get(F.array_intersect("bands_1", "bands_2"), F.lit(0)) == x["band"]
-        met = met & (F.col("node_1") < F.col("node_2")) & (_agreeing("sketch_1", "sketch_2") >= AGREE) & first
     return x.join(y, met).select(F.least("node_1", "node_2").alias("a"), F.greatest("node_1", "node_2").alias("b")).distinct()
 
 
+def _slots(e: np.ndarray) -> np.ndarray:
+    return (e >> _U(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << SLOT_BITS, np.int64)
+    for b in slices(batches):
+        for x in b.column("elements").to_pylist():
+            np.add.at(total, _slots(np.frombuffer(x, _U)), 1)
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["slot", "n"])
+
+
+def prefix(e: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The elements, of those in several nodes, that may be the first which a pair at the threshold shares; their places.
+
+    of e in order (often by slot, then the element). With x elements, y in the other node and at least 4/9 (x + y) in
+    both, the first shared one has no more than x - 4/9 (x + y) elements before it, and y is at least 4/5 of x.
+    """
+    n = often[_slots(e)]
+    order = np.lexsort((e, n))[: len(e) * (DENOMINATOR - NUMERATOR) // DENOMINATOR + 1]
+    places = np.flatnonzero(n[order] > 1)
+    return e[order[places]], places
+
+
+def prefixed_pairs(bags: DataFrame) -> DataFrame:
+    """All pairs (a, b) of nodes of different components that may reach the threshold; bags: node, root, elements.
+
+    A pair is looked at where the two share an element that comes early enough in both; of a pair's shared elements
+    before the bounds, as many as are missing at the last one must still be able to follow.
+    """
+    counts = bags.select("elements").mapInArrow(_often, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(1 << SLOT_BITS, np.int64)
+    often[counts["slot"].to_numpy()] = counts["n"].to_numpy()
+
+    def early(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            sizes, found, places = [], [], []
+            for x in b.column("elements").to_pylist():
+                e = np.frombuffer(x, _U)
+                f, p = prefix(e, often)
+                sizes.append(len(e))
+                found.append(f.view(np.int64))
+                places.append(p)
+            rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            flat = [np.concatenate(c) if c else np.empty(0, np.int64) for c in (found, places)]
+            yield pa.RecordBatch.from_arrays([b.column("node").take(pa.array(rows)), b.column("root").take(pa.array(rows)), pa.array(np.array(sizes, np.int64)[rows]), *map(pa.array, flat)], ["node", "root", "size", "element", "place"])
+
+    rows = stored(bags.select("node", "root", "elements").mapInArrow(early, "node binary, root binary, size long, element long, place long"), "prefixes")
+    several = rows.groupBy("element").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("element")
+    rows = rows.join(several, "element")
+    x, y = (rows.select("element", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "root", "size", "place"))) for k in (1, 2))
+    both, whole = NUMERATOR, NUMERATOR + DENOMINATOR
+    least, most = F.least("size_1", "size_2"), F.greatest("size_1", "size_2")
+    room = F.least(F.col("size_1") - F.col("place_1"), F.col("size_2") - F.col("place_2"))
+    met = (x["element"] == y["element"]) & (F.col("node_1") < F.col("node_2")) & (F.col("root_1") != F.col("root_2"))
+    met = met & (DENOMINATOR * least >= NUMERATOR * most) & (whole * room >= both * (F.col("size_1") + F.col("size_2")))
+    pairs = x.join(y, met).select(F.col("node_1").alias("a"), F.col("node_2").alias("b"), (F.col("size_1") + F.col("size_2")).alias("sizes"), room.alias("room"))
+    shared = pairs.groupBy("a", "b", "sizes").agg(F.count("*").alias("n"), F.min("room").alias("room"))
+    return shared.filter(whole * (F.col("n") + F.col("room") - 1) >= both * F.col("sizes")).select("a", "b")
+
+
 def links(signed: DataFrame, docs: DataFrame) -> DataFrame:
-    """Verified links (a, b) that join all nodes whose links are within buckets; signed: doc_id, node, size, bands, sketch."""
-    nodes = signed.filter("size > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("size").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    spread = nodes.select("node", "doc_id", "size", "sketch", F.explode("bands").alias("band"))
+    """Verified links (a, b) that join all nodes whose links are within buckets; signed: doc_id, node, size, bands."""
+    nodes = signed.filter("size > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("size").alias("size"), F.first("bands").alias("bands"))
+    spread = nodes.select("node", "doc_id", "size", F.explode("bands").alias("band"))
     buckets = spread.groupBy("band").agg(F.count("*").alias("nodes"), F.min("node").alias("pivot")).filter("nodes > 1")
     members = stored(spread.join(buckets, "band"), "members")
 
@@ -210,10 +251,8 @@ def links(signed: DataFrame, docs: DataFrame) -> DataFrame:
     linked = verified(_pairs(alone.filter("node <> pivot"), alone.filter("node = pivot")))
     left = unmerged(linked)
     linked = stored(linked.unionByName(verified(_pairs(left.filter((F.col("nodes") <= SMALL) | (F.col("node") == F.col("best"))), left))), "links")
-    left = unmerged(linked).filter(F.col("nodes") > SMALL)
-    own = signed.join(left.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).select("node", "bands")
-    left = left.join(own, "node")
-    return linked.unionByName(verified(_pairs(left, left, sketched=True)))
+    left = unmerged(linked).filter(F.col("nodes") > SMALL).select("node", "root").distinct()
+    return linked.unionByName(verified(stored(prefixed_pairs(bags.join(left, "node")), "pairs")))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_node: bool = False) -> DataFrame:
@@ -224,7 +263,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     null id takes its class's id, or null if the class has no other. Repeated rows share a class.
     """
     rows = id_and_text(docs, id_col, text_col)
-    signed = stored(rows.mapInArrow(_sign, "doc_id long, node binary, size long, bands array<long>, sketch array<long>"), "signed")
+    signed = stored(rows.mapInArrow(_sign, "doc_id long, node binary, size long, bands array<long>"), "signed")
     roots = components(links(signed, rows), "a", "b")
     placed = signed.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
     ids = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"))

@@ -269,6 +269,36 @@ def test_op6_star_of_copies(spark):
     assert got == brute_classes(rows)
 
 
+def test_op6_large_bucket_loses_no_link(spark):
+    """Pairs near the threshold in one bucket of 30 nodes, whatever their sketches say."""
+    rows = []
+    for i in range(10):
+        text = [f"a{i}_{k}" for k in range(60)]
+        rows += [(3 * i, " ".join(text)), (3 * i + 1, " ".join([*text[:54], *(f"b{i}_{k}" for k in range(6))])), (3 * i + 2, " ".join(f"c{i}_{k}" for k in range(60)))]
+    signed = [(i, hashlib.md5(x.encode()).digest(), 56, [1], [i * 0x1111111111111111 % 2**63] * 8) for i, x in rows]
+    df = spark.createDataFrame(signed, "doc_id long, node binary, size long, bands array<long>, sketch array<long>")
+    name = {bytes(n): i for i, n, *_ in signed}
+    got = minhash.links(df, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {tuple(sorted((name[bytes(r.a)], name[bytes(r.b)]))) for r in got.collect()} == {(3 * i, 3 * i + 1) for i in range(10)}
+
+
+def test_op6_prefixes_keep_every_pair(spark):
+    """Copies of different lengths, edited apart: no pair at 0.8 is missing from the candidates."""
+    rnd = random.Random(11)
+    seed = [f"w{i % 70}" for i in range(120)]
+    bags = []
+    for i in range(120):
+        copy = list(seed[: rnd.randrange(95, 121)])
+        for _ in range(rnd.choice((0, 1, 2, 3))):
+            copy[rnd.randrange(len(copy))] = f"x{rnd.randrange(12)}"
+        bags.append(minhash.elements(" ".join(copy)))
+    bags += [minhash.elements(" ".join(seed[:n])) for n in (1, 3, 5, 6, 7, 8, 9, 10)]
+    rows = [(i.to_bytes(2, "big"), i.to_bytes(2, "big"), e.tobytes()) for i, e in enumerate(bags)]
+    got = {(int.from_bytes(r.a, "big"), int.from_bytes(r.b, "big")) for r in minhash.prefixed_pairs(spark.createDataFrame(rows, "node binary, root binary, elements binary")).collect()}
+    alike = {(i, j) for j, y in enumerate(bags) for i, x in enumerate(bags[:j]) if (c := minhash.alike(x, y)) and 5 * c[0] >= 4 * c[1]}
+    assert alike and alike <= got
+
+
 def test_op6_signatures_estimate_weighted_jaccard():
     rnd = np.random.default_rng(5)
     errors = []
