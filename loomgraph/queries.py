@@ -631,6 +631,56 @@ def q217_weighted_distances(spark, d):
     return graph.weighted_distances(g, t(spark, d, "supplier").select(tx.node_id("SUPPLIER", F.col("s_suppkey")).alias("source")), 3)
 
 
+# The same operators on the whole graph, without SQL: tests compare them with plain Python
+
+
+def _whole(spark, d) -> DataFrame:
+    """All edges; the more often an edge occurs, the less its weight."""
+    return kg.edges(spark, d).select(F.col("subject_id").alias("src"), F.col("relation_type").alias("rel"), F.col("object_id").alias("dst"), (F.lit(1.0) / F.col("number_of_occurrences")).alias("weight"))
+
+
+def _some_customers(spark, d, name) -> DataFrame:
+    """A stated source set: customers whose key is divisible by 50."""
+    return t(spark, d, "customer").filter("c_custkey % 50 = 0").select(tx.node_id("CUSTOMER", F.col("c_custkey")).alias(name))
+
+
+@query()
+def q216_distances_whole(spark, d):
+    """From the regions to all nodes within 4 steps."""
+    return graph.distances(graph.undirected(_whole(spark, d)), _regions(spark, d), 4)
+
+
+@query(rank=9)
+def q224_page_rank_whole(spark, d):
+    return graph.page_rank(_whole(spark, d), 4)
+
+
+@query()
+def q238_weisfeiler_lehman_whole(spark, d):
+    return graph.weisfeiler_lehman(_whole(spark, d), 2)
+
+
+@query()
+def q241_follow_chain_whole(spark, d):
+    """The parts that each customer has ordered."""
+    return graph.follow(_whole(spark, d), t(spark, d, "customer").select(tx.node_id("CUSTOMER", F.col("c_custkey")).alias("start")), ["PLACED", "CONTAINS"])
+
+
+@query()
+def q240_sampler_weights_whole(spark, d):
+    return graph.sampler_weights(_whole(spark, d))
+
+
+@query()
+def q227_reverse_edges_whole(spark, d):
+    return graph.with_reverse(_whole(spark, d).drop("weight"))
+
+
+@query(cost=9)
+def q217_weighted_distances_whole(spark, d):
+    return graph.weighted_distances(_whole(spark, d), _some_customers(spark, d, "source"), 3)
+
+
 # Search and retrieval
 
 
