@@ -70,8 +70,8 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str, k1: float = 1.2, b: f
     stats = docs.select(F.size(terms(F.col("text"))).alias("n")).agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
     lengths = docs.select(id_col, F.size(terms(F.col("text"))).alias("n"))
     hits = tf.join(wanted, "term")
-    df = hits.groupBy("query_id", "term").agg(F.count("*").alias("df"))
-    s = hits.join(df, ["query_id", "term"]).join(lengths, id_col).join(F.broadcast(stats))
+    df = tf.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    s = hits.join(df, "term").join(lengths, id_col).join(F.broadcast(stats))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
     return s.groupBy("query_id", id_col).agg(F.sum(part).alias("score"))
