@@ -16,9 +16,9 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, id_col: str = "vec_id"
     """(query_id, id, score): the k items with the highest cosine for each query.
 
     A stated set of queries meets all items in blocks: queries are gathered into blocks of `block` vectors, each task
-    multiplies its items with every block and keeps k for each query, and only these are ranked together. Ties by id.
+    multiplies its items with every block and keeps k for each query, and only these are ranked together. Scores rank by nine digits, then by id, in both.
     """
-    kind = f"query_id long, {id_col} long, score double"
+    kind = f"query_id long, {id_col} long, score double, near double"
     blocks = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("q")).withColumn("block", F.pmod(F.xxhash64("query_id"), F.greatest(F.ceil(F.lit(queries.count() / block)), F.lit(1))))
     grouped = blocks.groupBy("block").agg(F.collect_list("query_id").alias("ids"), F.collect_list("q").alias("qs"))
     size = items.count()
@@ -31,13 +31,14 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, id_col: str = "vec_id"
                 q, v, names = np.array(list(qs)), np.array(list(vs)), np.asarray(item_ids)
                 unit = lambda m: m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) == 0, 1, n)
                 scores = unit(q) @ unit(v).T
+                near = np.round(scores, 9)
                 for i, query in enumerate(ids):
-                    order = np.lexsort((names, -scores[i]))[: k + 1]
-                    yield pd.DataFrame({"query_id": query, id_col: names[order], "score": scores[i][order]})
+                    order = np.lexsort((names, -near[i], names == query))[:k]
+                    yield pd.DataFrame({"query_id": query, id_col: names[order], "score": scores[i][order], "near": near[i][order]})
 
     met = packed.join(grouped).mapInPandas(best, kind).filter(F.col("query_id") != F.col(id_col))
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), id_col)
-    return met.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    w = Window.partitionBy("query_id").orderBy(F.desc("near"), id_col)
+    return met.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("near")
 
 
 def resolve(new: DataFrame, stored: DataFrame, threshold: float) -> DataFrame:
