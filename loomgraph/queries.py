@@ -425,8 +425,15 @@ def q162_token_budget(spark, d):
 
 @query("SELECT user_id, array_to_string(list_slice(l, -3, -1), '|') AS last, array_to_string(list_slice(l, 1, 3), '|') AS first FROM (SELECT user_id, list_sort(list(event_id)) AS l FROM events GROUP BY 1)")
 def q163_id_limit(spark, d):
-    g = t(spark, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_list("event_id")).alias("l"))
-    return g.select("user_id", tx.joined(F.slice("l", -F.least(F.size("l"), F.lit(3)), F.least(F.size("l"), F.lit(3)))).alias("last"), tx.joined(F.slice("l", 1, 3)).alias("first"))
+    e = t(spark, d, "events").select("user_id", "event_id")
+
+    def end(order, name):
+        ranked = e.withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy(order))).filter("r <= 3")
+        return ranked.select("user_id", "event_id", F.lit(name).alias("end"))
+
+    both = end(F.asc_nulls_last("event_id"), "first").unionByName(end(F.desc_nulls_last("event_id"), "last"))
+    of = lambda name: tx.joined(F.sort_array(F.collect_list(F.when(F.col("end") == name, F.col("event_id"))))).alias(name)
+    return both.groupBy("user_id").agg(of("last"), of("first"))
 
 
 # Sets
@@ -746,7 +753,9 @@ def q295_correlation(spark, d):
 
 @query("SELECT p_partkey, p_retailprice = (SELECT max(x.p_retailprice) FROM part x WHERE x.p_brand = part.p_brand) AS best FROM part")
 def q297_best_flag(spark, d):
-    return t(spark, d, "part").select("p_partkey", (F.max("p_retailprice").over(Window.partitionBy("p_brand")) == F.col("p_retailprice")).alias("best"))
+    p = t(spark, d, "part")
+    most = p.groupBy("p_brand").agg(F.max("p_retailprice").alias("most"))
+    return p.join(most, "p_brand", "left").select("p_partkey", (F.col("most") == F.col("p_retailprice")).alias("best"))
 
 
 @query("SELECT l_partkey AS id, 'missing' AS kind FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 40)) UNION ALL SELECT p_partkey, 'extra' FROM part WHERE p_size < 40 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
@@ -820,5 +829,6 @@ def q117_document_summary(spark, d):
 
 @query("SELECT c_custkey, (c_acctbal - lo) / (hi - lo) AS scaled FROM customer JOIN (SELECT c_mktsegment, min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer GROUP BY 1) USING (c_mktsegment)", scaled=9)
 def q296_min_max_per_group(spark, d):
-    w = Window.partitionBy("c_mktsegment")
-    return t(spark, d, "customer").select("c_custkey", vx.min_max(F.col("c_acctbal"), F.min("c_acctbal").over(w), F.max("c_acctbal").over(w)).alias("scaled"))
+    c = t(spark, d, "customer")
+    ends = c.groupBy("c_mktsegment").agg(F.min("c_acctbal").alias("lo"), F.max("c_acctbal").alias("hi"))
+    return c.join(ends, "c_mktsegment").select("c_custkey", vx.min_max(F.col("c_acctbal"), F.col("lo"), F.col("hi")).alias("scaled"))
