@@ -21,8 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import id_and_text, slices, stored, texts_of
-from .tokens import encoder
+from .shared import id_and_text, slices, stored
+from .tokens import byte_slices, encoder
 
 BUCKETS, DIMENSIONS, BITS = 256, 3, 10
 
@@ -82,9 +82,9 @@ def pack(docs: DataFrame, tokenizer: str, *, length: int = 1024, end_id: int = 0
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = encoder(tokenizer)
-        end = np.array([end_id], dtype="<u4")
-        for b in slices(batches):
-            ids = [np.concatenate([np.frombuffer(x, "<u4"), end]) for x in codec.ids(texts_of(b, 1))]
+        end = end_id.to_bytes(4, "little")
+        for b in byte_slices(batches, 1):
+            ids = [np.frombuffer(x, "<u4") for x in codec.ids(b.column(1), end)]
             small = [x.astype("<u2") if x.max() < 65536 else x for x in ids]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(place_of(ids, project), pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in small], pa.binary()), pa.array([zlib.crc32(x) for x in small], pa.int64())],

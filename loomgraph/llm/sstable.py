@@ -27,8 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import id_and_text, new_folder, slices, texts_of
-from .tokens import encoder
+from .shared import id_and_text, new_folder
+from .tokens import byte_slices, encoder
 
 BLOCK_BYTES, RESTART = 1 << 16, 16
 BLOOM_BITS_PER_KEY, BLOOM_HASHES = 10, 7
@@ -172,10 +172,10 @@ def write(docs: DataFrame, tokenizer: str, *, end_id: int | None = 2, folder: st
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, shard = encoder(tokenizer), None
-        for b in slices(batches):
+        for b in byte_slices(batches, 1):
             shard = shard or ShardWriter(f"{folder}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.sst")
-            for doc, ids in zip(b.column(0).to_pylist(), codec.ids(texts_of(b, 1)), strict=True):
-                shard.add(doc, ids + end)
+            for doc, ids in zip(b.column(0).to_pylist(), codec.ids(b.column(1), end), strict=True):
+                shard.add(doc, ids)
         if shard:
             yield pa.RecordBatch.from_pylist([shard.close() | {"part": TaskContext.get().partitionId()}], schema=pa.schema([("part", pa.int64()), ("path", pa.string()), ("first", pa.binary()), ("last", pa.binary()), ("entries", pa.int64()), ("tokens", pa.int64())]))
 

@@ -1,33 +1,34 @@
 """Token ids as the tokenizers library gives them, asking its model once for each distinct pretoken.
 
-Byte-level BPE never joins a space to a visible character before it, so a text can be cut before each single
-space that follows a visible character, and the ids of the pieces make up the ids of the text. Pieces repeat
-all over a corpus; each Python worker keeps the ids of those it has met, and of the pretokens in them.
+Byte-level splitting never joins a space to a visible character before it, and white space before a word gives its last
+space to the word. So a text can be cut before every space that a visible character follows, and the ids of the pieces
+make up the ids of the text. Pieces repeat all over a corpus: Arrow finds the distinct ones of a batch, each Python
+worker keeps the ids of those it has met, and Arrow lays the ids side by side again.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 from .pieces import pretokens
 
 #: Longest piece, in characters, that is kept; and how many pieces are kept before the store starts anew.
 KEEP_CHARS, KEEP_PIECES = 48, 800_000
+#: Texts of a batch that are taken apart at once hold so many bytes, or are one text.
+BYTES_AT_ONCE = 4 << 20
 
-_UNSAFE = re.compile(r"\s ")
-_CUT = re.compile(r"(?<=\S)(?= )")
-
-
-def cut(text: str) -> tuple[str, list[str]]:
-    """The first piece, and those after it without their leading space."""
-    if _UNSAFE.search(text):
-        first, *rest = _CUT.split(text)
-        return first, [x[1:] for x in rest]
-    first, *rest = text.split(" ")
-    return first, rest
+#: White space as Python and Unicode have it.
+_WHITE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: Where a space isn't a place to cut: white space on both sides, or white space before it at the end.
+_UNSAFE = rf"[{_WHITE}] (?:[{_WHITE}]|\z)"
+_CUT = re.compile(r" (?=\S)")
 
 
 class Kept(dict):
@@ -46,6 +47,57 @@ class Kept(dict):
         return value
 
 
+def byte_slices(batches: Iterable[pa.RecordBatch], column: int | str, most: int = BYTES_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The same rows in pieces whose texts in `column` hold at most so many bytes, or of one row."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            before = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield b.slice(at, stop - at)
+            at = stop
+
+
+def distinct(values: pa.Array) -> tuple[list, np.ndarray]:
+    """The distinct values, and each value's place among them."""
+    coded = values.dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy()
+
+
+class Gathered:
+    """A byte string for each value, side by side: slices of values are slices of bytes."""
+
+    def __init__(self, strings: list[bytes], places: np.ndarray):
+        made = pa.array(strings, pa.large_binary()).take(pa.array(places)) if len(places) else pa.array([], pa.large_binary())
+        self.ends = np.frombuffer(made.buffers()[1], np.int64)[: len(made) + 1] if len(made) else np.zeros(1, np.int64)
+        self.data = memoryview(made.buffers()[2] or b"") if len(made) else memoryview(b"")
+
+    def of(self, first: int, stop: int) -> memoryview:
+        return self.data[self.ends[first] : self.ends[stop]]
+
+
+def pieces_of(texts: pa.Array, anywhere: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+    """Groups of rows: their numbers, where each one's pieces begin (and the end), all pieces.
+
+    Pieces lack their leading space; a row's first one had none. Every row is in one group; a null has one empty piece.
+    anywhere: for tokenizers that drop white space, so that every space, and every line's end, is a place to cut.
+    """
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    if anywhere:
+        texts = pc.replace_substring(texts, "\n", " ")
+        unsafe = np.zeros(len(texts), bool)
+    else:
+        unsafe = pc.match_substring_regex(texts, _UNSAFE).to_numpy(zero_copy_only=False).astype(bool)
+    for rows, plain in ((np.flatnonzero(~unsafe), True), (np.flatnonzero(unsafe), False)):
+        if len(rows):
+            some = texts.take(pa.array(rows))
+            lists = pc.split_pattern(some, " ") if plain else pa.array([_CUT.split(x) for x in some.to_pylist()], pa.list_(pa.string()))
+            lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+            starts = lists.offsets.to_numpy()
+            yield rows, starts - starts[0], lists.flatten()
+
+
 class PieceEncoder:
     """ids() for texts, as little-endian 32-bit ids in bytes."""
 
@@ -57,6 +109,7 @@ class PieceEncoder:
         self.table = dict(enumerate(self.pretokens.letters))
         self.token_ids = Kept(self._pretoken)
         self.pieces = Kept(lambda rest: self._piece(" " + rest))
+        self.first = Kept(self._piece)
 
     def _pretoken(self, raw: bytes) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(raw.decode("latin-1").translate(self.table))]).tobytes()
@@ -64,9 +117,18 @@ class PieceEncoder:
     def _piece(self, piece: str) -> bytes:
         return b"".join([self.token_ids[x] if isinstance(x, bytes) else x.to_bytes(4, "little") for x in self.pretokens.of(piece)])
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        get = self.pieces.__getitem__
-        return [self._piece(first) + b"".join(map(get, rest)) for first, rest in map(cut, texts)]
+    def ids(self, texts: pa.Array, end: bytes = b"") -> list[bytes]:
+        """Of each text, with `end` behind."""
+        out: list[bytes] = [b""] * len(texts)
+        for rows, starts, pieces in pieces_of(texts):
+            heads = pieces.take(pa.array(starts[:-1])).to_pylist()
+            mask = np.zeros(len(pieces), bool)
+            mask[starts[:-1]] = True
+            names, places = distinct(pc.if_else(pa.array(mask), "", pieces))
+            made = Gathered([self.pieces[x] for x in names], places)
+            for row, head, at, stop in zip(rows.tolist(), heads, (starts[:-1] + 1).tolist(), starts[1:].tolist(), strict=True):
+                out[row] = b"".join((self.first[head], made.of(at, stop), end))
+        return out
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -77,3 +139,9 @@ def encoder(path: str) -> PieceEncoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = PieceEncoder(path)
     return _ENCODERS[path]
+
+
+def cut(text: str) -> tuple[str, list[str]]:
+    """The first piece, and those after it without their leading space."""
+    first, *rest = _CUT.split(text)
+    return first, rest
