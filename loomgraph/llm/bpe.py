@@ -1,13 +1,26 @@
-"""A merge list compiled to a deterministic transducer.
+"""A merge list compiled to deterministic transducers.
 
 Of all ways to write a string as tokens, byte-pair encoding gives the one whose neighbours are all compatible: two
 tokens are compatible if encoding their joined strings gives just them. So every prefix of a string has one last
 token, and reading symbols from left to right it can be kept up to date by looking at the tokens that end here.
 
-A state holds, for each place where a token that may still be under way started: the trie node reached from there,
-the last token before it, and how many tokens lay before it less the tokens up to now. There are finitely many, as
-no token is longer than the longest. States and transitions are made when first met and kept; each transition is
-annotated with the change in the number of tokens, and with the token that now ends here.
+A state holds, for each place where a token that may still be under way started, the trie node reached from there and
+what is known of the tokens before it. There are finitely many. States and transitions are made when first met and
+kept; past KEEP_STATES all are dropped and made anew when met again.
+
+- Counting keeps the last token before each start, and how many tokens lay before it less the tokens up to now. Its
+  transitions are annotated with the change in the number of tokens.
+- Emitting keeps each start's tokens since the last one that all starts share. Its transitions are annotated with the
+  tokens that have just become common to all: no later symbol can change those.
+
+How much Emitting can hold back (`Machine.lookahead`). Take two texts that are equal up to place p and differ after.
+Merges apply in the order of their ranks, as no merge comes before those that make its parts. Let f be the leftmost
+boundary that only one of the two has; at first f = p. It can only move left when one of them merges (x, y) across f;
+then x ended at f in both, and f moves left by the symbols of x. The next move is a merge (x', z) of higher rank where
+z begins with x, so z is x or grew from it as its left part. (Of equal rank, merges of x x x go from the left, which
+doesn't depend on what follows.) So all moves follow a chain of merges of rising rank, each one's right part beginning
+with the left part of the one before; the greatest sum of left parts over such chains bounds how far f moves. It is
+found in one pass over the merges in rank order. Boundaries further back than that from the last symbol read are final.
 """
 
 from __future__ import annotations
@@ -15,17 +28,15 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable
 
-from .pieces import byte_letters
+from .pieces import FREE, Splitter, byte_letters
 
 START = -1
-#: The next state, the change in the number of tokens, the token that ends here, its place among the state's starts, and which starts stay alive.
-Move = tuple[int, int, int, int, list[int]]
 #: States that are kept before the machine is compiled anew.
 KEEP_STATES = 200_000
 
 
 class Machine:
-    """Made of a tokenizers JSON file's BPE model."""
+    """Made of a tokenizers JSON file's BPE model. Counting and Emitting say what a state keeps and a transition gives."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -34,6 +45,7 @@ class Machine:
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model.get("end_of_word_suffix") or ""
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        self.special_ids = set(self.special.values())
         self.decoder = (spec.get("decoder") or {}).get("type")
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.rank: dict[tuple[int, int], int] = {}
@@ -48,8 +60,8 @@ class Machine:
         symbols: dict[int, tuple[int, ...]] = {t: (t,) for t in self.vocab.values() if t not in self.made}
         for token in sorted(self.made, key=self.made.__getitem__):
             symbols[token] = symbols[self.left[token]] + symbols[self.right[token]]
-        #: No token reaches further than so many symbols past its first: what a stream has to look ahead for starts to settle.
-        self.lookahead = max(map(len, symbols.values())) - 1
+        self.longest = max(map(len, symbols.values()))
+        self.lookahead = self._sufficient(symbols)
         letters = byte_letters()
         self.inner = [self.vocab[c] for c in letters]
         self.final = [self.vocab[c + self.suffix] for c in letters]
@@ -61,6 +73,22 @@ class Machine:
                 self._add(token, path_)
         self._reset()
 
+    def _sufficient(self, symbols: dict[int, tuple[int, ...]]) -> int:
+        """The symbols of look-ahead that settle a boundary; see the module's text. Raises for merges out of order."""
+        reach: dict[int, int] = {}  # of the chains up to now, by the last merge's left part
+        most = 0
+        for (x, y), rank in sorted(self.rank.items(), key=lambda item: item[1]):
+            if max(self.made.get(x, -1), self.made.get(y, -1)) >= rank:
+                raise ValueError("a merge comes before one that makes its parts")
+            best, part = reach.get(y, 0), y
+            while part in self.made:
+                part = self.left[part]
+                best = max(best, reach.get(part, 0))
+            best += len(symbols[x])
+            reach[x] = max(best, reach.get(x, 0))
+            most = max(most, best)
+        return most
+
     def _whole(self, token: int) -> bool:
         """Whether encoding the token's own string gives the token."""
         return token not in self.made or self.fits(self.left[token], self.right[token], self.made[token])
@@ -104,126 +132,152 @@ class Machine:
         return fine
 
     def _reset(self) -> None:
-        self.states: list[tuple[tuple[int, int, int], ...]] = [((0, START, 0),)]
-        self.index = {self.states[0]: 0}
-        self.moves: list[dict[int, Move]] = [{}]
-
-    def step(self, state: int, symbol: int) -> Move:
-        """See Move."""
-        move = self.moves[state].get(symbol)
-        if move is None:
-            move = self.moves[state][symbol] = self._compile(state, symbol)
+        self.states: list[tuple] = [self.first]
+        self.index = {self.first: 0}
+        self.moves: list[dict[int, tuple]] = [{}]
+
+    def place(self, key: tuple) -> int:
+        """The number of a state; numbers hold until all are dropped, keys for ever."""
+        at = self.index.get(key)
+        if at is None:
+            if len(self.states) >= KEEP_STATES:
+                self._reset()
+            at = self.index[key] = len(self.states)
+            self.states.append(key)
+            self.moves.append({})
+        return at
+
+    def step(self, state: int, symbol: int) -> tuple:
+        """The next state and the annotation. Other states' numbers are void if all were dropped."""
+        moves = self.moves[state]
+        key, out = self.move(self.states[state], symbol)
+        move = moves[symbol] = self.place(key), out
         return move
 
-    def _compile(self, state: int, symbol: int) -> Move:
-        nodes, alive, keep, last, change, chosen = self.nodes, [], [], None, 0, -1
-        for place, (node, before, less) in enumerate(self.states[state]):
+    def run(self, pretoken: bytes) -> list:
+        """The annotations of a whole pretoken's transitions and its end, without those that are nothing."""
+        symbols = list(map(self.inner.__getitem__, pretoken))
+        symbols[-1] = self.final[pretoken[-1]]
+        out, at = [], 0
+        for s in symbols:
+            move = self.moves[at].get(s) or self.step(at, s)
+            at, made = move
+            if made:
+                out.append(made)
+        if made := self.closing(self.states[at]):
+            out.append(made)
+        return out
+
+
+class Counting(Machine):
+    """Annotations: by how much the number of tokens changes, if the pretoken ended here."""
+
+    first, nothing = ((0, START, 0),), 0
+
+    def move(self, state: tuple, symbol: int) -> tuple[tuple, int]:
+        nodes, alive, last, change = self.nodes, [], None, 0
+        for node, before, less in state:
             nxt = nodes[node].get(symbol)
             if nxt is None:
                 continue
             if nodes[nxt]:
                 alive.append((nxt, before, less))
-                keep.append(place)
             if last is None:
                 token = self.token_at[nxt]
                 if token != START and (before == START or self.fits(before, token)):
-                    last, change, chosen = token, less + 1, place
+                    last, change = token, less + 1
         if last is None:
             raise ValueError(f"no token for symbol {symbol}")
-        key = (*[(n, b, less - change) for n, b, less in alive], (0, last, 0))
-        at = self.index.get(key)
-        if at is None:
-            at = self.index[key] = len(self.states)
-            self.states.append(key)
-            self.moves.append({})
-        return at, change, last, chosen, keep
-
-    def fresh(self) -> None:
-        """Between pretokens: starts anew once too many states are kept."""
-        if len(self.states) > KEEP_STATES:
-            self._reset()
-
-    def symbols(self, pretoken: bytes) -> list[int]:
-        """The basic symbols of a pretoken; its last may be another symbol than inside a word."""
-        out = list(map(self.inner.__getitem__, pretoken))
-        if out:
-            out[-1] = self.final[pretoken[-1]]
-        return out
+        return (*[(n, b, less - change) for n, b, less in alive], (0, last, 0)), change
 
-    def count(self, symbols: Iterable[int]) -> int:
-        """Tokens of one pretoken: the sum of the transitions' annotations."""
-        self.fresh()
-        state = total = 0
-        moves, compile_ = self.moves, self._compile
-        for s in symbols:
-            move = moves[state].get(s)
-            if move is None:
-                move = moves[state][s] = compile_(state, s)
-            state = move[0]
-            total += move[1]
-        return total
+    def closing(self, state: tuple) -> int:
+        return 0
 
 
-class Stream:
-    """Emits the tokens of one pretoken as its symbols come, once no later symbol can change them.
+class Emitting(Machine):
+    """Annotations: the tokens that are final from here on.
 
-    Kept is, for each start that is alive, a chain (token, chain before it, its length) back to the last emitted
-    token. A token is stable once the chains of all starts that are alive go through it. That is looked up
-    whenever as many symbols have come as the merge list's look-ahead.
+    A state's starts each have the tokens before them, from the last emitted one (or START) on.
     """
 
-    def __init__(self, machine: Machine):
-        self.machine, self.state = machine, 0
-        self.starts: list[tuple] = [(None, None, 0)]
-        self.since = 0
-
-    def feed(self, symbol: int) -> list[int]:
-        move = self.machine.moves[self.state].get(symbol) or self.machine.step(self.state, symbol)
-        starts = self.starts
-        before = starts[move[3]]
-        made = [starts[k] for k in move[4]]
-        made.append((move[2], before, before[2] + 1))
-        self.starts, self.state, self.since = made, move[0], self.since + 1
-        return self._settle() if self.since > self.machine.lookahead else []
-
-    def _settle(self) -> list[int]:
-        self.since = 0
-        level = list({id(c): c for c in self.starts}.values())
-        while len(level) > 1:
-            deepest = max(c[2] for c in level)
-            level = list({id(c): c for c in (x[1] if x[2] == deepest else x for x in level)}.values())
-        stable = level[0]
-        root = (None, None, 0)
-        made: dict[int, tuple] = {id(stable): root}
-        for chain in self.starts:
-            path = []
-            while id(chain) not in made:
-                path.append(chain)
-                chain = chain[1]
-            copy = made[id(chain)]
-            for link in reversed(path):
-                copy = made[id(link)] = (link[0], copy, copy[2] + 1)
-        self.starts = [made[id(c)] for c in self.starts]
-        return self._tokens(stable)
-
-    @staticmethod
-    def _tokens(chain: tuple) -> list[int]:
-        out = []
-        while chain[2]:
-            out.append(chain[0])
-            chain = chain[1]
-        return out[::-1]
-
-    def end(self) -> list[int]:
+    first, nothing = ((0, (START,)),), ()
+
+    def move(self, state: tuple, symbol: int) -> tuple[tuple, tuple[int, ...]]:
+        nodes, starts, last = self.nodes, [], None
+        for node, chain in state:
+            nxt = nodes[node].get(symbol)
+            if nxt is None:
+                continue
+            if nodes[nxt]:
+                starts.append((nxt, chain))
+            if last is None:
+                token = self.token_at[nxt]
+                if token != START and (chain[-1] == START or self.fits(chain[-1], token)):
+                    last = (*chain, token)
+        if last is None:
+            raise ValueError(f"no token for symbol {symbol}")
+        common = len(last)
+        for _, chain in starts:
+            common = min(common, len(chain))
+            while chain[:common] != last[:common]:
+                common -= 1
+        keep = common - 1
+        return (*[(n, c[keep:]) for n, c in starts], (0, last[keep:])), last[1:common]
+
+    def closing(self, state: tuple) -> tuple[int, ...]:
         """The tokens left when the pretoken is over."""
-        return self._tokens(self.starts[-1])
+        return state[-1][1][1:]
+
+
+class Walk:
+    """The splitter and a machine as one transducer over characters.
+
+    Its state is the splitter's state, the last byte (it may be a word's last, which is another symbol) and the
+    machine's state.
+    """
+
+    def __init__(self, splitter: Splitter, machine: Machine):
+        self.splitter, self.machine = splitter, machine
+        self.first = self.state = (FREE, -1, machine.first)
+
+    def feed(self, chars: Iterable[str]) -> list:
+        """The annotations of the transitions, without those that are nothing."""
+        mode, parts = self.state[0], []
+        for c in chars:
+            mode, more = self.splitter.step(mode, c)
+            parts += more
+        return self._apply(mode, parts)
+
+    def end(self) -> list:
+        """The annotations that the end of the text brings; then ready for another one."""
+        return self._apply(FREE, self.splitter.ending(self.state[0]))
+
+    def _apply(self, mode: str | tuple, parts: Iterable[bytes | None]) -> list:
+        machine, (_, last, key), out = self.machine, self.state, []
+        at, inner = machine.place(key), machine.inner
+        for part in parts:
+            for byte in part or ():
+                if last >= 0:
+                    at, made = machine.moves[at].get(inner[last]) or machine.step(at, inner[last])
+                    if made:
+                        out.append(made)
+                last = byte
+            if part is None:
+                at, made = machine.step(at, machine.final[last])
+                if made:
+                    out.append(made)
+                if made := machine.closing(machine.states[at]):
+                    out.append(made)
+                last, at = -1, 0
+        self.state = (mode, last, machine.states[at])
+        return out
 
 
-_MACHINES: dict[str, Machine] = {}
+_MACHINES: dict[tuple[type, str], Machine] = {}
 
 
-def machine(path: str) -> Machine:
-    """One for each worker process and file."""
-    if path not in _MACHINES:
-        _MACHINES[path] = Machine(path)
-    return _MACHINES[path]
+def machine(kind: type[Machine], path: str) -> Machine:
+    """One for each worker process, kind and file."""
+    if (kind, path) not in _MACHINES:
+        _MACHINES[kind, path] = kind(path)
+    return _MACHINES[kind, path]

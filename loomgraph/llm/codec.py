@@ -1,10 +1,15 @@
 """Encoding by a streaming transducer, and decoding by a state machine.
 
-Symbols of a pretoken go one by one into bpe.Stream, which emits a token once no later symbol can change it; what it
-keeps is bounded by the merge list's look-ahead, not by the text. A word's last symbol is another one than inside a
-word, so the encoder itself looks one symbol ahead. The decoder turns ids back to text as they come: files with a
-byte-level decoder give bytes, of which incomplete characters wait for the next id; files without a decoder give the
-tokens' strings with spaces between them, as their library does.
+`Encoder` takes a text in parts. Its characters go through the normaliser, the splitter and bpe.Emitting, which gives a
+token as soon as no later symbol can change it; what is held is one character with its marks, two characters of the
+splitter and fewer symbols than the merge list's sufficient look-ahead and two longest tokens (see bpe), whatever the
+text. Where every pretoken ends, at a space that a visible character follows, the transducer is in its first state
+again: from there a whole word is one kept transition, with the word's ids. A batch of texts takes its words through
+these transitions at once; texts beyond STREAM characters come in parts of that size.
+
+`Decoder` turns ids back to text as they come: files with a byte-level decoder give bytes, of which incomplete
+characters wait for the next id; files without a decoder give the tokens' strings with spaces between them, as their
+library does.
 """
 
 from __future__ import annotations
@@ -14,22 +19,29 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .bpe import Machine, Stream, machine
-from .pieces import byte_letters, pretokens
-from .shared import id_and_text, slices, texts_of
-from .tokens import Kept, cut
+from .bpe import Emitting, Walk, machine
+from .pieces import Normalised, Splitter, byte_letters, pretokens
+from .shared import few_collections, id_and_text
+from .tokens import Gathered, Kept, byte_slices, distinct, pieces_of
+
+#: Characters of a text that are taken apart at once.
+STREAM = 1 << 20
+#: Words whose ids and decoded text are kept.
+KEEP_WORDS = 500_000
+_WORDS = re.compile(r" (?=\S)")
 
 
 class Decoder:
     """feed() ids, then end()."""
 
-    def __init__(self, machine: Machine, names: dict[int, str]):
-        self.names, self.special = names, {i for i in machine.special.values()}
-        self.letters = {c: b for b, c in enumerate(byte_letters())} if machine.decoder == "ByteLevel" else None
+    def __init__(self, codec: Codec):
+        self.names, self.special, self.letters = codec.names, codec.machine.special_ids, codec.letters
         self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
         self.begun = False
 
@@ -52,51 +64,104 @@ class Decoder:
 
 
 class Codec:
-    """Whole texts; pretokens and pieces that came before are kept."""
+    """What encoders and decoders of one tokenizer file share; words that came before are kept."""
 
     def __init__(self, path: str):
-        self.pretokens, self.machine = pretokens(path), machine(path)
+        pre = pretokens(path)
+        self.pretokens, self.machine, self.splitter = pre, machine(Emitting, path), Splitter(pre)
         self.names = {i: t for t, i in self.machine.vocab.items()} | {i: t for t, i in self.machine.special.items()}
-        #: Models without a decoder that drop white space: words are encoded and decoded one by one.
-        self.by_word = self.machine.decoder is None and bool(self.machine.suffix)
-        self.of_pretoken = Kept(self._pretoken)
-        self.of_word = Kept(self._word)
-
-    def _pretoken(self, raw: bytes) -> list[int]:
-        self.machine.fresh()
-        stream, out = Stream(self.machine), []
-        for symbol in self.machine.symbols(raw):
-            out += stream.feed(symbol)
-        return out + stream.end()
+        self.letters = {c: b for b, c in enumerate(byte_letters())} if self.machine.decoder == "ByteLevel" else None
+        self.starts = {s[:n] for s in pre.special_ids for n in range(1, len(s))}
+        #: What a word has before it in its text, and what its decoded tokens have before them.
+        self.space, self.gap = (" ", "") if self.splitter.spaces else ("", " ")
+        self.word = Kept(lambda w: self._word(self.space + w), KEEP_WORDS)
+        self.first = Kept(self._word, KEEP_WORDS // 10)
 
-    def tokens(self, piece: str) -> list[int]:
-        return [i for x in self.pretokens.of(piece) for i in (self.of_pretoken[x] if isinstance(x, bytes) else (x,))]
+    def _word(self, word: str) -> tuple[bytes, bytes]:
+        run = self.machine.run
+        ids = array("I", [i for x in self.pretokens.of(word) for i in (chain.from_iterable(run(x)) if isinstance(x, bytes) else (x,))])
+        return ids.tobytes(), (self.gap + self.decode(ids)).encode() if ids else b""
 
     def decode(self, ids: Iterable[int]) -> str:
-        decoder = Decoder(self.machine, self.names)
+        decoder = Decoder(self)
         return decoder.feed(ids) + decoder.end()
 
-    def _word(self, word: str) -> tuple[bytes, bytes]:
-        ids = array("I", self.tokens(word))
-        return ids.tobytes(), self.decode(ids).encode()
+    def batch(self, texts: pa.Array) -> list[tuple[bytes, bytes]]:
+        """Of each text: ids as little-endian 32-bit numbers, and the text that they decode to in UTF-8."""
+        out: list[tuple[bytes, bytes]] = [(b"", b"")] * len(texts)
+        skip = len(self.gap)
+        for rows, starts, words in pieces_of(texts, not self.splitter.spaces):
+            heads = words.take(pa.array(starts[:-1])).to_pylist()
+            names, places = distinct(words)
+            made = [self.word[x] for x in names]
+            ids, decoded = Gathered([x for x, _ in made], places), Gathered([x for _, x in made], places)
+            for row, head, at, stop in zip(rows.tolist(), heads, (starts[:-1] + 1).tolist(), starts[1:].tolist(), strict=True):
+                x, y = self.first[head]
+                out[row] = b"".join((x, ids.of(at, stop))), b"".join((y, decoded.of(at, stop)))[skip:]
+        return out
+
+    def parts(self, text: str) -> Iterator[list[int]]:
+        """The ids of a text that is taken part by part, as they come."""
+        encoder = Encoder(self)
+        for at in range(0, len(text), STREAM):
+            yield encoder.feed(text[at : at + STREAM])
+        yield encoder.end()
 
     def both(self, text: str) -> tuple[bytes, bytes]:
-        """Ids as little-endian 32-bit numbers, and the text that they decode to in UTF-8."""
-        if self.by_word:
-            made = list(map(self.of_word.__getitem__, text.replace("\n", " ").split(" ")))
-            return b"".join([x for x, _ in made]), b" ".join([y for x, y in made if x])
-        first, rest = cut(text)
-        ids = array("I", [i for p in (first, *(" " + x for x in rest)) for i in self.tokens(p)])
+        ids = array("I", chain.from_iterable(self.parts(text)))
         return ids.tobytes(), self.decode(ids).encode()
 
 
+class Encoder:
+    """feed() parts of one text, then end(); each gives the ids that are final."""
+
+    def __init__(self, codec: Codec):
+        self.codec, self.held = codec, ""
+        self.chars, self.run = Normalised(codec.pretokens), Walk(codec.splitter, codec.machine)
+
+    def feed(self, part: str) -> list[int]:
+        text = self.held + part
+        stop = next((k for k in range(max(0, len(text) - 32), len(text)) if text[k:] in self.codec.starts), len(text))
+        self.held = text[stop:]
+        first, *words = _WORDS.split(text[:stop])
+        ids = self.walk(first)
+        if words:
+            ids += self.close()
+            space, word = self.codec.space, self.codec.word
+            for w in words[:-1]:
+                ids += memoryview(word[w][0]).cast("I")
+            ids += self.walk(space + words[-1])
+        return ids
+
+    def end(self) -> list[int]:
+        held, self.held = self.held, ""
+        return self.walk(held) + self.close()
+
+    def walk(self, chars: str) -> list[int]:
+        """Whole special strings, and what is between them through the transducer."""
+        ids, at = [], 0
+        for m in self.codec.pretokens.special_in(chars):
+            ids += [*self._through(chars[at : m.start()]), *self.close(), self.codec.pretokens.special_ids[m[0]]]
+            at = m.end()
+        return ids + self._through(chars[at:])
+
+    def _through(self, chars: str) -> list[int]:
+        return [*chain.from_iterable(self.run.feed(self.chars.feed(chars)))]
+
+    def close(self) -> list[int]:
+        """The ids that an end here brings; the transducer is in its first state then."""
+        return [*chain.from_iterable(self.run.feed(self.chars.end())), *chain.from_iterable(self.run.end())]
+
+
 _CODECS: dict[str, Codec] = {}
 
 
 def round_trip(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids (little-endian 32-bit), decoded, and the SHA-256 of both, for every row, without a shuffle.
 
-    A null text counts as empty: no ids, and an empty decoded text. Null ids and repeated rows stay as they are.
+    A null text counts as empty: no ids, and an empty decoded text. A very long text is encoded part by part; only its
+    ids and decoded text are whole, as they are the result. Null ids and repeated rows stay as they are, an empty table
+    gives an empty result, and other columns of docs are left out, whatever their names.
     Select only the columns you need: texts that aren't selected still cross from Python to Spark, so
     `digests` leaves them out.
     """
@@ -104,18 +169,35 @@ def round_trip(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_
 
 
 def digests(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """round_trip() without ids and decoded."""
+    """round_trip() without ids and decoded; of a very long text no more than a part is held."""
     return _run(docs, tokenizer, id_col, text_col, False)
 
 
+def _streamed(codec: Codec, text: str) -> tuple[int, str, str]:
+    """Ids, the SHA-256 of the ids and of the decoded text, all of them as they come."""
+    n, of_ids, of_text, decoder = 0, hashlib.sha256(), hashlib.sha256(), Decoder(codec)
+    for part in codec.parts(text):
+        n += len(part)
+        of_ids.update(array("I", part).tobytes())
+        of_text.update(decoder.feed(part).encode())
+    of_text.update(decoder.end().encode())
+    return n, of_ids.hexdigest(), of_text.hexdigest()
+
+
 def _run(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, full: bool) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        few_collections()
         if tokenizer not in _CODECS:
             _CODECS[tokenizer] = Codec(tokenizer)
         codec = _CODECS[tokenizer]
-        for b in slices(batches):
-            made = [codec.both(x) for x in texts_of(b, 1)]
-            columns = {"doc_id": b.column(0), "n_tokens": pa.array([len(x) // 4 for x, _ in made], pa.int64())}
+        for b in byte_slices(batches, 1):
+            columns = {"doc_id": b.column(0)}
+            if not full and b.num_rows == 1 and len(text := b.column(1)[0].as_py() or "") > STREAM:
+                columns |= {k: pa.array([x]) for k, x in zip(("n_tokens", "ids_sha256", "decoded_sha256"), _streamed(codec, text), strict=True)}
+                yield pa.RecordBatch.from_pydict(columns)
+                continue
+            made = codec.batch(b.column(1))
+            columns |= {"n_tokens": pa.array([len(x) // 4 for x, _ in made], pa.int64())}
             columns |= {f"{name}_sha256": pa.array([hashlib.sha256(x[k]).hexdigest() for x in made], pa.string()) for k, name in enumerate(("ids", "decoded"))}
             if full:
                 columns |= {"ids": pa.array([x for x, _ in made], pa.binary()), "decoded": pa.array([y.decode() for _, y in made], pa.string())}

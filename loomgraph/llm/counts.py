@@ -1,10 +1,16 @@
 """Token counts by a compiled finite-state tokenizer.
 
-bpe.Machine's transitions carry the change in the number of tokens; a pretoken's count is their sum. A text is read
-in chunks. A chunk's state map sends the state before it to the state after it and a count. Where a single space
-follows a visible character every state goes to the start state, so the map is written down as what lies before the
-chunk's first such place (still open to the state before), the count between, and what lies after its last. Maps
-compose associatively; a prefix scan in log2(chunks) rounds gives the count of every prefix, and the last is the text's.
+The splitter and bpe.Counting are one transducer over characters (bpe.Walk); its transitions carry the change in the
+number of tokens, so a text's count is their sum. Special strings split a text first, as the library does.
+
+What lies between is read in chunks of CHUNK characters, short texts too. A chunk's state map sends the state before
+the chunk to the state behind it and a count. A space that a visible character follows ends every pretoken, whatever
+the state: so a map is the characters before the chunk's first such place (which the state before still has to walk),
+the count from there on, and the state behind the chunk. Maps compose associatively, by walking the later map's open
+characters from the earlier one's state; a parallel prefix scan over a tree of log2(chunks) levels gives every prefix's.
+
+Words between two such places take the transducer from the same state to the same state. Each is walked once and its
+count kept, as a transition over the whole word.
 """
 
 from __future__ import annotations
@@ -12,93 +18,130 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .bpe import machine
-from .pieces import pretokens
-from .shared import id_and_text, slices, texts_of
-from .tokens import Kept, cut
+from .bpe import Counting, Walk, machine
+from .pieces import Splitter, pretokens
+from .shared import few_collections, id_and_text
+from .tokens import Kept, byte_slices, distinct, pieces_of
 
-CHUNK = 1 << 16
+CHUNK = 1 << 12
+#: Words whose open state is kept.
+KEEP_OPEN = 50_000
 
 
-class Chunk(NamedTuple):
-    """head: up to the first sure cut; count: None if there is no cut, and head is all."""
+class StateMap(NamedTuple):
+    """head: walked from the state before; behind it, if state isn't None, `count` more tokens and that state."""
 
     head: str
-    count: int | None
-    tail: str
+    count: int
+    state: tuple | None
 
 
 class Counter:
     def __init__(self, path: str):
-        self.pretokens, self.machine = pretokens(path), machine(path)
-        self.of_pretoken = Kept(lambda x: self.machine.count(self.machine.symbols(x)))
-        self.of_piece = Kept(lambda rest: self._piece(" " + rest))
-
-    def _piece(self, piece: str) -> int:
-        return sum([self.of_pretoken[x] if isinstance(x, bytes) else 1 for x in self.pretokens.of(piece)])
-
-    def _pieces(self, rest: list[str]) -> int:
-        """Of pieces that lack their leading space."""
-        return sum(map(self.of_piece.__getitem__, rest))
-
-    def plain(self, text: str) -> int:
-        first, rest = cut(text)
-        return self._piece(first) + self._pieces(rest)
-
-    def chunk(self, text: str) -> Chunk:
-        first, rest = cut(text)
-        return Chunk(first, self._pieces(rest[:-1]), " " + rest[-1]) if rest else Chunk(first, None, "")
-
-    def join(self, a: Chunk, b: Chunk) -> Chunk:
-        """The map of a's text and b's behind it."""
-        if a.count is None:
-            if b.count is None:
-                return self.chunk(a.head + b.head)
-            first = self.chunk(a.head + b.head)
-        else:
-            first = self.chunk(a.tail + b.head)
-            first = Chunk(a.head, a.count + (self.plain(first.head) + first.count if first.count is not None else 0), first.tail if first.count is not None else first.head)
-        if b.count is None:
-            return first
-        if first.count is None:
-            return Chunk(first.head, b.count, b.tail)
-        return Chunk(first.head, first.count + self.plain(first.tail) + b.count, b.tail)
-
-    def scan(self, chunks: list[Chunk]) -> list[Chunk]:
-        """The map of every prefix, each round joining maps twice as far apart."""
-        done, far = list(chunks), 1
-        while far < len(done):
-            done = [self.join(done[i - far], x) if i >= far else x for i, x in enumerate(done)]
-            far *= 2
-        return done
-
-    def count(self, text: str) -> int:
-        if len(text) <= CHUNK:
-            return self.plain(text)
-        last = self.scan([self.chunk(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)])[-1]
-        return self.plain(last.head) + ((last.count or 0) + self.plain(last.tail) if last.count is not None else 0)
+        pre = pretokens(path)
+        if pre.tokenizer.normalizer:
+            raise ValueError("only for files without a normaliser")
+        self.special = pre.special
+        self.walk = Walk(Splitter(pre), machine(Counting, path))
+        self.first = self.walk.first
+        self.pretokens = pre
+        self.of_word = Kept(lambda word: self._whole(" " + word))
+        self.open_word = Kept(lambda word: self._walked(self.first, " " + word, False), KEEP_OPEN)
+
+    def _walked(self, state: tuple, chars: str, over: bool = True) -> tuple[int, tuple | None]:
+        """Tokens of the transitions over chars, and of the end behind them if the text is over there; the state."""
+        self.walk.state = state
+        n = sum(self.walk.feed(chars))
+        return (n + sum(self.walk.end()), None) if over else (n, self.walk.state)
+
+    def _whole(self, chars: str) -> int:
+        """Tokens from the first state to the first state again."""
+        run = self.walk.machine.run
+        return sum([sum(run(x)) if isinstance(x, bytes) else 1 for x in self.pretokens.of(chars)])
+
+    def maps(self, chunks: list[str]) -> list[StateMap]:
+        out: list[StateMap] = [StateMap("", 0, None)] * len(chunks)
+        for rows, starts, words in pieces_of(pa.array(chunks, pa.string())):
+            names, places = distinct(words)
+            counts = np.array([self.of_word[x] for x in names], np.int64)[places]
+            sums = np.concatenate([[0], np.cumsum(counts)])
+            first, last = words.take(pa.array(starts[:-1])).to_pylist(), words.take(pa.array(starts[1:] - 1)).to_pylist()
+            between = sums[starts[1:] - 1] - sums[np.minimum(starts[:-1] + 1, starts[1:] - 1)]
+            for row, head, tail, n, several in zip(rows.tolist(), first, last, between.tolist(), (np.diff(starts) > 1).tolist(), strict=True):
+                if several:
+                    more, state = self.open_word[tail]
+                    out[row] = StateMap(head, n + more, state)
+                else:
+                    out[row] = StateMap(head, 0, None)
+        return out
+
+    def join(self, a: StateMap, b: StateMap) -> StateMap:
+        """The map of a's chunk and b's behind it."""
+        if a.state is None:
+            return StateMap(a.head + b.head, b.count, b.state)
+        n, state = self._walked(a.state, b.head, b.state is not None)
+        return StateMap(a.head, a.count + n + b.count, b.state or state)
+
+    def started(self, m: StateMap) -> StateMap:
+        """The map of a text's first chunk, whose state before is known: nothing is left to walk."""
+        n, state = self._walked(self.first, m.head, m.state is not None)
+        return StateMap("", n + m.count, m.state or state)
+
+    def scan(self, maps: list[StateMap]) -> list[StateMap]:
+        """The map of every prefix: those of pairs first, and from their scan every second one."""
+        if len(maps) < 2:
+            return maps
+        up = self.scan([self.join(a, b) for a, b in zip(maps[::2], maps[1::2])])
+        return [up[i // 2] if i % 2 else self.join(up[i // 2 - 1], m) if i else m for i, m in enumerate(maps)]
+
+    def prefix_counts(self, texts: list[str]) -> list[list[int]]:
+        """For each text, the tokens that its first chunk, its first two chunks ... would have alone; the last is its count."""
+        parts: list[list[str]] = [self.special.split(x) if self.special else [x] for x in texts]
+        chunks = [[p[i : i + CHUNK] for i in range(0, len(p), CHUNK)] for x in parts for p in x]
+        maps, at, made = self.maps([c for x in chunks for c in x]), 0, iter(chunks)
+        out = []
+        for x in parts:
+            counts, before = [], -1
+            for _ in x:
+                n = len(next(made))
+                before += 1  # the special string between two parts
+                if n:
+                    scanned = self.scan([self.started(maps[at]), *maps[at + 1 : at + n]])
+                    counts += [before + m.count + self._walked(m.state, "")[0] for m in scanned]
+                before, at = counts[-1] if n else before, at + n
+            out.append(counts or [0])
+            if before > out[-1][-1]:
+                out[-1].append(before)
+        return out
 
 
 _COUNTERS: dict[str, Counter] = {}
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, *, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit (more than `limit` tokens) for every row, in one pass without a shuffle.
+    """doc_id, n_bytes, n_tokens, over_limit (more than `limit` tokens), prefix_tokens for every row, in one pass without a shuffle.
 
-    A null text counts as empty: 0 bytes, 0 tokens. Null ids and repeated rows stay as they are.
+    prefix_tokens has the tokens of the text's first chunk of CHUNK characters alone, of its first two chunks, and so
+    on; a special string ends a chunk. A null text counts as empty: 0 bytes, 0 tokens. A very long text is read in
+    chunks like any other. Null ids and repeated rows stay as they are, an empty table gives an empty result, and
+    other columns of docs are left out, whatever their names.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        few_collections()
         if tokenizer not in _COUNTERS:
             _COUNTERS[tokenizer] = Counter(tokenizer)
         counter = _COUNTERS[tokenizer]
-        for b in slices(batches):
-            texts = texts_of(b, 1)
-            n = [counter.count(x) for x in texts]
-            sizes = [len(x.encode()) for x in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
-
-    return id_and_text(docs, id_col, text_col).mapInArrow(task, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+        for b in byte_slices(batches, 1):
+            texts = pc.fill_null(b.column(1).cast(pa.string()), "")
+            found = counter.prefix_counts(texts.to_pylist())
+            n = [x[-1] for x in found]
+            columns = [b.column(0), pa.array(pc.binary_length(texts), pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_()), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_tokens", "over_limit", "prefix_tokens"])
+
+    return id_and_text(docs, id_col, text_col).mapInArrow(task, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, prefix_tokens array<long>")

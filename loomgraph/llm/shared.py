@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -49,6 +50,11 @@ def texts_of(batch: pa.RecordBatch, column: int | str) -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
+def few_collections() -> None:
+    """For workers that keep many small objects and make no cycles: the collector would scan them over and over."""
+    gc.set_threshold(200_000, 50, 50)
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Just the two columns, under fixed names: other columns can't clash."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -139,9 +139,3 @@ def encoder(path: str) -> PieceEncoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = PieceEncoder(path)
     return _ENCODERS[path]
-
-
-def cut(text: str) -> tuple[str, list[str]]:
-    """The first piece, and those after it without their leading space."""
-    first, *rest = _CUT.split(text)
-    return first, rest

@@ -10,12 +10,12 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loomgraph.llm import codec, counts, fingerprints, minhash, packing, quality_rules, queries, sharding, sstable, toxicity, weak_label
-from loomgraph.llm.bpe import Machine, Stream
+from loomgraph.llm import bpe, codec, counts, fingerprints, minhash, packing, quality_rules, queries, sharding, sstable, toxicity, weak_label
 from loomgraph.llm.components import components
 
 from ..conftest import SF
@@ -169,22 +169,36 @@ def test_op3_weights(spark):
 
 def test_op4(docs, odd, empty, texts, tok):
     for df, want in ((docs, list(texts.items())), (odd, [x[:2] for x in ODD])):
-        got = [tuple(r) for r in counts.count_tokens(df, BYTE).collect()]
+        got = [tuple(r)[:4] for r in counts.count_tokens(df, BYTE).collect()]
         assert key(got) == key((i, len((x or "").encode()), n := len(tok(x)), n > 1024) for i, x in want)
     assert counts.count_tokens(empty, BYTE).count() == 0
 
 
 def random_texts(n, seed):
     rnd = random.Random(seed)
-    bits = [*"aaabeinstrth  \n\n'sd09.,!é中😀\t\r\x0b\x1c 　́ÅΣσİ", "<|endoftext|>", "  ", " the", " ing", "'ll"]
+    bits = [*"aaabeinstrth  \n\n'sd09.,!é中😀\t\r\x0b\x1c 　́ÅΣσİ각ᆨ\x85", "<|endoftext|>", "  ", " the", " ing", "'ll", "<|end", "<|startoftext|>"]
     return ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 60))) for _ in range(n)]
 
 
-def test_op4_chunk_maps_compose(tok, monkeypatch):
-    monkeypatch.setattr(counts, "CHUNK", 7)
+@pytest.mark.parametrize("size", [5, 64, 4096])
+def test_op4_chunk_maps_compose(tok, monkeypatch, size):
+    monkeypatch.setattr(counts, "CHUNK", size)
+    texts = [*random_texts(400, 1), "a" * 300, "ab " * 200, " " * 90]
     c = counts.Counter(BYTE)
-    for x in [*random_texts(400, 1), "a" * 300, "ab " * 200, " " * 90]:
-        assert c.count(x) == len(tok(x)), x
+    for x, got in zip(texts, c.prefix_counts(texts), strict=True):
+        assert got[-1] == len(tok(x)), x
+    plain = "the cat's sat on 3 mats,\n and then  went " * 9
+    assert c.prefix_counts([plain])[0] == [len(tok(plain[: i + size])) for i in range(0, len(plain), size)]
+
+
+def test_op4_maps_are_associative(monkeypatch):
+    monkeypatch.setattr(counts, "CHUNK", 16)
+    c = counts.Counter(BYTE)
+    for text in random_texts(60, 3):
+        text = text.replace("<|endoftext|>", "x")
+        maps = c.maps([text[i : i + 6] for i in range(0, len(text), 6)])
+        for a, b, d in zip(maps, maps[1:], maps[2:]):
+            assert c.started(c.join(c.join(a, b), d)) == c.started(c.join(a, c.join(b, d)))
 
 
 # 5
@@ -362,21 +376,54 @@ def test_op8(spark, docs, odd, empty, texts):
 
 
 @pytest.mark.parametrize("path", [BYTE, WORD])
-def test_op8_random_texts(path):
+@pytest.mark.parametrize("size", [1, 7, 1 << 20])
+def test_op8_random_texts(path, size, monkeypatch):
+    """In parts of any size, and as a batch."""
+    monkeypatch.setattr(codec, "STREAM", size)
     t, c = Tokenizer.from_file(path), codec.Codec(path)
-    for x in [*random_texts(300, 2), "é" * 300]:
+    texts = [*random_texts(300, 2), "é" * 300]
+    for x, made in zip(texts, c.batch(pa.array(texts)), strict=True):
         ids = t.encode(x, add_special_tokens=False).ids
-        assert c.both(x) == (raw(ids), t.decode(ids, skip_special_tokens=False).encode()), x
+        assert c.both(x) == made == (raw(ids), t.decode(ids, skip_special_tokens=False).encode()), x
 
 
-def test_op8_stream_keeps_little():
-    m = Machine(BYTE)
-    s, out, most = Stream(m), [], 0
-    data = m.symbols(b"thenationing" * 400)
-    for symbol in data:
-        out += s.feed(symbol)
-        most = max(most, max(c[2] for c in s.starts))
-    assert out + s.end() == Tokenizer.from_file(BYTE).encode("thenationing" * 400, add_special_tokens=False).ids and most <= 2 * m.lookahead + 2
+def test_op8_streams_a_long_text(spark, monkeypatch):
+    monkeypatch.setattr(codec, "STREAM", 1000)
+    t = Tokenizer.from_file(WORD)
+    for text in ("Some words, and more of them. " * 300, "unbroken" * 900):
+        ids = t.encode(text, add_special_tokens=False).ids
+        row = codec.digests(spark.createDataFrame([(1, text)], "doc_id long, text string"), WORD).first()
+        assert tuple(row) == (1, len(ids), hashlib.sha256(raw(ids)).hexdigest(), hashlib.sha256(t.decode(ids).encode()).hexdigest())
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_op8_emits_early_and_keeps_little(path):
+    """Of 1 MB, with and without spaces, all tokens but a few come before the end, and what is held doesn't grow."""
+    c = codec.Codec(path)
+    m = c.machine
+    text_of = {t: len(s) for s, t in m.vocab.items()}
+    for word in ("thenationing", "the nations' 12 ships, "):
+        text = word * (1_000_000 // len(word))
+        e, before, held = codec.Encoder(c), 0, 0
+        for at in range(0, len(text), 5000):
+            before += len(e.feed(text[at : at + 5000]))
+            held = max(held, *(sum(text_of[t] for t in chain[1:]) for _, chain in e.run.state[2]))
+            assert len(e.held) <= 16
+        last = len(e.end())
+        assert held <= m.lookahead + 2 * m.longest and last <= m.lookahead + 2 * m.longest and before > 100 * last
+        assert before + last == len(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids)
+
+
+def test_op8_emits_inside_words(texts):
+    """On real words: more than half of the tokens that have another token behind them come before the word's end."""
+    m, before, late = bpe.Emitting(WORD), 0, 0
+    for word in {w for x in list(texts.values())[:60] for w in re.findall("[a-z]+", x or "")}:
+        at = 0
+        for s in [m.inner[b] for b in word.encode()[:-1]] + [m.final[ord(word[-1])]]:
+            at, made = m.step(at, s)
+            before += len(made)
+        late += len(m.closing(m.states[at])) - 1
+    assert before > late
 
 
 # 9
