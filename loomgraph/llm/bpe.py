@@ -154,18 +154,17 @@ class Machine:
         move = moves[symbol] = self.place(key), out
         return move
 
-    def run(self, pretoken: bytes) -> list:
-        """The annotations of a whole pretoken's transitions and its end, without those that are nothing."""
+    def run(self, pretoken: bytes, out: int | list) -> int | list:
+        """`out` with the annotations of a whole pretoken's transitions and its end added."""
         symbols = list(map(self.inner.__getitem__, pretoken))
         symbols[-1] = self.final[pretoken[-1]]
-        out, at = [], 0
+        at = 0
         for s in symbols:
             move = self.moves[at].get(s) or self.step(at, s)
             at, made = move
             if made:
-                out.append(made)
-        if made := self.closing(self.states[at]):
-            out.append(made)
+                out += made
+        out += self.closing(self.states[at])
         return out
 
 

@@ -74,15 +74,21 @@ class Codec:
         self.starts = {s[:n] for s in pre.special_ids for n in range(1, len(s))}
         #: What a word has before it in its text, and what its decoded tokens have before them.
         self.space, self.gap = (" ", "") if self.splitter.spaces else ("", " ")
+        self.pretoken = Kept(self._pretoken, KEEP_WORDS)
         self.word = Kept(lambda w: self._word(self.space + w), KEEP_WORDS)
         self.first = Kept(self._word, KEEP_WORDS // 10)
 
+    def _pretoken(self, raw: bytes) -> bytes:
+        return array("I", self.machine.run(raw, [])).tobytes()
+
     def _word(self, word: str) -> tuple[bytes, bytes]:
-        run = self.machine.run
-        ids = array("I", [i for x in self.pretokens.of(word) for i in (chain.from_iterable(run(x)) if isinstance(x, bytes) else (x,))])
-        return ids.tobytes(), (self.gap + self.decode(ids)).encode() if ids else b""
+        of = self.pretoken
+        ids = b"".join([of[x] if isinstance(x, bytes) else x.to_bytes(4, "little") for x in self.pretokens.of(word)])
+        return ids, (self.gap + self.decode(memoryview(ids).cast("I"))).encode() if ids else b""
 
     def decode(self, ids: Iterable[int]) -> str:
+        if self.letters is None:
+            return " ".join(map(self.names.__getitem__, ids))
         decoder = Decoder(self)
         return decoder.feed(ids) + decoder.end()
 

@@ -50,6 +50,7 @@ class Counter:
         self.walk = Walk(Splitter(pre), machine(Counting, path))
         self.first = self.walk.first
         self.pretokens = pre
+        self.pretoken = Kept(lambda raw: self.walk.machine.run(raw, 0))
         self.of_word = Kept(lambda word: self._whole(" " + word))
         self.open_word = Kept(lambda word: self._walked(self.first, " " + word, False), KEEP_OPEN)
 
@@ -61,8 +62,8 @@ class Counter:
 
     def _whole(self, chars: str) -> int:
         """Tokens from the first state to the first state again."""
-        run = self.walk.machine.run
-        return sum([sum(run(x)) if isinstance(x, bytes) else 1 for x in self.pretokens.of(chars)])
+        of = self.pretoken
+        return sum([of[x] if isinstance(x, bytes) else 1 for x in self.pretokens.of(chars)])
 
     def maps(self, chunks: list[str]) -> list[StateMap]:
         out: list[StateMap] = [StateMap("", 0, None)] * len(chunks)

@@ -38,6 +38,7 @@ class Pretokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.special_ids = {x["content"]: x["id"] for x in spec["added_tokens"]}
         special = sorted(self.special_ids, key=len, reverse=True)
+        self.angular = all(x.startswith("<") for x in special)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         parts = spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]])
         patterns = [p["pattern"]["Regex"] for p in parts if p["type"] == "Split" and p["behavior"] == "Removed" and p["invert"]]
@@ -53,6 +54,8 @@ class Pretokens:
 
     def of(self, piece: str) -> list[bytes | int]:
         """Pretokens as UTF-8, special strings as their ids, in order."""
+        if "<" not in piece and self.angular:
+            return self._plain(piece)
         out: list[bytes | int] = []
         at = 0
         for m in self.special_in(piece):
