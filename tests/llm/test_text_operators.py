@@ -333,12 +333,39 @@ def test_components(spark):
 # 7
 
 
-def test_op7(spark, docs, odd, empty):
+def auc(rows):
+    """Chance that a toxic row scores above another."""
+    scores = sorted((score, label) for score, label in rows)
+    ranks = collections.defaultdict(list)
+    for place, (score, _) in enumerate(scores):
+        ranks[score].append(place)
+    mean = {x: sum(p) / len(p) for x, p in ranks.items()}
+    ones = sum(label for _, label in rows)
+    return (sum(mean[score] for score, label in rows if label) - ones * (ones - 1) / 2) / (ones * (len(rows) - ones))
+
+
+def test_op7_held_out(spark):
+    """On sf0.1, each language of its own: the score ranks, few others are flagged. Printed for the README."""
+    big = SF.replace("0.001", "0.1")
+    documents, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    labelled = documents.join(labels.select("doc_id"), "doc_id", "left_semi")
+    got = toxicity.score(labelled, toxicity.fit(documents, labels)).filter("held_out").join(labels, "doc_id").join(documents.select("doc_id", "lang"), "doc_id").collect()
+    for lang in ("en", "de", "fr", "es"):
+        some = [r for r in got if r.lang == lang]
+        toxic = [r for r in some if r.toxic]
+        found, flagged = sum(r.predicted for r in toxic), sum(r.predicted for r in some if not r.toxic)
+        area = auc([(r.score, r.toxic) for r in some])
+        print(lang, "found", found, "of", len(toxic), "flagged", flagged, "of", len(some) - len(toxic), "area", round(area, 3))
+        assert area >= 0.9 and found >= 0.7 * len(toxic) and flagged <= 0.02 * (len(some) - len(toxic))
+
+
+def test_op7(spark, docs, odd, empty, texts):
     labels = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/labels.parquet")
     model = toxicity.fit(spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet"), labels)
-    got = toxicity.score(spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet"), model).join(labels, "doc_id").filter("held_out")
-    right = got.filter("predicted = toxic").count() / got.count()
-    assert right > 0.9
+    letters, score_of = toxicity.Letters(model.letters), toxicity.scorer(model)
+    for text in [*texts.values(), *(x[1] for x in ODD)]:
+        z = model.bias + sum(model.weights.get(f, 0.0) for f in toxicity.features(toxicity.all_words(text or "", letters)))
+        assert score_of(text or "") == pytest.approx(1 / (1 + math.exp(-z)))
     rows = toxicity.score(odd, model).collect()
     assert key(r.doc_id for r in rows) == key(x[0] for x in ODD) and all(0 <= r.score <= 1 for r in rows)
     assert all(r.held_out == (zlib.crc32(str("" if r.doc_id is None else r.doc_id).encode()) % 3 == 1) for r in rows)
@@ -347,6 +374,10 @@ def test_op7(spark, docs, odd, empty):
     assert nothing.weights == {} and {r.predicted for r in toxicity.score(odd, nothing).collect()} == {0}
 
 
+def test_op7_counts_families():
+    assert set(toxicity.features({"abcd", "abce"})) == {"abcd$", "abce$", "abc+1", "abc+2"}
+
+
 def test_op7_restores_disguises():
     grams = collections.Counter()
     for w in ("idiot moron stupid loser worthless clown other words here and there the of nation " * 3).split():
