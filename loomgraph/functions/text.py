@@ -30,6 +30,25 @@ def uuid5(name: Column, namespace: uuid.UUID = uuid.NAMESPACE_DNS) -> Column:
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
 
 
+def json_text(c: Column) -> Column:
+    """A string as ASCII JSON: quotes around it, other characters than ASCII as escapes of their UTF-16 units."""
+    raw = F.to_json(F.array(c.cast("string")))
+    unit = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+
+    def escaped(x: Column) -> Column:
+        n = F.ascii(x)
+        high, low = F.lit(0xD800) + F.floor((n - 0x10000) / 1024), F.lit(0xDC00) + F.pmod(n - 0x10000, F.lit(1024))
+        return F.when(n < 128, x).when(n < 0x10000, unit(n.cast("long"))).otherwise(F.concat(unit(high.cast("long")), unit(low.cast("long"))))
+
+    return F.array_join(F.transform(F.split(F.substring(raw, F.lit(2), F.length(raw) - 2), ""), escaped), "")
+
+
+def identity_uuid(**fields: Column) -> Column:
+    """Version-5 UUID (object-identifier namespace) of the JSON list of [field, value], by field name."""
+    pairs = [F.concat(F.lit("["), F.lit(f'"{k}"'), F.lit(", "), json_text(v), F.lit("]")) for k, v in sorted(fields.items())]
+    return uuid5(F.concat(F.lit("["), F.concat_ws(", ", *pairs), F.lit("]")), uuid.NAMESPACE_OID)
+
+
 def strip_quotes(c: Column) -> Column:
     return F.translate(c, "\"'\\", "")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column
@@ -89,6 +90,11 @@ def sigmoid(x: Column, middle: Column, temperature: Column) -> Column:
     return 1 / (1 + F.exp(-(x - middle) / temperature))
 
 
+def sigmoid_temperature(median: Column, epsilon: float = 1e-2, least: float = 1e-6) -> Column:
+    """The temperature at which the median is mapped to 1 - epsilon; at least `least`."""
+    return F.greatest(median / math.log((1 - epsilon) / epsilon), F.lit(least))
+
+
 def ln_or_minus_infinity(x: Column) -> Column:
     return F.when(x == 0, F.lit(float("-inf"))).otherwise(F.log(x))
 

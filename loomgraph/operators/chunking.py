@@ -34,8 +34,15 @@ def section_chunks(docs: DataFrame, id_col: str, size: int, levels: int = 3, exc
 def named_paths(paths: DataFrame, names: DataFrame, id_col: str) -> DataFrame:
     """(id, path): paths written [s-r->o] <> [s-r->o] with node ids replaced by names where there are any; names has node_id, node_name."""
     hops = paths.select(F.col(id_col).alias("id"), F.posexplode(F.split("path", " <> ")).alias("at", "hop"))
-    part = lambda k: F.regexp_extract("hop", r"^\[(.*?)-(.*)->(.*)\]$", k)
-    hops = hops.select("id", "at", part(1).alias("s"), part(2).alias("r"), part(3).alias("o"))
+    # Ids may have hyphens: of the places where a hop may be cut, the first whose left part is a known id.
+    inner = F.regexp_extract("hop", r"^\[(.*)->(.*)\]$", 1)
+    hops = hops.select("id", "at", F.split(inner, "-").alias("p"), F.regexp_extract("hop", r"^\[(.*)->(.*)\]$", 2).alias("o"))
+    cut = lambda k: F.array_join(F.slice("p", F.lit(1), k), "-")
+    tries = hops.select("id", "at", F.explode(F.sequence(F.lit(1), F.greatest(F.size("p") - 1, F.lit(1)))).alias("k"), cut(F.col("k")).alias("s"))
+    known = tries.join(names.select(F.col("node_id").alias("s")).distinct(), "s", "left_semi").groupBy("id", "at").agg(F.min("k").alias("k"))
+    hops = hops.join(known, ["id", "at"], "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    rest = F.array_join(F.slice("p", F.col("k") + 1, F.size("p")), "-")
+    hops = hops.select("id", "at", cut(F.col("k")).alias("s"), rest.alias("r"), "o")
     for end in ("s", "o"):
         n = names.select(F.col("node_id").alias(end), F.col("node_name").alias(f"{end}_name"))
         hops = hops.join(n, end, "left").withColumn(end, F.coalesce(f"{end}_name", end)).drop(f"{end}_name")

@@ -10,7 +10,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -37,6 +37,14 @@ def with_reverse(edges: DataFrame) -> DataFrame:
     return edges.withColumn("direction", F.lit(0)).unionByName(edges.select(*(F.col({"src": "dst", "dst": "src"}.get(c, c)).alias(c) for c in edges.columns), F.lit(1).alias("direction")))
 
 
+def in_order(df: DataFrame, column: str) -> DataFrame:
+    """df with the column _part: parts of neighbouring values, ascending and without overlap, of one value in one part.
+
+    The parts are stored, so that their numbers hold for whatever is computed from them.
+    """
+    return stored(df.repartitionByRange(F.col(column)).withColumn("_part", F.spark_partition_id()))
+
+
 def distances(edges: DataFrame, sources: DataFrame, depth: int) -> DataFrame:
     """(source, node, distance) for all nodes within `depth` steps of each source; sources has the column source."""
     step = edges.select("src", "dst").distinct()
@@ -70,10 +78,11 @@ def simple_paths(edges: DataFrame, pairs: DataFrame, length: int) -> DataFrame:
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int) -> DataFrame:
-    """All shortest paths of each pair, up to `depth` edges."""
+    """All shortest paths of each pair, up to `depth` edges; from a node to itself the node alone."""
     lengths = stored(pair_lengths(edges, pairs, depth))
+    same = lengths.filter(F.col("length") == 0).select("source", "target", F.array("source").alias("path"))
     found = [simple_paths(edges, lengths.filter(F.col("length") == k).select("source", "target"), k) for k in range(1, depth + 1)]
-    return reduce(DataFrame.unionByName, found)
+    return reduce(DataFrame.unionByName, [same, *found])
 
 
 def fact_paths(paths: DataFrame, edges: DataFrame) -> DataFrame:
@@ -153,8 +162,8 @@ def walks(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
 
 
 def anonymous(walk: Column) -> Column:
-    """Names replaced by the place where each is met first."""
-    return F.transform(walk, lambda x: F.array_position(walk, x) - 1)
+    """Names replaced by the place where each is met first; the root's name stays."""
+    return F.transform(walk, lambda x: F.when(x == F.element_at(walk, 1), x).otherwise((F.array_position(walk, x) - 1).cast("string")))
 
 
 def walklets(walks_: DataFrame) -> DataFrame:
@@ -195,15 +204,21 @@ def proximity(edges: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
     return d.groupBy("source", "distance").agg(F.sort_array(F.collect_list("node")).alias("near"))
 
 
-def frequent_hops(walks_: DataFrame, edges: DataFrame, least: int) -> DataFrame:
-    """Walks without the hops whose relation occurs less than `least` times among the edges; the root stays."""
-    kept = edges.groupBy("rel").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    hops = walks_.withColumn("_w", F.monotonically_increasing_id())
-    hops = stored(hops)
-    pairs = hops.filter(F.size("walk") > 2).select("_w", F.posexplode(F.expr("transform(sequence(0, int((size(walk) - 1) / 2) - 1), i -> struct(walk[2 * i + 1] as rel, walk[2 * i + 2] as dst))")).alias("i", "h"))
-    left = pairs.join(kept, pairs["h.rel"] == kept["rel"], "left_semi").groupBy("_w").agg(F.sort_array(F.collect_list(F.struct("i", F.col("h.rel").alias("rel"), F.col("h.dst").alias("dst")))).alias("hs"))
+def frequent_hops(walks_: DataFrame, least: float) -> DataFrame:
+    """(root, walk): walks without the hops whose relation is in less than the share `least` of all walks.
+
+    The root stays. What is left of a walk counts if it has a hop; a root with no such walk keeps the root alone.
+    """
+    hops = stored(walks_.withColumn("_w", F.monotonically_increasing_id()))
+    apart = F.expr("transform(sequence(0, int((size(walk) - 1) / 2) - 1), i -> struct(walk[2 * i + 1] as rel, walk[2 * i + 2] as dst))")
+    pairs = hops.filter(F.size("walk") > 2).select("_w", F.posexplode(apart).alias("i", "h")).select("_w", "i", "h.rel", "h.dst")
+    share = pairs.select("_w", "rel").distinct().groupBy("rel").agg(F.count("*").alias("n")).join(F.broadcast(hops.agg(F.count("*").alias("all"))))
+    kept = pairs.join(share.filter(F.col("n") / F.col("all") >= least).select("rel"), "rel", "left_semi")
+    left = kept.groupBy("_w").agg(F.sort_array(F.collect_list(F.struct("i", "rel", "dst"))).alias("hs"))
     flat = F.flatten(F.transform("hs", lambda x: F.array(x["rel"], x["dst"])))
-    return hops.join(left, "_w", "left").select("root", F.concat(F.array("root"), F.coalesce(flat, F.array().cast("array<string>"))).alias("walk"))
+    some = hops.join(left, "_w").select("root", F.concat(F.array("root"), flat).alias("walk"))
+    none = hops.select("root").distinct().join(some.select("root").distinct(), "root", "left_anti")
+    return some.unionByName(none.select("root", F.array("root").alias("walk")))
 
 
 def name_parts(walk: Column) -> Column:
@@ -213,6 +228,35 @@ def name_parts(walk: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(apart), r"[^a-z0-9]+"), lambda x: x != ""))
 
 
+def with_wildcards(walks_: DataFrame, most: int) -> DataFrame:
+    """The walks, and each with up to `most` of the places behind the root set to "*", in all ways."""
+    out = walks_.select("root", "walk", F.lit(0).alias("_from"))
+    grown = out
+    for _ in range(most):
+        places = grown.filter(F.size("walk") - 1 > F.col("_from")).select("root", "walk", F.explode(F.sequence(F.col("_from") + 1, F.size("walk") - 1)).alias("_from"))
+        grown = places.select("root", F.transform("walk", lambda x, i: F.when(i == F.col("_from"), F.lit("*")).otherwise(x)).alias("walk"), "_from")
+        out = out.unionByName(grown)
+    return out.select("root", "walk").distinct()
+
+
+def n_gram_walks(walks_: DataFrame, n: int) -> DataFrame:
+    """(root, walk): at even places from the n-th on, a name is replaced by a number for the run of n names that ends there.
+
+    The root, the relations and the names before stay. Numbers count the distinct runs of a root's walks from 0, by
+    first sight in the walks' ascending order.
+    """
+    named = stored(walks_.select("root", "walk").distinct().withColumn("_w", F.monotonically_increasing_id()))
+    steps = named.select("root", "walk", "_w", F.posexplode("walk").alias("i", "name"))
+    run = F.slice("walk", F.greatest(F.col("i") - (n - 2), F.lit(1)), F.lit(n))
+    inner = (F.col("i") > 0) & (F.col("i") % 2 == 0) & (F.col("i") >= n)
+    runs = steps.filter(inner).select("root", "_w", "i", run.alias("gram"), F.array_join("walk", "\0").alias("order"))
+    first = runs.groupBy("root", "gram").agg(F.min(F.struct("order", "i")).alias("seen"))
+    number = first.withColumn("number", (F.row_number().over(Window.partitionBy("root").orderBy("seen")) - 1).cast("string")).drop("seen")
+    labels = runs.join(number, ["root", "gram"]).select("_w", "i", "number")
+    made = steps.join(labels, ["_w", "i"], "left").groupBy("root", "_w").agg(F.sort_array(F.collect_list(F.struct("i", F.coalesce("number", "name").alias("name")))).alias("x"))
+    return made.select("root", F.transform("x", lambda x: x["name"]).alias("walk")).distinct()
+
+
 def n_grams(walk: Column, n: int) -> Column:
     """Runs of n items, each as one name."""
     return F.transform(F.sequence(F.lit(1), F.greatest(F.size(walk) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(walk, i, n), " "))

@@ -42,3 +42,17 @@ def ranks(scores: DataFrame, query: str, score: str, is_target: str) -> DataFram
 
 def ranking_metrics(ranked: DataFrame, ks: tuple[int, ...] = (1, 3, 10)) -> DataFrame:
     return ranked.agg(F.avg("rank_pessimistic").alias("mean_rank"), F.avg(1 / F.col("rank_optimistic")).alias("mrr"), *(F.avg((F.col("rank_optimistic") <= k).cast("double")).alias(f"hits_at_{k}") for k in ks))
+
+
+def accuracy(df: DataFrame, predicted: str, target: str) -> DataFrame:
+    """The share of rows whose prediction is the target; null for no rows."""
+    return df.agg(F.avg((F.col(predicted) == F.col(target)).cast("double")).alias("accuracy"))
+
+
+def without_known(scores: DataFrame, known: DataFrame, on: list[str], is_target: str) -> DataFrame:
+    """Scores without the candidates that make known facts other than the target: filtered ranking.
+
+    Leaving a row out ranks the target as a score of minus infinity for that row would.
+    """
+    facts = known.select(*on).distinct().withColumn("_known", F.lit(True))
+    return scores.join(facts, on, "left").filter(F.col(is_target) | F.col("_known").isNull()).drop("_known")

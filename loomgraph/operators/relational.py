@@ -120,8 +120,11 @@ def encode(df: DataFrame, column: str, mapping: DataFrame, key: str, index: str,
 
 
 def insert_ignore(existing: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """New rows whose keys aren't there yet, one for each key. A null key part equals nothing."""
-    return new.dropDuplicates(list(keys)).join(existing.select(*keys), list(keys), "left_anti")
+    """New rows whose keys aren't there yet, one for each key. Null key parts are equal to each other."""
+    one = new.dropDuplicates(list(keys))
+    there = existing.select(*(F.col(k).alias(f"_there_{k}") for k in keys)).distinct()
+    same = [one[k].eqNullSafe(F.col(f"_there_{k}")) for k in keys]
+    return one.join(there, same, "left_anti")
 
 
 def upsert(existing: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -17,7 +17,9 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, id_col: str = "vec_id"
 
     A stated set of queries meets all items in blocks: queries are gathered into blocks of `block` vectors, each task
     multiplies its items with every block and keeps k for each query, and only these are ranked together. Scores rank by nine digits, then by id, in both.
+    Rows without an id or a vector are left aside, as queries and as items.
     """
+    queries, items = queries.dropna(subset=[id_col, vector]), items.dropna(subset=[id_col, vector])
     kind = f"query_id long, {id_col} long, score double, near double"
     blocks = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("q")).withColumn("block", F.pmod(F.xxhash64("query_id"), F.greatest(F.ceil(F.lit(queries.count() / block)), F.lit(1))))
     grouped = blocks.groupBy("block").agg(F.collect_list("query_id").alias("ids"), F.collect_list("q").alias("qs"))
@@ -85,18 +87,18 @@ def select_chunks(chunks: DataFrame, group: str, score: str, order: str, size: C
     return c.withColumn("number", F.row_number().over(w))
 
 
-def poll_chunks(entities: DataFrame, most: int, least: int) -> DataFrame:
-    """Weighted polling: entities (entity, rank from 0, n, chunks) get quotas that fall linearly with rank from `most` to `least`; quotas that an entity can't fill go to the first entities with chunks to spare.
+def poll_chunks(entities: DataFrame, most: int, least: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Weighted polling: entities (entity, rank from 0, n, chunks; of each question, with its columns in `by`) get quotas that fall linearly with rank from `most` to `least`; quotas that an entity can't fill go to the first entities with chunks to spare.
 
-    Returns entity, rank, taken. Entities of a question are few; their running sums are over the ranked table.
+    Returns the columns of `by`, entity, rank, taken. Entities of a question are few; running sums are within a question.
     """
-    w = Window.orderBy("rank")
+    w = Window.partitionBy(*by).orderBy("rank")
     quota = F.round(most - (most - least) * F.col("rank") / F.greatest(F.col("n") - 1, F.lit(1))).cast("int")
     q = entities.withColumn("size", F.size("chunks")).withColumn("own", F.least(quota, F.col("size")))
-    q = q.withColumns({"left": F.sum(quota - F.col("own")).over(Window.partitionBy()), "spare": F.col("size") - F.col("own")})
+    q = q.withColumns({"left": F.sum(quota - F.col("own")).over(Window.partitionBy(*by)), "spare": F.col("size") - F.col("own")})
     before = F.sum("spare").over(w.rowsBetween(Window.unboundedPreceding, -1))
     extra = F.greatest(F.least(F.col("spare"), F.col("left") - F.coalesce(before, F.lit(0))), F.lit(0))
-    return q.select("entity", "rank", F.slice("chunks", F.lit(1), (F.col("own") + extra).cast("int")).alias("taken"))
+    return q.select(*by, "entity", "rank", F.slice("chunks", F.lit(1), (F.col("own") + extra).cast("int")).alias("taken"))
 
 
 def scores_of(triples: DataFrame, ledger: DataFrame, predict: Column) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import year_start
+from .graph import in_order
 
 
 def between_years(facts: DataFrame, start: str | None, end: str | None, year: str = "year") -> DataFrame:
@@ -18,17 +19,20 @@ def between_years(facts: DataFrame, start: str | None, end: str | None, year: st
     return facts if end is None else facts.filter(date < F.lit(end).cast("date"))
 
 
-def proportion_split(df: DataFrame, key: str, shares: Sequence[float], names: Sequence[str] = ("train", "val", "test")) -> DataFrame:
-    """Shares of the rows by a hash of the key: a row's split needs no other row."""
-    u = F.pmod(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long"), F.lit(10_000)) / 10_000
-    edges, total = [], 0.0
-    for s in shares[:-1]:
-        total += s
-        edges.append(total)
+def proportion_split(df: DataFrame, order: str, shares: Sequence[float], names: Sequence[str] = ("train", "val", "test")) -> DataFrame:
+    """Contiguous slices in ascending order of a unique column: int(rows x share) rows each, and what is left in the last."""
+    if abs(sum(shares) - 1) > 1e-9:
+        raise ValueError("the shares must sum to 1")
+    placed = in_order(df, order)
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    w = Window.orderBy("_part")
+    before = sizes.select("_part", (F.sum("_n").over(w) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    at = F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
     split: Column = F.lit(names[len(shares) - 1])
-    for name, edge in reversed(list(zip(names, edges, strict=False))):
-        split = F.when(u < edge, F.lit(name)).otherwise(split)
-    return df.withColumn("split", split)
+    for k in range(len(shares) - 1, 0, -1):
+        end = sum((F.floor(F.col("_all") * F.lit(s)) for s in shares[:k]), F.lit(0))
+        split = F.when(F.col("_at") < end, F.lit(names[k - 1])).otherwise(split)
+    return placed.join(F.broadcast(before), "_part").withColumn("_at", at).select(*df.columns, split.alias("split"))
 
 
 def prune_unseen(facts: DataFrame, train: DataFrame) -> DataFrame:

@@ -146,7 +146,8 @@ def q068_temporal_slice(spark, d):
     return e.groupBy("relation_type", "year").agg(F.count("*").alias("n"))
 
 
-@query("SELECT o_orderkey, CASE WHEN u < 0.8 THEN 'train' WHEN u < 0.9 THEN 'val' ELSE 'test' END AS split FROM (SELECT o_orderkey, (CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8) AS BIGINT) % 10000) / 10000 AS u FROM orders)")
+@query("""WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS place, count(*) OVER () AS n FROM orders)
+SELECT o_orderkey, CASE WHEN place < floor(n * 0.8) THEN 'train' WHEN place < floor(n * 0.8) + floor(n * 0.1) THEN 'val' ELSE 'test' END AS split FROM o""")
 def q071_proportion_split(spark, d):
     return splits.proportion_split(t(spark, d, "orders").select("o_orderkey"), "o_orderkey", (0.8, 0.1, 0.1))
 
@@ -184,7 +185,7 @@ def q142_top_k_per_entity(spark, d):
 YEARS_SQL = """b AS (SELECT unnest([subject_id, object_id]) AS entity, year, paper FROM (SELECT md5('SUPPLIER|' || l_suppkey) AS subject_id, md5('PART|' || l_partkey) AS object_id, CAST(year(l_shipdate) AS INTEGER) AS year, l_orderkey AS paper FROM lineitem)),
 y AS (SELECT entity, year, count(*) AS n FROM b GROUP BY ALL),
 m AS (SELECT entity, year AS mode_year FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY n DESC, year) AS r FROM y) WHERE r = 1),
-st AS (SELECT entity, mode_year, quantile_disc(year, 0.5) AS median_year, count(DISTINCT paper) AS papers FROM b JOIN m USING (entity) GROUP BY ALL)"""
+st AS (SELECT entity, mode_year, CAST(trunc(median(year)) AS INTEGER) AS median_year, count(DISTINCT paper) AS papers FROM b JOIN m USING (entity) GROUP BY ALL)"""
 
 
 def _paper_edges(spark, d):
@@ -196,11 +197,14 @@ def q123_entity_years(spark, d):
     return hypotheses.entity_years(_paper_edges(spark, d))
 
 
-@query(f"WITH {YEARS_SQL}, h AS (SELECT DISTINCT md5('SUPPLIER|' || l_suppkey) AS a, md5('PART|' || l_partkey) AS b FROM lineitem) SELECT a, b, CAST(x.median_year AS INTEGER) AS median_1, CAST(z.median_year AS INTEGER) AS median_2 FROM h JOIN st x ON a = x.entity JOIN st z ON b = z.entity WHERE x.median_year >= 1996 OR z.median_year >= 1996")
+@query(f"""WITH {YEARS_SQL}, h AS (SELECT DISTINCT md5('SUPPLIER|' || l_suppkey) AS a, md5('PART|' || l_partkey) AS b FROM lineitem)
+SELECT a, b, concat_ws('|', x.mode_year, z.mode_year) AS recency_mode, concat_ws('|', x.median_year, z.median_year) AS recency_median, concat_ws('|', x.papers, z.papers) AS papers_count
+FROM h JOIN st x ON a = x.entity JOIN st z ON b = z.entity WHERE x.median_year >= 1996 OR z.median_year >= 1996""")
 def q078_recency_filter(spark, d):
     e = _paper_edges(spark, d)
     pairs = e.select(F.col("subject_id").alias("a"), F.col("object_id").alias("b")).distinct()
-    return hypotheses.recent(pairs, hypotheses.entity_years(e), "a", "b", 1996).select("a", "b", "median_1", "median_2")
+    found = hypotheses.recent(pairs, hypotheses.entity_years(e), "a", "b", 1996)
+    return found.select("a", "b", *(tx.joined(c).alias(c) for c in ("recency_mode", "recency_median", "papers_count")))
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE '%' || lower('A') || '%' ORDER BY p_partkey LIMIT 20 OFFSET 5")
@@ -362,13 +366,14 @@ def q132_ranking_metrics(spark, d):
     return metrics.ranking_metrics(_ranks(spark, d))
 
 
-@query("SELECT p_partkey, (p_retailprice - lo) / (hi - lo) AS min_max, (p_retailprice - mean) / dev AS standard, 1 / (1 + exp(-(p_retailprice - mid) / dev)) AS sigmoid FROM part, (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi, avg(p_retailprice) AS mean, stddev_samp(p_retailprice) AS dev, quantile_disc(p_retailprice, 0.5) AS mid FROM part)", min_max=9, standard=9, sigmoid=9)
+@query("""SELECT p_partkey, (p_retailprice - lo) / (hi - lo) AS min_max, (p_retailprice - mean) / dev AS standard, 1 / (1 + exp(-(p_retailprice - lo) / greatest(mid / ln(0.99 / 0.01), 1e-6))) AS sigmoid
+FROM part, (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi, avg(p_retailprice) AS mean, stddev_samp(p_retailprice) AS dev, quantile_disc(p_retailprice, 0.5) AS mid FROM part)""", min_max=9, standard=9, sigmoid=9)
 def q137_scalers(spark, d):
     p = t(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("x"))
     s = p.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("dev"), F.expr("percentile_disc(0.5) within group (order by x)").alias("mid"))
     m = p.join(F.broadcast(s))
     c = F.col
-    return m.select("p_partkey", vx.min_max(c("x"), c("lo"), c("hi")).alias("min_max"), vx.standard(c("x"), c("mean"), c("dev")).alias("standard"), vx.sigmoid(c("x"), c("mid"), c("dev")).alias("sigmoid"))
+    return m.select("p_partkey", vx.min_max(c("x"), c("lo"), c("hi")).alias("min_max"), vx.standard(c("x"), c("mean"), c("dev")).alias("standard"), vx.sigmoid(c("x"), c("lo"), vx.sigmoid_temperature(c("mid"))).alias("sigmoid"))
 
 
 @query("SELECT l_orderkey, product(1 - l_discount) AS t_norm, min(1 - l_discount) AS least, 1 - product(l_discount) AS t_conorm FROM lineitem GROUP BY 1", t_norm=9, t_conorm=9)
@@ -405,16 +410,22 @@ def q149_window_degrees(spark, d):
     return hypotheses.window_degrees(kg.edges(spark, d), 1992, 1999, 2)
 
 
-@query(WITH_EDGES + WIN_SQL + ", c AS (SELECT *, (bucket + 1) / ((SELECT max(bucket) FROM w) + 1) * (degree - coalesce(lag(degree) OVER (PARTITION BY node_id ORDER BY bucket), 0)) AS change FROM w), p AS (SELECT node_id, sum(degree) AS degree, sum(change) AS own FROM c GROUP BY 1) SELECT node_id, ln(degree + 1) * own AS score FROM p", score=6)
+@query(WITH_EDGES + WIN_SQL + """, own AS (SELECT node_id, sum(degree * (bucket * (1 - 0.1) / (3 - 1) + 0.1)) AS own FROM w GROUP BY 1), d AS (SELECT node_id, count(*) AS degree FROM e GROUP BY 1)
+SELECT node_id, ln(degree + 1) * coalesce(own, 0) AS score FROM d LEFT JOIN own USING (node_id)""", score=6)
 def q150_recency_score(spark, d):
-    return hypotheses.recency_scores(hypotheses.window_degrees(kg.edges(spark, d), 1992, 1999, 2), documented=True)
+    return hypotheses.recency_scores(kg.edges(spark, d), 1992, 1999, 2)
 
 
-@query(WITH_EDGES + WIN_SQL + ", p AS (SELECT node_id, sum(degree) AS degree, coalesce(sum(degree) FILTER (bucket = 0), 0) AS first FROM w GROUP BY 1) SELECT node_id, (1 + (degree - first) / degree) * ln(degree) AS score FROM p", score=6)
+@query(WITH_EDGES + WIN_SQL + """, a AS (SELECT sum(degree * (bucket * (1 - 0.1) / (3 - 1) + 0.1)) AS own FROM w), d AS (SELECT node_id, count(*) AS degree FROM e GROUP BY 1)
+SELECT node_id, ln(degree + 1) * own AS score FROM d, a""", score=4)
+def q150_recency_score_as_coded(spark, d):
+    """With one sum over all nodes."""
+    return hypotheses.recency_scores(kg.edges(spark, d), 1992, 1999, 2, as_coded=True)
+
+
+@query(WITH_EDGES + WIN_SQL + ", p AS (SELECT node_id, count(*) AS degree, count(*) FILTER (bucket = 0) AS first FROM e GROUP BY 1) SELECT node_id, (1 + (degree - first) / degree) * ln(degree) AS score FROM p", score=6)
 def q151_entropy_score(spark, d):
-    w = hypotheses.window_degrees(kg.edges(spark, d), 1992, 1999, 2)
-    p = w.groupBy("node_id").agg(F.sum("degree").alias("all"), F.coalesce(F.sum(F.when(F.col("bucket") == 0, F.col("degree"))), F.lit(0)).alias("first"))
-    return p.select("node_id", hypotheses.entropy_score(F.col("all"), F.col("first")).alias("score"))
+    return hypotheses.entropy_scores(kg.edges(spark, d), 1992, 1999, 2)
 
 
 @query("SELECT conv_id, turn FROM (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS used FROM conversations) WHERE used <= 400")
@@ -497,10 +508,10 @@ def q206_sentence_chunks(spark, d):
     return t(spark, d, "documents").select("doc_id", F.posexplode(tx.sentence_chunks(F.col("text"), 400)).alias("chunk", "chunk_text")).select("doc_id", "chunk", F.md5("chunk_text").alias("chunk_md5"))
 
 
-@query()
+@query("""WITH h AS (SELECT p_partkey, sha1(from_hex('6ba7b8129dad11d180b400c04fd430c8') || encode('[["domain", "PART"], ["name", ' || to_json(p_name)::VARCHAR || ']]')) AS h FROM part)
+SELECT p_partkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', CAST('0x' || substr(h, 17, 1) AS INTEGER) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id FROM h""")
 def q176_uuid5(spark, d):
-    """Version-5 UUIDs, which DuckDB lacks; tested against Python's uuid."""
-    return t(spark, d, "part").select("p_partkey", tx.uuid5(F.col("p_name")).alias("id"))
+    return t(spark, d, "part").select("p_partkey", tx.identity_uuid(name=F.col("p_name"), domain=F.lit("PART")).alias("id"))
 
 
 # Vectors
@@ -607,7 +618,7 @@ def q241_follow_chain(spark, d):
     return graph.follow(_places(spark, d), t(spark, d, "supplier").select(tx.node_id("SUPPLIER", F.col("s_suppkey")).alias("start")), ["LOCATED_IN", "PART_OF"])
 
 
-@query("WITH " + EDGES_SQL + ", " + PLACE_SQL + " SELECT s.src AS root, s.src || '>LOCATED_IN>' || s.dst || '>PART_OF>' || r.dst AS walk, '0|1|2|3|4' AS anonymous FROM g s JOIN g r ON r.src = s.dst WHERE s.rel = 'LOCATED_IN'")
+@query("WITH " + EDGES_SQL + ", " + PLACE_SQL + " SELECT s.src AS root, s.src || '>LOCATED_IN>' || s.dst || '>PART_OF>' || r.dst AS walk, s.src || '|1|2|3|4' AS anonymous FROM g s JOIN g r ON r.src = s.dst WHERE s.rel = 'LOCATED_IN'")
 def q230_walks(spark, d):
     w = graph.walks(_places(spark, d), t(spark, d, "supplier").select(tx.node_id("SUPPLIER", F.col("s_suppkey")).alias("root")), 3)
     return w.withColumnRenamed("walk", "steps").select("root", F.array_join("steps", ">").alias("walk"), tx.joined(graph.anonymous(F.col("steps"))).alias("anonymous"))
@@ -796,11 +807,13 @@ def q222_proximity(spark, d):
     return graph.proximity(_places(spark, d), _regions(spark, d, "node"), 2).withColumn("near", F.array_join("near", "|"))
 
 
-@query("WITH " + EDGES_SQL + ", " + PLACE_SQL + ", k AS (SELECT rel FROM g GROUP BY 1 HAVING count(*) >= 26) SELECT s.src AS root, s.src || CASE WHEN 'LOCATED_IN' IN (SELECT rel FROM k) THEN '>LOCATED_IN>' || s.dst ELSE '' END || CASE WHEN 'PART_OF' IN (SELECT rel FROM k) THEN '>PART_OF>' || r.dst ELSE '' END AS walk FROM g s JOIN g r ON r.src = s.dst WHERE s.rel = 'LOCATED_IN'")
+@query("WITH w AS (SELECT DISTINCT o_custkey, o_orderkey, o_orderstatus AS rel, l_partkey, l_returnflag AS rel2 FROM orders JOIN lineitem ON l_orderkey = o_orderkey), a AS (SELECT count(*) AS n FROM w), k AS (SELECT rel FROM (SELECT rel FROM w UNION ALL SELECT rel2 FROM w), a GROUP BY 1 HAVING count(*) / max(n) >= 0.3), m AS (SELECT DISTINCT 'c' || o_custkey AS root, CASE WHEN rel IN (FROM k) THEN '>' || rel || '>o' || o_orderkey ELSE '' END || CASE WHEN rel2 IN (FROM k) THEN '>' || rel2 || '>p' || l_partkey ELSE '' END AS rest, o_orderkey, l_partkey, rel, rel2 FROM w) SELECT root, root || rest AS walk FROM m WHERE rest <> '' UNION ALL SELECT DISTINCT root, root FROM m WHERE root NOT IN (SELECT root FROM m WHERE rest <> '')")
 def q236_frequent_hops(spark, d):
-    g = _places(spark, d)
-    w = graph.walks(g, t(spark, d, "supplier").select(tx.node_id("SUPPLIER", F.col("s_suppkey")).alias("root")), 3)
-    return graph.frequent_hops(w, g, 26).withColumn("walk", F.array_join("walk", ">"))
+    """Walks customer, status, order, return flag, part; hops of rare relations are left out."""
+    lines = t(spark, d, "orders").join(t(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    w = lines.select(name("c", "o_custkey").alias("root"), F.array(name("c", "o_custkey"), "o_orderstatus", name("o", "o_orderkey"), "l_returnflag", name("p", "l_partkey")).alias("walk")).distinct()
+    return graph.frequent_hops(w, 0.3).withColumn("walk", F.array_join("walk", ">"))
 
 
 @query(r"SELECT p_partkey, lower(regexp_replace(replace(p_brand, '#', ' '), '([A-Za-z])([0-9])', '\1 \2', 'g')) AS parts FROM part")
@@ -808,10 +821,14 @@ def q237_name_parts(spark, d):
     return t(spark, d, "part").select("p_partkey", F.array_join(graph.name_parts(F.array("p_brand")), " ").alias("parts"))
 
 
-@query("WITH l AS (SELECT l_orderkey, list(l_suppkey ORDER BY l_linenumber, l_suppkey) AS w FROM lineitem GROUP BY 1), i AS (SELECT l_orderkey, w, unnest(generate_series(1, greatest(len(w) - 1, 1))) AS i FROM l) SELECT l_orderkey, string_agg(array_to_string(list_slice(w, i, i + 1), ' '), '|' ORDER BY i) AS grams FROM i GROUP BY 1")
+@query("""WITH w AS (SELECT DISTINCT 'o' || l_orderkey AS root, l_returnflag AS r, 'p' || l_partkey AS p, l_linestatus AS q, 's' || l_suppkey AS z FROM lineitem),
+g AS (SELECT *, dense_rank() OVER (PARTITION BY root ORDER BY seen) - 1 AS number FROM (SELECT *, min(root || chr(0) || r || chr(0) || p || chr(0) || q || chr(0) || z) OVER (PARTITION BY root, p, q, z) AS seen FROM w))
+SELECT DISTINCT root, concat_ws('>', root, r, p, q, number) AS walk FROM g""")
 def q235_n_grams(spark, d):
-    w = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_suppkey"))), lambda x: x["l_suppkey"].cast("string")).alias("w"))
-    return w.select("l_orderkey", F.array_join(graph.n_grams(F.col("w"), 2), "|").alias("grams"))
+    """Walks order, return flag, part, line status, supplier, by runs of three names."""
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    w = t(spark, d, "lineitem").select(name("o", "l_orderkey").alias("root"), F.array(name("o", "l_orderkey"), "l_returnflag", name("p", "l_partkey"), "l_linestatus", name("s", "l_suppkey")).alias("walk"))
+    return graph.n_gram_walks(w, 3).withColumn("walk", F.array_join("walk", ">"))
 
 
 @query(WITH_EDGES + ", e AS (SELECT DISTINCT subject_id, relation_type, object_id FROM edges WHERE relation_type = 'SUPPLIES'), k AS (SELECT DISTINCT subject_id, relation_type, object_id FROM edges WHERE relation_type = 'SUPPLIES' AND year = 1995) SELECT e.subject_id, e.object_id, CASE WHEN k.subject_id IS NOT NULL THEN 1.0::DOUBLE ELSE CAST(CAST('0x' || substr(md5(e.subject_id || '|SUPPLIES|' || e.object_id), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 END AS score FROM e LEFT JOIN k USING (subject_id, relation_type, object_id)", score=9)
