@@ -155,16 +155,20 @@ class Machine:
         return move
 
     def run(self, pretoken: bytes, out: int | list) -> int | list:
-        """`out` with the annotations of a whole pretoken's transitions and its end added."""
-        symbols = list(map(self.inner.__getitem__, pretoken))
-        symbols[-1] = self.final[pretoken[-1]]
-        at = 0
-        for s in symbols:
-            move = self.moves[at].get(s) or self.step(at, s)
+        """`out` with the annotations of a whole pretoken's transitions and its end added.
+
+        The last transition leads nowhere, so it is made each time and no state is kept for it.
+        """
+        inner, moves, at = self.inner, self.moves, 0
+        for byte in pretoken[:-1]:
+            move = moves[at].get(inner[byte])
+            if move is None:
+                move = self.step(at, inner[byte])
+                moves = self.moves
             at, made = move
             if made:
                 out += made
-        out += self.closing(self.states[at])
+        out += self.last(self.states[at], self.final[pretoken[-1]])
         return out
 
 
@@ -189,8 +193,13 @@ class Counting(Machine):
             raise ValueError(f"no token for symbol {symbol}")
         return (*[(n, b, less - change) for n, b, less in alive], (0, last, 0)), change
 
-    def closing(self, state: tuple) -> int:
-        return 0
+    def last(self, state: tuple, symbol: int) -> int:
+        """What the pretoken's last symbol adds."""
+        for node, before, less in state:
+            nxt = self.nodes[node].get(symbol)
+            if nxt is not None and (token := self.token_at[nxt]) != START and (before == START or self.fits(before, token)):
+                return less + 1
+        raise ValueError(f"no token for symbol {symbol}")
 
 
 class Emitting(Machine):
@@ -223,9 +232,13 @@ class Emitting(Machine):
         keep = common - 1
         return (*[(n, c[keep:]) for n, c in starts], (0, last[keep:])), last[1:common]
 
-    def closing(self, state: tuple) -> tuple[int, ...]:
-        """The tokens left when the pretoken is over."""
-        return state[-1][1][1:]
+    def last(self, state: tuple, symbol: int) -> tuple[int, ...]:
+        """The tokens that are left when this is the pretoken's last symbol."""
+        for node, chain in state:
+            nxt = self.nodes[node].get(symbol)
+            if nxt is not None and (token := self.token_at[nxt]) != START and (chain[-1] == START or self.fits(chain[-1], token)):
+                return (*chain[1:], token)
+        raise ValueError(f"no token for symbol {symbol}")
 
 
 class Walk:
@@ -262,11 +275,7 @@ class Walk:
                         out.append(made)
                 last = byte
             if part is None:
-                at, made = machine.step(at, machine.final[last])
-                if made:
-                    out.append(made)
-                if made := machine.closing(machine.states[at]):
-                    out.append(made)
+                out.append(machine.last(machine.states[at], machine.final[last]))
                 last, at = -1, 0
         self.state = (mode, last, machine.states[at])
         return out

@@ -21,8 +21,8 @@ from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .bpe import Emitting, Walk, machine
@@ -32,8 +32,8 @@ from .tokens import Gathered, Kept, byte_slices, distinct, pieces_of
 
 #: Characters of a text that are taken apart at once.
 STREAM = 1 << 20
-#: Words whose ids and decoded text are kept.
-KEEP_WORDS = 500_000
+#: Words whose ids are kept.
+KEEP_WORDS = 800_000
 _WORDS = re.compile(r" (?=\S)")
 
 
@@ -71,9 +71,13 @@ class Codec:
         self.pretokens, self.machine, self.splitter = pre, machine(Emitting, path), Splitter(pre)
         self.names = {i: t for t, i in self.machine.vocab.items()} | {i: t for t, i in self.machine.special.items()}
         self.letters = {c: b for b, c in enumerate(byte_letters())} if self.machine.decoder == "ByteLevel" else None
+        told = {i: (name if i in self.machine.special_ids or self.letters is None else None) for i, name in self.names.items()}
+        plain = {i: name.encode() if name is not None else bytes(map(self.letters.__getitem__, self.names[i])) for i, name in told.items()}
         self.starts = {s[:n] for s in pre.special_ids for n in range(1, len(s))}
         #: What a word has before it in its text, and what its decoded tokens have before them.
         self.space, self.gap = (" ", "") if self.splitter.spaces else ("", " ")
+        #: What each id adds to the decoded text.
+        self.strings = pa.array([self.gap.encode() + plain.get(i, b"") for i in range(max(plain) + 1)], pa.large_binary())
         self.pretoken = Kept(self._pretoken, KEEP_WORDS)
         self.word = Kept(lambda w: self._word(self.space + w), KEEP_WORDS)
         self.first = Kept(self._word, KEEP_WORDS // 10)
@@ -81,10 +85,11 @@ class Codec:
     def _pretoken(self, raw: bytes) -> bytes:
         return array("I", self.machine.run(raw, [])).tobytes()
 
-    def _word(self, word: str) -> tuple[bytes, bytes]:
-        of = self.pretoken
-        ids = b"".join([of[x] if isinstance(x, bytes) else x.to_bytes(4, "little") for x in self.pretokens.of(word)])
-        return ids, (self.gap + self.decode(memoryview(ids).cast("I"))).encode() if ids else b""
+    def _word(self, word: str) -> bytes:
+        found = self.pretokens.of(word)
+        if len(found) == 1 and isinstance(found[0], bytes):  # the word's own entry is enough
+            return self.pretoken.get(found[0]) or self._pretoken(found[0])
+        return b"".join([self.pretoken[x] if isinstance(x, bytes) else x.to_bytes(4, "little") for x in found])
 
     def decode(self, ids: Iterable[int]) -> str:
         if self.letters is None:
@@ -92,18 +97,25 @@ class Codec:
         decoder = Decoder(self)
         return decoder.feed(ids) + decoder.end()
 
-    def batch(self, texts: pa.Array) -> list[tuple[bytes, bytes]]:
-        """Of each text: ids as little-endian 32-bit numbers, and the text that they decode to in UTF-8."""
-        out: list[tuple[bytes, bytes]] = [(b"", b"")] * len(texts)
-        skip = len(self.gap)
-        for rows, starts, words in pieces_of(texts, not self.splitter.spaces):
-            heads = words.take(pa.array(starts[:-1])).to_pylist()
+    def batch(self, texts: pa.Array) -> list[tuple[bytes, memoryview]]:
+        """Of each text: ids as little-endian 32-bit numbers, and the text that they decode to in UTF-8.
+
+        The incremental decoder has one state between whole characters, so here each id gives a fixed string.
+        """
+        out: list[tuple[bytes, memoryview]] = [(b"", memoryview(b""))] * len(texts)
+        skip, spaces = len(self.gap), self.splitter.spaces
+        for rows, starts, words in pieces_of(texts, not spaces):
             names, places = distinct(words)
-            made = [self.word[x] for x in names]
-            ids, decoded = Gathered([x for x, _ in made], places), Gathered([x for _, x in made], places)
-            for row, head, at, stop in zip(rows.tolist(), heads, (starts[:-1] + 1).tolist(), starts[1:].tolist(), strict=True):
-                x, y = self.first[head]
-                out[row] = b"".join((x, ids.of(at, stop))), b"".join((y, decoded.of(at, stop)))[skip:]
+            made = Gathered([self.word[x] for x in names], places)
+            if spaces:
+                heads = words.take(pa.array(starts[:-1])).to_pylist()
+                ids = [b"".join((self.first[head], made.of(at, stop))) for head, at, stop in zip(heads, (starts[:-1] + 1).tolist(), starts[1:].tolist(), strict=True)]
+            else:
+                ids = [bytes(made.of(at, stop)) for at, stop in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+            decoded, at = Gathered(self.strings, np.frombuffer(b"".join(ids), np.uint32).astype(np.int64)), 0
+            for row, x in zip(rows.tolist(), ids, strict=True):
+                out[row] = x, decoded.of(at, at + len(x) // 4)[skip:]
+                at += len(x) // 4
         return out
 
     def parts(self, text: str) -> Iterator[list[int]]:
@@ -135,7 +147,7 @@ class Encoder:
             ids += self.close()
             space, word = self.codec.space, self.codec.word
             for w in words[:-1]:
-                ids += memoryview(word[w][0]).cast("I")
+                ids += memoryview(word[w]).cast("I")
             ids += self.walk(space + words[-1])
         return ids
 
@@ -206,7 +218,7 @@ def _run(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, full: bool
             columns |= {"n_tokens": pa.array([len(x) // 4 for x, _ in made], pa.int64())}
             columns |= {f"{name}_sha256": pa.array([hashlib.sha256(x[k]).hexdigest() for x in made], pa.string()) for k, name in enumerate(("ids", "decoded"))}
             if full:
-                columns |= {"ids": pa.array([x for x, _ in made], pa.binary()), "decoded": pa.array([y.decode() for _, y in made], pa.string())}
+                columns |= {"ids": pa.array([x for x, _ in made], pa.binary()), "decoded": pa.array([bytes(y).decode() for _, y in made], pa.string())}
             yield pa.RecordBatch.from_pydict(columns)
 
     return id_and_text(docs, id_col, text_col).mapInArrow(task, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * full)

@@ -22,7 +22,7 @@ from .pieces import pretokens
 #: Longest piece, in characters, that is kept; and how many pieces are kept before the store starts anew.
 KEEP_CHARS, KEEP_PIECES = 48, 800_000
 #: Texts of a batch that are taken apart at once hold so many bytes, or are one text.
-BYTES_AT_ONCE = 4 << 20
+BYTES_AT_ONCE = 8 << 20
 
 #: White space as Python and Unicode have it.
 _WHITE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -68,8 +68,9 @@ def distinct(values: pa.Array) -> tuple[list, np.ndarray]:
 class Gathered:
     """A byte string for each value, side by side: slices of values are slices of bytes."""
 
-    def __init__(self, strings: list[bytes], places: np.ndarray):
-        made = pa.array(strings, pa.large_binary()).take(pa.array(places)) if len(places) else pa.array([], pa.large_binary())
+    def __init__(self, strings: list[bytes] | pa.Array, places: np.ndarray):
+        strings = strings if isinstance(strings, pa.Array) else pa.array(strings, pa.large_binary())
+        made = strings.take(pa.array(places)) if len(places) else pa.array([], pa.large_binary())
         self.ends = np.frombuffer(made.buffers()[1], np.int64)[: len(made) + 1] if len(made) else np.zeros(1, np.int64)
         self.data = memoryview(made.buffers()[2] or b"") if len(made) else memoryview(b"")
 
