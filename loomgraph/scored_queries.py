@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from . import kg
 from .functions import text as tx
 from .functions import vectors as vx
-from .operators import graph, hypotheses, metrics
+from .operators import graph, hypotheses, linking, metrics
 from .plans import combine
 from .queries import EDGES_SQL, WITH_EDGES, query, t
 
@@ -114,3 +114,76 @@ def q217_order_distances(spark, d):
     g = e.select(F.col("subject_id").alias("src"), F.col("object_id").alias("dst"), (F.lit(1.0) / F.col("number_of_occurrences")).alias("weight"))
     some = t(spark, d, "orders").filter("o_custkey % 10 = 0").select(tx.node_id("CUSTOMER", F.col("o_custkey")).alias("source")).distinct()
     return graph.weighted_distances(g, some, 2)
+
+
+# Lookups, lists and samples
+
+
+@query("SELECT p_partkey, l_suppkey, s_name AS node_name FROM part LEFT JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_linenumber = 7) ON l_partkey = p_partkey LEFT JOIN supplier ON s_suppkey = l_suppkey")
+def q084_names(spark, d):
+    """Names of ids, null where there is none."""
+    ids = t(spark, d, "part").join(t(spark, d, "lineitem").filter("l_linenumber = 7").select("l_partkey", "l_suppkey").distinct(), F.col("l_partkey") == F.col("p_partkey"), "left").select("p_partkey", "l_suppkey")
+    nodes = t(spark, d, "supplier").select(F.col("s_suppkey").alias("node_id"), F.col("s_name").alias("node_name"))
+    return linking.names_of(ids, nodes, "l_suppkey").select("p_partkey", "l_suppkey", "node_name")
+
+
+@query("SELECT 's' || l_suppkey AS subject_id, 'p' || l_partkey AS object_id, string_agg(DISTINCT l_returnflag, '|' ORDER BY l_returnflag) AS relations FROM lineitem GROUP BY 1, 2")
+def q118_relations_of_pairs(spark, d):
+    e = t(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("subject_id"), F.concat(F.lit("p"), "l_partkey").alias("object_id"), F.col("l_returnflag").alias("relation_type"))
+    return linking.relations_of_pairs(e).withColumn("relations", F.array_join("relations", "|"))
+
+
+@query("SELECT s_suppkey AS subject_id, n_nationkey AS object_id FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 0")
+def q104_linked_facts(spark, d):
+    """Facts by name between suppliers and nations; those of suppliers outside the resolved set drop out."""
+    s, n = t(spark, d, "supplier"), t(spark, d, "nation")
+    facts = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_name").alias("subject_name"), F.lit("SUPPLIER").alias("subject_domain"), F.col("n_name").alias("object_name"), F.lit("NATION").alias("object_domain"))
+    known = s.filter("s_acctbal > 0").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("SUPPLIER").alias("domain"))
+    known = known.unionByName(n.select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"), F.lit("NATION").alias("domain")))
+    return linking.linked_facts(facts, known).select("subject_id", F.col("object_id").cast("int").alias("object_id"))
+
+
+LISTS_SQL = """WITH l AS (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey) AS a, list(l_suppkey ORDER BY l_linenumber, l_suppkey) AS b FROM lineitem GROUP BY 1),
+u AS (SELECT l_orderkey, x, min(i) AS i FROM (SELECT l_orderkey, unnest(a || b) AS x, unnest(range(2 * len(a))) AS i FROM l) GROUP BY 1, 2)
+SELECT l_orderkey, string_agg(x, '|' ORDER BY i) AS merged FROM u GROUP BY 1"""
+
+
+@query(LISTS_SQL)
+def q173_merged_lists(spark, d):
+    """An order's parts and then its suppliers, each number where it is met first."""
+    ordered = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", c))), lambda x: x[c])
+    lists = t(spark, d, "lineitem").groupBy("l_orderkey").agg(ordered("l_partkey").alias("a"), ordered("l_suppkey").alias("b"))
+    return lists.select("l_orderkey", tx.joined(linking.merged(F.col("a"), F.col("b")).cast("array<string>")).alias("merged"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity / sum(l_quantity) OVER o AS normalised FROM lineitem WINDOW o AS (PARTITION BY l_orderkey)", normalised=9)
+def q152_edge_weights(spark, d):
+    e = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return linking.edge_weights(e, "l_orderkey", "l_quantity").select("l_orderkey", "l_linenumber", "normalised")
+
+
+@query("SELECT l_orderkey, l_linenumber, (max(l_quantity) OVER o + min(l_quantity) OVER o - l_quantity) / (count(*) OVER o * (max(l_quantity) OVER o + min(l_quantity) OVER o) - sum(l_quantity) OVER o) AS normalised FROM lineitem WINDOW o AS (PARTITION BY l_orderkey)", normalised=9)
+def q240_inverse_weights(spark, d):
+    e = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return linking.edge_weights(e, "l_orderkey", "l_quantity", inverse=True).select("l_orderkey", "l_linenumber", "normalised")
+
+
+@query("SELECT o_orderpriority, least(count(*), 50)::BIGINT AS n FROM orders GROUP BY 1")
+def q165_stratified_sample(spark, d):
+    """Sizes of a sample of 50 orders of each priority; which ones is up to the hash."""
+    return linking.stratified(t(spark, d, "orders"), ["o_orderpriority"], "o_orderkey", 50).groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_shipdate <= (SELECT min(o_orderdate) FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderdate >= TIMESTAMP '1995-06-01')")
+def q262_context_before(spark, d):
+    """Lines shipped no later than the earliest of a batch of urgent orders."""
+    context = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_shipdate").alias("at"))
+    batch = t(spark, d, "orders").filter("o_orderpriority = '1-URGENT' and o_orderdate >= timestamp '1995-06-01'").select(F.col("o_orderdate").alias("at"))
+    return linking.context_before(context, batch, "at").select("l_orderkey", "l_linenumber")
+
+
+@query(f"WITH {SUPPLY_SQL}, p AS (SELECT a AS source, b AS target, a || '|' || x.p || '|' || b AS path FROM q JOIN g x ON x.s = a JOIN g y ON y.s = b AND y.p = x.p) SELECT source, target, path FROM (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY path) AS r FROM p) WHERE r <= 3")
+def q159_first_paths(spark, d):
+    """The first three shortest paths between each supplier and the next."""
+    paths = graph.shortest_paths(graph.undirected(_supplies(spark, d)), _neighbours(spark, d), 2)
+    return linking.first_paths(paths, 3).select("source", "target", F.array_join("path", "|").alias("path"))
