@@ -6,7 +6,7 @@ partitions; each partition then fills sequences of fixed length with its documen
 cut where a sequence is full, so only the last sequence of a partition needs padding, and that to a power of two.
 
 Data movement: one compact table of token ids in the shared folder (so that the sort's sampling doesn't encode
-twice), then one shuffle of it by range. (place, doc_id, a hash of the ids) is the sort key, so copies, which
+twice), then one shuffle of it by range. (place, doc_id, a hash of the ids, the section) is the sort key, so copies, which
 share one place, still spread over partitions.
 """
 
@@ -25,6 +25,8 @@ from .shared import id_and_text, slices, stored
 from .tokens import byte_slices, encoder
 
 BUCKETS, DIMENSIONS, BITS = 256, 3, 10
+#: A document of more tokens is sorted in sections, so that rows are bounded and equal shares of rows are nearly equal work.
+SECTION = 16_384
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -75,8 +77,9 @@ def pack(docs: DataFrame, tokenizer: str, *, length: int = 1024, end_id: int = 0
 
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and place (on the curve). A
     document's tokens are its ids and then end_id. A null or empty text has the end id alone. Rows that repeat are
-    packed once each. No row goes missing; an empty table gives an empty result. Sequence ids are unique and not
-    gapless: the partition's number is in the high bits.
+    packed once each. No row goes missing; an empty table gives an empty result. A very long text is moved in sections
+    of SECTION tokens, which may share a sequence with others. Other columns of docs are left out, whatever their names.
+    Sequence ids are unique and not gapless: the partition's number is in the high bits.
     """
     project = projection()
 
@@ -85,25 +88,30 @@ def pack(docs: DataFrame, tokenizer: str, *, length: int = 1024, end_id: int = 0
         end = end_id.to_bytes(4, "little")
         for b in byte_slices(batches, 1):
             ids = [np.frombuffer(x, "<u4") for x in codec.ids(b.column(1), end)]
-            small = [x.astype("<u2") if x.max() < 65536 else x for x in ids]
+            sizes = np.array([len(x) for x in ids])
+            cuts = [(i, at) for i, n in enumerate(sizes.tolist()) for at in range(0, n, SECTION)]
+            row, start = (np.array(c) for c in zip(*cuts, strict=True))
+            parts = [ids[i][at : at + SECTION] for i, at in cuts]
+            small = [x.astype("<u2") if x.max() < 65536 else x for x in parts]
+            ties = np.array([zlib.crc32(x) for x in ids])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(place_of(ids, project), pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in small], pa.binary()), pa.array([zlib.crc32(x) for x in small], pa.int64())],
-                ["doc_id", "place", "doc_tokens", "ids", "tie"],
+                [b.column(0).take(pa.array(row)), pa.array(place_of(ids, project)[row], pa.int64()), pa.array(sizes[row], pa.int64()), pa.array(start, pa.int64()), pa.array([len(x) for x in parts], pa.int64()), pa.array([x.tobytes() for x in small], pa.binary()), pa.array(ties[row], pa.int64())],
+                ["doc_id", "place", "doc_tokens", "start", "n", "ids", "tie"],
             )
 
-    coded = stored(id_and_text(docs, id_col, text_col).mapInArrow(encode, "doc_id long, place long, doc_tokens long, ids binary, tie long"), "packing")
-    order = ["place", "doc_id", "tie"]
+    coded = stored(id_and_text(docs, id_col, text_col).mapInArrow(encode, "doc_id long, place long, doc_tokens long, start long, n long, ids binary, tie long"), "packing")
+    order = ["place", "doc_id", "tie", "start"]
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence, used = TaskContext.get().partitionId() << 32, 0
         for b in slices(batches, 2048):
             rows: list[tuple] = []
-            for doc, place, n, raw in zip(*(b.column(k).to_pylist() for k in ("doc_id", "place", "doc_tokens", "ids")), strict=True):
+            for doc, place, whole, start, n, raw in zip(*(b.column(k).to_pylist() for k in ("doc_id", "place", "doc_tokens", "start", "n", "ids")), strict=True):
                 ids = np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype("<u4")
                 at = 0
                 while at < n:
                     take = min(n - at, length - used)
-                    rows.append((doc, at, take, zlib.crc32(ids[at : at + take]), n, sequence, used, place))
+                    rows.append((doc, start + at, take, zlib.crc32(ids[at : at + take]), whole, sequence, used, place))
                     at, used = at + take, used + take
                     if used == length:
                         sequence, used = sequence + 1, 0
