@@ -93,7 +93,8 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     The edited text has its last floor(n_chars / 4) characters replaced by as many of the next document's first (or
     all that it has). A null text counts as empty; a null id comes first; rows with equal ids follow in the order of
-    their texts. Texts are shuffled once, by runs of ids, and neither words nor draws leave the task that made them.
+    their texts. An empty table gives an empty result; a very long text stays in its row, and its words in its task.
+    Other columns of docs are left out, whatever their names. Texts are shuffled once, by runs of ids, and neither words nor draws leave the task that made them.
     """
     spark = docs.sparkSession
     rows = id_and_text(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))

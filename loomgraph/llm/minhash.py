@@ -3,7 +3,8 @@
 Signature. A shingle that a text has w times covers [0, w) of its own line of weights, which is cut into blocks [0,1),
 [1,2), [2,4), [4,8) ... Each block has a Poisson process of its own, with a rate as its length; each point of it has a
 time, a register and a place in the block, all from hashes of shingle, block and the point's number. Points beyond w are
-left out. A register keeps its earliest time. So two texts agree on a register with just the chance of their weighted
+left out: a block is thinned as a whole, where BagMinHash splits it further in halves; the points that stay are the
+same process, for at most twice the draws. A register keeps its earliest time. So two texts agree on a register with just the chance of their weighted
 Jaccard similarity, and only as many points are drawn as come before the latest register's time.
 
 Candidates. Equal texts are one node first. Nodes that agree on a whole band share a bucket.
@@ -260,7 +261,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     A class is made of equal texts and of links: weighted Jaccard similarity of the multisets of 5-word shingles (of a
     shorter text: all its words) of at least 0.8. Texts without a word are alike only if equal; null counts as empty. A
-    null id takes its class's id, or null if the class has no other. Repeated rows share a class.
+    null id takes its class's id, or null if the class has no other. Repeated rows share a class. An empty table gives
+    an empty result; a very long text is signed and compared whole; other columns of docs are left out.
     """
     rows = id_and_text(docs, id_col, text_col)
     signed = stored(rows.mapInArrow(_sign, "doc_id long, node binary, size long, bands array<long>"), "signed")

@@ -104,7 +104,11 @@ def measure(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 
 def ledger(docs: DataFrame, **columns) -> DataFrame:
-    """The measurements and `failures`, the bits of the rules that failed. No shuffle; rows stay as they are, null ids too."""
+    """The measurements and `failures`, the bits of the rules that failed, for every row, without a shuffle.
+
+    A null text counts as empty; null ids and repeated rows stay as they are, an empty table gives an empty result, and
+    other columns of docs are left out, whatever their names. A very long text is measured whole, in its row.
+    """
     bits = [F.when(failed, F.lit(1 << k)).otherwise(F.lit(0)) for k, failed in enumerate(rules().values())]
     total = bits[0]
     for b in bits[1:]:
@@ -118,7 +122,7 @@ def apply_policy(book: DataFrame, policy: str) -> DataFrame:
 
 
 def kept_rows(docs: DataFrame, policy: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that pass the policy."""
+    """The rows of docs, all columns whatever their names, that pass the policy; of repeated rows all or none."""
     return apply_policy(ledger(docs, id_col=id_col, text_col=text_col, carry=True), policy).filter("kept").select("row.*")
 
 

@@ -34,7 +34,8 @@ def shard(docs: DataFrame, weights: Sequence[float] = (1.0,) * 8, *, added_weigh
 
     Returns doc_id, size (UTF-8 bytes of the text and 1; null: 1), text_crc32 (null: that of the empty text), law
     ('key'), shard, slot, grown_shard. A null id counts as the key 'null'. Rows that repeat share a shard and get
-    slots of their own. The text itself isn't shuffled.
+    slots of their own. The text itself isn't shuffled, however long. An empty table gives an empty result; other
+    columns of docs are left out, whatever their names.
 
     Slots need no sort of a whole shard: rows of a shard are dealt by a hash into slices (64 for each shuffle
     partition over all shards), numbered within a slice, and moved up by the rows of the slices before it; that

@@ -165,7 +165,8 @@ def write(docs: DataFrame, tokenizer: str, *, end_id: int | None = 2, folder: st
     """Encodes and writes all documents in ascending id order; the manifest: one dict for each shard, in order, with `base`, the ids of all shards before it.
 
     The manifest's length is the number of partitions, whatever the number of documents. A null text has no ids but
-    the end id; a null id comes first; rows with equal ids are kept, in the order of their texts' hashes.
+    the end id; a null id comes first; rows with equal ids are kept, in the order of their texts' hashes. A very long
+    text is one entry, as long as its ids. An empty table gives an empty manifest; other columns of docs are left out.
     """
     folder = folder or new_folder(docs.sparkSession, "tokens")
     end = b"" if end_id is None else end_id.to_bytes(4, "little")

@@ -25,6 +25,9 @@ from .tokens import Kept
 
 #: Hashed features, and the documents that train the scorer (a bound, whatever the input).
 DIMENSIONS, SAMPLE_ROWS = 4096, 10_000
+#: A document is kept if it is at least this likely to be good. The labellers aren't independent given the class (some
+#: kinds of bad text are seen by one of them only), so posteriors of such texts lean to good; the bar allows for that.
+THRESHOLD = 0.93
 BAD, NOTHING, GOOD = 0, 1, 2
 LABELLERS = ("length", "symbols", "capitals", "stutter", "variety", "word_length", "lines", "letters")
 _UPPER, _LOWER, _OTHER, _DIGIT, _SYMBOL, _SPACE, _MARK = range(7)
@@ -123,12 +126,12 @@ def _slot(name: str) -> int:
 
 def _shape(word: str) -> str:
     """Letters as x or X, digits as 9, runs as one, other signs as they are."""
-    return _RUNS.sub(r"\1", "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word[:64]))
+    return _RUNS.sub(r"\1", "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word))
 
 
 def word_slots(word: str) -> tuple[int, ...]:
     shape = _shape(word)
-    return _slot("shape " + shape[:8]), _slot("end " + shape[-1:]), _slot(f"length {min(len(word), 20)}")
+    return _slot("shape " + shape), _slot("end " + shape[-1:]), _slot(f"length {min(len(word), 20)}")
 
 
 def whole_slots(m: dict[str, float]) -> list[int]:
@@ -172,7 +175,11 @@ def train(rows: list[tuple[list[int], list[float], float]], rounds: int = 200, r
 
 
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> tuple[Scorer, DataFrame]:
-    """The scorer, and every row's doc_id, pattern and posterior. All rows' votes are counted; sample_rows train the scorer."""
+    """The scorer, and every row's doc_id, pattern and posterior. All rows' votes are counted.
+
+    sample_rows documents train the scorer: the ids first by hash, of repeated ids the least text. Null texts count as
+    empty; rows without an id vote but don't train.
+    """
     rows = id_and_text(docs, id_col, text_col)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,8 +188,8 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samp
 
     voted = stored(rows.mapInArrow(vote, "doc_id long, pattern long"), "votes")
     posterior, _, _ = expectation_maximisation({r.pattern: r["count"] for r in voted.groupBy("pattern").count().collect()})
-    chosen = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).distinct()
-    sample = rows.join(F.broadcast(chosen), "doc_id", "left_semi").limit(2 * sample_rows)
+    chosen = rows.select("doc_id").dropna().distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    sample = rows.join(F.broadcast(chosen), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = Kept(word_slots)
@@ -192,16 +199,19 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samp
                 m = measures(text)
                 x = vector(text, m, slots)
                 made.append((list(x), list(x.values()), posterior.get(pattern_of(votes(m)), 0.5)))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in made], pa.list_(pa.int32())), pa.array([x[1] for x in made], pa.list_(pa.float32())), pa.array([x[2] for x in made], pa.float64())], ["slots", "shares", "label"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in made], pa.list_(pa.int32())), pa.array([x[1] for x in made], pa.list_(pa.float32())), pa.array([x[2] for x in made], pa.float64())], ["doc_id", "slots", "shares", "label"])
 
-    gathered = sample.mapInArrow(features, "slots array<int>, shares array<float>, label double").collect()
-    scorer = train([(r.slots, r.shares, r.label) for r in gathered])
+    gathered = sample.mapInArrow(features, "doc_id long, slots array<int>, shares array<float>, label double").collect()
+    scorer = train([(r.slots, r.shares, r.label) for r in sorted(gathered, key=lambda r: r.doc_id)])
     by_pattern = docs.sparkSession.createDataFrame([*posterior.items()] or [(0, 0.5)], "pattern long, posterior double")
     return scorer, voted.join(F.broadcast(by_pattern), "pattern").select("doc_id", "pattern", "posterior")
 
 
-def score(docs: DataFrame, scorer: Scorer, *, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score (chance of good), kept for every row, in one pass without a shuffle; a null text counts as empty."""
+def score(docs: DataFrame, scorer: Scorer, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, score (chance of good), kept (score at or above the threshold) for every row, in one pass without a shuffle.
+
+    A null text counts as empty; other columns of docs are left out, whatever their names.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = scorer.weights
@@ -218,6 +228,9 @@ def score(docs: DataFrame, scorer: Scorer, *, threshold: float = 0.5, id_col: st
 
 
 def classify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """fit() and score(). Null ids and repeated rows stay as they are."""
+    """fit() and score(). Null ids and repeated rows stay as they are; an empty table gives an empty result.
+
+    A very long text is measured and scored whole.
+    """
     scorer, _ = fit(docs, id_col=id_col, text_col=text_col)
     return score(docs, scorer, id_col=id_col, text_col=text_col)

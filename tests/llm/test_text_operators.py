@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -140,6 +141,16 @@ def test_op2_blocks_and_empty(spark, empty, tmp_path):
     assert [k for k, _, _ in r.entries()] == list(range(-3000, 3000, 3))
 
 
+def test_op2_documents(spark, texts, tok):
+    got = sorted(queries.QUERIES["op2_token_sstables"](spark, SF).collect(), key=lambda r: r.doc_id)
+    at, expected = 0, []
+    for doc, text in sorted(texts.items()):
+        ids = raw([*tok(text), 2])
+        expected.append((doc, at, len(ids) // 4, zlib.crc32(ids)))
+        at += len(ids) // 4
+    assert [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got] == expected
+
+
 # 3
 
 
@@ -283,6 +294,23 @@ def test_op6_star_of_copies(spark):
     assert got == brute_classes(rows)
 
 
+def test_op6_star_of_500_copies(spark):
+    """One group far above any bucket's size that is compared with all pairs; recall is printed."""
+    rnd = random.Random(8)
+    seed = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(500):
+        copy = list(seed)
+        for _ in range(rnd.choice((0, 1, 1, 2))):
+            copy[rnd.randrange(80)] = f"x{rnd.randrange(40)}"
+        rows.append((i, " ".join(copy)))
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = dict(brute_classes(rows))
+    pairs = lambda classes: {(d, c) for d, c in classes.items() if d != c}
+    print("members joined to their class:", len(pairs(got) & pairs(want)), "of", len(pairs(want)))
+    assert got == want
+
+
 def test_op6_large_bucket_loses_no_link(spark):
     """Pairs near the threshold in one bucket of 30 nodes, whatever their sketches say."""
     rows = []
@@ -483,6 +511,59 @@ def test_op9(spark, docs, odd, empty):
     assert fingerprints.fingerprints(empty).count() == 0
 
 
+def hash64(x, seed):
+    return xxhash.xxh64_intdigest(x, seed)
+
+
+def murmur(x):
+    """32-bit Murmur3 of a 64-bit number, seed 42."""
+    rotate = lambda v, n: (v << n | v >> 32 - n) & 0xFFFFFFFF
+    h = 42
+    for part in (x & 0xFFFFFFFF, x >> 32 & 0xFFFFFFFF):
+        h = (rotate(h ^ rotate(part * 0xCC9E2D51 & 0xFFFFFFFF, 15) * 0x1B873593 & 0xFFFFFFFF, 13) * 5 + 0xE6546B64) & 0xFFFFFFFF
+    h ^= 8
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ h >> shift) * factor & 0xFFFFFFFF
+    return h ^ h >> 16
+
+
+def plain_fingerprint(text):
+    """Consistent weighted sampling word by word."""
+    inside = lambda z, shift: ((z >> shift & (1 << 21) - 1) + 0.5) / 2.0**21
+    long_ = lambda x: (x & (1 << 64) - 1).to_bytes(8, "little")
+    terms = []
+    for word, n in collections.Counter(re.findall(r"[^\x20\x09-\x0D]+", text)).items():
+        h = hash64(word.encode(), 42) & (1 << 63) - 1
+        terms.append((h - (1 << 63) if h >> 62 else h, n))
+    out = []
+    for k in range(fingerprints.SAMPLES):
+        drawn = []
+        for term, n in terms:
+            first = hash64(long_(term), 42)
+            y, z = (hash64((2 * k + j).to_bytes(4, "little"), first) for j in (0, 1))
+            r, c, b = -math.log(inside(y, 0) * inside(y, 21)), -math.log(inside(z, 0) * inside(z, 21)), inside(y, 42)
+            t = math.floor(math.log(n) / r + b)
+            a = int((math.log(c) - r * (t - b + 1) + 512.0) * 2.0**31)
+            drawn.append((a << 22) | (hash64(k.to_bytes(4, "little"), hash64(long_(t), first)) & (1 << 22) - 1))
+        if drawn:
+            out.append(f"{murmur(min(drawn)):08X}")
+    return out
+
+
+def test_op9_equals_plain_sampling(spark, odd):
+    """The last bit of a logarithm may differ between libraries, so a sample in a thousand may."""
+    some = odd.filter("length(text) < 1000").unionByName(odd.sparkSession.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 40 and length(text) < 4000").select("doc_id", "text"), allowMissingColumns=True).select("doc_id", "text").distinct()
+    texts, same, n = collections.defaultdict(list), 0, 0
+    for r in some.collect():
+        texts[r.doc_id].append(r.text)
+    for r in fingerprints.fingerprints(some).collect():
+        got = [r.fingerprint[i : i + 8] for i in range(0, len(r.fingerprint), 8)]
+        hits = [sum(a == b for a, b in zip(got, want)) if len(want) == len(got) else -1 for want in map(plain_fingerprint, texts[r.doc_id])]
+        assert max(hits) >= 0
+        same, n = same + max(hits), n + len(got)
+    assert n > 500 and same >= 0.999 * n - 1
+
+
 # 10
 
 
@@ -511,6 +592,39 @@ def test_op10_finds_accuracies():
 # The pipeline
 
 
+def test_pipeline_odd_rows(spark, odd, empty):
+    """Every stage on null, empty, repeated and very long texts and other columns, and on no rows."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, odd, SF)
+        assert out.columns == odd.columns, name
+        left = [tuple(r) for r in out.collect()]
+        assert set(left) <= set(ODD) and len(left) <= len(ODD), name
+        assert stage(spark, empty, SF).count() == 0
+    toxic, kept, unique = (stage(spark, odd, SF) for _, stage in pipeline.STAGES[:-1])
+    assert toxic.count() == len(ODD)
+    assert key(r.doc_id for r in unique.collect()) == key([1, 2, None, 4, 5, 6])
+    masks = quality_rules.apply_policy(quality_rules.ledger(odd), "strict-1").filter("kept")
+    assert key(r.doc_id for r in kept.collect()) == key(r.doc_id for r in masks.collect())
+    packed = pipeline.STAGES[-1][1](spark, odd, SF)
+    assert packed.filter("start = 0").count() == len(ODD) and pipeline.STAGES[-1][1](spark, empty, SF).count() == 0
+
+
+def test_pipeline_equals_its_parts(spark, texts):
+    """run() against plain versions: the model's scores, the rules' bits, classes by all pairs, each id packed once."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    score_of = toxicity.scorer(toxicity.fit(spark.read.parquet(f"{SF}/documents.parquet"), labels))
+    book = {r.doc_id: r.kept for r in queries.QUERIES["op1_quality_ledger"](spark, SF).collect()}
+    left = [(i, x) for i, x in texts.items() if score_of(x or "") < 0.7 and book[i]]
+    first = {doc for doc, least in brute_classes(left) if doc == least}
+    t = Tokenizer.from_file(BYTE)
+    lengths = collections.Counter()
+    for r in pipeline.run(spark, SF).collect():
+        lengths[r.doc_id] += r.length
+    assert lengths == {i: len(t.encode(x or "", add_special_tokens=False).ids) + 1 for i, x in left if i in first}
+
+
 def test_pipeline(spark, texts):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs, seen = spark.read.parquet(f"{SF}/documents.parquet"), []
