@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import in_order
+
 
 class MissingColumnError(ValueError):
     """A named column isn't in the table."""
@@ -99,17 +101,17 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
 
 
-def dense_index(df: DataFrame, column: str, name: str = "index", prefix: int = 2) -> DataFrame:
+def dense_index(df: DataFrame, column: str, name: str = "index") -> DataFrame:
     """Distinct strings and their places in ascending order, gapless from 0, without sorting all in one task.
 
-    Values are sorted among those with the same first `prefix` characters (hashed ids spread evenly over these), and
-    moved up by the values before; that table has a row for each prefix.
+    Values are range-partitioned, numbered inside their part and moved up by the values of the parts before; that table
+    has a row for each part. The parts are stored, so an index that is used twice is made once.
     """
-    values = df.select(F.col(column).cast("string").alias(column)).dropna().distinct().withColumn("_part", F.substring(column, 1, prefix))
-    sizes = values.groupBy("_part").agg(F.count("*").alias("_n"))
+    placed = in_order(df.select(F.col(column).cast("string").alias(column)).dropna().distinct(), column)
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     row = F.row_number().over(Window.partitionBy("_part").orderBy(column))
-    return values.withColumn("_row", row).join(before, "_part").select(column, (F.col("_before") + F.col("_row") - 1).cast("long").alias(name))
+    return placed.withColumn("_row", row).join(F.broadcast(before), "_part").select(column, (F.col("_before") + F.col("_row") - 1).cast("long").alias(name))
 
 
 def encode(df: DataFrame, column: str, mapping: DataFrame, key: str, index: str, new: str, missing: int | None = None) -> DataFrame:

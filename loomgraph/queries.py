@@ -246,7 +246,7 @@ def q147_dense_index(spark, d):
 @query(WITH_BOTH + f", {INDEX_SQL}, rel AS (SELECT relation_type, CAST(row_number() OVER (ORDER BY relation_type) - 1 AS BIGINT) AS r FROM (SELECT DISTINCT relation_type FROM edges)) SELECT s.index AS s, r, o.index AS o, year AS t FROM edges JOIN ni s ON subject_id = s.node_id JOIN rel USING (relation_type) JOIN ni o ON object_id = o.node_id WHERE year IS NOT NULL")
 def q090_index_facts(spark, d):
     e, index = kg.edges(spark, d).filter("year is not null"), relational.dense_index(kg.nodes(spark, d), "node_id")
-    rel = relational.dense_index(kg.edges(spark, d), "relation_type", "r", prefix=40)
+    rel = relational.dense_index(kg.edges(spark, d), "relation_type", "r")
     e = relational.encode(relational.encode(e, "subject_id", index, "node_id", "index", "s"), "object_id", index, "node_id", "index", "o")
     return relational.encode(e, "relation_type", rel, "relation_type", "r", "r").select("s", "r", "o", F.col("year").alias("t"))
 
