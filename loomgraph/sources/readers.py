@@ -47,15 +47,22 @@ def ndjson(spark: SparkSession, path: str, schema: T.StructType, *, valid: bool
     return spark.read.text(path).filter((F.trim("value") != "") & parsed[CORRUPT].isNotNull()).select(F.col("value").alias("line"))
 
 
-def publications(spark: SparkSession, path: str) -> DataFrame:
-    """Strings trimmed; authors without a name dropped; only rows with a positive year and an author."""
-    df = ndjson(spark, path, schemas.PUBLICATIONS).withColumns({c: F.trim(c) for c in ("pmid", "title", "abstract", "doi")})
+def publications(spark: SparkSession, path: str, parquet: bool = False) -> DataFrame:
+    """Strings trimmed; authors without a name dropped; only rows with a positive year and an author. NDJSON, or Parquet."""
+    df = spark.read.schema(schemas.PUBLICATIONS).parquet(path) if parquet else ndjson(spark, path, schemas.PUBLICATIONS)
+    df = df.withColumns({c: F.trim(c) for c in ("pmid", "title", "abstract", "doi")})
     named = F.filter("authors", lambda a: (F.coalesce(F.trim(a["first_name"]), F.lit("")) != "") | (F.coalesce(F.trim(a["last_name"]), F.lit("")) != ""))
     return df.withColumn("authors", named).filter((F.col("year") > 0) & (F.size("authors") > 0))
 
 
-def publication_links(spark: SparkSession, path: str) -> DataFrame:
-    return ndjson(spark, path, schemas.LINKS).dropna()
+def publication_links(spark: SparkSession, path: str, parquet: bool = False) -> DataFrame:
+    """Links with both ids. NDJSON, or Parquet."""
+    return (spark.read.schema(schemas.LINKS).parquet(path) if parquet else ndjson(spark, path, schemas.LINKS)).dropna()
+
+
+def row_count(spark: SparkSession, path: str, header: bool = True) -> int:
+    """Records of a delimited file, quoted line ends counted as text; without the header of each file."""
+    return spark.read.csv(path, header=header, multiLine=True).count()
 
 
 def n_triples(spark: SparkSession, path: str, skip: Sequence[str] = ()) -> DataFrame:

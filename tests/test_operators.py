@@ -276,6 +276,12 @@ def test_publication_files(spark, tmp_path):
     assert [(r.pmid, r.title, len(r.authors)) for r in got] == [("1", "t", 1)]
     (tmp_path / "l.ndjson").write_text('{"pmid": "1", "node_id": "n"}\n{"pmid": "1"}\n')
     assert rows(readers.publication_links(spark, str(tmp_path / "l.ndjson"))) == [("1", "n")]
+    for name, schema in (("p", schemas.PUBLICATIONS), ("l", schemas.LINKS)):
+        readers.ndjson(spark, str(tmp_path / f"{name}.ndjson"), schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert [r.pmid for r in readers.publications(spark, str(tmp_path / "p.parquet"), parquet=True).collect()] == ["1"]
+    assert rows(readers.publication_links(spark, str(tmp_path / "l.parquet"), parquet=True)) == [("1", "n")]
+    (tmp_path / "r.csv").write_text('a,b\n1,"x\ny"\n2,z\n')
+    assert readers.row_count(spark, str(tmp_path / "r.csv")) == 2
 
 
 def test_answer(spark):
