@@ -29,9 +29,12 @@ NODES_SQL = """nodes AS (
   UNION ALL SELECT md5('REGION|' || r_regionkey), 'REGION', r_name, 'REGION|' || r_regionkey FROM region
   UNION ALL SELECT md5('ORDER|' || o_orderkey), 'ORDER', o_orderpriority, 'ORDER|' || o_orderkey FROM orders)"""
 EDGES_SQL = """edges AS (
-  SELECT md5('CUSTOMER|' || o_custkey) AS subject_id, 'CUSTOMER' AS subject_domain, 'PLACED' AS relation_type, md5('ORDER|' || o_orderkey) AS object_id, 'ORDER' AS object_domain, CAST(year(o_orderdate) AS INTEGER) AS year, 1::INTEGER AS number_of_occurrences FROM orders
-  UNION ALL SELECT md5('ORDER|' || l_orderkey), 'ORDER', 'CONTAINS', md5('PART|' || l_partkey), 'PART', CAST(year(l_shipdate) AS INTEGER), CAST(count(*) AS INTEGER) FROM lineitem GROUP BY l_orderkey, l_partkey, year(l_shipdate)
-  UNION ALL SELECT md5('SUPPLIER|' || l_suppkey), 'SUPPLIER', 'SUPPLIES', md5('PART|' || l_partkey), 'PART', CAST(year(l_shipdate) AS INTEGER), CAST(count(*) AS INTEGER) FROM lineitem GROUP BY l_suppkey, l_partkey, year(l_shipdate)
+  SELECT md5('CUSTOMER|' || o_custkey) AS subject_id, 'CUSTOMER' AS subject_domain, 'PLACED' AS relation_type, md5('ORDER|' || o_orderkey) AS object_id, 'ORDER' AS object_domain, CAST(year(o_orderdate) AS INTEGER) AS year, 1::INTEGER AS number_of_occurrences
+  FROM orders
+  UNION ALL SELECT md5('ORDER|' || l_orderkey), 'ORDER', 'CONTAINS', md5('PART|' || l_partkey), 'PART', CAST(year(l_shipdate) AS INTEGER), CAST(count(*) AS INTEGER)
+  FROM lineitem GROUP BY l_orderkey, l_partkey, year(l_shipdate)
+  UNION ALL SELECT md5('SUPPLIER|' || l_suppkey), 'SUPPLIER', 'SUPPLIES', md5('PART|' || l_partkey), 'PART', CAST(year(l_shipdate) AS INTEGER), CAST(count(*) AS INTEGER)
+  FROM lineitem GROUP BY l_suppkey, l_partkey, year(l_shipdate)
   UNION ALL SELECT md5('CUSTOMER|' || c_custkey), 'CUSTOMER', 'LOCATED_IN', md5('NATION|' || c_nationkey), 'NATION', NULL, 1 FROM customer
   UNION ALL SELECT md5('SUPPLIER|' || s_suppkey), 'SUPPLIER', 'LOCATED_IN', md5('NATION|' || s_nationkey), 'NATION', NULL, 1 FROM supplier
   UNION ALL SELECT md5('NATION|' || n_nationkey), 'NATION', 'PART_OF', md5('REGION|' || n_regionkey), 'REGION', NULL, 1 FROM nation)"""
@@ -98,7 +101,8 @@ def q048_select_rename_filter(spark, d):
     return relational.select_columns(relational.rename_columns(df, {"c_name": "customer_name"}), ["c_custkey", "customer_name", "c_mktsegment"])
 
 
-@query("SELECT p_partkey, regexp_replace(p_brand, '[^0-9]', '', 'g') AS brand_number, string_split(p_type, ' ')[1] AS t1, string_split(p_type, ' ')[2] AS t2, concat_ws('|', p_brand, p_type) AS joined, replace(replace(replace(p_name, '\"', ''), '''', ''), '\\', '') AS plain FROM part")
+@query("""SELECT p_partkey, regexp_replace(p_brand, '[^0-9]', '', 'g') AS brand_number, string_split(p_type, ' ')[1] AS t1, string_split(p_type, ' ')[2] AS t2, concat_ws('|', p_brand, p_type) AS joined, replace(replace(replace(p_name, '"', ''), '''', ''), '\\', '') AS plain
+  FROM part""")
 def q056_text_columns(spark, d):
     df = t(spark, d, "part").withColumn("brand_number", F.col("p_brand"))
     df = relational.replace_pattern(df, ["brand_number"], "[^0-9]")
@@ -106,14 +110,17 @@ def q056_text_columns(spark, d):
     return df.select("p_partkey", "brand_number", "t1", "t2", "joined", tx.strip_quotes(F.col("p_name")).alias("plain"))
 
 
-@query("""SELECT o_orderkey, upper(replace(trim(o_orderpriority), ' ', '_')) AS relation, strftime(o_orderdate, '%Y') || '-01-01' AS year_text, CAST(make_date(year(o_orderdate), 1, 1) AS VARCHAR) AS year_start FROM orders""")
+@query("""SELECT o_orderkey, upper(replace(trim(o_orderpriority), ' ', '_')) AS relation, strftime(o_orderdate, '%Y') || '-01-01' AS year_text, CAST(make_date(year(o_orderdate), 1, 1) AS VARCHAR) AS year_start
+  FROM orders""")
 def q062_edge_projection(spark, d):
     date = F.date_format("o_orderdate", "yyyy-MM-dd")
     return t(spark, d, "orders").select("o_orderkey", tx.relation_name(F.col("o_orderpriority")).alias("relation"), tx.year_of_text(date).alias("year_text"), tx.year_start(F.year("o_orderdate")).cast("string").alias("year_start"))
 
 
-RELATIONS_SQL = """raw AS (SELECT l_orderkey AS pmid, CASE WHEN l_returnflag = 'R' THEN 'returns' ELSE 'ships' END AS relation_type, CASE WHEN l_suppkey % 10 = 0 THEN 'Supplier|-' ELSE 'Supplier|' || l_suppkey END AS s, 'Part|' || l_partkey AS o, CAST(year(l_shipdate) AS INTEGER) AS year FROM lineitem),
-clean AS (SELECT DISTINCT pmid, upper(relation_type) AS relation_type, md5(s) AS subject_id, md5(o) AS object_id, 'SUPPLIER' AS subject_domain, 'PART' AS object_domain, year FROM raw WHERE s <> 'Supplier|-')"""
+RELATIONS_SQL = """raw AS (SELECT l_orderkey AS pmid, CASE WHEN l_returnflag = 'R' THEN 'returns' ELSE 'ships' END AS relation_type, CASE WHEN l_suppkey % 10 = 0 THEN 'Supplier|-' ELSE 'Supplier|' || l_suppkey END AS s, 'Part|' || l_partkey AS o, CAST(year(l_shipdate) AS INTEGER) AS year
+  FROM lineitem),
+clean AS (SELECT DISTINCT pmid, upper(relation_type) AS relation_type, md5(s) AS subject_id, md5(o) AS object_id, 'SUPPLIER' AS subject_domain, 'PART' AS object_domain, year
+  FROM raw WHERE s <> 'Supplier|-')"""
 
 
 def _relations(spark, d):
@@ -122,14 +129,16 @@ def _relations(spark, d):
     return lines.select(F.col("l_orderkey").alias("pmid"), F.when(F.col("l_returnflag") == "R", F.lit("returns")).otherwise(F.lit("ships")).alias("relation_type"), supplier.alias("domain_pipe_subject_id_raw"), F.concat(F.lit("Part|"), F.col("l_partkey").cast("string")).alias("domain_pipe_object_id_raw"), F.year("l_shipdate").alias("year"))
 
 
-@query(f"WITH {RELATIONS_SQL} SELECT relation_type, subject_domain, object_domain, count(*) AS n, count(DISTINCT subject_id) AS subjects, count(DISTINCT md5(concat_ws('\\|', subject_id, relation_type, object_id))) AS relations FROM clean GROUP BY ALL")
+@query(f"""WITH {RELATIONS_SQL} SELECT relation_type, subject_domain, object_domain, count(*) AS n, count(DISTINCT subject_id) AS subjects, count(DISTINCT md5(concat_ws('\\|', subject_id, relation_type, object_id))) AS relations
+  FROM clean GROUP BY ALL""")
 def q063_clean_relations(spark, d):
     c = clean.clean_relations(_relations(spark, d))
     return c.groupBy("relation_type", "subject_domain", "object_domain").agg(F.count("*").alias("n"), F.count_distinct("subject_id").alias("subjects"), F.count_distinct("relation_id").alias("relations"))
 
 
 @query(f"""WITH {RELATIONS_SQL}, f AS (SELECT DISTINCT subject_id, relation_type, object_id, year, pmid FROM clean)
-SELECT subject_id, relation_type, object_id, min(year) AS year, count(*) AS number_of_occurrences, array_to_string(list_sort(list(DISTINCT year)), '|') AS year_occurrences, array_to_string(list_sort(list(DISTINCT pmid)), '|') AS pmids, 'SUPPLIER' AS subject_domain, 'PART' AS object_domain FROM f GROUP BY 1, 2, 3""")
+SELECT subject_id, relation_type, object_id, min(year) AS year, count(*) AS number_of_occurrences, array_to_string(list_sort(list(DISTINCT year)), '|') AS year_occurrences, array_to_string(list_sort(list(DISTINCT pmid)), '|') AS pmids, 'SUPPLIER' AS subject_domain, 'PART' AS object_domain
+  FROM f GROUP BY 1, 2, 3""")
 def q113_triples_over_years(spark, d):
     return clean.aggregate_years(clean.clean_relations(_relations(spark, d)))
 
@@ -140,7 +149,8 @@ def q065_attach_year(spark, d):
     return clean.attach_year(t(spark, d, "lineitem").select(F.col("l_orderkey").alias("pmid"), "l_partkey"), years)
 
 
-@query(WITH_EDGES + "SELECT relation_type, year, count(*) AS n FROM edges WHERE make_date(year, 1, 1) >= DATE '1994-01-01' AND make_date(year, 1, 1) < DATE '1997-01-01' AND relation_type IN ('PLACED', 'SUPPLIES') GROUP BY ALL")
+@query(WITH_EDGES + """SELECT relation_type, year, count(*) AS n FROM edges WHERE make_date(year, 1, 1) >= DATE '1994-01-01' AND make_date(year, 1, 1) < DATE '1997-01-01' AND relation_type IN ('PLACED', 'SUPPLIES')
+  GROUP BY ALL""")
 def q068_temporal_slice(spark, d):
     e = splits.between_years(kg.edges(spark, d), "1994-01-01", "1997-01-01").filter(F.col("relation_type").isin("PLACED", "SUPPLIES"))
     return e.groupBy("relation_type", "year").agg(F.count("*").alias("n"))
@@ -152,19 +162,26 @@ def q071_proportion_split(spark, d):
     return splits.proportion_split(t(spark, d, "orders").select("o_orderkey"), "o_orderkey", (0.8, 0.1, 0.1))
 
 
-@query(WITH_EDGES + ", f AS (SELECT * FROM edges WHERE relation_type = 'SUPPLIES'), tr AS (SELECT * FROM f WHERE year < 1995), s AS (SELECT subject_id AS id FROM tr UNION SELECT object_id FROM tr) SELECT subject_id, object_id, year FROM f WHERE year >= 1995 AND subject_id IN (SELECT id FROM s) AND object_id IN (SELECT id FROM s)")
+@query(WITH_EDGES + """, f AS (SELECT * FROM edges WHERE relation_type = 'SUPPLIES'), tr AS (SELECT * FROM f
+  WHERE year < 1995), s AS (SELECT subject_id AS id FROM tr UNION SELECT object_id FROM tr)
+  SELECT subject_id, object_id, year FROM f WHERE year >= 1995 AND subject_id IN (SELECT id FROM s) AND object_id IN (SELECT id FROM s)""")
 def q072_prune_unseen(spark, d):
     f = kg.edges(spark, d).filter("relation_type = 'SUPPLIES'")
     return splits.prune_unseen(f.filter("year >= 1995"), f.filter("year < 1995")).select("subject_id", "object_id", "year")
 
 
-@query(WITH_BOTH + "SELECT node_id, node_name FROM nodes WHERE node_id IN (SELECT subject_id FROM edges WHERE relation_type = 'SUPPLIES' AND year = 1995 UNION SELECT object_id FROM edges WHERE relation_type = 'SUPPLIES' AND year = 1995)")
+@query(WITH_BOTH + """SELECT node_id, node_name FROM nodes WHERE node_id IN (SELECT subject_id FROM edges
+  WHERE relation_type = 'SUPPLIES' AND year = 1995 UNION SELECT object_id FROM edges
+  WHERE relation_type = 'SUPPLIES' AND year = 1995)""")
 def q073_used_nodes(spark, d):
     return splits.used_nodes(kg.nodes(spark, d), kg.edges(spark, d).filter("relation_type = 'SUPPLIES' AND year = 1995")).select("node_id", "node_name")
 
 
-HYP_SQL = """raw AS (SELECT l_orderkey, l_linenumber, 'S' || l_suppkey || ' <=====> P' || l_partkey AS pair, 'rel' || (l_partkey % 5) || ', rel' || (l_suppkey % 5) AS predictions, 'rel' || (l_orderkey % 5) AS known, l_quantity / 50 AS c1, l_discount * 10 AS c2, 'S' || l_suppkey AS a, 'P' || l_partkey AS b FROM lineitem),
-flat AS (SELECT l_orderkey, l_linenumber, a, b, 'rel' || (CAST(substr(b, 2) AS BIGINT) % 5) AS relation, known, c1 AS score FROM raw UNION ALL SELECT l_orderkey, l_linenumber, a, b, 'rel' || (CAST(substr(a, 2) AS BIGINT) % 5), known, c2 FROM raw)"""
+HYP_SQL = """raw AS (SELECT l_orderkey, l_linenumber, 'S' || l_suppkey || ' <=====> P' || l_partkey AS pair, 'rel' || (l_partkey % 5) || ', rel' || (l_suppkey % 5) AS predictions, 'rel' || (l_orderkey % 5) AS known, l_quantity / 50 AS c1, l_discount * 10 AS c2, 'S' || l_suppkey AS a, 'P' || l_partkey AS b
+  FROM lineitem),
+flat AS (SELECT l_orderkey, l_linenumber, a, b, 'rel' || (CAST(substr(b, 2) AS BIGINT) % 5) AS relation, known, c1 AS score
+  FROM raw UNION ALL SELECT l_orderkey, l_linenumber, a, b, 'rel' || (CAST(substr(a, 2) AS BIGINT) % 5), known, c2
+  FROM raw)"""
 
 
 @query(f"WITH {HYP_SQL} SELECT a, b, relation, score FROM flat WHERE relation <> known")
@@ -176,13 +193,16 @@ def q075_prepare_hypotheses(spark, d):
     return h.select(F.col("node_pair")[0].alias("a"), F.col("node_pair")[1].alias("b"), "relation", F.col("confidence_score").alias("score"))
 
 
-@query("WITH h AS (SELECT l_suppkey AS a, l_partkey + 1000000 AS b, max(l_extendedprice) AS score FROM lineitem GROUP BY ALL), e AS (SELECT *, unnest([a, b]) AS x FROM h), r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY score DESC, a, b) AS k FROM e) SELECT DISTINCT a, b, score FROM r WHERE k <= 2")
+@query("""WITH h AS (SELECT l_suppkey AS a, l_partkey + 1000000 AS b, max(l_extendedprice) AS score FROM lineitem GROUP BY ALL),
+  e AS (SELECT *, unnest([a, b]) AS x FROM h), r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY score DESC, a, b) AS k FROM e)
+  SELECT DISTINCT a, b, score FROM r WHERE k <= 2""")
 def q142_top_k_per_entity(spark, d):
     h = t(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 1000000).alias("b")).agg(F.max("l_extendedprice").alias("score"))
     return hypotheses.top_k_per_entity(h, 2, "a", "b", "score")
 
 
-YEARS_SQL = """b AS (SELECT unnest([subject_id, object_id]) AS entity, year, paper FROM (SELECT md5('SUPPLIER|' || l_suppkey) AS subject_id, md5('PART|' || l_partkey) AS object_id, CAST(year(l_shipdate) AS INTEGER) AS year, l_orderkey AS paper FROM lineitem)),
+YEARS_SQL = """b AS (SELECT unnest([subject_id, object_id]) AS entity, year, paper FROM (SELECT md5('SUPPLIER|' || l_suppkey) AS subject_id, md5('PART|' || l_partkey) AS object_id, CAST(year(l_shipdate) AS INTEGER) AS year, l_orderkey AS paper
+  FROM lineitem)),
 y AS (SELECT entity, year, count(*) AS n FROM b GROUP BY ALL),
 m AS (SELECT entity, year AS mode_year FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY n DESC, year) AS r FROM y) WHERE r = 1),
 st AS (SELECT entity, mode_year, CAST(trunc(median(year)) AS INTEGER) AS median_year, count(DISTINCT paper) AS papers FROM b JOIN m USING (entity) GROUP BY ALL)"""
@@ -223,7 +243,12 @@ def q086_pattern(spark, d):
     return conditions.bindings(kg.edges(spark, d), "subject_id", relation="LOCATED_IN", object_=_id("NATION", 5), subject_domain="CUSTOMER")
 
 
-@query(WITH_EDGES + ", p AS (SELECT object_id AS x FROM edges WHERE relation_type = 'SUPPLIES' AND subject_id = md5('SUPPLIER|1')), q AS (SELECT object_id AS x FROM edges WHERE relation_type = 'SUPPLIES' AND subject_id = md5('SUPPLIER|2')), n AS (SELECT subject_id AS x FROM edges WHERE object_id = md5('NATION|3') GROUP BY 1 HAVING max((relation_type = 'PART_OF')::INT) = 0) SELECT x AS node_id, 'any' AS kind FROM (SELECT x FROM p UNION SELECT x FROM q) UNION ALL SELECT x, 'all' FROM (SELECT x FROM p INTERSECT SELECT x FROM q) UNION ALL SELECT x, 'not' FROM n")
+@query(WITH_EDGES + """, p AS (SELECT object_id AS x FROM edges WHERE relation_type = 'SUPPLIES' AND subject_id = md5('SUPPLIER|1')),
+  q AS (SELECT object_id AS x FROM edges WHERE relation_type = 'SUPPLIES' AND subject_id = md5('SUPPLIER|2')),
+  n AS (SELECT subject_id AS x FROM edges WHERE object_id = md5('NATION|3') GROUP BY 1 HAVING max((relation_type = 'PART_OF')::INT) = 0)
+  SELECT x AS node_id, 'any' AS kind FROM (SELECT x FROM p UNION SELECT x FROM q)
+  UNION ALL SELECT x, 'all' FROM (SELECT x FROM p INTERSECT SELECT x FROM q)
+  UNION ALL SELECT x, 'not' FROM n""")
 def q087_condition_tree(spark, d):
     e = kg.edges(spark, d)
     a, b = (conditions.Link("SUPPLIES", _id("SUPPLIER", k), outgoing=False) for k in (1, 2))
@@ -243,7 +268,10 @@ def q147_dense_index(spark, d):
     return relational.dense_index(kg.nodes(spark, d), "node_id")
 
 
-@query(WITH_BOTH + f", {INDEX_SQL}, rel AS (SELECT relation_type, CAST(row_number() OVER (ORDER BY relation_type) - 1 AS BIGINT) AS r FROM (SELECT DISTINCT relation_type FROM edges)) SELECT s.index AS s, r, o.index AS o, year AS t FROM edges JOIN ni s ON subject_id = s.node_id JOIN rel USING (relation_type) JOIN ni o ON object_id = o.node_id WHERE year IS NOT NULL")
+@query(WITH_BOTH + f""", {INDEX_SQL}, rel AS (SELECT relation_type, CAST(row_number() OVER (ORDER BY relation_type) - 1 AS BIGINT) AS r
+  FROM (SELECT DISTINCT relation_type FROM edges)) SELECT s.index AS s, r, o.index AS o, year AS t FROM edges
+  JOIN ni s ON subject_id = s.node_id JOIN rel USING (relation_type) JOIN ni o ON object_id = o.node_id
+  WHERE year IS NOT NULL""")
 def q090_index_facts(spark, d):
     e, index = kg.edges(spark, d).filter("year is not null"), relational.dense_index(kg.nodes(spark, d), "node_id")
     rel = relational.dense_index(kg.edges(spark, d), "relation_type", "r")
@@ -251,20 +279,26 @@ def q090_index_facts(spark, d):
     return relational.encode(e, "relation_type", rel, "relation_type", "r", "r").select("s", "r", "o", F.col("year").alias("t"))
 
 
-@query(WITH_EDGES + ", x AS (SELECT subject_id, object_id FROM edges WHERE relation_type = 'SUPPLIES' AND year <= 1994) SELECT subject_id, relation_type, object_id, year FROM edges WHERE relation_type = 'SUPPLIES' AND year > 1994 AND NOT EXISTS (SELECT 1 FROM x WHERE x.subject_id = edges.subject_id AND x.object_id = edges.object_id)")
+@query(WITH_EDGES + """, x AS (SELECT subject_id, object_id FROM edges WHERE relation_type = 'SUPPLIES' AND year <= 1994)
+  SELECT subject_id, relation_type, object_id, year FROM edges WHERE relation_type = 'SUPPLIES' AND year > 1994 AND NOT EXISTS (SELECT 1 FROM x
+  WHERE x.subject_id = edges.subject_id AND x.object_id = edges.object_id)""")
 def q095_remove_edges(spark, d):
     e = kg.edges(spark, d).filter("relation_type = 'SUPPLIES'")
     return e.filter("year > 1994").join(e.filter("year <= 1994").select("subject_id", "object_id").distinct(), ["subject_id", "object_id"], "left_anti").select("subject_id", "relation_type", "object_id", "year")
 
 
-@query(WITH_EDGES + ", k AS (SELECT DISTINCT object_id FROM edges WHERE relation_type = 'SUPPLIES' AND year = 1993) SELECT edges.object_id, k.object_id IS NOT NULL AS known, count(*) AS n FROM edges LEFT JOIN k USING (object_id) WHERE relation_type = 'SUPPLIES' GROUP BY 1, 2")
+@query(WITH_EDGES + """, k AS (SELECT DISTINCT object_id FROM edges WHERE relation_type = 'SUPPLIES' AND year = 1993)
+  SELECT edges.object_id, k.object_id IS NOT NULL AS known, count(*) AS n FROM edges
+  LEFT JOIN k USING (object_id) WHERE relation_type = 'SUPPLIES' GROUP BY 1, 2""")
 def q097_known_fact_flag(spark, d):
     e = kg.edges(spark, d).filter("relation_type = 'SUPPLIES'")
     known = e.filter("year = 1993").select("object_id").distinct().withColumn("k", F.lit(True))
     return e.join(known, "object_id", "left").groupBy("object_id", F.coalesce("k", F.lit(False)).alias("known")).agg(F.count("*").alias("n"))
 
 
-@query("WITH f AS (SELECT o_custkey AS s, o_orderpriority AS r, CAST(year(o_orderdate) AS INTEGER) AS t FROM orders) SELECT s, r, t, array_to_string(list_sort(list_distinct(list_append(coalesce((SELECT list(DISTINCT h.r) FROM f h WHERE h.s = f.s AND h.t < f.t), []), r))), '|') AS labels FROM f")
+@query("""WITH f AS (SELECT o_custkey AS s, o_orderpriority AS r, CAST(year(o_orderdate) AS INTEGER) AS t FROM orders)
+  SELECT s, r, t, array_to_string(list_sort(list_distinct(list_append(coalesce((SELECT list(DISTINCT h.r) FROM f h
+  WHERE h.s = f.s AND h.t < f.t), []), r))), '|') AS labels FROM f""")
 def q103_history_labels(spark, d):
     f = t(spark, d, "orders").select(F.col("o_custkey").alias("s"), F.col("o_orderpriority").alias("r"), F.year("o_orderdate").alias("t"))
     return splits.history_labels(f, ["s"], "r", "t").withColumn("labels", F.array_join("labels", "|"))
@@ -279,7 +313,8 @@ def q106_ordered_lookup(spark, d):
 # Aggregations
 
 
-@query("SELECT o_orderpriority, sum(o_totalprice) AS o_totalprice_sum, max(o_totalprice) AS o_totalprice_max, count(o_orderkey) AS o_orderkey_count, count(DISTINCT o_custkey) AS o_custkey_nunique FROM orders GROUP BY 1", o_totalprice_sum=2)
+@query("""SELECT o_orderpriority, sum(o_totalprice) AS o_totalprice_sum, max(o_totalprice) AS o_totalprice_max, count(o_orderkey) AS o_orderkey_count, count(DISTINCT o_custkey) AS o_custkey_nunique
+  FROM orders GROUP BY 1""", o_totalprice_sum=2)
 def q109_group_aggregate(spark, d):
     return relational.groupby_aggregate(t(spark, d, "orders"), ["o_orderpriority"], {"o_totalprice": ["sum", "max"], "o_orderkey": "count", "o_custkey": "nunique"})
 
@@ -310,18 +345,22 @@ def q116_quality_profile(spark, d):
     return kg.edges(spark, d).agg(F.count("*").alias("n"), F.count_if(F.col("year").isNull()).alias("null_years"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.count_distinct("year").alias("years"))
 
 
-@query("SELECT o_custkey, array_to_string([CASE WHEN list_contains(l, x) THEN 1 ELSE 0 END FOR x IN [1, 2, 3, 4, 5]], '') AS hot FROM (SELECT o_custkey, list(DISTINCT CAST(substr(o_orderpriority, 1, 1) AS INTEGER)) AS l FROM orders GROUP BY 1)")
+@query("""SELECT o_custkey, array_to_string([CASE WHEN list_contains(l, x) THEN 1 ELSE 0 END FOR x IN [1, 2, 3, 4, 5]], '') AS hot
+  FROM (SELECT o_custkey, list(DISTINCT CAST(substr(o_orderpriority, 1, 1) AS INTEGER)) AS l FROM orders GROUP BY 1)""")
 def q120_multi_hot(spark, d):
     g = t(spark, d, "orders").groupBy("o_custkey").agg(F.collect_set(F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("l"))
     return g.select("o_custkey", F.array_join(F.transform(vx.multi_hot(F.col("l"), 5), lambda x: x.cast("string")), "").alias("hot"))
 
 
-@query(WITH_EDGES + ", e AS (SELECT * FROM edges WHERE year >= 1993 AND year < 1997) SELECT node_id, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree, count(*) AS degree FROM (SELECT subject_id AS node_id, 0 AS i, 1 AS o FROM e UNION ALL SELECT object_id, 1, 0 FROM e) GROUP BY 1")
+@query(WITH_EDGES + """, e AS (SELECT * FROM edges WHERE year >= 1993 AND year < 1997) SELECT node_id, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree, count(*) AS degree
+  FROM (SELECT subject_id AS node_id, 0 AS i, 1 AS o FROM e UNION ALL SELECT object_id, 1, 0 FROM e) GROUP BY 1""")
 def q121_degrees(spark, d):
     return hypotheses.degrees(kg.edges(spark, d), 1993, 1997)
 
 
-@query(WITH_EDGES + "SELECT node_id, count(DISTINCT i) AS in_years, count(DISTINCT o) AS out_years FROM (SELECT subject_id AS node_id, NULL AS i, year AS o FROM edges WHERE year IS NOT NULL UNION ALL SELECT object_id, year, NULL FROM edges WHERE year IS NOT NULL) GROUP BY 1")
+@query(WITH_EDGES + """SELECT node_id, count(DISTINCT i) AS in_years, count(DISTINCT o) AS out_years
+  FROM (SELECT subject_id AS node_id, NULL AS i, year AS o FROM edges WHERE year IS NOT NULL
+  UNION ALL SELECT object_id, year, NULL FROM edges WHERE year IS NOT NULL) GROUP BY 1""")
 def q122_year_degrees(spark, d):
     return hypotheses.year_degrees(kg.edges(spark, d))
 
@@ -338,9 +377,13 @@ def q128_completeness(spark, d):
 
 
 @query("""WITH p AS (SELECT l_returnflag AS target, CASE WHEN l_quantity > 40 THEN 'R' WHEN l_linestatus = 'O' THEN 'N' ELSE 'A' END AS pred FROM lineitem),
-k AS (SELECT class, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM (SELECT target AS class, (target = pred)::INT AS tp, 0 AS fp, (target <> pred)::INT AS fn FROM p UNION ALL SELECT pred, 0, (target <> pred)::INT, 0 FROM p) GROUP BY 1),
-r AS (SELECT *, tp + fn AS n, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f FROM k)
-SELECT avg(p) AS precision_macro, avg(r) AS recall_macro, avg(f) AS f1_macro, sum(tp) / (sum(tp) + sum(fp)) AS precision_micro, sum(tp) / (sum(tp) + sum(fn)) AS recall_micro, sum(p * n) / sum(n) AS precision_weighted, sum(r * n) / sum(n) AS recall_weighted, sum(f * n) / sum(n) AS f1_weighted FROM r""", precision_macro=9, recall_macro=9, f1_macro=9, precision_micro=9, recall_micro=9, precision_weighted=9, recall_weighted=9, f1_weighted=9)
+k AS (SELECT class, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn
+  FROM (SELECT target AS class, (target = pred)::INT AS tp, 0 AS fp, (target <> pred)::INT AS fn FROM p
+  UNION ALL SELECT pred, 0, (target <> pred)::INT, 0 FROM p) GROUP BY 1),
+r AS (SELECT *, tp + fn AS n, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f
+  FROM k)
+SELECT avg(p) AS precision_macro, avg(r) AS recall_macro, avg(f) AS f1_macro, sum(tp) / (sum(tp) + sum(fp)) AS precision_micro, sum(tp) / (sum(tp) + sum(fn)) AS recall_micro, sum(p * n) / sum(n) AS precision_weighted, sum(r * n) / sum(n) AS recall_weighted, sum(f * n) / sum(n) AS f1_weighted
+  FROM r""", precision_macro=9, recall_macro=9, f1_macro=9, precision_micro=9, recall_micro=9, precision_weighted=9, recall_weighted=9, f1_weighted=9)
 def q131_precision_recall(spark, d):
     p = t(spark, d, "lineitem").select(F.col("l_returnflag").alias("target"), F.when(F.col("l_quantity") > 40, F.lit("R")).when(F.col("l_linestatus") == "O", F.lit("N")).otherwise(F.lit("A")).alias("pred"))
     return metrics.precision_recall_f1(p, "pred", "target")
@@ -361,13 +404,15 @@ def q133_target_ranks(spark, d):
     return _ranks(spark, d)
 
 
-@query(f"WITH {RANK_SQL} SELECT avg(rank_pessimistic) AS mean_rank, avg(1 / rank_optimistic) AS mrr, avg((rank_optimistic <= 1)::INT) AS hits_at_1, avg((rank_optimistic <= 3)::INT) AS hits_at_3, avg((rank_optimistic <= 10)::INT) AS hits_at_10 FROM rk", mean_rank=9, mrr=9)
+@query(f"""WITH {RANK_SQL} SELECT avg(rank_pessimistic) AS mean_rank, avg(1 / rank_optimistic) AS mrr, avg((rank_optimistic <= 1)::INT) AS hits_at_1, avg((rank_optimistic <= 3)::INT) AS hits_at_3, avg((rank_optimistic <= 10)::INT) AS hits_at_10
+  FROM rk""", mean_rank=9, mrr=9)
 def q132_ranking_metrics(spark, d):
     return metrics.ranking_metrics(_ranks(spark, d))
 
 
 @query("""SELECT p_partkey, (p_retailprice - lo) / (hi - lo) AS min_max, (p_retailprice - mean) / dev AS standard, 1 / (1 + exp(-(p_retailprice - lo) / greatest(mid / ln(0.99 / 0.01), 1e-6))) AS sigmoid
-FROM part, (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi, avg(p_retailprice) AS mean, stddev_samp(p_retailprice) AS dev, quantile_disc(p_retailprice, 0.5) AS mid FROM part)""", min_max=9, standard=9, sigmoid=9)
+FROM part, (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi, avg(p_retailprice) AS mean, stddev_samp(p_retailprice) AS dev, quantile_disc(p_retailprice, 0.5) AS mid
+  FROM part)""", min_max=9, standard=9, sigmoid=9)
 def q137_scalers(spark, d):
     p = t(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("x"))
     s = p.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("dev"), F.expr("percentile_disc(0.5) within group (order by x)").alias("mid"))
@@ -384,19 +429,24 @@ def q139_norms(spark, d):
 # Windows, order, limits
 
 
-@query("SELECT l_partkey, l_orderkey, r FROM (SELECT l_partkey, l_orderkey, CAST(row_number() OVER (PARTITION BY l_partkey ORDER BY o_totalprice DESC NULLS FIRST, year(o_orderdate) DESC NULLS FIRST, l_orderkey, l_linenumber) AS INTEGER) AS r FROM lineitem JOIN orders ON o_orderkey = l_orderkey) WHERE r <= 3")
+@query("""SELECT l_partkey, l_orderkey, r FROM (SELECT l_partkey, l_orderkey, CAST(row_number() OVER (PARTITION BY l_partkey ORDER BY o_totalprice DESC NULLS FIRST, year(o_orderdate) DESC NULLS FIRST, l_orderkey, l_linenumber) AS INTEGER) AS r
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+  WHERE r <= 3""")
 def q141_top_publications(spark, d):
     m = t(spark, d, "lineitem").join(t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).withColumn("y", F.year("o_orderdate"))
     w = Window.partitionBy("l_partkey").orderBy(F.desc_nulls_first("o_totalprice"), F.desc_nulls_first("y"), "l_orderkey", "l_linenumber")
     return m.withColumn("r", F.row_number().over(w)).filter("r <= 3").select("l_partkey", "l_orderkey", "r")
 
 
-@query("WITH c AS (SELECT year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1), r AS (SELECT y, sum(n) OVER (ORDER BY y) - (n - 1) / 2 AS k FROM c) SELECT o_orderkey, (k - (SELECT min(k) FROM r)) / ((SELECT max(k) FROM r) - (SELECT min(k) FROM r)) AS scaled_rank FROM orders JOIN r ON y = year(o_orderdate)", scaled_rank=9)
+@query("""WITH c AS (SELECT year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1),
+  r AS (SELECT y, sum(n) OVER (ORDER BY y) - (n - 1) / 2 AS k FROM c) SELECT o_orderkey, (k - (SELECT min(k)
+  FROM r)) / ((SELECT max(k) FROM r) - (SELECT min(k) FROM r)) AS scaled_rank FROM orders JOIN r ON y = year(o_orderdate)""", scaled_rank=9)
 def q143_average_rank(spark, d):
     return hypotheses.average_rank(t(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("y")), "y").select("o_orderkey", "scaled_rank")
 
 
-@query("SELECT l_orderkey, l_linenumber, r = 1 AS best FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS r FROM lineitem)")
+@query("""SELECT l_orderkey, l_linenumber, r = 1 AS best FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS r
+  FROM lineitem)""")
 def q144_best_per_pathway(spark, d):
     w = Window.partitionBy("l_suppkey").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber")
     return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.row_number().over(w) == 1).alias("best"))
@@ -423,7 +473,8 @@ def q150_recency_score_as_coded(spark, d):
     return hypotheses.recency_scores(kg.edges(spark, d), 1992, 1999, 2, as_coded=True)
 
 
-@query(WITH_EDGES + WIN_SQL + ", p AS (SELECT node_id, count(*) AS degree, count(*) FILTER (bucket = 0) AS first FROM e GROUP BY 1) SELECT node_id, (1 + (degree - first) / degree) * ln(degree) AS score FROM p", score=6)
+@query(WITH_EDGES + WIN_SQL + """, p AS (SELECT node_id, count(*) AS degree, count(*) FILTER (bucket = 0) AS first FROM e GROUP BY 1)
+  SELECT node_id, (1 + (degree - first) / degree) * ln(degree) AS score FROM p""", score=6)
 def q151_entropy_score(spark, d):
     return hypotheses.entropy_scores(kg.edges(spark, d), 1992, 1999, 2)
 
@@ -434,7 +485,8 @@ def q162_token_budget(spark, d):
     return t(spark, d, "conversations").withColumn("used", F.sum(F.char_length("text")).over(w)).filter("used <= 400").select("conv_id", "turn")
 
 
-@query("SELECT user_id, array_to_string(list_slice(l, -3, -1), '|') AS last, array_to_string(list_slice(l, 1, 3), '|') AS first FROM (SELECT user_id, list_sort(list(event_id)) AS l FROM events GROUP BY 1)")
+@query("""SELECT user_id, array_to_string(list_slice(l, -3, -1), '|') AS last, array_to_string(list_slice(l, 1, 3), '|') AS first
+  FROM (SELECT user_id, list_sort(list(event_id)) AS l FROM events GROUP BY 1)""")
 def q163_id_limit(spark, d):
     e = t(spark, d, "events").select("user_id", "event_id")
 
@@ -486,12 +538,15 @@ def q181_render_path(spark, d):
     return t(spark, d, "lineitem").groupBy("l_orderkey").agg(tx.render_path(F.sort_array(F.collect_list(hop))).alias("path"))
 
 
-@query("SELECT doc_id, md5(trim(regexp_replace(regexp_replace(trim(regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'), ' '), '^[\"'']+|[\"'']+$', '', 'g'), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'), ' ')) AS clean FROM documents")
+@query("""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(trim(regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'), ' '), '^["'']+|["'']+$', '', 'g'), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'), ' ')) AS clean
+  FROM documents""")
 def q182_clean_text(spark, d):
     return t(spark, d, "documents").select("doc_id", F.md5(tx.clean_name(F.col("text"))).alias("clean"))
 
 
-@query("WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \\n\\t\\r\\f\\x0b]+'), lambda x: x <> '') AS ws FROM documents), c AS (SELECT doc_id, ws, unnest(generate_series(0, greatest(len(ws) - 1 - 16, 0), 48)) AS i FROM w) SELECT doc_id, CAST(i // 48 + 1 AS INTEGER) AS chunk_index, md5(array_to_string(list_slice(ws, i + 1, i + 64), ' ')) AS chunk FROM c")
+@query("""WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \\n\\t\\r\\f\\x0b]+'), lambda x: x <> '') AS ws FROM documents),
+  c AS (SELECT doc_id, ws, unnest(generate_series(0, greatest(len(ws) - 1 - 16, 0), 48)) AS i FROM w)
+  SELECT doc_id, CAST(i // 48 + 1 AS INTEGER) AS chunk_index, md5(array_to_string(list_slice(ws, i + 1, i + 64), ' ')) AS chunk FROM c""")
 def q208_token_windows(spark, d):
     words = F.filter(F.split("text", r"[ \n\t\r\f\x0b]+"), lambda x: x != "")
     return t(spark, d, "documents").select("doc_id", F.posexplode(tx.windows(words, 64, 16)).alias("i", "c")).select("doc_id", (F.col("i") + 1).alias("chunk_index"), F.md5(F.array_join("c", " ")).alias("chunk"))
@@ -514,7 +569,8 @@ def q206_sentence_chunks(spark, d):
 
 
 @query("""WITH h AS (SELECT p_partkey, sha1(from_hex('6ba7b8129dad11d180b400c04fd430c8') || encode('[["domain", "PART"], ["name", ' || to_json(p_name)::VARCHAR || ']]')) AS h FROM part)
-SELECT p_partkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', CAST('0x' || substr(h, 17, 1) AS INTEGER) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id FROM h""")
+SELECT p_partkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', CAST('0x' || substr(h, 17, 1) AS INTEGER) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id
+  FROM h""")
 def q176_uuid5(spark, d):
     return t(spark, d, "part").select("p_partkey", tx.identity_uuid(name=F.col("p_name"), domain=F.lit("PART")).alias("id"))
 
@@ -530,7 +586,8 @@ def _vector_pairs(spark, d):
     return e.select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"), F.col("embedding").alias("x")).join(e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y")), "b")
 
 
-@query(f"WITH {PAIRS_SQL} SELECT a, b, list_inner_product(x, y) / (CASE WHEN list_inner_product(x, x) = 0 THEN 1 ELSE sqrt(list_inner_product(x, x)) END * CASE WHEN list_inner_product(y, y) = 0 THEN 1 ELSE sqrt(list_inner_product(y, y)) END) AS cosine, list_inner_product(x, y) AS dot, 1 / (1 + list_distance(x, y)) AS euclid FROM p", cosine=6, dot=6, euclid=6)
+@query(f"""WITH {PAIRS_SQL} SELECT a, b, list_inner_product(x, y) / (CASE WHEN list_inner_product(x, x) = 0 THEN 1 ELSE sqrt(list_inner_product(x, x)) END * CASE WHEN list_inner_product(y, y) = 0 THEN 1 ELSE sqrt(list_inner_product(y, y)) END) AS cosine, list_inner_product(x, y) AS dot, 1 / (1 + list_distance(x, y)) AS euclid
+  FROM p""", cosine=6, dot=6, euclid=6)
 def q198_similarities(spark, d):
     x, y = F.col("x"), F.col("y")
     return _vector_pairs(spark, d).select("a", "b", vx.cosine(x, y).alias("cosine"), vx.dot(x, y).alias("dot"), vx.euclidean_likeness(x, y).alias("euclid"))
@@ -539,7 +596,8 @@ def q198_similarities(spark, d):
 TRIPLE_SQL = "p AS (SELECT a.vec_id AS id, a.embedding::DOUBLE[] AS s, b.embedding::DOUBLE[] AS r, c.embedding::DOUBLE[] AS o, len(a.embedding) // 2 AS h FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 JOIN embeddings c ON c.vec_id = a.vec_id + 2), i AS (SELECT *, unnest(generate_series(1, h)) AS k FROM p), z AS (SELECT id, s[k] AS sr, s[k + h] AS si, r[k] AS rr, r[k + h] AS ri, o[k] AS orr, o[k + h] AS oi FROM i)"
 
 
-@query(f"WITH {TRIPLE_SQL} SELECT id, sum(sr * rr * orr + si * ri * oi) AS distmult, sum(sr * rr * orr + si * rr * oi + sr * ri * oi - si * ri * orr) AS complex, -sqrt(sum(pow((sr * rr - si * ri) / sqrt(rr * rr + ri * ri) - orr, 2) + pow((sr * ri + si * rr) / sqrt(rr * rr + ri * ri) - oi, 2))) AS rotate FROM z GROUP BY 1", distmult=6, complex=6, rotate=6)
+@query(f"""WITH {TRIPLE_SQL} SELECT id, sum(sr * rr * orr + si * ri * oi) AS distmult, sum(sr * rr * orr + si * rr * oi + sr * ri * oi - si * ri * orr) AS complex, -sqrt(sum(pow((sr * rr - si * ri) / sqrt(rr * rr + ri * ri) - orr, 2) + pow((sr * ri + si * rr) / sqrt(rr * rr + ri * ri) - oi, 2))) AS rotate
+  FROM z GROUP BY 1""", distmult=6, complex=6, rotate=6)
 def q200_link_scores(spark, d):
     e = t(spark, d, "embeddings")
     shifted = lambda k, name: e.select((F.col("vec_id") - k).alias("id"), F.col("embedding").alias(name))
@@ -548,14 +606,19 @@ def q200_link_scores(spark, d):
     return p.select("id", vx.distmult(s, r, o).alias("distmult"), vx.complex_score(s, r, o).alias("complex"), vx.rotate_score(s, r, o).alias("rotate"))
 
 
-@query("WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id, list_cosine_similarity(x, embedding::DOUBLE[]) AS score FROM q, embeddings WHERE query_id <> vec_id) SELECT query_id, vec_id, round(score, 6) AS score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS r FROM s) WHERE r <= 5")
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id, list_cosine_similarity(x, embedding::DOUBLE[]) AS score FROM q, embeddings
+  WHERE query_id <> vec_id) SELECT query_id, vec_id, round(score, 6) AS score, CAST(r AS INTEGER) AS rank
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS r FROM s)
+  WHERE r <= 5""")
 def q269_similarity_search(spark, d):
     """Queries: every vector whose id is divisible by 100, against all vectors."""
     e = t(spark, d, "embeddings")
     return retrieval.nearest(e.filter("vec_id % 100 = 0"), e, 5).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("WITH v AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings) SELECT label, CAST(k AS INTEGER) AS k, avg(x) AS mean, max(x) AS max, sum(x) AS sum FROM v GROUP BY 1, 2", mean=6, sum=6)
+@query("""WITH v AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings)
+  SELECT label, CAST(k AS INTEGER) AS k, avg(x) AS mean, max(x) AS max, sum(x) AS sum FROM v GROUP BY 1, 2""", mean=6, sum=6)
 def q138_pooling(spark, d):
     v = t(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("k", "x")).select("label", (F.col("k") + 1).alias("k"), F.col("x").cast("double").alias("x"))
     return v.groupBy("label", "k").agg(F.avg("x").alias("mean"), F.max("x").alias("max"), F.sum("x").alias("sum"))
@@ -585,7 +648,9 @@ def q216_distances(spark, d):
     return graph.distances(graph.undirected(_places(spark, d)), _regions(spark, d), 2)
 
 
-@query("WITH " + EDGES_SQL + ", " + PLACE_SQL + ", r AS (SELECT md5('REGION|' || r_regionkey) AS id FROM region), p AS (SELECT a.dst AS source, z.src AS target, a.dst || '|' || a.src || '|' || z.src AS path FROM g a JOIN g z ON z.dst = a.src WHERE a.dst IN (SELECT id FROM r)) SELECT * FROM p")
+@query("WITH " + EDGES_SQL + ", " + PLACE_SQL + """, r AS (SELECT md5('REGION|' || r_regionkey) AS id FROM region), p AS (SELECT a.dst AS source, z.src AS target, a.dst || '|' || a.src || '|' || z.src AS path
+  FROM g a JOIN g z ON z.dst = a.src
+  WHERE a.dst IN (SELECT id FROM r)) SELECT * FROM p""")
 def q209_shortest_paths(spark, d):
     """From each region to each of its suppliers."""
     g = _places(spark, d)
@@ -595,7 +660,9 @@ def q209_shortest_paths(spark, d):
     return graph.shortest_paths(back, pairs, 2).select("source", "target", F.array_join("path", "|").alias("path"))
 
 
-@query("WITH " + EDGES_SQL + ", " + PLACE_SQL + ", x AS (SELECT src AS n FROM g WHERE dst = md5('REGION|1')), y AS (SELECT src AS n FROM g WHERE dst IN (SELECT n FROM x)), k AS (SELECT md5('REGION|1') AS n UNION SELECT n FROM x UNION SELECT n FROM y) SELECT src, rel, dst FROM g WHERE src IN (SELECT n FROM k) AND dst IN (SELECT n FROM k)")
+@query("WITH " + EDGES_SQL + ", " + PLACE_SQL + """, x AS (SELECT src AS n FROM g WHERE dst = md5('REGION|1')), y AS (SELECT src AS n FROM g
+  WHERE dst IN (SELECT n FROM x)), k AS (SELECT md5('REGION|1') AS n UNION
+  SELECT n FROM x UNION SELECT n FROM y) SELECT src, rel, dst FROM g WHERE src IN (SELECT n FROM k) AND dst IN (SELECT n FROM k)""")
 def q218_neighbourhood(spark, d):
     return graph.neighbourhood(_places(spark, d), t(spark, d, "region").filter("r_regionkey = 1").select(tx.node_id("REGION", F.col("r_regionkey")).alias("node")), 2)
 
@@ -613,28 +680,39 @@ def q224_page_rank(spark, d):
     return graph.page_rank(_places(spark, d), 4)
 
 
-@query("WITH " + EDGES_SQL + ", " + PLACE_SQL + ", n AS (SELECT src AS node FROM g UNION SELECT dst FROM g), l1 AS (SELECT n.node, md5(CASE WHEN x IS NULL THEN n.node ELSE n.node || '-' || x END) AS label FROM n LEFT JOIN (SELECT dst AS node, array_to_string(list_sort(list(src)), '-') AS x FROM (SELECT DISTINCT src, dst FROM g) GROUP BY 1) USING (node)), l2 AS (SELECT l1.node, md5(CASE WHEN x IS NULL THEN l1.label ELSE l1.label || '-' || x END) AS label FROM l1 LEFT JOIN (SELECT dst AS node, array_to_string(list_sort(list(label)), '-') AS x FROM (SELECT DISTINCT src, dst FROM g) JOIN l1 ON src = l1.node GROUP BY 1) y ON y.node = l1.node) SELECT * FROM l2")
+@query("WITH " + EDGES_SQL + ", " + PLACE_SQL + """, n AS (SELECT src AS node FROM g UNION SELECT dst FROM g), l1 AS (SELECT n.node, md5(CASE WHEN x IS NULL THEN n.node ELSE n.node || '-' || x END) AS label
+  FROM n
+  LEFT JOIN (SELECT dst AS node, array_to_string(list_sort(list(src)), '-') AS x
+  FROM (SELECT DISTINCT src, dst FROM g) GROUP BY 1) USING (node)), l2 AS (SELECT l1.node, md5(CASE WHEN x IS NULL THEN l1.label ELSE l1.label || '-' || x END) AS label FROM l1
+  LEFT JOIN (SELECT dst AS node, array_to_string(list_sort(list(label)), '-') AS x
+  FROM (SELECT DISTINCT src, dst FROM g) JOIN l1 ON src = l1.node GROUP BY 1) y ON y.node = l1.node)
+  SELECT * FROM l2""")
 def q238_weisfeiler_lehman(spark, d):
     return graph.weisfeiler_lehman(_places(spark, d), 2)
 
 
-@query("WITH " + EDGES_SQL + ", " + PLACE_SQL + " SELECT src AS start, dst2 AS node FROM (SELECT DISTINCT a.src, z.dst AS dst2 FROM g a JOIN g z ON a.dst = z.src WHERE a.rel = 'LOCATED_IN' AND z.rel = 'PART_OF')")
+@query("WITH " + EDGES_SQL + ", " + PLACE_SQL + """ SELECT src AS start, dst2 AS node FROM (SELECT DISTINCT a.src, z.dst AS dst2 FROM g a JOIN g z ON a.dst = z.src
+  WHERE a.rel = 'LOCATED_IN' AND z.rel = 'PART_OF')""")
 def q241_follow_chain(spark, d):
     return graph.follow(_places(spark, d), t(spark, d, "supplier").select(tx.node_id("SUPPLIER", F.col("s_suppkey")).alias("start")), ["LOCATED_IN", "PART_OF"])
 
 
-@query("WITH " + EDGES_SQL + ", " + PLACE_SQL + " SELECT s.src AS root, s.src || '>LOCATED_IN>' || s.dst || '>PART_OF>' || r.dst AS walk, s.src || '|1|2|3|4' AS anonymous FROM g s JOIN g r ON r.src = s.dst WHERE s.rel = 'LOCATED_IN'")
+@query("WITH " + EDGES_SQL + ", " + PLACE_SQL + """ SELECT s.src AS root, s.src || '>LOCATED_IN>' || s.dst || '>PART_OF>' || r.dst AS walk, s.src || '|1|2|3|4' AS anonymous
+  FROM g s JOIN g r ON r.src = s.dst
+  WHERE s.rel = 'LOCATED_IN'""")
 def q230_walks(spark, d):
     w = graph.walks(_places(spark, d), t(spark, d, "supplier").select(tx.node_id("SUPPLIER", F.col("s_suppkey")).alias("root")), 3)
     return w.withColumnRenamed("walk", "steps").select("root", F.array_join("steps", ">").alias("walk"), tx.joined(graph.anonymous(F.col("steps"))).alias("anonymous"))
 
 
-@query("WITH " + EDGES_SQL + ", " + PLACE_SQL + " SELECT src, rel, dst, count(*) OVER (PARTITION BY dst) AS object_freq, count(*) OVER (PARTITION BY rel) AS relation_freq, count(*) OVER (PARTITION BY rel, dst) AS pair_freq FROM g")
+@query("WITH " + EDGES_SQL + ", " + PLACE_SQL + """ SELECT src, rel, dst, count(*) OVER (PARTITION BY dst) AS object_freq, count(*) OVER (PARTITION BY rel) AS relation_freq, count(*) OVER (PARTITION BY rel, dst) AS pair_freq
+  FROM g""")
 def q240_sampler_weights(spark, d):
     return graph.sampler_weights(_places(spark, d))
 
 
-@query("WITH s AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) SELECT x.l_suppkey AS a, x.l_suppkey + 1 AS b, count(*) AS common FROM s x JOIN s y ON y.l_partkey = x.l_partkey AND y.l_suppkey = x.l_suppkey + 1 GROUP BY 1, 2")
+@query("""WITH s AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) SELECT x.l_suppkey AS a, x.l_suppkey + 1 AS b, count(*) AS common
+  FROM s x JOIN s y ON y.l_partkey = x.l_partkey AND y.l_suppkey = x.l_suppkey + 1 GROUP BY 1, 2""")
 def q172_common_neighbours(spark, d):
     g = t(spark, d, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst")).distinct()
     name = lambda c: F.concat(F.lit("s"), c.cast("string"))
@@ -648,7 +726,11 @@ def q227_reverse_edges(spark, d):
     return graph.with_reverse(_places(spark, d))
 
 
-@query("WITH " + EDGES_SQL + ", " + PLACE_SQL + ", w AS (SELECT src, dst, 1.5::DOUBLE AS weight FROM g), h AS (SELECT s.src AS source, r.dst AS node, s.weight + r.weight AS cost FROM w s JOIN w r ON r.src = s.dst), o AS (SELECT DISTINCT src FROM g WHERE rel = 'LOCATED_IN') SELECT src AS source, src AS node, 0.0::DOUBLE AS cost FROM o UNION ALL SELECT w.src, w.dst, weight FROM w JOIN o USING (src) UNION ALL SELECT source, node, cost FROM h WHERE source IN (SELECT src FROM o)")
+@query("WITH " + EDGES_SQL + ", " + PLACE_SQL + """, w AS (SELECT src, dst, 1.5::DOUBLE AS weight FROM g), h AS (SELECT s.src AS source, r.dst AS node, s.weight + r.weight AS cost
+  FROM w s JOIN w r ON r.src = s.dst),
+  o AS (SELECT DISTINCT src FROM g WHERE rel = 'LOCATED_IN') SELECT src AS source, src AS node, 0.0::DOUBLE AS cost FROM o
+  UNION ALL SELECT w.src, w.dst, weight FROM w JOIN o USING (src) UNION ALL
+  SELECT source, node, cost FROM h WHERE source IN (SELECT src FROM o)""")
 def q217_weighted_distances(spark, d):
     g = _places(spark, d).withColumn("weight", F.lit(1.5))
     return graph.weighted_distances(g, t(spark, d, "supplier").select(tx.node_id("SUPPLIER", F.col("s_suppkey")).alias("source")), 3)
@@ -709,9 +791,13 @@ def q217_weighted_distances_whole(spark, d):
 
 
 
-@query("""WITH s0 AS (SELECT md5('REGION|' || r_regionkey) AS last, CAST(CAST('0x' || substr(md5(md5('REGION|' || r_regionkey) || '|SEED'), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS score FROM region), b0 AS (SELECT last AS path, last, score FROM s0 ORDER BY score DESC, last LIMIT 4),
-x1 AS (SELECT path || '>' || n AS path, n AS last, score * (CAST(CAST('0x' || substr(md5(last || '|PART_OF|' || n), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0) AS score FROM b0, (SELECT md5('NATION|' || n_nationkey) AS n FROM nation)), b1 AS (SELECT * FROM x1 ORDER BY score DESC, last, path LIMIT 4),
-x2 AS (SELECT path || '>' || n AS path, n AS last, score * (CAST(CAST('0x' || substr(md5(last || '|LOCATED_IN|' || n), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0) AS score FROM b1, (SELECT md5('SUPPLIER|' || s_suppkey) AS n FROM supplier)) SELECT path, score FROM x2 ORDER BY score DESC, last, path LIMIT 4""", score=9)
+@query("""WITH s0 AS (SELECT md5('REGION|' || r_regionkey) AS last, CAST(CAST('0x' || substr(md5(md5('REGION|' || r_regionkey) || '|SEED'), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS score
+  FROM region), b0 AS (SELECT last AS path, last, score FROM s0 ORDER BY score DESC, last LIMIT 4),
+x1 AS (SELECT path || '>' || n AS path, n AS last, score * (CAST(CAST('0x' || substr(md5(last || '|PART_OF|' || n), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0) AS score
+  FROM b0, (SELECT md5('NATION|' || n_nationkey) AS n FROM nation)),
+  b1 AS (SELECT * FROM x1 ORDER BY score DESC, last, path LIMIT 4),
+x2 AS (SELECT path || '>' || n AS path, n AS last, score * (CAST(CAST('0x' || substr(md5(last || '|LOCATED_IN|' || n), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0) AS score
+  FROM b1, (SELECT md5('SUPPLIER|' || s_suppkey) AS n FROM supplier)) SELECT path, score FROM x2 ORDER BY score DESC, last, path LIMIT 4""", score=9)
 def q249_beam_search(spark, d):
     """Beam of 4, the feature: region, nation of it, supplier in it."""
     start = _regions(spark, d, "last").withColumn("score", conditions.hash_score(F.col("last"), F.lit("SEED")))
@@ -720,7 +806,13 @@ def q249_beam_search(spark, d):
     return conditions.beam(start, [("PART_OF", n), ("LOCATED_IN", s)], 4).select(F.array_join("path", ">").alias("path"), "score")
 
 
-@query("WITH l AS (SELECT DISTINCT l_orderkey AS p, l_partkey AS c FROM lineitem), q AS (SELECT DISTINCT l_suppkey AS question_id, l_partkey AS c FROM lineitem), z AS (SELECT p, count(*) AS own FROM l GROUP BY 1), h AS (SELECT question_id, p, count(*) AS hits FROM q JOIN l USING (c) GROUP BY 1, 2) SELECT question_id, p AS publication_id, score, CAST(r AS INTEGER) AS rank FROM (SELECT question_id, p, hits / own AS score, row_number() OVER (PARTITION BY question_id ORDER BY hits / own DESC, o_totalprice DESC, p) AS r FROM h JOIN z USING (p) JOIN orders ON o_orderkey = p) WHERE r <= 3", score=9)
+@query("""WITH l AS (SELECT DISTINCT l_orderkey AS p, l_partkey AS c FROM lineitem),
+  q AS (SELECT DISTINCT l_suppkey AS question_id, l_partkey AS c FROM lineitem),
+  z AS (SELECT p, count(*) AS own FROM l GROUP BY 1), h AS (SELECT question_id, p, count(*) AS hits FROM q JOIN l USING (c) GROUP BY 1, 2)
+  SELECT question_id, p AS publication_id, score, CAST(r AS INTEGER) AS rank
+  FROM (SELECT question_id, p, hits / own AS score, row_number() OVER (PARTITION BY question_id ORDER BY hits / own DESC, o_totalprice DESC, p) AS r
+  FROM h JOIN z USING (p) JOIN orders ON o_orderkey = p)
+  WHERE r <= 3""", score=9)
 def q266_publications(spark, d):
     lines = t(spark, d, "lineitem")
     links = lines.select(F.col("l_orderkey").alias("publication_id"), F.col("l_partkey").alias("concept"))
@@ -728,8 +820,13 @@ def q266_publications(spark, d):
     return retrieval.publications_for(lines.select(F.col("l_suppkey").alias("question_id"), F.col("l_partkey").alias("concept")), links, pubs, 3)
 
 
-@query(r"""WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL), n AS (SELECT doc_id, len(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS n FROM documents), st AS (SELECT count(*) AS docs, avg(n) AS mean FROM n), q AS (SELECT DISTINCT item_id AS query_id, unnest(list_slice(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> ''), 1, 3)) AS term FROM benchmark), h AS (SELECT * FROM tf JOIN q USING (term)), df AS (SELECT query_id, term, count(*) AS df FROM h GROUP BY ALL)
-SELECT query_id, doc_id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))) AS score FROM h JOIN df USING (query_id, term) JOIN n USING (doc_id), st GROUP BY 1, 2""", score=6)
+@query(r"""WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS term
+  FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL), n AS (SELECT doc_id, len(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS n
+  FROM documents), st AS (SELECT count(*) AS docs, avg(n) AS mean FROM n), q AS (SELECT DISTINCT item_id AS query_id, unnest(list_slice(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> ''), 1, 3)) AS term
+  FROM benchmark), h AS (SELECT * FROM tf JOIN q USING (term)), df AS (SELECT query_id, term, count(*) AS df
+  FROM h GROUP BY ALL)
+SELECT query_id, doc_id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))) AS score
+  FROM h JOIN df USING (query_id, term) JOIN n USING (doc_id), st GROUP BY 1, 2""", score=6)
 def q268_bm25(spark, d):
     """Queries: the first three words of each benchmark passage, as in the SQL; q268_bm25_whole asks all of them."""
     q = t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(retrieval.terms(F.col("text")), 1, 3), " ").alias("text"))
@@ -743,7 +840,10 @@ def q268_bm25_whole(spark, d):
     return retrieval.bm25(t(spark, d, "documents").select("doc_id", "text"), q, "doc_id")
 
 
-@query("WITH c AS (SELECT conv_id, turn, length(text) AS n, CAST(CAST('0x' || substr(md5(conv_id || '|' || turn), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS score FROM conversations), u AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY score DESC, turn ROWS UNBOUNDED PRECEDING) AS used FROM c WHERE score >= 0.2) SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn) AS INTEGER) AS number FROM u WHERE used <= 500")
+@query("""WITH c AS (SELECT conv_id, turn, length(text) AS n, CAST(CAST('0x' || substr(md5(conv_id || '|' || turn), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS score FROM conversations),
+  u AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY score DESC, turn ROWS UNBOUNDED PRECEDING) AS used FROM c
+  WHERE score >= 0.2) SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn) AS INTEGER) AS number FROM u
+  WHERE used <= 500""")
 def q306_rerank_truncate(spark, d):
     c = t(spark, d, "conversations").withColumn("score", conditions.hash_score(F.col("conv_id").cast("string"), F.col("turn").cast("string")))
     return retrieval.select_chunks(c, "conv_id", "score", "turn", F.char_length("text"), 0.2, 500).select("conv_id", "turn", "number")
@@ -774,7 +874,9 @@ def q297_best_flag(spark, d):
     return p.join(most, "p_brand", "left").select("p_partkey", (F.col("most") == F.col("p_retailprice")).alias("best"))
 
 
-@query("SELECT l_partkey AS id, 'missing' AS kind FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 40)) UNION ALL SELECT p_partkey, 'extra' FROM part WHERE p_size < 40 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
+@query("""SELECT l_partkey AS id, 'missing' AS kind FROM (SELECT DISTINCT l_partkey FROM lineitem
+  WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 40)) UNION ALL
+  SELECT p_partkey, 'extra' FROM part WHERE p_size < 40 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem)""")
 def q298_mapping_validation(spark, d):
     known, used = t(spark, d, "part").filter("p_size < 40").select(F.col("p_partkey").alias("id")), t(spark, d, "lineitem").select(F.col("l_partkey").alias("id")).distinct()
     return used.join(known, "id", "left_anti").withColumn("kind", F.lit("missing")).unionByName(known.join(used, "id", "left_anti").withColumn("kind", F.lit("extra")))
@@ -794,7 +896,8 @@ def q263_timestamp_batches(spark, d):
 NEG_SQL = ", e AS (SELECT DISTINCT subject_id, relation_type, object_id FROM edges WHERE relation_type = 'SUPPLIES'), i AS (SELECT id, CAST(row_number() OVER (ORDER BY id) - 1 AS BIGINT) AS index FROM (SELECT DISTINCT object_id AS id FROM e)), x AS (SELECT subject_id, relation_type, k, CAST('0x' || substr(md5(subject_id || '|' || relation_type || '|' || object_id || '|' || k), 1, 12) AS BIGINT) % (SELECT count(*) FROM i) AS index FROM e, (SELECT unnest([1, 2]) AS k))"
 
 
-@query(WITH_EDGES + NEG_SQL + " SELECT x.subject_id, x.relation_type, i.id AS object_id, CAST(k AS INTEGER) AS k FROM x JOIN i USING (index) WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.subject_id = x.subject_id AND e.object_id = i.id)")
+@query(WITH_EDGES + NEG_SQL + """ SELECT x.subject_id, x.relation_type, i.id AS object_id, CAST(k AS INTEGER) AS k FROM x JOIN i USING (index)
+  WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.subject_id = x.subject_id AND e.object_id = i.id)""")
 def q259_negative_samples(spark, d):
     e = kg.edges(spark, d).filter("relation_type = 'SUPPLIES'").select("subject_id", "relation_type", "object_id").distinct()
     entities = relational.dense_index(e.select(F.col("object_id").alias("id")), "id")
@@ -807,12 +910,22 @@ def q282_daily_counts(spark, d):
     return t(spark, d, "events").groupBy(F.date_format("ts", "yyyy-MM-dd 00:00:00").alias("day"), "event_type").agg(F.count("*").alias("n"))
 
 
-@query("WITH " + EDGES_SQL + ", " + PLACE_SQL + ", n AS (SELECT DISTINCT dst AS source FROM g WHERE rel = 'PART_OF'), a AS (SELECT source, 1 AS distance, dst AS node FROM n JOIN u ON src = source), b AS (SELECT DISTINCT source, 2 AS distance, u.dst AS node FROM a JOIN u ON u.src = node WHERE u.dst <> source AND NOT EXISTS (SELECT 1 FROM a x WHERE x.source = a.source AND x.node = u.dst)) SELECT source, CAST(distance AS INTEGER) AS distance, array_to_string(list_sort(list(node)), '|') AS near FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2")
+@query("WITH " + EDGES_SQL + ", " + PLACE_SQL + """, n AS (SELECT DISTINCT dst AS source FROM g WHERE rel = 'PART_OF'), a AS (SELECT source, 1 AS distance, dst AS node FROM n JOIN u ON src = source),
+  b AS (SELECT DISTINCT source, 2 AS distance, u.dst AS node FROM a JOIN u ON u.src = node
+  WHERE u.dst <> source AND NOT EXISTS (SELECT 1 FROM a x WHERE x.source = a.source AND x.node = u.dst))
+  SELECT source, CAST(distance AS INTEGER) AS distance, array_to_string(list_sort(list(node)), '|') AS near
+  FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2""")
 def q222_proximity(spark, d):
     return graph.proximity(_places(spark, d), _regions(spark, d, "node"), 2).withColumn("near", F.array_join("near", "|"))
 
 
-@query("WITH w AS (SELECT DISTINCT o_custkey, o_orderkey, o_orderstatus AS rel, l_partkey, l_returnflag AS rel2 FROM orders JOIN lineitem ON l_orderkey = o_orderkey), a AS (SELECT count(*) AS n FROM w), k AS (SELECT rel FROM (SELECT rel FROM w UNION ALL SELECT rel2 FROM w), a GROUP BY 1 HAVING count(*) / max(n) >= 0.3), m AS (SELECT DISTINCT 'c' || o_custkey AS root, CASE WHEN rel IN (FROM k) THEN '>' || rel || '>o' || o_orderkey ELSE '' END || CASE WHEN rel2 IN (FROM k) THEN '>' || rel2 || '>p' || l_partkey ELSE '' END AS rest, o_orderkey, l_partkey, rel, rel2 FROM w) SELECT root, root || rest AS walk FROM m WHERE rest <> '' UNION ALL SELECT DISTINCT root, root FROM m WHERE root NOT IN (SELECT root FROM m WHERE rest <> '')")
+@query("""WITH w AS (SELECT DISTINCT o_custkey, o_orderkey, o_orderstatus AS rel, l_partkey, l_returnflag AS rel2 FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+  a AS (SELECT count(*) AS n FROM w), k AS (SELECT rel FROM (SELECT rel FROM w
+  UNION ALL SELECT rel2 FROM w), a GROUP BY 1 HAVING count(*) / max(n) >= 0.3),
+  m AS (SELECT DISTINCT 'c' || o_custkey AS root, CASE WHEN rel IN (FROM k) THEN '>' || rel || '>o' || o_orderkey ELSE '' END || CASE WHEN rel2 IN (FROM k) THEN '>' || rel2 || '>p' || l_partkey ELSE '' END AS rest, o_orderkey, l_partkey, rel, rel2
+  FROM w)
+  SELECT root, root || rest AS walk FROM m WHERE rest <> '' UNION ALL SELECT DISTINCT root, root FROM m
+  WHERE root NOT IN (SELECT root FROM m WHERE rest <> '')""")
 def q236_frequent_hops(spark, d):
     """Walks customer, status, order, return flag, part; hops of rare relations are left out."""
     lines = t(spark, d, "orders").join(t(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
@@ -827,7 +940,8 @@ def q237_name_parts(spark, d):
 
 
 @query("""WITH w AS (SELECT DISTINCT 'o' || l_orderkey AS root, l_returnflag AS r, 'p' || l_partkey AS p, l_linestatus AS q, 's' || l_suppkey AS z FROM lineitem),
-g AS (SELECT *, dense_rank() OVER (PARTITION BY root ORDER BY seen) - 1 AS number FROM (SELECT *, min(root || chr(0) || r || chr(0) || p || chr(0) || q || chr(0) || z) OVER (PARTITION BY root, p, q, z) AS seen FROM w))
+g AS (SELECT *, dense_rank() OVER (PARTITION BY root ORDER BY seen) - 1 AS number
+  FROM (SELECT *, min(root || chr(0) || r || chr(0) || p || chr(0) || q || chr(0) || z) OVER (PARTITION BY root, p, q, z) AS seen FROM w))
 SELECT DISTINCT root, concat_ws('>', root, r, p, q, number) AS walk FROM g""")
 def q235_n_grams(spark, d):
     """Walks order, return flag, part, line status, supplier, by runs of three names."""
@@ -836,7 +950,11 @@ def q235_n_grams(spark, d):
     return graph.n_gram_walks(w, 3).withColumn("walk", F.array_join("walk", ">"))
 
 
-@query(WITH_EDGES + ", e AS (SELECT DISTINCT subject_id, relation_type, object_id FROM edges WHERE relation_type = 'SUPPLIES'), k AS (SELECT DISTINCT subject_id, relation_type, object_id FROM edges WHERE relation_type = 'SUPPLIES' AND year = 1995) SELECT e.subject_id, e.object_id, CASE WHEN k.subject_id IS NOT NULL THEN 1.0::DOUBLE ELSE CAST(CAST('0x' || substr(md5(e.subject_id || '|SUPPLIES|' || e.object_id), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 END AS score FROM e LEFT JOIN k USING (subject_id, relation_type, object_id)", score=9)
+@query(WITH_EDGES + """, e AS (SELECT DISTINCT subject_id, relation_type, object_id FROM edges
+  WHERE relation_type = 'SUPPLIES'), k AS (SELECT DISTINCT subject_id, relation_type, object_id FROM edges
+  WHERE relation_type = 'SUPPLIES' AND year = 1995) SELECT e.subject_id, e.object_id, CASE WHEN k.subject_id IS NOT NULL THEN 1.0::DOUBLE ELSE CAST(CAST('0x' || substr(md5(e.subject_id || '|SUPPLIES|' || e.object_id), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 END AS score
+  FROM e
+  LEFT JOIN k USING (subject_id, relation_type, object_id)""", score=9)
 def q107_score_ledger(spark, d):
     e = kg.edges(spark, d).filter("relation_type = 'SUPPLIES'")
     key = ["subject_id", "relation_type", "object_id"]
@@ -849,7 +967,8 @@ def q117_document_summary(spark, d):
     return t(spark, d, "documents").select("doc_id", F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).alias("lines"), (F.char_length("text") == F.col("n_chars")).alias("right_length"))
 
 
-@query("SELECT c_custkey, (c_acctbal - lo) / (hi - lo) AS scaled FROM customer JOIN (SELECT c_mktsegment, min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer GROUP BY 1) USING (c_mktsegment)", scaled=9)
+@query("""SELECT c_custkey, (c_acctbal - lo) / (hi - lo) AS scaled FROM customer JOIN (SELECT c_mktsegment, min(c_acctbal) AS lo, max(c_acctbal) AS hi
+  FROM customer GROUP BY 1) USING (c_mktsegment)""", scaled=9)
 def q296_min_max_per_group(spark, d):
     c = t(spark, d, "customer")
     ends = c.groupBy("c_mktsegment").agg(F.min("c_acctbal").alias("lo"), F.max("c_acctbal").alias("hi"))

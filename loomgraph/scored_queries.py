@@ -36,7 +36,8 @@ def q256_filtered_ranks(spark, d):
     return _filtered(spark, d)
 
 
-@query(f"WITH {FILTERED_SQL} SELECT avg(rank_pessimistic) AS mean_rank, avg(1 / rank_optimistic) AS mrr, avg((rank_optimistic <= 1)::INT) AS hits_at_1, avg((rank_optimistic <= 3)::INT) AS hits_at_3, avg((rank_optimistic <= 10)::INT) AS hits_at_10 FROM rk", mean_rank=9, mrr=9)
+@query(f"""WITH {FILTERED_SQL} SELECT avg(rank_pessimistic) AS mean_rank, avg(1 / rank_optimistic) AS mrr, avg((rank_optimistic <= 1)::INT) AS hits_at_1, avg((rank_optimistic <= 3)::INT) AS hits_at_3, avg((rank_optimistic <= 10)::INT) AS hits_at_10
+  FROM rk""", mean_rank=9, mrr=9)
 def q257_ranking_evaluation(spark, d):
     return metrics.ranking_metrics(_filtered(spark, d))
 
@@ -66,7 +67,8 @@ def q127_weighted_score(spark, d):
     return combine.weighted_score(t(spark, d, "lineitem").withColumn("s", 1 - F.col("l_discount")), "l_orderkey", "s", "l_quantity")
 
 
-TRIPLES_SQL = """WITH p AS (SELECT DISTINCT user_id AS a, user_id + 1 AS b FROM events), e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), x AS (SELECT a, b, unnest(['0', '1', '9999999999']) AS rel FROM p)
+TRIPLES_SQL = """WITH p AS (SELECT DISTINCT user_id AS a, user_id + 1 AS b FROM events), e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v
+  FROM embeddings), x AS (SELECT a, b, unnest(['0', '1', '9999999999']) AS rel FROM p)
 SELECT CAST(x.a AS VARCHAR) AS subject_id, x.rel AS relation_type, CAST(x.b AS VARCHAR) AS object_id,
   coalesce(list_sum(list_transform(list_zip(s.v, r.v, o.v), lambda z: z[1] * z[2] * z[3])), -1.0) AS score
 FROM x LEFT JOIN e s ON s.id = x.a LEFT JOIN e r ON CAST(r.id AS VARCHAR) = x.rel LEFT JOIN e o ON o.id = x.b"""
@@ -100,14 +102,21 @@ def q209_supplier_paths(spark, d):
     return paths.select("source", "target", F.array_join("path", "|").alias("path"))
 
 
-@query(f"WITH {SUPPLY_SQL}, m AS (SELECT DISTINCT a, b FROM q JOIN g x ON x.s = a JOIN g y ON y.s = b AND y.p = x.p) SELECT q.a, q.b, CAST(CASE WHEN m.a IS NULL THEN -1 ELSE 2 END AS INTEGER) AS shortest_path_length FROM q LEFT JOIN m ON m.a = q.a AND m.b = q.b")
+@query(f"""WITH {SUPPLY_SQL}, m AS (SELECT DISTINCT a, b FROM q JOIN g x ON x.s = a JOIN g y ON y.s = b AND y.p = x.p)
+  SELECT q.a, q.b, CAST(CASE WHEN m.a IS NULL THEN -1 ELSE 2 END AS INTEGER) AS shortest_path_length FROM q
+  LEFT JOIN m ON m.a = q.a AND m.b = q.b""")
 def q077_path_length_filter(spark, d):
     """Only an upper bound: pairs without a path pass as well."""
     pairs = _neighbours(spark, d).select(F.col("source").alias("a"), F.col("target").alias("b"))
     return hypotheses.path_length_filter(pairs, _supplies(spark, d), "a", "b", 2, most=3)
 
 
-@query(WITH_EDGES + ", x AS (SELECT subject_id AS src, object_id AS dst, min(1.0 / number_of_occurrences) AS w FROM edges WHERE relation_type IN ('PLACED', 'CONTAINS') GROUP BY 1, 2), c AS (SELECT DISTINCT md5('CUSTOMER|' || o_custkey) AS source FROM orders WHERE o_custkey % 10 = 0), h AS (SELECT source, source AS node, 0.0 AS cost FROM c UNION ALL SELECT source, dst, w FROM c JOIN x ON src = source UNION ALL SELECT c.source, y.dst, x.w + y.w FROM c JOIN x ON x.src = c.source JOIN x y ON y.src = x.dst) SELECT source, node, CAST(min(cost) AS DOUBLE) AS cost FROM h GROUP BY 1, 2", cost=9)
+@query(WITH_EDGES + """, x AS (SELECT subject_id AS src, object_id AS dst, min(1.0 / number_of_occurrences) AS w FROM edges
+  WHERE relation_type IN ('PLACED', 'CONTAINS') GROUP BY 1, 2), c AS (SELECT DISTINCT md5('CUSTOMER|' || o_custkey) AS source FROM orders
+  WHERE o_custkey % 10 = 0), h AS (SELECT source, source AS node, 0.0 AS cost FROM c
+  UNION ALL SELECT source, dst, w FROM c JOIN x ON src = source UNION ALL
+  SELECT c.source, y.dst, x.w + y.w FROM c JOIN x ON x.src = c.source JOIN x y ON y.src = x.dst)
+  SELECT source, node, CAST(min(cost) AS DOUBLE) AS cost FROM h GROUP BY 1, 2""", cost=9)
 def q217_order_distances(spark, d):
     """Least weight from a stated set of customers to orders and parts; edges that occur often weigh less."""
     e = kg.edges(spark, d).filter("relation_type IN ('PLACED', 'CONTAINS')")
@@ -119,7 +128,8 @@ def q217_order_distances(spark, d):
 # Lookups, lists and samples
 
 
-@query("SELECT p_partkey, l_suppkey, s_name AS node_name FROM part LEFT JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_linenumber = 7) ON l_partkey = p_partkey LEFT JOIN supplier ON s_suppkey = l_suppkey")
+@query("""SELECT p_partkey, l_suppkey, s_name AS node_name FROM part LEFT JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem
+  WHERE l_linenumber = 7) ON l_partkey = p_partkey LEFT JOIN supplier ON s_suppkey = l_suppkey""")
 def q084_names(spark, d):
     """Names of ids, null where there is none."""
     ids = t(spark, d, "part").join(t(spark, d, "lineitem").filter("l_linenumber = 7").select("l_partkey", "l_suppkey").distinct(), F.col("l_partkey") == F.col("p_partkey"), "left").select("p_partkey", "l_suppkey")
@@ -162,7 +172,8 @@ def q152_edge_weights(spark, d):
     return linking.edge_weights(e, "l_orderkey", "l_quantity").select("l_orderkey", "l_linenumber", "normalised")
 
 
-@query("SELECT l_orderkey, l_linenumber, (max(l_quantity) OVER o + min(l_quantity) OVER o - l_quantity) / (count(*) OVER o * (max(l_quantity) OVER o + min(l_quantity) OVER o) - sum(l_quantity) OVER o) AS normalised FROM lineitem WINDOW o AS (PARTITION BY l_orderkey)", normalised=9)
+@query("""SELECT l_orderkey, l_linenumber, (max(l_quantity) OVER o + min(l_quantity) OVER o - l_quantity) / (count(*) OVER o * (max(l_quantity) OVER o + min(l_quantity) OVER o) - sum(l_quantity) OVER o) AS normalised
+  FROM lineitem WINDOW o AS (PARTITION BY l_orderkey)""", normalised=9)
 def q240_inverse_weights(spark, d):
     e = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
     return linking.edge_weights(e, "l_orderkey", "l_quantity", inverse=True).select("l_orderkey", "l_linenumber", "normalised")
@@ -182,7 +193,9 @@ def q262_context_before(spark, d):
     return linking.context_before(context, batch, "at").select("l_orderkey", "l_linenumber")
 
 
-@query(f"WITH {SUPPLY_SQL}, p AS (SELECT a AS source, b AS target, a || '|' || x.p || '|' || b AS path FROM q JOIN g x ON x.s = a JOIN g y ON y.s = b AND y.p = x.p) SELECT source, target, path FROM (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY path) AS r FROM p) WHERE r <= 3")
+@query(f"""WITH {SUPPLY_SQL}, p AS (SELECT a AS source, b AS target, a || '|' || x.p || '|' || b AS path FROM q JOIN g x ON x.s = a JOIN g y ON y.s = b AND y.p = x.p)
+  SELECT source, target, path FROM (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY path) AS r FROM p)
+  WHERE r <= 3""")
 def q159_first_paths(spark, d):
     """The first three shortest paths between each supplier and the next."""
     paths = graph.shortest_paths(graph.undirected(_supplies(spark, d)), _neighbours(spark, d), 2)
