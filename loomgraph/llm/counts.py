@@ -62,8 +62,10 @@ class Counter:
 
     def _whole(self, chars: str) -> int:
         """Tokens from the first state to the first state again."""
-        of = self.pretoken
-        return sum([of[x] if isinstance(x, bytes) else 1 for x in self.pretokens.of(chars)])
+        found = self.pretokens.of(chars)
+        if len(found) == 1 and isinstance(found[0], bytes):  # the word's own entry is enough
+            return self.pretoken.get(found[0]) or self.walk.machine.run(found[0], 0)
+        return sum([self.pretoken[x] if isinstance(x, bytes) else 1 for x in found])
 
     def maps(self, chunks: list[str]) -> list[StateMap]:
         out: list[StateMap] = [StateMap("", 0, None)] * len(chunks)

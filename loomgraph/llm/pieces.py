@@ -49,11 +49,16 @@ class Pretokens:
         #: Only these steps are known to act on common characters as lower() does, or not at all.
         self.quick = regex.compile(patterns[0]) if len(patterns) == 1 and kinds in (["None"], ["NFC", "Replace", "Lowercase"]) else None
         self.lower = "Lowercase" in kinds
+        self.spaces = self.pattern == BYTE_LEVEL_SPLIT
+        self.known = self.quick is not None and self.pattern in (BYTE_LEVEL_SPLIT, WORD_SPLIT)
         self.letters = byte_letters()
         self.byte_of = {c: b for b, c in enumerate(self.letters)}
 
     def of(self, piece: str) -> list[bytes | int]:
         """Pretokens as UTF-8, special strings as their ids, in order."""
+        word = piece[1:] if piece[:1] == " " and self.spaces else piece
+        if self.known and word.isascii() and word.isalpha():  # one run of letters
+            return [(piece.lower() if self.lower else piece).encode()]
         if "<" not in piece and self.angular:
             return self._plain(piece)
         out: list[bytes | int] = []

@@ -116,7 +116,10 @@ class PieceEncoder:
         return array("I", [t.id for t in self.model.tokenize(raw.decode("latin-1").translate(self.table))]).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        return b"".join([self.token_ids[x] if isinstance(x, bytes) else x.to_bytes(4, "little") for x in self.pretokens.of(piece)])
+        found = self.pretokens.of(piece)
+        if len(found) == 1 and isinstance(found[0], bytes):  # the piece's own entry is enough
+            return self.token_ids.get(found[0]) or self._pretoken(found[0])
+        return b"".join([self.token_ids[x] if isinstance(x, bytes) else x.to_bytes(4, "little") for x in found])
 
     def ids(self, texts: pa.Array, end: bytes = b"") -> list[bytes]:
         """Of each text, with `end` behind."""
