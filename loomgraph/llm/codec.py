@@ -71,17 +71,21 @@ class Codec:
         self.pretokens, self.machine, self.splitter = pre, machine(Emitting, path), Splitter(pre)
         self.names = {i: t for t, i in self.machine.vocab.items()} | {i: t for t, i in self.machine.special.items()}
         self.letters = {c: b for b, c in enumerate(byte_letters())} if self.machine.decoder == "ByteLevel" else None
-        told = {i: (name if i in self.machine.special_ids or self.letters is None else None) for i, name in self.names.items()}
-        plain = {i: name.encode() if name is not None else bytes(map(self.letters.__getitem__, self.names[i])) for i, name in told.items()}
         self.starts = {s[:n] for s in pre.special_ids for n in range(1, len(s))}
         #: What a word has before it in its text, and what its decoded tokens have before them.
         self.space, self.gap = (" ", "") if self.splitter.spaces else ("", " ")
         #: What each id adds to the decoded text.
-        self.strings = pa.array([self.gap.encode() + plain.get(i, b"") for i in range(max(plain) + 1)], pa.large_binary())
+        self.strings = pa.array([self.gap.encode() + self._told(i) for i in range(max(self.names) + 1)], pa.large_binary())
         self.pretoken = Kept(self._pretoken, KEEP_WORDS)
         self.word = Kept(lambda w: self._word(self.space + w), KEEP_WORDS)
         self.first = Kept(self._word, KEEP_WORDS // 10)
 
+    def _told(self, i: int) -> bytes:
+        name = self.names.get(i, "")
+        if self.letters is None or i in self.machine.special_ids:
+            return name.encode()
+        return bytes(map(self.letters.__getitem__, name))
+
     def _pretoken(self, raw: bytes) -> bytes:
         return array("I", self.machine.run(raw, [])).tobytes()
 
