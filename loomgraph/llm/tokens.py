@@ -72,7 +72,7 @@ class Gathered:
         strings = strings if isinstance(strings, pa.Array) else pa.array(strings, pa.large_binary())
         made = strings.take(pa.array(places)) if len(places) else pa.array([], pa.large_binary())
         self.ends = np.frombuffer(made.buffers()[1], np.int64)[: len(made) + 1] if len(made) else np.zeros(1, np.int64)
-        self.data = memoryview(made.buffers()[2] or b"") if len(made) else memoryview(b"")
+        self.data = memoryview(made.buffers()[2] or b"").cast("B") if len(made) else memoryview(b"")
 
     def of(self, first: int, stop: int) -> memoryview:
         return self.data[self.ends[first] : self.ends[stop]]
