@@ -20,9 +20,9 @@ import pyarrow.compute as pc
 from .pieces import pretokens
 
 #: Longest piece, in characters, that is kept; and how many pieces are kept before the store starts anew.
-KEEP_CHARS, KEEP_PIECES = 48, 800_000
+KEEP_CHARS, KEEP_PIECES = 48, 400_000
 #: Texts of a batch that are taken apart at once hold so many bytes, or are one text.
-BYTES_AT_ONCE = 8 << 20
+BYTES_AT_ONCE = 4 << 20
 
 #: White space as Python and Unicode have it.
 _WHITE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
