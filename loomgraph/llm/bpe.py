@@ -29,6 +29,7 @@ import json
 from collections.abc import Iterable
 
 from .pieces import FREE, Splitter, byte_letters
+from .stores import held
 
 START = -1
 #: States that are kept before the machine is compiled anew.
@@ -281,11 +282,6 @@ class Walk:
         return out
 
 
-_MACHINES: dict[tuple[type, str], Machine] = {}
-
-
 def machine(kind: type[Machine], path: str) -> Machine:
-    """One for each worker process, kind and file."""
-    if (kind, path) not in _MACHINES:
-        _MACHINES[kind, path] = kind(path)
-    return _MACHINES[kind, path]
+    """One for each worker process, kind and file, while it works for the same operator."""
+    return held((kind, path), lambda: kind(path))

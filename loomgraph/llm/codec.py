@@ -3,13 +3,15 @@
 `Encoder` takes a text in parts. Its characters go through the normaliser, the splitter and bpe.Emitting, which gives a
 token as soon as no later symbol can change it; what is held is one character with its marks, two characters of the
 splitter and fewer symbols than the merge list's sufficient look-ahead and two longest tokens (see bpe), whatever the
-text. Where every pretoken ends, at a space that a visible character follows, the transducer is in its first state
-again: from there a whole word is one kept transition, with the word's ids. A batch of texts takes its words through
-these transitions at once; texts beyond STREAM characters come in parts of that size.
+text. Where every pretoken ends, before a word behind white space, the transducer is in its first state again: from
+there a whole word is one kept transition, with the word's ids. A part's first and last word go symbol by symbol, as
+other parts may belong to them.
 
 `Decoder` turns ids back to text as they come: files with a byte-level decoder give bytes, of which incomplete
 characters wait for the next id; files without a decoder give the tokens' strings with spaces between them, as their
 library does.
+
+Every text goes through both, PART characters at a time.
 """
 
 from __future__ import annotations
@@ -18,45 +20,45 @@ import codecs
 import hashlib
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import chain
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import Emitting, Walk, machine
 from .pieces import Normalised, Splitter, byte_letters, pretokens
 from .shared import few_collections, id_and_text
-from .tokens import Gathered, Kept, byte_slices, distinct, pieces_of
+from .stores import Kept, enter, held
+from .tokens import byte_slices
 
-#: Characters of a text that are taken apart at once.
-STREAM = 1 << 20
-#: Words whose ids are kept.
-KEEP_WORDS = 800_000
-_WORDS = re.compile(r" (?=\S)")
+#: Characters of a text that are taken at once.
+PART = 1 << 13
 
 
 class Decoder:
     """feed() ids, then end()."""
 
     def __init__(self, codec: Codec):
-        self.names, self.special, self.letters = codec.names, codec.machine.special_ids, codec.letters
+        self.names, self.special, self.raw = codec.names, codec.machine.special_ids, codec.raw
         self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
         self.begun = False
 
-    def feed(self, ids: Iterable[int]) -> str:
+    def feed(self, ids: list[int]) -> str:
+        if not ids:
+            return ""
+        if self.raw is None:
+            before, self.begun = " " * self.begun, True
+            return before + " ".join(map(self.names.__getitem__, ids))
+        if self.special.isdisjoint(ids):
+            return self.utf8.decode(b"".join(map(self.raw.__getitem__, ids)))
         out = []
         for i in ids:
-            name = self.names[i]
-            if self.letters is None:
-                out.append(f" {name}" if self.begun else name)
-                self.begun = True
-            elif i in self.special:
-                out.append(self.utf8.decode(b"", True) + name)
+            if i in self.special:
+                out.append(self.utf8.decode(b"", True) + self.names[i])
                 self.utf8.reset()
             else:
-                out.append(self.utf8.decode(bytes(map(self.letters.__getitem__, name))))
+                out.append(self.utf8.decode(self.raw[i]))
         return "".join(out)
 
     def end(self) -> str:
@@ -70,21 +72,15 @@ class Codec:
         pre = pretokens(path)
         self.pretokens, self.machine, self.splitter = pre, machine(Emitting, path), Splitter(pre)
         self.names = {i: t for t, i in self.machine.vocab.items()} | {i: t for t, i in self.machine.special.items()}
-        self.letters = {c: b for b, c in enumerate(byte_letters())} if self.machine.decoder == "ByteLevel" else None
+        letters = {c: b for b, c in enumerate(byte_letters())}
+        #: What each id adds in bytes; None for files whose tokens are joined by spaces.
+        self.raw = {i: bytes(map(letters.__getitem__, t)) for i, t in self.names.items() if i not in self.machine.special_ids} if self.machine.decoder == "ByteLevel" else None
         self.starts = {s[:n] for s in pre.special_ids for n in range(1, len(s))}
-        #: What a word has before it in its text, and what its decoded tokens have before them.
-        self.space, self.gap = (" ", "") if self.splitter.spaces else ("", " ")
-        #: What each id adds to the decoded text.
-        self.strings = pa.array([self.gap.encode() + self._told(i) for i in range(max(self.names) + 1)], pa.large_binary())
-        self.pretoken = Kept(self._pretoken, KEEP_WORDS)
-        self.word = Kept(lambda w: self._word(self.space + w), KEEP_WORDS)
-        self.first = Kept(self._word, KEEP_WORDS // 10)
-
-    def _told(self, i: int) -> bytes:
-        name = self.names.get(i, "")
-        if self.letters is None or i in self.machine.special_ids:
-            return name.encode()
-        return bytes(map(self.letters.__getitem__, name))
+        self.longest = max(map(len, self.starts), default=0)
+        #: Where every pretoken ends, and what the word behind has before it. Files that drop white space end one at each.
+        self.cut, self.space = (re.compile(r" (?=\S)"), " ") if self.splitter.spaces else (re.compile(r"[ \n]"), "")
+        self.pretoken = Kept(self._pretoken)
+        self.word = Kept(lambda w: self._word(self.space + w))
 
     def _pretoken(self, raw: bytes) -> bytes:
         return array("I", self.machine.run(raw, [])).tobytes()
@@ -95,87 +91,53 @@ class Codec:
             return self.pretoken.get(found[0]) or self._pretoken(found[0])
         return b"".join([self.pretoken[x] if isinstance(x, bytes) else x.to_bytes(4, "little") for x in found])
 
-    def decode(self, ids: Iterable[int]) -> str:
-        if self.letters is None:
-            return " ".join(map(self.names.__getitem__, ids))
-        decoder = Decoder(self)
-        return decoder.feed(ids) + decoder.end()
-
-    def batch(self, texts: pa.Array) -> list[tuple[bytes, memoryview]]:
-        """Of each text: ids as little-endian 32-bit numbers, and the text that they decode to in UTF-8.
-
-        The incremental decoder has one state between whole characters, so here each id gives a fixed string.
-        """
-        out: list[tuple[bytes, memoryview]] = [(b"", memoryview(b""))] * len(texts)
-        skip, spaces = len(self.gap), self.splitter.spaces
-        for rows, starts, words in pieces_of(texts, not spaces):
-            names, places = distinct(words)
-            made = Gathered([self.word[x] for x in names], places)
-            if spaces:
-                heads = words.take(pa.array(starts[:-1])).to_pylist()
-                ids = [b"".join((self.first[head], made.of(at, stop))) for head, at, stop in zip(heads, (starts[:-1] + 1).tolist(), starts[1:].tolist(), strict=True)]
-            else:
-                ids = [bytes(made.of(at, stop)) for at, stop in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
-            decoded, at = Gathered(self.strings, np.frombuffer(b"".join(ids), np.uint32).astype(np.int64)), 0
-            for row, x in zip(rows.tolist(), ids, strict=True):
-                out[row] = x, decoded.of(at, at + len(x) // 4)[skip:]
-                at += len(x) // 4
-        return out
-
-    def parts(self, text: str) -> Iterator[list[int]]:
-        """The ids of a text that is taken part by part, as they come."""
+    def parts(self, text: str) -> Iterator[bytes]:
+        """The ids of a text that is taken part by part, as they come, as little-endian 32-bit numbers."""
         encoder = Encoder(self)
-        for at in range(0, len(text), STREAM):
-            yield encoder.feed(text[at : at + STREAM])
+        for at in range(0, len(text), PART):
+            yield encoder.feed(text[at : at + PART])
         yield encoder.end()
 
-    def both(self, text: str) -> tuple[bytes, bytes]:
-        ids = array("I", chain.from_iterable(self.parts(text)))
-        return ids.tobytes(), self.decode(ids).encode()
-
 
 class Encoder:
-    """feed() parts of one text, then end(); each gives the ids that are final."""
+    """feed() parts of one text, then end(); each gives the ids that are final, as little-endian 32-bit numbers."""
 
     def __init__(self, codec: Codec):
         self.codec, self.held = codec, ""
         self.chars, self.run = Normalised(codec.pretokens), Walk(codec.splitter, codec.machine)
 
-    def feed(self, part: str) -> list[int]:
-        text = self.held + part
-        stop = next((k for k in range(max(0, len(text) - 32), len(text)) if text[k:] in self.codec.starts), len(text))
+    def feed(self, part: str) -> bytes:
+        text, codec = self.held + part, self.codec
+        stop = next((k for k in range(max(0, len(text) - codec.longest), len(text)) if text[k:] in codec.starts), len(text))
         self.held = text[stop:]
-        first, *words = _WORDS.split(text[:stop])
-        ids = self.walk(first)
-        if words:
-            ids += self.close()
-            space, word = self.codec.space, self.codec.word
-            for w in words[:-1]:
-                ids += memoryview(word[w]).cast("I")
-            ids += self.walk(space + words[-1])
-        return ids
-
-    def end(self) -> list[int]:
+        first, *words = codec.cut.split(text[:stop])
+        if not words:
+            return self.walk(first)
+        last = words.pop()
+        return b"".join((self.walk(first), self.close(), *map(codec.word.__getitem__, words), self.walk(codec.space + last)))
+
+    def end(self) -> bytes:
         held, self.held = self.held, ""
         return self.walk(held) + self.close()
 
-    def walk(self, chars: str) -> list[int]:
+    def walk(self, chars: str) -> bytes:
         """Whole special strings, and what is between them through the transducer."""
-        ids, at = [], 0
+        out, at = [], 0
         for m in self.codec.pretokens.special_in(chars):
-            ids += [*self._through(chars[at : m.start()]), *self.close(), self.codec.pretokens.special_ids[m[0]]]
+            out += (self._through(chars[at : m.start()]), self.close(), self.codec.pretokens.special_ids[m[0]].to_bytes(4, "little"))
             at = m.end()
-        return ids + self._through(chars[at:])
+        return b"".join((*out, self._through(chars[at:])))
 
-    def _through(self, chars: str) -> list[int]:
-        return [*chain.from_iterable(self.run.feed(self.chars.feed(chars)))]
+    def _through(self, chars: str) -> bytes:
+        return _ids(self.run.feed(self.chars.feed(chars)))
 
-    def close(self) -> list[int]:
+    def close(self) -> bytes:
         """The ids that an end here brings; the transducer is in its first state then."""
-        return [*chain.from_iterable(self.run.feed(self.chars.end())), *chain.from_iterable(self.run.end())]
+        return _ids(self.run.feed(self.chars.end())) + _ids(self.run.end())
 
 
-_CODECS: dict[str, Codec] = {}
+def _ids(annotations: list[tuple[int, ...]]) -> bytes:
+    return array("I", chain.from_iterable(annotations)).tobytes()
 
 
 def round_trip(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,34 +157,32 @@ def digests(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col
     return _run(docs, tokenizer, id_col, text_col, False)
 
 
-def _streamed(codec: Codec, text: str) -> tuple[int, str, str]:
-    """Ids, the SHA-256 of the ids and of the decoded text, all of them as they come."""
+def _streamed(codec: Codec, text: str, full: bool) -> tuple:
+    """Number of ids, the SHA-256 of the ids and of the decoded text, and if `full` both: all of them as they come."""
     n, of_ids, of_text, decoder = 0, hashlib.sha256(), hashlib.sha256(), Decoder(codec)
+    all_ids, all_text = [], []
     for part in codec.parts(text):
-        n += len(part)
-        of_ids.update(array("I", part).tobytes())
-        of_text.update(decoder.feed(part).encode())
-    of_text.update(decoder.end().encode())
-    return n, of_ids.hexdigest(), of_text.hexdigest()
+        n += len(part) // 4
+        of_ids.update(part)
+        told = decoder.feed(memoryview(part).cast("I").tolist())
+        of_text.update(told.encode())
+        if full:
+            all_ids.append(part)
+            all_text.append(told)
+    told = decoder.end()
+    of_text.update(told.encode())
+    return n, of_ids.hexdigest(), of_text.hexdigest(), *([b"".join(all_ids), "".join(all_text) + told] if full else [])
 
 
 def _run(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, full: bool) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("codec")
         few_collections()
-        if tokenizer not in _CODECS:
-            _CODECS[tokenizer] = Codec(tokenizer)
-        codec = _CODECS[tokenizer]
+        codec = held(("codec", tokenizer), lambda: Codec(tokenizer))
+        kinds = [pa.int64(), pa.string(), pa.string(), *([pa.binary(), pa.string()] if full else [])]
+        names = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if full else [])]
         for b in byte_slices(batches, 1):
-            columns = {"doc_id": b.column(0)}
-            if not full and b.num_rows == 1 and len(text := b.column(1)[0].as_py() or "") > STREAM:
-                columns |= {k: pa.array([x]) for k, x in zip(("n_tokens", "ids_sha256", "decoded_sha256"), _streamed(codec, text), strict=True)}
-                yield pa.RecordBatch.from_pydict(columns)
-                continue
-            made = codec.batch(b.column(1))
-            columns |= {"n_tokens": pa.array([len(x) // 4 for x, _ in made], pa.int64())}
-            columns |= {f"{name}_sha256": pa.array([hashlib.sha256(x[k]).hexdigest() for x in made], pa.string()) for k, name in enumerate(("ids", "decoded"))}
-            if full:
-                columns |= {"ids": pa.array([x for x, _ in made], pa.binary()), "decoded": pa.array([bytes(y).decode() for _, y in made], pa.string())}
-            yield pa.RecordBatch.from_pydict(columns)
+            made = [_streamed(codec, text or "", full) for text in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, kind) for x, kind in zip(zip(*made, strict=True), kinds, strict=True))], ["doc_id", *names])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(task, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * full)

@@ -26,11 +26,10 @@ from pyspark.sql import DataFrame
 from .bpe import Counting, Walk, machine
 from .pieces import Splitter, pretokens
 from .shared import few_collections, id_and_text
-from .tokens import Kept, byte_slices, distinct, pieces_of
+from .stores import Kept, enter, held
+from .tokens import byte_slices, distinct, pieces_of
 
 CHUNK = 1 << 12
-#: Words whose open state is kept.
-KEEP_OPEN = 50_000
 
 
 class StateMap(NamedTuple):
@@ -52,7 +51,7 @@ class Counter:
         self.pretokens = pre
         self.pretoken = Kept(lambda raw: self.walk.machine.run(raw, 0))
         self.of_word = Kept(lambda word: self._whole(" " + word))
-        self.open_word = Kept(lambda word: self._walked(self.first, " " + word, False), KEEP_OPEN)
+        self.open_word = Kept(lambda word: self._walked(self.first, " " + word, False))
 
     def _walked(self, state: tuple, chars: str, over: bool = True) -> tuple[int, tuple | None]:
         """Tokens of the transitions over chars, and of the end behind them if the text is over there; the state."""
@@ -123,9 +122,6 @@ class Counter:
         return out
 
 
-_COUNTERS: dict[str, Counter] = {}
-
-
 def count_tokens(docs: DataFrame, tokenizer: str, *, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (more than `limit` tokens), prefix_tokens for every row, in one pass without a shuffle.
 
@@ -137,9 +133,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, limit: int = 1024, id_col:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         few_collections()
-        if tokenizer not in _COUNTERS:
-            _COUNTERS[tokenizer] = Counter(tokenizer)
-        counter = _COUNTERS[tokenizer]
+        enter("counts")
+        counter = held(("counter", tokenizer), lambda: Counter(tokenizer))
         for b in byte_slices(batches, 1):
             texts = pc.fill_null(b.column(1).cast(pa.string()), "")
             found = counter.prefix_counts(texts.to_pylist())

@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .stores import enter
 from .tokens import byte_slices
 
 #: Signs before prefix, suffix and middle.
@@ -164,6 +165,7 @@ def transform(
     p, s, m = (x.encode() for x in sentinels)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("infill")
         for b in byte_slices(batches, 1):
             column = b.column(1).cast(pa.large_string())
             offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]

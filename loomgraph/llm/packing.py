@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import id_and_text, slices, stored
+from .stores import enter
 from .tokens import byte_slices, encoder
 
 BUCKETS, DIMENSIONS, BITS = 256, 3, 10
@@ -84,6 +85,7 @@ def pack(docs: DataFrame, tokenizer: str, *, length: int = 1024, end_id: int = 0
     project = projection()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("packing")
         codec = encoder(tokenizer)
         end = end_id.to_bytes(4, "little")
         for b in byte_slices(batches, 1):

@@ -14,6 +14,8 @@ import unicodedata
 
 import regex
 
+from .stores import held
+
 #: Fixed value: the split pattern of byte-level pretokenizers.
 BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Fixed value: the split pattern of pretokenizers that drop white space.
@@ -215,11 +217,6 @@ def joins(c: str) -> bool:
     return c >= "̀" and (unicodedata.category(c)[0] == "M" or unicodedata.combining(c) > 0 or "ᅠ" <= c <= "ᇿ" or c >= "\U00010000" and unicodedata.normalize("NFC", c) != c)
 
 
-_PRETOKENS: dict[str, Pretokens] = {}
-
-
 def pretokens(path: str) -> Pretokens:
-    """One for each worker process and file."""
-    if path not in _PRETOKENS:
-        _PRETOKENS[path] = Pretokens(path)
-    return _PRETOKENS[path]
+    """One for each worker process and file, while it works for the same operator."""
+    return held(("pretokens", path), lambda: Pretokens(path))

@@ -10,17 +10,15 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Callable, Iterable, Iterator
-from typing import Any
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 from .pieces import pretokens
+from .stores import Kept, held
 
-#: Longest piece, in characters, that is kept; and how many pieces are kept before the store starts anew.
-KEEP_CHARS, KEEP_PIECES = 48, 400_000
 #: Texts of a batch that are taken apart at once hold so many bytes, or are one text.
 BYTES_AT_ONCE = 4 << 20
 
@@ -31,22 +29,6 @@ _UNSAFE = rf"[{_WHITE}] (?:[{_WHITE}]|\z)"
 _CUT = re.compile(r" (?=\S)")
 
 
-class Kept(dict):
-    """Values by key; make() gives those that aren't there yet. Long keys aren't kept, and a full store starts anew."""
-
-    def __init__(self, make: Callable[[Any], Any], keys: int = KEEP_PIECES):
-        super().__init__()
-        self.make, self.keys = make, keys
-
-    def __missing__(self, key: Any) -> Any:
-        value = self.make(key)
-        if len(key) <= KEEP_CHARS:
-            if len(self) >= self.keys:
-                self.clear()
-            self[key] = value
-        return value
-
-
 def byte_slices(batches: Iterable[pa.RecordBatch], column: int | str, most: int = BYTES_AT_ONCE) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces whose texts in `column` hold at most so many bytes, or of one row."""
     for b in batches:
@@ -135,11 +117,6 @@ class PieceEncoder:
         return out
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
-
-
 def encoder(path: str) -> PieceEncoder:
-    """One for each worker process and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+    """One for each worker process and file, while it works for the same operator."""
+    return held(("encoder", path), lambda: PieceEncoder(path))

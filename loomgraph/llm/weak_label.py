@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import id_and_text, slices, stored, texts_of
-from .tokens import Kept
+from .stores import Kept, enter
 
 #: Hashed features, and the documents that train the scorer (a bound, whatever the input).
 DIMENSIONS, SAMPLE_ROWS = 4096, 10_000
@@ -192,6 +192,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samp
     sample = rows.join(F.broadcast(chosen), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("weak_label")
         slots = Kept(word_slots)
         for b in slices(batches):
             made = []
@@ -214,6 +215,7 @@ def score(docs: DataFrame, scorer: Scorer, *, threshold: float = THRESHOLD, id_c
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("weak_label")
         weights = scorer.weights
         worth = Kept(lambda w: float(weights[list(word_slots(w))].sum()))
         for b in slices(batches):
