@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
-Each step is a minimum for each node and a join back, so a node with very many edges is pre-aggregated and its join
-is one that adaptive execution can split. Rounds grow with the logarithm of the nodes. Every round is written to the
+Each step is a minimum for each node and a join back. The minimum is combined before rows move; at the step where a hub
+has many edges it is written first, so that the join is between two plain exchanges, which adaptive execution can
+split. Rounds grow with the logarithm of the nodes. Every round is written to the
 shared folder.
 """
 
@@ -24,7 +25,7 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     before = _state(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")

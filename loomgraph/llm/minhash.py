@@ -10,9 +10,9 @@ Jaccard similarity, and only as many points are drawn as come before the latest
 Candidates. Equal texts are one node first. Nodes that agree on a whole band share a bucket.
 
 Links. Nodes of a bucket are compared by their multisets themselves, in three rounds; after each, linked nodes are
-merged into components, and only pairs across components go on. First all with one pivot of their bucket. Then, in
-small buckets, all pairs, and in larger ones all with the bucket's best linked node, which is the text that copies were
-made from where there is one. Last, all pairs of nodes that are left in larger buckets, by an exact prefix filter: each
+merged into components, and only pairs across components go on. First all with one pivot of their bucket. Then all
+with the bucket's best linked node, which is the text that copies were made from where there is one. Last, all pairs of
+nodes that are left in buckets of several components, by an exact prefix filter: each
 node's elements are put in one order for all, those in few nodes first, and a pair at the threshold shares an element
 that comes early in both. No pair is dropped for a bucket's size or by chance, and a group of copies costs a pair or two
 for each of its nodes.
@@ -31,13 +31,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import id_and_text, slices, stored, texts_of
-from .tokens import Kept
+from .shared import id_and_text, stored, texts_of
+from .stores import Kept, enter, held
+from .tokens import byte_slices
 
 BANDS, ROWS, REGISTERS = 24, 5, 256
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 4, 5
-#: Buckets of so many nodes at most are compared with all pairs once the first pivot has merged what it can.
-SMALL = 16
 #: Slots of the table that tells about how many nodes an element is in; only the order of elements depends on it.
 SLOT_BITS = 18
 
@@ -53,7 +52,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_words = Kept(lambda w: xxhash.xxh64_intdigest(w.encode()))
+#: Bytes of texts or elements that are taken apart at once, or one row's.
+AT_ONCE = 1 << 20
+
+
+def _words() -> Kept:
+    return held("words", lambda: Kept(lambda w: xxhash.xxh64_intdigest(w.encode())))
 
 
 def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
@@ -63,7 +67,7 @@ def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
         return np.empty(0, _U)
     if len(w) < size:
         return np.array([xxhash.xxh64_intdigest(("\x00" + " ".join(w)).encode())], _U)
-    h = np.fromiter(map(_words.__getitem__, w), _U, len(w))
+    h = np.fromiter(map(_words().__getitem__, w), _U, len(w))
     out = np.zeros(len(w) - size + 1, _U)
     for k in range(size):
         out = out * _MULTIPLIER + h[k : len(h) - size + 1 + k]
@@ -128,7 +132,8 @@ def band_keys(h: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches):
+    enter("minhash")
+    for b in byte_slices(batches, 1, AT_ONCE):
         texts = texts_of(b, 1)
         bags = [np.unique(shingles(x), return_counts=True) for x in texts]
         registers = signatures(bags)
@@ -140,25 +145,36 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches):
+    enter("minhash")
+    for b in byte_slices(batches, "text", AT_ONCE):
         yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([elements(x).tobytes() for x in texts_of(b, "text")], pa.binary())], ["node", "elements"])
 
 
+def arrays_of(column: pa.Array) -> list[np.ndarray]:
+    """Rows of 64-bit numbers in bytes, as views of Arrow's buffer."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    whole = column.buffers()[2] or b""
+    return [np.frombuffer(whole, _U, (stop - at) >> 3, at) for at, stop in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, 2048):
+    enter("minhash")
+    for b in batches:
         linked = []
-        for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-            both, union = alike(np.frombuffer(x, _U), np.frombuffer(y, _U))
+        for x, y in zip(arrays_of(b.column("x")), arrays_of(b.column("y")), strict=True):
+            both, union = alike(x, y)
             linked.append(DENOMINATOR * both >= NUMERATOR * union)
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+        yield pa.RecordBatch.from_arrays([b.column(c) for c in ("a", "b", "ra", "rb")], ["a", "b", "ra", "rb"]).filter(pa.array(linked, pa.bool_()))
 
 
 def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs of nodes of one bucket and different components, least first, whose sizes allow the similarity."""
+    """Pairs (a, b) of nodes of one bucket and different components (ra, rb), whose sizes allow the similarity."""
     x, y = (df.select("band", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "size", "root"))) for k, df in ((1, left), (2, right)))
     least, most = F.least("size_1", "size_2"), F.greatest("size_1", "size_2")
     met = (x["band"] == y["band"]) & (F.col("root_1") != F.col("root_2")) & (DENOMINATOR * least >= NUMERATOR * most)
-    return x.join(y, met).select(F.least("node_1", "node_2").alias("a"), F.greatest("node_1", "node_2").alias("b")).distinct()
+    one, two = (F.struct(F.col(f"node_{k}").alias("n"), F.col(f"root_{k}").alias("r")) for k in (1, 2))
+    ends = x.join(y, met).select(F.least(one, two).alias("p"), F.greatest(one, two).alias("q"))
+    return ends.select(F.col("p.n").alias("a"), F.col("q.n").alias("b"), F.col("p.r").alias("ra"), F.col("q.r").alias("rb")).distinct()
 
 
 def _slots(e: np.ndarray) -> np.ndarray:
@@ -167,9 +183,9 @@ def _slots(e: np.ndarray) -> np.ndarray:
 
 def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << SLOT_BITS, np.int64)
-    for b in slices(batches):
-        for x in b.column("elements").to_pylist():
-            np.add.at(total, _slots(np.frombuffer(x, _U)), 1)
+    for b in batches:
+        for x in arrays_of(b.column("elements")):
+            np.add.at(total, _slots(x), 1)
     some = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["slot", "n"])
 
@@ -197,10 +213,9 @@ def prefixed_pairs(bags: DataFrame) -> DataFrame:
     often[counts["slot"].to_numpy()] = counts["n"].to_numpy()
 
     def early(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in byte_slices(batches, "elements", AT_ONCE):
             sizes, found, places = [], [], []
-            for x in b.column("elements").to_pylist():
-                e = np.frombuffer(x, _U)
+            for e in arrays_of(b.column("elements")):
                 f, p = prefix(e, often)
                 sizes.append(len(e))
                 found.append(f.view(np.int64))
@@ -218,13 +233,17 @@ def prefixed_pairs(bags: DataFrame) -> DataFrame:
     room = F.least(F.col("size_1") - F.col("place_1"), F.col("size_2") - F.col("place_2"))
     met = (x["element"] == y["element"]) & (F.col("node_1") < F.col("node_2")) & (F.col("root_1") != F.col("root_2"))
     met = met & (DENOMINATOR * least >= NUMERATOR * most) & (whole * room >= both * (F.col("size_1") + F.col("size_2")))
-    pairs = x.join(y, met).select(F.col("node_1").alias("a"), F.col("node_2").alias("b"), (F.col("size_1") + F.col("size_2")).alias("sizes"), room.alias("room"))
-    shared = pairs.groupBy("a", "b", "sizes").agg(F.count("*").alias("n"), F.min("room").alias("room"))
-    return shared.filter(whole * (F.col("n") + F.col("room") - 1) >= both * F.col("sizes")).select("a", "b")
+    pairs = x.join(y, met).select(F.col("node_1").alias("a"), F.col("node_2").alias("b"), F.col("root_1").alias("ra"), F.col("root_2").alias("rb"), (F.col("size_1") + F.col("size_2")).alias("sizes"), room.alias("room"))
+    shared = pairs.groupBy("a", "b", "ra", "rb", "sizes").agg(F.count("*").alias("n"), F.min("room").alias("room"))
+    return shared.filter(whole * (F.col("n") + F.col("room") - 1) >= both * F.col("sizes")).select("a", "b", "ra", "rb")
 
 
-def links(signed: DataFrame, docs: DataFrame) -> DataFrame:
-    """Verified links (a, b) that join all nodes whose links are within buckets; signed: doc_id, node, size, bands."""
+def links(signed: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b) that join all nodes whose links are within buckets, and (node, root) of every node that shares a bucket.
+
+    signed: doc_id, node, size, bands. Roots are kept from round to round: a round's links join roots, and only these
+    few go through components().
+    """
     nodes = signed.filter("size > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("size").alias("size"), F.first("bands").alias("bands"))
     spread = nodes.select("node", "doc_id", "size", F.explode("bands").alias("band"))
     buckets = spread.groupBy("band").agg(F.count("*").alias("nodes"), F.min("node").alias("pivot")).filter("nodes > 1")
@@ -237,39 +256,52 @@ def links(signed: DataFrame, docs: DataFrame) -> DataFrame:
 
     def verified(pairs: DataFrame) -> DataFrame:
         with_x = pairs.join(bags.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a")
-        checked = with_x.join(bags.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(_verify, "a binary, b binary, linked boolean")
-        return stored(checked.filter("linked").select("a", "b"), "links")
+        with_both = with_x.join(bags.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b").select("a", "b", "ra", "rb", "x", "y")
+        return stored(with_both.mapInArrow(_verify, "a binary, b binary, ra binary, rb binary"), "links")
+
+    def merged(roots: DataFrame, linked: DataFrame) -> DataFrame:
+        """roots after the links' roots have been joined."""
+        up = components(linked, "ra", "rb").select(F.col("node").alias("root"), F.col("root").alias("up"))
+        return stored(roots.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")), "roots")
 
-    def unmerged(linked: DataFrame) -> DataFrame:
+    def unmerged(roots: DataFrame, linked: DataFrame) -> DataFrame:
         """Members of buckets that still have several components, with their root and the bucket's best linked node."""
         degree = linked.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-        state = components(linked, "a", "b").join(degree, "node")
-        now = members.join(state, "node", "left").withColumns({"root": F.coalesce("root", "node"), "degree": F.coalesce("degree", F.lit(0))})
+        now = members.join(roots, "node").join(degree, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
         several = now.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.max_by("node", F.struct("degree", F.xxhash64("node"))).alias("best")).filter("r1 <> r2").select("band", "best")
         return stored(now.filter("nodes > 2").join(several, "band"), "unmerged")
 
     alone = members.withColumn("root", F.col("node"))
-    linked = verified(_pairs(alone.filter("node <> pivot"), alone.filter("node = pivot")))
-    left = unmerged(linked)
-    linked = stored(linked.unionByName(verified(_pairs(left.filter((F.col("nodes") <= SMALL) | (F.col("node") == F.col("best"))), left))), "links")
-    left = unmerged(linked).filter(F.col("nodes") > SMALL).select("node", "root").distinct()
-    return linked.unionByName(verified(stored(prefixed_pairs(bags.join(left, "node")), "pairs")))
+    roots = members.select("node", F.col("node").alias("root")).distinct()
+    first = verified(_pairs(alone.filter("node <> pivot"), alone.filter("node = pivot")))
+    roots = merged(roots, first)
+    left = unmerged(roots, first)
+    second = verified(_pairs(left.filter(F.col("node") == F.col("best")), left))
+    roots = merged(roots, second)
+    linked = first.unionByName(second)
+    left = unmerged(roots, linked).select("node", "root").distinct()
+    third = verified(stored(prefixed_pairs(bags.join(left, "node")), "pairs"))
+    return linked.unionByName(third).select("a", "b"), merged(roots, third)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_node: bool = False) -> DataFrame:
-    """doc_id and class_id, the least id of the document's class, for every row; with_node: and the text's MD5 as `node`.
+    """doc_id, class_id (the least id of the document's class) and n_links for every row; with_node: and the text's MD5 as `node`.
 
     A class is made of equal texts and of links: weighted Jaccard similarity of the multisets of 5-word shingles (of a
-    shorter text: all its words) of at least 0.8. Texts without a word are alike only if equal; null counts as empty. A
-    null id takes its class's id, or null if the class has no other. Repeated rows share a class. An empty table gives
-    an empty result; a very long text is signed and compared whole; other columns of docs are left out.
+    shorter text: all its words) of at least 0.8. n_links is how many different texts the search has linked to this
+    one: enough to hold each class together, not all pairs of a class. Texts without a word are alike only if equal;
+    null counts as empty. A null id takes its class's id, or null if the class has no other. Repeated rows share a
+    class. An empty table gives an empty result; a very long text is signed and compared whole; other columns of docs
+    are left out.
     """
     rows = id_and_text(docs, id_col, text_col)
     signed = stored(rows.mapInArrow(_sign, "doc_id long, node binary, size long, bands array<long>"), "signed")
-    roots = components(links(signed, rows), "a", "b")
-    placed = signed.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
+    linked, roots = links(signed, rows)
+    degree = linked.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    known = stored(roots.join(degree, "node", "left"), "classes")
+    placed = signed.select("doc_id", "node").join(known, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     ids = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    return placed.join(ids, "root").select("doc_id", "class_id", *["node"] * with_node)
+    return placed.join(ids, "root").select("doc_id", "class_id", "n_links", *["node"] * with_node)
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
