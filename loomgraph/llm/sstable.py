@@ -1,10 +1,12 @@
 """Sorted-string-table shards of token ids.
 
-A shard is one immutable file: data blocks, a sparse block index, a Bloom filter, a footer. Keys are document ids
+A shard is one immutable file: data blocks with Bloom filters between them, a sparse index of each, a footer. Keys are document ids
 as 8 big-endian bytes with the sign bit flipped, so byte order is id order; a null id is the empty key. In a block
 each entry stores how many key bytes it shares with the key before it and only the rest (prefix compression; every
 RESTART entries the whole key), then the ids. Blocks are compressed and carry a crc32. The index has each block's
-last key, place and tokens before it; point lookups test the Bloom filter, binary-search the index and read one block.
+last key, place and tokens before it; point lookups find the filter of their key range, test it, binary-search the
+index and read one block. A filter has a fixed size and takes bits as keys come; it is written when it has its number
+of keys, folded in halves if it has fewer, so a writer's memory doesn't grow with its shard.
 
 Shards are written by Spark tasks after a range sort by id. Each attempt writes a file of its own name, and only
 files that a finished task reported are in the manifest, so a lost executor leaves at most an unused file.
@@ -28,13 +30,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import id_and_text, new_folder
+from .stores import enter
 from .tokens import byte_slices, encoder
 
 BLOCK_BYTES, RESTART = 1 << 16, 16
-BLOOM_BITS_PER_KEY, BLOOM_HASHES = 10, 7
+#: A filter covers so many keys, which follow each other; it is written when it is full.
+FILTER_BITS, BITS_PER_KEY, BLOOM_HASHES = 1 << 20, 10, 7
+FILTER_KEYS = FILTER_BITS // BITS_PER_KEY
+#: Shards whose ranges are broadcast at once by a lookup.
+SHARDS_AT_ONCE = 50_000
 MAGIC = b"LGSST001"
-_FOOTER = struct.Struct("<QQQQQQ8s")  # index at, its bytes, bloom at, its bytes, entries, tokens, magic
+_FOOTER = struct.Struct("<QQQQQQ8s")  # block index at, its bytes, filter index at, its bytes, entries, tokens, magic
 _INDEX = struct.Struct("<QQQQB")  # block at, its bytes, entries, tokens before it, bytes of the last key
+_FILTER = struct.Struct("<QQB")  # filter at, its bytes (a power of 2), bytes of its last key
 _ENTRY = struct.Struct("<BBIB")  # shared key bytes, other key bytes, ids, bytes of an id
 
 
@@ -56,7 +64,7 @@ def split_path(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 class ShardWriter:
-    """add() in key order, then close(). Holds one block, the index and the keys' Bloom places."""
+    """add() in key order, then close(). Holds one block, one filter of fixed size, and the indexes of both."""
 
     def __init__(self, path: str):
         fs, at = split_path(path)
@@ -64,7 +72,7 @@ class ShardWriter:
         self.path, self.out = path, fs.open_output_stream(at)
         self.block, self.in_block, self.block_tokens, self.last = bytearray(), 0, 0, b""
         self.index, self.at, self.entries, self.tokens = bytearray(), 0, 0, 0
-        self.hashes: list[bytes] = []
+        self.filters, self.filter, self.filter_keys = bytearray(), bytearray(FILTER_BITS // 8), 0
         self.first: bytes | None = None
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
@@ -78,7 +86,11 @@ class ShardWriter:
         self.block += _ENTRY.pack(shared, len(key) - shared, len(values), wide) + key[shared:] + values.astype(f"<u{wide}").tobytes()
         self.first = key if self.first is None else self.first
         self.in_block, self.block_tokens, self.last = self.in_block + 1, self.block_tokens + len(values), key
-        self.hashes.append(key)
+        for place in _bloom_places(key, FILTER_BITS):
+            self.filter[place >> 3] |= 1 << (place & 7)
+        self.filter_keys += 1
+        if self.filter_keys == FILTER_KEYS:
+            self._flush_filter()
         if len(self.block) >= BLOCK_BYTES:
             self._flush()
 
@@ -91,14 +103,21 @@ class ShardWriter:
             self.at, self.entries, self.tokens = self.at + len(data), self.entries + self.in_block, self.tokens + self.block_tokens
             self.block, self.in_block, self.block_tokens = bytearray(), 0, 0
 
+    def _flush_filter(self) -> None:
+        """Writes the filter, folded in halves while its keys leave it more bits than they need."""
+        if self.filter_keys:
+            bits = np.frombuffer(bytes(self.filter), np.uint8)
+            while len(bits) > 8 and len(bits) * 4 >= self.filter_keys * BITS_PER_KEY:
+                bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
+            self.filters += _FILTER.pack(self.at, len(bits), len(self.last)) + self.last
+            self.out.write(bits.tobytes())
+            self.at += len(bits)
+            self.filter, self.filter_keys = bytearray(FILTER_BITS // 8), 0
+
     def close(self) -> dict:
         self._flush()
-        bits = max(64, len(self.hashes) * BLOOM_BITS_PER_KEY)
-        places = np.array([x for k in self.hashes for x in _bloom_places(k, bits)], dtype=np.int64)
-        bloom = np.zeros(-(-bits // 8), dtype=np.uint8)
-        np.bitwise_or.at(bloom, places >> 3, (1 << (places & 7)).astype(np.uint8))
-        bloom = struct.pack("<Q", bits) + bloom.tobytes()
-        self.out.write(bytes(self.index) + bloom + _FOOTER.pack(self.at, len(self.index), self.at + len(self.index), len(bloom), self.entries, self.tokens, MAGIC))
+        self._flush_filter()
+        self.out.write(bytes(self.index) + bytes(self.filters) + _FOOTER.pack(self.at, len(self.index), self.at + len(self.index), len(self.filters), self.entries, self.tokens, MAGIC))
         self.out.close()
         return {"path": self.path, "first": self.first or b"", "last": self.last, "entries": self.entries, "tokens": self.tokens}
 
@@ -110,24 +129,33 @@ class ShardReader:
         fs, at = split_path(path)
         self.file = fs.open_input_file(at)
         self.size = self.file.size()
-        index_at, index_n, bloom_at, bloom_n, self.n, self.tokens, magic = _FOOTER.unpack(self._read(self.size - _FOOTER.size, _FOOTER.size))
+        index_at, index_n, filters_at, filters_n, self.n, self.tokens, magic = _FOOTER.unpack(self._read(self.size - _FOOTER.size, _FOOTER.size))
         if magic != MAGIC:
             raise ValueError(f"{path} is not a token shard")
-        raw = self._read(index_at, index_n)
-        self.blocks, at = [], 0
-        while at < len(raw):
-            *block, n = _INDEX.unpack_from(raw, at)
-            self.blocks.append((*block, raw[at + _INDEX.size : at + _INDEX.size + n]))
-            at += _INDEX.size + n
-        bloom = self._read(bloom_at, bloom_n)
-        self.bits, self.bloom = struct.unpack_from("<Q", bloom)[0], bloom[8:]
+        self.blocks, self.filters = self._index(_INDEX, index_at, index_n), self._index(_FILTER, filters_at, filters_n)
+        self.filter_keys, self.at, self.filter = [x[-1] for x in self.filters], -1, b""
 
     def _read(self, at: int, n: int) -> bytes:
         self.file.seek(at)
         return self.file.read(n)
 
+    def _index(self, entry: struct.Struct, at: int, n: int) -> list[tuple]:
+        """Fixed fields, and the last key in place of its length."""
+        raw, at, out = self._read(at, n), 0, []
+        while at < len(raw):
+            *fields, k = entry.unpack_from(raw, at)
+            out.append((*fields, raw[at + entry.size : at + entry.size + k]))
+            at += entry.size + k
+        return out
+
     def may_have(self, key: bytes) -> bool:
-        return all(self.bloom[x >> 3] >> (x & 7) & 1 for x in _bloom_places(key, self.bits))
+        """What the filter says whose key range has the key; the filter read last is kept."""
+        k = bisect.bisect_left(self.filter_keys, key)
+        if k == len(self.filters):
+            return False
+        if k != self.at:
+            self.at, self.filter = k, self._read(*self.filters[k][:2])
+        return all(self.filter[x >> 3] >> (x & 7) & 1 for x in _bloom_places(key, 8 * len(self.filter)))
 
     def block(self, k: int) -> Iterator[tuple[bytes, int, bytes]]:
         """Key, tokens of the shard before the entry, ids."""
@@ -172,6 +200,7 @@ def write(docs: DataFrame, tokenizer: str, *, end_id: int | None = 2, folder: st
     end = b"" if end_id is None else end_id.to_bytes(4, "little")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("sstable")
         codec, shard = encoder(tokenizer), None
         for b in byte_slices(batches, 1):
             shard = shard or ShardWriter(f"{folder}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.sst")
@@ -196,7 +225,7 @@ def _shards(spark: SparkSession, manifest: list[dict]) -> DataFrame:
 
 
 def read(spark: SparkSession, manifest: list[dict], *, with_ids: bool = True) -> DataFrame:
-    """All entries, a task for each shard: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, if wanted, ids."""
+    """All entries of a manifest, a task for each shard; of an empty one none, and a very long entry whole: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, if wanted, ids."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
@@ -220,7 +249,14 @@ def read(spark: SparkSession, manifest: list[dict], *, with_ids: bool = True) ->
 
 
 def lookup(spark: SparkSession, manifest: list[dict], wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """doc_id and ids of the wanted ids that are stored: each id goes to the shards whose key range has it."""
+    """doc_id and ids of the wanted ids that are stored: each id goes to the shards whose key range has it.
+
+    A null id finds the entries without an id; an id that is wanted twice is looked up once, one that several rows had
+    gives a row for each. No wanted row, or an empty manifest, gives an empty result; other columns of wanted are left
+    out. Ranges of SHARDS_AT_ONCE shards are broadcast at a time, some hundred bytes each.
+    """
+    if len(manifest) > SHARDS_AT_ONCE:
+        return lookup(spark, manifest[:SHARDS_AT_ONCE], wanted, id_col).unionAll(lookup(spark, manifest[SHARDS_AT_ONCE:], wanted, id_col))
     ranges = spark.createDataFrame([(x["path"], id_of(x["first"]), id_of(x["last"])) for x in manifest], "path string, lo long, hi long")
     keys = wanted.select(F.col(id_col).cast("long").alias("doc_id")).distinct()
     hits = keys.join(F.broadcast(ranges), (F.coalesce("doc_id", F.lit(-(2**63))) >= F.coalesce("lo", F.lit(-(2**63)))) & (F.coalesce("doc_id", F.lit(-(2**63))) <= F.coalesce("hi", F.lit(-(2**63)))))
