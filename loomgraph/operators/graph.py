@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -25,7 +27,28 @@ def stored(df: DataFrame) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+def stored_with(df: DataFrame, **totals: Column) -> tuple[DataFrame, dict]:
+    """stored(), and aggregates over its rows that are taken while they are written; of no rows, nulls and zeros."""
+    seen = Observation()
+    out = stored(df.observe(seen, *(c.alias(name) for name, c in totals.items())))
+    return out, seen.get
+
+
+_paths: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes what stored() wrote for these tables, which nothing may read any more: a loop's older rounds."""
+    for df in tables:
+        ref, path = _paths.pop(id(df), (None, None))
+        if ref is not None and ref() is df:
+            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -52,52 +75,34 @@ def distances(edges: DataFrame, sources: DataFrame, depth: int) -> DataFrame:
     for d in range(1, depth + 1):
         front = seen.filter(F.col("distance") == d - 1)
         nxt = front.join(step, front["node"] == step["src"]).select("source", F.col("dst").alias("node"), F.lit(d).alias("distance"))
-        seen = stored(seen.unionByName(nxt).groupBy("source", "node").agg(F.min("distance").alias("distance")))
+        older, seen = seen, stored(seen.unionByName(nxt).groupBy("source", "node").agg(F.min("distance").alias("distance")))
+        forget(older)
     return seen
 
 
-def pair_lengths(edges: DataFrame, pairs: DataFrame, depth: int) -> DataFrame:
-    """pairs (source, target) with `length`; -1 if the target isn't within `depth` steps."""
-    found = distances(edges, pairs.select("source").distinct(), depth).withColumnRenamed("node", "target")
-    return pairs.join(found, ["source", "target"], "left").select("source", "target", F.coalesce("distance", F.lit(-1)).alias("length"))
-
-
-def simple_paths(edges: DataFrame, pairs: DataFrame, length: int) -> DataFrame:
-    """All paths of exactly `length` edges between each pair that visit no node twice, as arrays of nodes.
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node that has an edge, root the least node that edges join it to, whatever their direction.
 
-    Both ends bound the search: a path only grows to nodes from which the target is still in reach.
+    Large-star and small-star steps by turns, each a minimum for a node and a join back; rounds grow with the logarithm
+    of the longest path. The minimum of a hub's edges is stored, so that its join can be split.
     """
-    step = edges.select("src", "dst").distinct()
-    back = distances(step.select(F.col("dst").alias("src"), F.col("src").alias("dst")), pairs.select(F.col("target").alias("source")).distinct(), length).select(F.col("source").alias("target"), F.col("node").alias("tail"), "distance")
-    paths = pairs.select("source", "target", F.array("source").alias("path"), F.col("source").alias("tail"))
-    for k in range(length):
-        grown = paths.join(step, paths["tail"] == step["src"]).filter(~F.array_contains("path", F.col("dst")))
-        paths = grown.select("source", "target", F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("tail"))
-        paths = paths.join(back.filter(F.col("distance") <= length - k - 1), ["target", "tail"], "left_semi")
-    return paths.filter("tail = target").select("source", "target", "path")
-
-
-def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int) -> DataFrame:
-    """All shortest paths of each pair, up to `depth` edges; from a node to itself the node alone."""
-    lengths = stored(pair_lengths(edges, pairs, depth))
-    same = lengths.filter(F.col("length") == 0).select("source", "target", F.array("source").alias("path"))
-    found = [simple_paths(edges, lengths.filter(F.col("length") == k).select("source", "target"), k) for k in range(1, depth + 1)]
-    return reduce(DataFrame.unionByName, [same, *found])
-
-
-def fact_paths(paths: DataFrame, edges: DataFrame) -> DataFrame:
-    """Each node path once for each choice of a relation on every hop: an array of structs s, r, o."""
-    hops = paths.withColumn("_path", F.monotonically_increasing_id())
-    hops = stored(hops)
-    size = hops.agg(F.max(F.size("path"))).first()[0] or 1
-    rel = edges.select("src", "dst", "rel").distinct()
-    out = hops.select("source", "target", "path", F.array().cast("array<struct<s:string,r:string,o:string>>").alias("facts"))
-    for k in range(size - 1):
-        hop = out.filter(F.size("path") > k + 1)
-        done = out.filter(F.size("path") <= k + 1)
-        grown = hop.join(rel, (F.get("path", F.lit(k)) == rel["src"]) & (F.get("path", F.lit(k + 1)) == rel["dst"]))
-        out = grown.select("source", "target", "path", F.concat("facts", F.array(F.struct(F.col("src").alias("s"), F.col("rel").alias("r"), F.col("dst").alias("o")))).alias("facts")).unionByName(done)
-    return out.select("source", "target", "facts")
+    totals = {"n": F.count(F.lit(1)), "hash": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}
+    e, before = stored_with(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).filter("u <> v").distinct(), **totals)
+    loops = edges.filter(F.col("src") == F.col("dst")).select(F.col("src").alias("node"), F.col("src").alias("root")).distinct()
+    while before["n"]:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        pairs = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))
+        older, (e, after) = e, stored_with(large.join(low, "u").select(F.explode(pairs).alias("x")).select("x.*").filter("u <> v").distinct(), **totals)
+        forget(older, least)
+        if after == before:
+            break
+        before = after
+    roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    return roots.unionByName(loops.join(roots, "node", "left_anti"))
 
 
 def weighted_distances(edges: DataFrame, sources: DataFrame, rounds: int) -> DataFrame:
@@ -106,7 +111,8 @@ def weighted_distances(edges: DataFrame, sources: DataFrame, rounds: int) -> Dat
     state = None
     for _ in range(rounds):
         nxt = best.join(edges.select("src", "dst", "weight"), best["node"] == edges["src"]).select("source", F.col("dst").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"))
-        best = stored(best.unionByName(nxt).groupBy("source", "node").agg(F.min("cost").alias("cost")))
+        older, best = best, stored(best.unionByName(nxt).groupBy("source", "node").agg(F.min("cost").alias("cost")))
+        forget(older)
         now = best.agg(F.count("*"), F.sum("cost")).first()
         if now == state:
             break
@@ -137,7 +143,8 @@ def page_rank(edges: DataFrame, rounds: int, alpha: float = 0.85, restart: DataF
         sent = ranks.join(links, ranks["node"] == links["src"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("degree")).alias("sent"))
         kept = sent.agg(F.coalesce(F.sum("sent"), F.lit(0.0)).alias("kept"))
         new = home.join(sent, "node", "left").join(F.broadcast(kept))
-        ranks = stored(new.select("node", (alpha * F.coalesce("sent", F.lit(0.0)) + (1 - alpha * F.col("kept")) * F.col("_h") / starts).alias("rank")))
+        older, ranks = ranks, stored(new.select("node", (alpha * F.coalesce("sent", F.lit(0.0)) + (1 - alpha * F.col("kept")) * F.col("_h") / starts).alias("rank")))
+        forget(older)
     return ranks
 
 
@@ -176,7 +183,8 @@ def weisfeiler_lehman(edges: DataFrame, rounds: int) -> DataFrame:
     step = edges.select("src", "dst").distinct()
     for _ in range(rounds):
         near = step.join(labels.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.array_join(F.sort_array(F.collect_list("label")), "-").alias("near"))
-        labels = stored(labels.join(near, "node", "left").select("node", F.md5(F.concat_ws("-", "label", "near")).alias("label")))
+        older, labels = labels, stored(labels.join(near, "node", "left").select("node", F.md5(F.concat_ws("-", "label", "near")).alias("label")))
+        forget(older)
     return labels
 
 
@@ -228,24 +236,24 @@ def name_parts(walk: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(apart), r"[^a-z0-9]+"), lambda x: x != ""))
 
 
-def with_wildcards(walks_: DataFrame, most: int) -> DataFrame:
-    """The walks, and each with up to `most` of the places behind the root set to "*", in all ways."""
-    out = walks_.select("root", "walk", F.lit(0).alias("_from"))
-    grown = out
-    for _ in range(most):
+def with_wildcards(walks_: DataFrame, sizes: Sequence[int]) -> DataFrame:
+    """The walks, and for each size every way to set so many of a walk's places behind the root to "*"."""
+    grown = walks_.select("root", "walk", F.lit(0).alias("_from"))
+    out = grown
+    for size in range(1, max(sizes, default=0) + 1):
         places = grown.filter(F.size("walk") - 1 > F.col("_from")).select("root", "walk", F.explode(F.sequence(F.col("_from") + 1, F.size("walk") - 1)).alias("_from"))
         grown = places.select("root", F.transform("walk", lambda x, i: F.when(i == F.col("_from"), F.lit("*")).otherwise(x)).alias("walk"), "_from")
-        out = out.unionByName(grown)
+        out = out.unionByName(grown) if size in sizes else out
     return out.select("root", "walk").distinct()
 
 
-def n_gram_walks(walks_: DataFrame, n: int) -> DataFrame:
-    """(root, walk): at even places from the n-th on, a name is replaced by a number for the run of n names that ends there.
+def n_gram_walks(walks_: DataFrame, n: int, wildcards: Sequence[int] = ()) -> DataFrame:
+    """(root, walk), of the walks and of those with wildcards of the given sizes: at even places from the n-th on, a name is replaced by a number for the run of n names that ends there.
 
     The root, the relations and the names before stay. Numbers count the distinct runs of a root's walks from 0, by
     first sight in the walks' ascending order.
     """
-    named = stored(walks_.select("root", "walk").distinct().withColumn("_w", F.monotonically_increasing_id()))
+    named = stored(with_wildcards(walks_, wildcards).withColumn("_w", F.monotonically_increasing_id()))
     steps = named.select("root", "walk", "_w", F.posexplode("walk").alias("i", "name"))
     run = F.slice("walk", F.greatest(F.col("i") - (n - 2), F.lit(1)), F.lit(n))
     inner = (F.col("i") > 0) & (F.col("i") % 2 == 0) & (F.col("i") >= n)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .relational import top_per_key
@@ -21,12 +21,12 @@ def relations_of_pairs(edges: DataFrame) -> DataFrame:
 
 
 def linked_facts(facts: DataFrame, entities: DataFrame) -> DataFrame:
-    """facts with subject_id and object_id, matched by name and domain; facts with an end that isn't known are dropped.
+    """facts with subject_id and object_id, matched by name and domain; facts with an end that isn't known are dropped, and of several ids of a name the least counts.
 
     facts: subject_name, subject_domain, object_name, object_domain and others; entities: id, name, domain.
     """
     for end in ("subject", "object"):
-        known = entities.select(F.col("id").alias(f"{end}_id"), F.col("name").alias(f"{end}_name"), F.col("domain").alias(f"{end}_domain")).dropDuplicates([f"{end}_name", f"{end}_domain"])
+        known = entities.select(F.col("id").alias(f"{end}_id"), F.col("name").alias(f"{end}_name"), F.col("domain").alias(f"{end}_domain")).groupBy(f"{end}_name", f"{end}_domain").agg(F.min(f"{end}_id").alias(f"{end}_id"))
         facts = facts.join(known, [f"{end}_name", f"{end}_domain"])
     return facts
 
@@ -38,9 +38,10 @@ def merged(a: Column, b: Column, without: Column | None = None) -> Column:
 
 
 def updated_chunk_ids(all_ids: Column, old: Column, new: Column) -> Column:
-    """The list of chunk ids after `old` ones were replaced by `new` ones: those that stay keep their order, new ones follow."""
+    """The list of chunk ids after `old` ones were replaced by `new` ones: those that stay keep their order, and ids that are new but not old follow."""
     stay = F.filter(all_ids, lambda x: ~F.array_contains(old, x) | F.array_contains(new, x))
-    return F.array_distinct(F.concat(stay, new))
+    more = F.filter(new, lambda x: ~F.array_contains(old, x) & ~F.array_contains(stay, x))
+    return F.concat(stay, F.array_distinct(more))
 
 
 def stratified(df: DataFrame, strata: Sequence[str], key: str, n: int, seed: int = 0) -> DataFrame:
@@ -82,9 +83,3 @@ def combined_walks(backward: DataFrame, forward: DataFrame) -> DataFrame:
     b = backward.select("root", F.reverse("walk").alias("_b"))
     f = forward.select("root", F.col("walk").alias("_f"))
     return b.join(f, "root").select("root", F.concat("_b", F.slice("_f", F.lit(2), F.size("_f"))).alias("walk")).distinct()
-
-
-def first_paths(paths: DataFrame, n: int) -> DataFrame:
-    """The first n paths of each (source, target) by length, then by their nodes; n is the feature."""
-    w = Window.partitionBy("source", "target").orderBy(F.size("path"), "path")
-    return paths.withColumn("_at", F.row_number().over(w)).filter(F.col("_at") <= n).drop("_at")

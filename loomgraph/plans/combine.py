@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.retrieval import scores_of
+
 
 def condition_score(score: Column, negated: Column) -> Column:
     """A negated condition holds as far as the plain one doesn't."""
@@ -21,10 +27,51 @@ def disjunction_of_conjunctions(scores: DataFrame, candidate: str, clause: str,
     return clauses.groupBy(candidate).agg(conorm.alias("query_score"))
 
 
+@dataclass(frozen=True)
+class Atom:
+    """A condition (subject, relation, object); a variable is written ?name. negated: it holds as far as the plain one doesn't."""
+
+    subject: str
+    relation: str
+    object: str
+    negated: bool = False
+
+
+def all_assignments(candidates: DataFrame, variables: Sequence[str]) -> DataFrame:
+    """One row for each way to give every variable a value that some candidate gives it.
+
+    candidates has a column for each variable, null where a candidate doesn't bind it. They are beams, so the values
+    of a variable are as many as the beams' rows at most; the rows here are the product of these numbers.
+    """
+    values = candidates.agg(*(F.array_sort(F.collect_set(v)).alias(v) for v in variables))
+    return reduce(lambda df, v: df.withColumn(v, F.explode(v)), variables, values)
+
+
+def disjuncts_over_bindings(candidates: DataFrame, clauses: Sequence[Sequence[Atom]], ledger: DataFrame, predict: Column, least: bool = False) -> DataFrame:
+    """Every assignment of the candidates' values with query_score: each disjunct's t-norm over its conditions, then the t-conorm.
+
+    A candidate that one disjunct has found is scored on all of them. A condition's score is the ledger's (subject_id,
+    relation_type, object_id, score) where it has the triple, else `predict` over these columns; each distinct triple
+    is scored once.
+    """
+    variables = sorted({x[1:] for c in clauses for a in c for x in (a.subject, a.object) if x.startswith("?")})
+    assigned = all_assignments(candidates, variables)
+    term = lambda x: F.col(x[1:]) if x.startswith("?") else F.lit(x)
+    rows = [
+        F.struct(F.lit(k).alias("clause"), F.lit(n).alias("atom"), F.lit(a.negated).alias("negated"), term(a.subject).alias("subject_id"), F.lit(a.relation).alias("relation_type"), term(a.object).alias("object_id"))
+        for k, c in enumerate(clauses)
+        for n, a in enumerate(c)
+    ]
+    long = assigned.select(*variables, F.inline(F.array(*rows)))
+    key = ["subject_id", "relation_type", "object_id"]
+    scored = long.join(scores_of(long.select(*key).distinct(), ledger, predict), key)
+    held = scored.withColumn("_score", condition_score(F.col("score"), F.col("negated"))).withColumn("_binding", F.struct(*variables))
+    return disjunction_of_conjunctions(held, "_binding", "clause", "_score", least).select("_binding.*", "query_score")
+
+
 def weighted_score(scores: DataFrame, key: str, score: str, weight: str) -> DataFrame:
-    """(key, weighted_score): the mean of scores by weight; null if the weights sum to 0."""
-    w = F.sum(weight)
-    return scores.groupBy(key).agg(F.when(w != 0, F.sum(F.col(score) * F.col(weight)) / w).alias("weighted_score"))
+    """(key, weighted_score): the sum of scores times their weights."""
+    return scores.groupBy(key).agg(F.sum(F.col(score) * F.col(weight)).alias("weighted_score"))
 
 
 def pair_triples(pairs: DataFrame, relations: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ Conditions are built in Python; there is no query text to parse. An atom has one
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -90,3 +92,36 @@ def beam(candidates: DataFrame, steps: list[tuple[str, DataFrame]], width: int)
         scored = met.select(F.concat("path", F.array("next")).alias("path"), F.col("next").alias("last"), (F.col("score") * hash_score(F.col("last"), F.lit(relation), F.col("next"))).alias("score"))
         state = scored.orderBy(F.desc("score"), "last", "path").limit(width)
     return state
+
+
+def named(domain: str, key: int) -> str:
+    """A node's id, as text.node_id makes it."""
+    return hashlib.md5(f"{domain}|{key}".encode()).hexdigest()
+
+
+def conjunctive_beam(atoms: Sequence, domains: Mapping[str, DataFrame], ledger: DataFrame, predict: Column, width: int) -> DataFrame:
+    """The beam (a column for each variable, and score) of a conjunction of atoms (see combine.Atom).
+
+    Variables are bound in the order of `domains`, each to all nodes of its table (column named as the variable); the
+    product of the scores of the atoms whose ends are bound by then ranks the bindings, and the best `width` go on.
+    Scores rank by nine digits, then bindings by name. Every step must settle an atom, so that a domain never meets more
+    than `width` rows, which are the side that is broadcast.
+    """
+    term = lambda x: F.col(x[1:]) if x.startswith("?") else F.lit(x)
+    key = ["subject_id", "relation_type", "object_id"]
+    known = ledger.select(*key, F.col("score").alias("_known"))
+    state, bound, open_ = None, [], list(atoms)
+    for variable, domain in domains.items():
+        rows = domain.select(variable)
+        state = rows.withColumn("score", F.lit(1.0)) if state is None else rows.join(F.broadcast(state))
+        bound.append(variable)
+        ready = [a for a in open_ if all(not x.startswith("?") or x[1:] in bound for x in (a.subject, a.object))]
+        if not ready:
+            raise ValueError(f"no condition settles ?{variable}")
+        for a in ready:
+            asked = state.withColumnRenamed("score", "_before").withColumns({"subject_id": term(a.subject), "relation_type": F.lit(a.relation), "object_id": term(a.object)})
+            one = F.coalesce("_known", predict)
+            state = asked.join(known, key, "left").select(*bound, (F.col("_before") * (1 - one if a.negated else one)).alias("score"))
+        open_ = [a for a in open_ if a not in ready]
+        state = state.orderBy(F.desc(F.round("score", 9)), *bound).limit(width)
+    return state

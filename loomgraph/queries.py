@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import kg
 from .functions import text as tx
 from .functions import vectors as vx
-from .operators import clean, graph, hypotheses, metrics, relational, retrieval, splits
+from .operators import clean, graph, hypotheses, metrics, paths, relational, retrieval, splits
 from .plans import conditions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -657,7 +657,7 @@ def q209_shortest_paths(spark, d):
     back = g.select(F.col("dst").alias("src"), "rel", F.col("src").alias("dst"))
     n, s = t(spark, d, "nation"), t(spark, d, "supplier")
     pairs = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(tx.node_id("REGION", F.col("n_regionkey")).alias("source"), tx.node_id("SUPPLIER", F.col("s_suppkey")).alias("target"))
-    return graph.shortest_paths(back, pairs, 2).select("source", "target", F.array_join("path", "|").alias("path"))
+    return paths.shortest_paths(back, pairs, 2).select("source", "target", F.array_join("path", "|").alias("path"))
 
 
 @query("WITH " + EDGES_SQL + ", " + PLACE_SQL + """, x AS (SELECT src AS n FROM g WHERE dst = md5('REGION|1')), y AS (SELECT src AS n FROM g

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from . import kg
 from .functions import text as tx
 from .functions import vectors as vx
-from .operators import graph, hypotheses, linking, metrics
-from .plans import combine
+from .operators import graph, hypotheses, linking, metrics, paths
+from .plans import combine, conditions
 from .queries import EDGES_SQL, WITH_EDGES, query, t
 
 
@@ -51,7 +51,7 @@ def _clauses(spark, d):
 
 
 @query(f"WITH {CLAUSE_SQL}, n AS (SELECT candidate, clause, product(score) AS x FROM c GROUP BY ALL) SELECT candidate, 1 - product(1 - x) AS query_score FROM n GROUP BY 1", query_score=9)
-def q250_dnf_combine(spark, d):
+def q250_dnf_rows(spark, d):
     """Product t-norm inside a clause, its conorm over the clauses; conditions of open lines are negated."""
     return combine.disjunction_of_conjunctions(_clauses(spark, d), "candidate", "clause", "score")
 
@@ -62,7 +62,7 @@ def q251_dnf_least(spark, d):
     return combine.disjunction_of_conjunctions(_clauses(spark, d), "candidate", "clause", "score", least=True)
 
 
-@query("SELECT l_orderkey, sum((1 - l_discount) * l_quantity) / sum(l_quantity) AS weighted_score FROM lineitem GROUP BY 1", weighted_score=9)
+@query("SELECT l_orderkey, sum((1 - l_discount) * l_quantity) AS weighted_score FROM lineitem GROUP BY 1", weighted_score=6)
 def q127_weighted_score(spark, d):
     return combine.weighted_score(t(spark, d, "lineitem").withColumn("s", 1 - F.col("l_discount")), "l_orderkey", "s", "l_quantity")
 
@@ -98,17 +98,141 @@ def _neighbours(spark, d):
 @query(f"WITH {SUPPLY_SQL} SELECT a AS source, b AS target, a || '|' || x.p || '|' || b AS path FROM q JOIN g x ON x.s = a JOIN g y ON y.s = b AND y.p = x.p")
 def q209_supplier_paths(spark, d):
     """All shortest paths between each supplier and the next by key, on a graph with cycles and many paths of one length."""
-    paths = graph.shortest_paths(graph.undirected(_supplies(spark, d)), _neighbours(spark, d), 2)
-    return paths.select("source", "target", F.array_join("path", "|").alias("path"))
+    found = paths.shortest_paths(graph.undirected(_supplies(spark, d)), _neighbours(spark, d), 2)
+    return found.select("source", "target", F.array_join("path", "|").alias("path"))
+
+
+#: Supplies in bulk, lines of the greatest quantity: a sparse graph, with pairs that are far apart and pairs without a path.
+BULK_SQL = """g AS (SELECT DISTINCT md5('SUPPLIER|' || l_suppkey) AS s, md5('PART|' || l_partkey) AS p, 'SUPPLIES_' || year(l_shipdate) AS rel FROM lineitem WHERE l_quantity >= 50),
+q AS (SELECT md5('SUPPLIER|' || s_suppkey) AS a, md5('SUPPLIER|' || (s_suppkey + 1)) AS b FROM supplier), u AS (SELECT s AS src, p AS dst FROM g UNION SELECT p, s FROM g)"""
+
+
+def _bulk(spark, d):
+    lines = t(spark, d, "lineitem").filter("l_quantity >= 50")
+    return lines.select(tx.node_id("SUPPLIER", F.col("l_suppkey")).alias("src"), F.concat(F.lit("SUPPLIES_"), F.year("l_shipdate").cast("string")).alias("rel"), tx.node_id("PART", F.col("l_partkey")).alias("dst")).distinct()
+
+
+def _levels_sql(depth: int) -> str:
+    """Levels of all sources a of q over u, one after the other: l0, l1 ... and lv with all."""
+    steps = ["l0 AS MATERIALIZED (SELECT DISTINCT a AS source, a AS node FROM q WHERE a IN (SELECT src FROM u))"]
+    for k in range(1, depth + 1):
+        seen = " ".join(f"AND NOT EXISTS (SELECT 1 FROM l{i} WHERE l{i}.source = l{k - 1}.source AND l{i}.node = u.dst)" for i in range(max(0, k - 2), k))
+        steps.append(f"l{k} AS MATERIALIZED (SELECT DISTINCT source, dst AS node FROM l{k - 1} JOIN u ON src = node WHERE true {seen})")
+    return ", ".join(steps) + ", lv AS (" + " UNION ALL ".join(f"SELECT source, node, {k} AS d FROM l{k}" for k in range(depth + 1)) + ")"
+
 
+#: More levels than the graph has: the last are empty.
+FAR = 40
 
-@query(f"""WITH {SUPPLY_SQL}, m AS (SELECT DISTINCT a, b FROM q JOIN g x ON x.s = a JOIN g y ON y.s = b AND y.p = x.p)
-  SELECT q.a, q.b, CAST(CASE WHEN m.a IS NULL THEN -1 ELSE 2 END AS INTEGER) AS shortest_path_length FROM q
-  LEFT JOIN m ON m.a = q.a AND m.b = q.b""")
+
+@query(f"""WITH {BULK_SQL}, {_levels_sql(FAR)} SELECT q.a, q.b, CAST(coalesce(d, -1) AS INTEGER) AS shortest_path_length FROM q LEFT JOIN lv ON source = a AND node = b
+  WHERE coalesce(d, -1) <= 4""")
 def q077_path_length_filter(spark, d):
-    """Only an upper bound: pairs without a path pass as well."""
+    """Only an upper bound, which pairs beyond it don't pass: pairs without a path do."""
+    pairs = _neighbours(spark, d).select(F.col("source").alias("a"), F.col("target").alias("b"))
+    return hypotheses.path_length_filter(pairs, _bulk(spark, d), "a", "b", most=4)
+
+
+@query(f"""WITH {BULK_SQL}, {_levels_sql(FAR)} SELECT q.a, q.b, CAST(d + 2 AS INTEGER) AS shortest_path_length FROM q JOIN lv ON source = a AND node = b
+  WHERE d + 2 >= 6""")
+def q077_long_paths(spark, d):
+    """Only a lower bound, with both ends counted: lengths are true ones, however far."""
     pairs = _neighbours(spark, d).select(F.col("source").alias("a"), F.col("target").alias("b"))
-    return hypotheses.path_length_filter(pairs, _supplies(spark, d), "a", "b", 2, most=3)
+    return hypotheses.path_length_filter(pairs, _bulk(spark, d), "a", "b", least=6, include_extrema=True)
+
+
+@query(f"""WITH {BULK_SQL}, {_levels_sql(4)}, near AS (SELECT q.a, q.b, d FROM q JOIN lv ON source = a AND node = b),
+p2 AS (SELECT a, b, [a, x.dst, b] AS path FROM near JOIN u x ON x.src = a JOIN u y ON y.src = x.dst AND y.dst = b WHERE d = 2),
+p4 AS (SELECT a, b, [a, x.dst, y.dst, z.dst, b] AS path FROM near JOIN u x ON x.src = a JOIN u y ON y.src = x.dst JOIN u z ON z.src = y.dst JOIN u v ON v.src = z.dst AND v.dst = b
+  WHERE d = 4)
+SELECT a AS source, b AS target, array_to_string(path, '|') AS path FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY path) AS r FROM (FROM p2 UNION ALL FROM p4)) WHERE r = 1""")
+def q210_shortest_path(spark, d):
+    """One shortest path, of at most four edges, between each supplier and the next."""
+    found = paths.shortest_paths(graph.undirected(_bulk(spark, d)), _neighbours(spark, d), 4)
+    return paths.first_paths(found, 1).select("source", "target", F.array_join("path", "|").alias("path"))
+
+
+FACTS_SQL = "f AS (SELECT s AS src, p AS dst, s || '-' || rel || '->' || p AS fact, rel FROM g UNION ALL SELECT p, s, s || '-' || rel || '->' || p, rel FROM g)"
+
+
+@query(f"""WITH {BULK_SQL}, {FACTS_SQL}, {_levels_sql(4)}, near AS (SELECT q.a, q.b, d FROM q JOIN lv ON source = a AND node = b)
+SELECT a AS source, b AS target, x.fact || ' ' || y.fact AS facts FROM near JOIN f x ON x.src = a JOIN f y ON y.src = x.dst AND y.dst = b WHERE d = 2 UNION ALL
+SELECT a, b, x.fact || ' ' || y.fact || ' ' || z.fact || ' ' || v.fact FROM near JOIN f x ON x.src = a JOIN f y ON y.src = x.dst JOIN f z ON z.src = y.dst JOIN f v ON v.src = z.dst AND v.dst = b WHERE d = 4""")
+def q213_path_triples(spark, d):
+    """All ways to take the shortest paths, of at most four edges, by facts in either direction."""
+    found = paths.shortest_paths(graph.undirected(_bulk(spark, d)), _neighbours(spark, d), 4)
+    return _told(paths.path_triples(found, _bulk(spark, d), inverse=True))
+
+
+def _told(found):
+    return found.select("source", "target", F.array_join(F.transform("facts", lambda x: F.concat(x["s"], F.lit("-"), x["r"], F.lit("->"), x["o"])), " ").alias("facts"))
+
+
+@query(f"""WITH {BULK_SQL}, {FACTS_SQL}, h AS (SELECT a, b, x.dst AS m FROM q JOIN u x ON x.src = a JOIN u y ON y.src = x.dst AND y.dst = b)
+SELECT a AS source, b AS target, x.fact || ' ' || y.fact AS facts FROM h JOIN f x ON x.src = a AND x.dst = m JOIN f y ON y.src = m AND y.dst = b
+WHERE x.rel NOT IN ('SUPPLIES_1992', 'SUPPLIES_1998') AND y.rel NOT IN ('SUPPLIES_1992', 'SUPPLIES_1998')""")
+def q214_candidate_paths(spark, d):
+    """Fact paths of two edges of the years 1993 to 1997: the shortest of pairs that are so near."""
+    return _told(paths.candidate_paths(_bulk(spark, d), _neighbours(spark, d), 2, allowed=[f"SUPPLIES_{y}" for y in range(1993, 1998)]))
+
+
+@query(f"""WITH {BULK_SQL}, {FACTS_SQL}, h AS (SELECT DISTINCT a, b, x.dst AS m, y.dst AS n, z.dst AS o FROM q JOIN u x ON x.src = a JOIN u y ON y.src = x.dst AND y.dst <> a JOIN u z ON z.src = y.dst AND z.dst <> x.dst JOIN u v ON v.src = z.dst AND v.dst = b
+  WHERE y.dst <> b), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY m, n, o) AS r, EXISTS (SELECT 1 FROM u i JOIN u j ON j.src = i.dst WHERE i.src = a AND j.dst = b) AS nearer FROM h) WHERE NOT nearer OR r <= 5)
+SELECT a AS source, b AS target, x.fact || ' ' || y.fact || ' ' || z.fact || ' ' || v.fact AS facts FROM k JOIN f x ON x.src = a AND x.dst = m JOIN f y ON y.src = m AND y.dst = n JOIN f z ON z.src = n AND z.dst = o JOIN f v ON v.src = o AND v.dst = b""")
+def q214_longer_paths(spark, d):
+    """Fact paths of four edges: all where that is the shortest length, else the first five simple paths, the feature."""
+    return _told(paths.candidate_paths(_bulk(spark, d), _neighbours(spark, d), 4, max_candidates=5))
+
+
+DNF_SQL = EDGES_SQL + """, led AS (SELECT DISTINCT subject_id AS s, relation_type AS r, object_id AS o FROM edges WHERE relation_type = 'LOCATED_IN' OR relation_type = 'SUPPLIES' AND year = 1995),
+x AS (SELECT md5('SUPPLIER|' || s_suppkey) AS x FROM supplier), y AS (SELECT md5('PART|' || p_partkey) AS y FROM part WHERE p_size = 1),
+tr AS (SELECT x AS s, 'LOCATED_IN' AS r, md5('NATION|' || n) AS o FROM x, (SELECT unnest([3, 5]) AS n) UNION SELECT x, 'SUPPLIES', y FROM x, y),
+sc AS (SELECT tr.s, tr.r, tr.o, CASE WHEN led.s IS NOT NULL THEN 1.0::DOUBLE ELSE CAST(CAST('0x' || substr(md5(tr.s || '|' || tr.r || '|' || tr.o), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 END AS v
+  FROM tr LEFT JOIN led USING (s, r, o)),
+c AS (SELECT x, y, a.v * z.v AS c1, b.v * (1 - z.v) AS c2, row_number() OVER (PARTITION BY y ORDER BY round(a.v, 9) DESC, x) <= 10 AS b1, row_number() OVER (PARTITION BY y ORDER BY round(b.v, 9) DESC, x) <= 10 AS b2
+  FROM x, y JOIN sc a ON a.s = x AND a.o = md5('NATION|3') JOIN sc b ON b.s = x AND b.o = md5('NATION|5') JOIN sc z ON z.s = x AND z.o = y),
+top AS ((SELECT x, y FROM c WHERE b1 ORDER BY round(c1, 9) DESC, x, y LIMIT 10) UNION ALL (SELECT x, y FROM c WHERE b2 ORDER BY round(c2, 9) DESC, x, y LIMIT 10))"""
+
+
+@query(f"WITH {DNF_SQL} SELECT x, y, 1 - (1 - c1) * (1 - c2) AS query_score FROM c WHERE x IN (SELECT x FROM top) AND y IN (SELECT y FROM top)", query_score=9)
+def q250_dnf_combine(spark, d):
+    """Beams of 10 of two disjuncts over supplier x and part y; every pair of their values is scored on both.
+
+    In nation 3 and supplying y, or in nation 5 and not supplying y. Known facts of 1995 and places score 1.
+    """
+    e = kg.edges(spark, d).filter("relation_type = 'LOCATED_IN' or relation_type = 'SUPPLIES' and year = 1995")
+    key = ["subject_id", "relation_type", "object_id"]
+    ledger = e.select(*key).distinct().withColumn("score", F.lit(1.0))
+    predict = conditions.hash_score(*map(F.col, key))
+    x = t(spark, d, "supplier").select(tx.node_id("SUPPLIER", F.col("s_suppkey")).alias("x"))
+    y = t(spark, d, "part").filter("p_size = 1").select(tx.node_id("PART", F.col("p_partkey")).alias("y"))
+    clauses = [[combine.Atom("?x", "LOCATED_IN", conditions.named("NATION", 3)), combine.Atom("?x", "SUPPLIES", "?y")], [combine.Atom("?x", "LOCATED_IN", conditions.named("NATION", 5)), combine.Atom("?x", "SUPPLIES", "?y", negated=True)]]
+    beams = [conditions.conjunctive_beam(c, {"x": x, "y": y}, ledger, predict, 10) for c in clauses]
+    return combine.disjuncts_over_bindings(beams[0].unionByName(beams[1]).select("x", "y"), clauses, ledger, predict)
+
+
+@query("""WITH l AS (SELECT o_custkey, list(DISTINCT o_orderkey ORDER BY o_orderkey) AS a, list(DISTINCT o_orderkey ORDER BY o_orderkey) FILTER (o_orderstatus <> 'O') AS o, list(DISTINCT o_orderkey ORDER BY o_orderkey) FILTER (o_orderpriority < '3') AS n
+  FROM orders GROUP BY 1), m AS (SELECT o_custkey, list_filter(a, lambda x: x % 3 <> 0) AS a, coalesce(o, []) AS o, coalesce(n, []) AS n FROM l),
+  s AS (SELECT o_custkey, o, n, list_filter(a, lambda x: NOT list_contains(o, x) OR list_contains(n, x)) AS stay FROM m)
+SELECT o_custkey, array_to_string(stay || list_filter(n, lambda x: NOT list_contains(o, x) AND NOT list_contains(stay, x)), '|') AS ids FROM s""")
+def q304_chunk_ids(spark, d):
+    """A customer's orders as chunk ids: those of closed orders were old, those of high priority are new."""
+    ids = lambda when: F.array_sort(F.collect_set(F.when(when, F.col("o_orderkey"))))
+    o = t(spark, d, "orders").groupBy("o_custkey").agg(ids(F.col("o_orderkey") % 3 != 0).alias("a"), ids(F.col("o_orderstatus") != "O").alias("o"), ids(F.col("o_orderpriority") < "3").alias("n"))
+    return o.select("o_custkey", tx.joined(linking.updated_chunk_ids(F.col("a"), F.col("o"), F.col("n")).cast("array<string>")).alias("ids"))
+
+
+@query("""WITH w AS (SELECT DISTINCT 'o' || l_orderkey AS root, l_returnflag AS r, 'p' || l_partkey AS p, l_linestatus AS q, 's' || l_suppkey AS z FROM lineitem),
+a AS (SELECT root, r, p, q, z FROM w UNION SELECT root, '*', p, q, z FROM w UNION SELECT root, r, '*', q, z FROM w UNION SELECT root, r, p, '*', z FROM w UNION SELECT root, r, p, q, '*' FROM w
+  UNION SELECT root, '*', '*', '*', z FROM w UNION SELECT root, '*', '*', q, '*' FROM w UNION SELECT root, '*', p, '*', '*' FROM w UNION SELECT root, r, '*', '*', '*' FROM w),
+g AS (SELECT *, dense_rank() OVER (PARTITION BY root ORDER BY seen) - 1 AS number
+  FROM (SELECT *, min(root || chr(0) || r || chr(0) || p || chr(0) || q || chr(0) || z) OVER (PARTITION BY root, p, q, z) AS seen FROM a))
+SELECT DISTINCT root, concat_ws('>', root, r, p, q, number) AS walk FROM g""")
+def q235_wildcards(spark, d):
+    """The walks of q235_n_grams, and those with one place or three set to *; the runs of all are numbered together."""
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    w = t(spark, d, "lineitem").select(name("o", "l_orderkey").alias("root"), F.array(name("o", "l_orderkey"), "l_returnflag", name("p", "l_partkey"), "l_linestatus", name("s", "l_suppkey")).alias("walk"))
+    return graph.n_gram_walks(w, 3, [1, 3]).withColumn("walk", F.array_join("walk", ">"))
 
 
 @query(WITH_EDGES + """, x AS (SELECT subject_id AS src, object_id AS dst, min(1.0 / number_of_occurrences) AS w FROM edges
@@ -198,5 +322,5 @@ def q262_context_before(spark, d):
   WHERE r <= 3""")
 def q159_first_paths(spark, d):
     """The first three shortest paths between each supplier and the next."""
-    paths = graph.shortest_paths(graph.undirected(_supplies(spark, d)), _neighbours(spark, d), 2)
-    return linking.first_paths(paths, 3).select("source", "target", F.array_join("path", "|").alias("path"))
+    found = paths.shortest_paths(graph.undirected(_supplies(spark, d)), _neighbours(spark, d), 2)
+    return paths.first_paths(found, 3).select("source", "target", F.array_join("path", "|").alias("path"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomgraph import schemas
 from loomgraph.functions import text as tx
 from loomgraph.functions import vectors
-from loomgraph.operators import chunking, clean, graph, hypotheses, metrics, relational, retrieval, splits
+from loomgraph.operators import chunking, clean, graph, hypotheses, metrics, paths, relational, retrieval, splits
 from loomgraph.plans import combine, conditions
 from loomgraph.sources import readers, writers
 from loomgraph.streaming import incremental
@@ -115,9 +115,9 @@ def test_proportion_split_is_contiguous(spark):
 def test_path_length_filter(spark):
     e = spark.createDataFrame([("p", "q"), ("q", "r"), ("x", "y")], "src string, dst string").withColumn("rel", F.lit("-"))
     h = spark.createDataFrame([("p", "r"), ("r", "q"), ("p", "x"), ("p", "p")], "a string, b string")
-    only_most = hypotheses.path_length_filter(h, e, "a", "b", 3, most=1)
+    only_most = hypotheses.path_length_filter(h, e, "a", "b", most=1)
     assert rows(only_most.select("a", "b", "shortest_path_length")) == [("p", "p", 0), ("p", "x", -1), ("r", "q", 1)]
-    assert rows(hypotheses.path_length_filter(h, e, "a", "b", 3, least=1).select("a", "b")) == [("p", "r"), ("r", "q")]
+    assert rows(hypotheses.path_length_filter(h, e, "a", "b", least=1).select("a", "b")) == [("p", "r"), ("r", "q")]
 
 
 def test_filtered_ranking(spark):
@@ -130,8 +130,8 @@ def test_combined_scores(spark):
     s = spark.createDataFrame([("c", 1, 0.5, 2.0), ("c", 1, 0.4, 1.0), ("c", 2, 0.1, 0.0)], "cand string, clause int, score double, w double")
     assert combine.disjunction_of_conjunctions(s, "cand", "clause", "score").first().query_score == pytest.approx(1 - (1 - 0.2) * (1 - 0.1))
     assert combine.disjunction_of_conjunctions(s, "cand", "clause", "score", least=True).first().query_score == pytest.approx(0.4)
-    assert combine.weighted_score(s, "cand", "score", "w").first().weighted_score == pytest.approx(1.4 / 3)
-    assert combine.weighted_score(s.filter("clause = 2"), "cand", "score", "w").first().weighted_score is None
+    assert combine.weighted_score(s, "cand", "score", "w").first().weighted_score == pytest.approx(1.4)
+    assert combine.weighted_score(s.filter("clause = 2"), "cand", "score", "w").first().weighted_score == 0
 
 
 def test_metrics_ties(spark):
@@ -146,10 +146,10 @@ EDGES = [("mill", "lane", "inn"), ("inn", "road", "port"), ("mill", "road", "inn
 def test_paths(spark):
     e = spark.createDataFrame(EDGES, "src string, rel string, dst string")
     pairs = spark.createDataFrame([("mill", "port"), ("mill", "isle"), ("isle", "mill"), ("inn", "inn")], "source string, target string")
-    assert rows(graph.pair_lengths(e, pairs, 4)) == [("inn", "inn", 0), ("isle", "mill", -1), ("mill", "isle", 3), ("mill", "port", 2)]
-    found = {tuple(r.path) for r in graph.shortest_paths(e, pairs, 3).collect()}
+    assert rows(paths.pair_lengths(e, pairs)) == [("inn", "inn", 0), ("isle", "mill", -1), ("mill", "isle", 3), ("mill", "port", 2)]
+    found = {tuple(r.path) for r in paths.shortest_paths(e, pairs).collect()}
     assert found == {("mill", "inn", "port"), ("mill", "farm", "port"), ("mill", "inn", "port", "isle"), ("mill", "farm", "port", "isle"), ("inn",)}
-    facts = graph.fact_paths(graph.shortest_paths(e, pairs.filter("target = 'port'"), 3), e)
+    facts = paths.fact_paths(paths.shortest_paths(e, pairs.filter("target = 'port'")), e)
     assert {r.p for r in facts.select(tx.render_path(F.col("facts")).alias("p")).collect()} == {"[mill-lane->inn] <> [inn-road->port]", "[mill-road->inn] <> [inn-road->port]", "[mill-path->farm] <> [farm-path->port]"}
 
 
@@ -161,7 +161,7 @@ def test_walk_transforms(spark):
     rare = w.unionByName(spark.createDataFrame([("a", list("axe"))], w.schema))
     assert {"".join(r.walk) for r in graph.frequent_hops(rare, 0.5).filter("root = 'a'").collect()} == {"apbqa", "apcqd"}
     assert {"".join(r.walk) for r in graph.n_gram_walks(w, 3).collect()} == {"apbq0", "apcq1", "z"}
-    starred = {"".join(r.walk) for r in graph.with_wildcards(w.filter("root = 'a' and walk[2] = 'b'"), 2).collect()}
+    starred = {"".join(r.walk) for r in graph.with_wildcards(w.filter("root = 'a' and walk[2] = 'b'"), [1, 2]).collect()}
     assert len(starred) == 1 + 4 + 6 and "a*b*a" in starred and all(x[0] == "a" for x in starred)
 
 
