@@ -34,6 +34,10 @@ from .tokens import byte_slices
 
 #: Characters of a text that are taken at once.
 PART = 1 << 13
+#: Signs that are a pretoken of their own behind a letter and before white space.
+ENDINGS = frozenset(".,;:!?)")
+#: Bytes of words and pretokens that a worker keeps.
+KEEP_BYTES = 320 << 20
 
 
 class Decoder:
@@ -86,6 +90,10 @@ class Codec:
         return array("I", self.machine.run(raw, [])).tobytes()
 
     def _word(self, word: str) -> bytes:
+        body = word[:-1]
+        plain = body[1:] if self.space else body
+        if word[-1:] in ENDINGS and plain.isascii() and plain.isalpha():  # a run of letters and a sign
+            return self.pretoken[(body.lower() if self.pretokens.lower else body).encode()] + self.pretoken[word[-1].encode()]
         found = self.pretokens.of(word)
         if len(found) == 1 and isinstance(found[0], bytes):  # the word's own entry is enough
             return self.pretoken.get(found[0]) or self._pretoken(found[0])
@@ -176,7 +184,7 @@ def _streamed(codec: Codec, text: str, full: bool) -> tuple:
 
 def _run(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, full: bool) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enter("codec")
+        enter("codec", KEEP_BYTES)
         few_collections()
         codec = held(("codec", tokenizer), lambda: Codec(tokenizer))
         kinds = [pa.int64(), pa.string(), pa.string(), *([pa.binary(), pa.string()] if full else [])]

@@ -43,7 +43,7 @@ class Kept(dict):
         value = self.make(key)
         if len(key) <= KEEP_CHARS:
             size = sys.getsizeof(key) + sys.getsizeof(value) + PLACE_BYTES
-            if _used + size > KEEP_BYTES:
+            if _used + size > _most:
                 empty()
             _used += size
             self.bytes += size
@@ -66,6 +66,7 @@ def empty() -> None:
 
 _held: dict[Any, Any] = {}
 _operator: str | None = None
+_most = KEEP_BYTES
 
 
 def _give_back() -> None:
@@ -78,9 +79,10 @@ def _give_back() -> None:
         return
 
 
-def enter(operator: str) -> None:
-    """A task of this operator begins in the worker."""
-    global _operator
+def enter(operator: str, most: int = KEEP_BYTES) -> None:
+    """A task of this operator begins in the worker; its stores may have so many bytes."""
+    global _operator, _most
+    _most = most
     if _operator != operator:
         if _operator is not None:
             _held.clear()
