@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import year_start
-from .graph import in_order
+from .graph import in_order, stored
+from .walks import draw, uniform
 
 
 def between_years(facts: DataFrame, start: str | None, end: str | None, year: str = "year") -> DataFrame:
@@ -53,9 +55,68 @@ def history_labels(facts: DataFrame, pair: Sequence[str], relation: str, time: s
 
 
 def timestamp_batches(facts: DataFrame, time: str, order: str, size: int) -> DataFrame:
-    """Batches of at most `size` rows of one timestamp."""
-    n = F.row_number().over(Window.partitionBy(time).orderBy(order))
-    return facts.withColumn("batch", ((n - 1) / size).cast("long"))
+    """Batches of at most `size` rows of one timestamp, in ascending order of a unique column.
+
+    Rows are range-partitioned by timestamp and order and numbered inside their part; a table with a row for each part
+    and timestamp moves the numbers up, so that a timestamp with most of the rows is numbered by many tasks.
+    """
+    placed = stored(facts.repartitionByRange(F.col(time), F.col(order)).withColumn("_part", F.spark_partition_id()))
+    counts = placed.groupBy(time, "_part").agg(F.count("*").alias("_n"))
+    before = counts.select(F.col(time).alias("_time"), "_part", (F.sum("_n").over(Window.partitionBy(time).orderBy("_part")) - F.col("_n")).alias("_before"))
+    row = F.row_number().over(Window.partitionBy("_part", time).orderBy(order))
+    numbered = placed.withColumn("_row", row).join(before.withColumnRenamed("_part", "_of"), F.col(time).eqNullSafe(F.col("_time")) & (F.col("_part") == F.col("_of")))
+    return numbered.select(*facts.columns, F.floor((F.col("_before") + F.col("_row") - 1) / size).cast("long").alias("batch"))
+
+
+def corrupt_one_slot(facts: DataFrame, entities: DataFrame, relations: DataFrame, known: DataFrame, negatives: int, chances: Sequence[float] = (1 / 3, 1 / 3, 1 / 3), seed: int = 0) -> DataFrame:
+    """(subject_id, relation_type, object_id, k, slot): `negatives` rows for each fact, with just one slot of it replaced.
+
+    The slot (s, r or o) is drawn with the given chances, its new value from the index (id, index from 0) of entities or
+    relations. While the triple is a known fact, as the fact itself is, the next value of the index takes its place; so
+    no row is lost, unless every value makes a known fact: then ValueError. Draws are hashes of seed, fact and k.
+    """
+    if abs(sum(chances) - 1) > 1e-9:
+        raise ValueError("the chances must sum to 1")
+    key = ["subject_id", "relation_type", "object_id"]
+    known = stored(known.select(*key).distinct())
+    n_entities, n_relations = entities.count(), relations.count()
+    if not n_entities or not n_relations:
+        return facts.select(*key, F.lit(0).alias("k"), F.lit("").alias("slot")).limit(0)
+    of = (f"{seed}", *map(F.col, key), F.col("k"))
+    u = uniform(*of, "slot")
+    slot = F.when(u < chances[0], "s").when(u < chances[0] + chances[1], "r").otherwise("o")
+    size = F.when(F.col("slot") == "r", F.lit(n_relations)).otherwise(F.lit(n_entities))
+    asked = facts.select(*key, F.explode(F.sequence(F.lit(1), F.lit(negatives))).alias("k")).withColumn("slot", slot).withColumn("at", F.pmod(draw(*of, "value"), size))
+    names = stored(entities.select(F.lit(False).alias("_r"), F.col("index").cast("long").alias("at"), F.col("id").alias("_new")).unionByName(relations.select(F.lit(True).alias("_r"), F.col("index").cast("long").alias("at"), F.col("id").alias("_new"))))
+    done, open_, tries = [], asked, 0
+    while True:
+        named = open_.withColumn("_r", F.col("slot") == "r").join(names, ["_r", "at"])
+        made = {c: F.when(F.col("slot") == x, F.col("_new")).otherwise(F.col(c)).alias(f"_{c}") for c, x in zip(key, "sro", strict=True)}
+        triple = named.select(*key, "k", "slot", "at", *made.values())
+        taken = known.select(*(F.col(c).alias(f"_{c}") for c in key), F.lit(True).alias("_taken"))
+        state = stored(triple.join(taken, [f"_{c}" for c in key], "left"))
+        done.append(state.filter("_taken is null").select(*(F.col(f"_{c}").alias(c) for c in key), "k", "slot"))
+        open_ = state.filter("_taken").select(*key, "k", "slot", F.pmod(F.col("at") + 1, F.when(F.col("slot") == "r", F.lit(n_relations)).otherwise(F.lit(n_entities))).alias("at"))
+        if open_.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        tries += 1
+        if tries > max(n_entities, n_relations):
+            raise ValueError("every value of the slot makes a known fact")
+
+
+def corrupt_in_subgraph(pairs: DataFrame, nodes: DataFrame, negatives: int, seed: int = 0) -> DataFrame:
+    """(batch, subject_id, object_id, k, negative_subject, negative_object): one end of each pair replaced by a node of its batch's subgraph.
+
+    pairs: batch, subject_id, object_id; nodes: batch, node (distinct). Either end is as likely, and so is every node,
+    the pair's own included. Nodes are numbered within their batch, and drawn numbers are joined.
+    """
+    numbered = nodes.select("batch", "node", (F.row_number().over(Window.partitionBy("batch").orderBy("node")) - 1).cast("long").alias("_at"))
+    sizes = nodes.groupBy("batch").agg(F.count("*").alias("_n"))
+    of = (f"{seed}", F.col("batch"), F.col("subject_id"), F.col("object_id"), F.col("k"))
+    asked = pairs.select("batch", "subject_id", "object_id", F.explode(F.sequence(F.lit(1), F.lit(negatives))).alias("k")).join(sizes, "batch")
+    drawn = asked.withColumn("_at", F.pmod(draw(*of, "node"), F.col("_n"))).join(numbered, ["batch", "_at"])
+    subject = draw(*of, "end") % 2 == 0
+    return drawn.select("batch", "subject_id", "object_id", "k", F.when(subject, F.col("node")).otherwise(F.col("subject_id")).alias("negative_subject"), F.when(subject, F.col("object_id")).otherwise(F.col("node")).alias("negative_object"))
 
 
 def corrupt_objects(facts: DataFrame, entities: DataFrame, known: DataFrame, negatives: int) -> DataFrame:

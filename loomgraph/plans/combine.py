@@ -89,3 +89,25 @@ def scored_triples(triples: DataFrame, entities: DataFrame, relations: DataFrame
         out = out.join(table.select(F.col("id").alias(column), F.col("vector").alias(name)), column, "left")
     whole = F.col("s").isNotNull() & F.col("r").isNotNull() & F.col("o").isNotNull()
     return out.select(*triples.columns, F.when(whole, score).otherwise(F.lit(missing).cast("double")).alias("score"))
+
+
+#: What a pair gets for a relation where one of the triple's ids has no vector.
+MISSING_SCORE = -1000.0
+
+
+def pair_predictions(pairs: DataFrame, relations: list[str], entities: DataFrame, vectors: DataFrame, score: Column, scaled: Column | None = None) -> DataFrame:
+    """pairs with `scores`, in the order of the relations' list, and with `scaled` (an expression over score) `normalised` beside it.
+
+    A list is as long as the list of relations, which is stated; triples are scored as by scored_triples().
+    """
+    place = F.array_position(F.array(*map(F.lit, relations)), F.col("relation_type"))
+    scored = scored_triples(pair_triples(pairs.select("subject_id", "object_id").distinct(), relations).select("subject_id", "relation_type", "object_id"), entities, vectors, score, MISSING_SCORE)
+    rows = F.array_sort(F.collect_list(F.struct(place.alias("place"), "score", *([scaled.alias("scaled")] if scaled is not None else []))))
+    made = scored.groupBy("subject_id", "object_id").agg(rows.alias("_rows"))
+    lists = made.select("subject_id", "object_id", F.transform("_rows", lambda x: x["score"]).alias("scores"), *([F.transform("_rows", lambda x: x["scaled"]).alias("normalised")] if scaled is not None else []))
+    return pairs.join(lists, ["subject_id", "object_id"])
+
+
+def top_triples(scored: DataFrame, k: int) -> DataFrame:
+    """The k triples of the highest score, ties by their ids: each task keeps k, and only these are merged."""
+    return scored.orderBy(F.desc("score"), "subject_id", "relation_type", "object_id").limit(k)
