@@ -257,19 +257,19 @@ def links(signed: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     def verified(pairs: DataFrame) -> DataFrame:
         with_x = pairs.join(bags.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a")
         with_both = with_x.join(bags.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b").select("a", "b", "ra", "rb", "x", "y")
-        return stored(with_both.mapInArrow(_verify, "a binary, b binary, ra binary, rb binary"), "links")
+        return stored(with_both.mapInArrow(_verify, "a binary, b binary, ra binary, rb binary"), "links", few=True)
 
     def merged(roots: DataFrame, linked: DataFrame) -> DataFrame:
         """roots after the links' roots have been joined."""
         up = components(linked, "ra", "rb").select(F.col("node").alias("root"), F.col("root").alias("up"))
-        return stored(roots.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")), "roots")
+        return stored(roots.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")), "roots", few=True)
 
     def unmerged(roots: DataFrame, linked: DataFrame) -> DataFrame:
         """Members of buckets that still have several components, with their root and the bucket's best linked node."""
         degree = linked.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
         now = members.join(roots, "node").join(degree, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
         several = now.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.max_by("node", F.struct("degree", F.xxhash64("node"))).alias("best")).filter("r1 <> r2").select("band", "best")
-        return stored(now.filter("nodes > 2").join(several, "band"), "unmerged")
+        return stored(now.filter("nodes > 2").join(several, "band"), "unmerged", few=True)
 
     alone = members.withColumn("root", F.col("node"))
     roots = members.select("node", F.col("node").alias("root")).distinct()
@@ -280,7 +280,7 @@ def links(signed: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     roots = merged(roots, second)
     linked = first.unionByName(second)
     left = unmerged(roots, linked).select("node", "root").distinct()
-    third = verified(stored(prefixed_pairs(bags.join(left, "node")), "pairs"))
+    third = verified(stored(prefixed_pairs(bags.join(left, "node")), "pairs", few=True))
     return linked.unionByName(third).select("a", "b"), merged(roots, third)
 
 
@@ -298,7 +298,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     signed = stored(rows.mapInArrow(_sign, "doc_id long, node binary, size long, bands array<long>"), "signed")
     linked, roots = links(signed, rows)
     degree = linked.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    known = stored(roots.join(degree, "node", "left"), "classes")
+    known = stored(roots.join(degree, "node", "left"), "classes", few=True)
     placed = signed.select("doc_id", "node").join(known, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     ids = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     return placed.join(ids, "root").select("doc_id", "class_id", "n_links", *["node"] * with_node)

@@ -31,9 +31,15 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: df written as Parquet in the shared folder, and read again."""
+def stored(df: DataFrame, name: str, few: bool = False) -> DataFrame:
+    """Cuts lineage: df written as Parquet in the shared folder, and read again.
+
+    few: by twice as many tasks at most as run at once. For tables of a round that are small beside the input: many
+    partitions would each make, name and protect a file of a few rows.
+    """
     path = new_folder(df.sparkSession, name)
+    if few:
+        df = df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
