@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .relational import top_per_key
@@ -44,9 +44,14 @@ def updated_chunk_ids(all_ids: Column, old: Column, new: Column) -> Column:
     return F.concat(stay, F.array_distinct(more))
 
 
-def stratified(df: DataFrame, strata: Sequence[str], key: str, n: int, seed: int = 0) -> DataFrame:
-    """At most n rows of each stratum, the first by a seeded hash of the key; n is the feature."""
-    return top_per_key(df.withColumn("_draw", F.xxhash64(F.lit(seed), F.col(key))), list(strata), [F.col("_draw"), F.col(key)], n).drop("_draw")
+def stratified(df: DataFrame, strata: Sequence[str], key: str, n: int | None = None, seed: int = 0, *, fraction: float | None = None) -> DataFrame:
+    """n rows of each stratum, or with `fraction` that share of it, rounded up: the first by the md5 of seed and key, then by key."""
+    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
+    if fraction is None:
+        return top_per_key(df.withColumn("_draw", draw), list(strata), [F.col("_draw"), F.col(key)], n).drop("_draw")
+    sizes = df.groupBy(*strata).agg(F.ceil(F.count("*") * F.lit(fraction)).alias("_most"))
+    at = F.row_number().over(Window.partitionBy(*strata).orderBy(draw, key))
+    return df.withColumn("_at", at).join(sizes, list(strata)).filter(F.col("_at") <= F.col("_most")).select(*df.columns)
 
 
 def edge_weights(edges: DataFrame, node: str, weight: str, *, inverse: bool = False) -> DataFrame:

@@ -143,3 +143,11 @@ def where(df: DataFrame, columns: Sequence[str] = (), filters: Mapping[str, obje
     df = df.offset(offset) if offset else df
     df = df.limit(limit) if limit is not None else df
     return df.select(*columns) if columns else df
+
+
+def lookup_in_order(keys: DataFrame, table: DataFrame, key: str, *, strict: bool = False) -> DataFrame:
+    """keys with the table's other columns, null where the key isn't there; strict: that raises. Places stay in the keys' own columns."""
+    out = keys.join(table.withColumn("_there", F.lit(True)), key, "left")
+    if strict and not (lost := out.filter("_there is null").select(key).limit(1)).isEmpty():
+        raise KeyError(lost.first()[0])
+    return out.drop("_there")

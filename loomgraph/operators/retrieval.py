@@ -3,80 +3,181 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
+from .graph import stored
+
+
+#: Queries whose vectors are sent to all tasks at once, and items that a task scores against them at once.
+QUERY_BLOCK, ITEM_BLOCK = 2048, 2048
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) == 0, 1, n)
+
+
+def _best(found: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """The k first rows (query, item, score, near) of each query: by near, then by item."""
+    query, item, score, near = found
+    order = np.lexsort((item, -near, query))
+    query, item, score, near = (x[order] for x in found)
+    first = np.searchsorted(query, query)
+    kept = np.arange(len(query)) - first < k
+    return [x[kept] for x in (query, item, score, near)]
+
+
+def _scan(q: np.ndarray, names: np.ndarray, k: int, batches: Iterator[pa.RecordBatch], least: float | None = None) -> pa.RecordBatch:
+    """A task's k best items of each query; what is held is k rows a query and the scores of one block of items."""
+    q, kept = _unit(q), [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0)]
+    bar = np.full(len(q), -np.inf if least is None else least)
+    for batch in batches:
+        for at in range(0, batch.num_rows, ITEM_BLOCK):
+            b = batch.slice(at, ITEM_BLOCK)
+            ids = b.column(0).to_numpy()
+            v = _unit(b.column(1).flatten().to_numpy().reshape(len(ids), -1))
+            scores = q @ v.T
+            near = np.round(scores, 9)
+            near[names[:, None] == ids[None, :]] = -np.inf
+            here = np.partition(near, -k, axis=1)[:, -k] if len(ids) >= k else np.full(len(q), -np.inf)
+            rows, columns = np.nonzero((near >= np.maximum(bar, here)[:, None]) & (near > -np.inf))
+            kept = _best([np.concatenate(x) for x in zip(kept, (rows, ids[columns], scores[rows, columns], near[rows, columns]), strict=True)], k)
+            several, first, count = np.unique(kept[0], return_index=True, return_counts=True)
+            full = count >= k
+            bar[several[full]] = np.maximum(bar[several[full]], kept[3][first[full] + k - 1])
+    return pa.RecordBatch.from_arrays([pa.array(names[kept[0]]), *(pa.array(x) for x in kept[1:])], ["query_id", "id", "score", "near"])
+
+
+def nearest(queries: DataFrame, items: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", *, least: float | None = None, by: str | None = None) -> DataFrame:
+    """(query_id, id, score, rank): the k items with the highest cosine for each query, but for the item of its own id.
+
+    A stated set of queries meets all items in blocks: QUERY_BLOCK queries at a time go to every task, which streams its
+    items past them as matrix products and keeps k rows for each; only these are ranked together. Scores rank by nine
+    digits, then by id, in both. least: only scores from it on. by: only items with the query's value in this column;
+    blocks then hold neighbouring values, and read just the items that have one of them. Rows without an id or a vector
+    are left aside, as queries and as items; vectors must be of one length.
+    """
+    extra = [by] if by else []
+    queries, items = (x.dropna(subset=[id_col, vector, *extra]).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), *extra) for x in (queries, items))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    asked = stored(queries.repartitionByRange(blocks, *(F.col(c) for c in (*extra, "id"))).sortWithinPartitions(*extra, "id").withColumn("_part", F.spark_partition_id()))
+    sizes = sorted((r["_part"], r["count"], *([r.lo, r.hi] if by else [])) for r in asked.groupBy("_part").agg(F.count("*").alias("count"), *([F.min(by).alias("lo"), F.max(by).alias("hi")] if by else [])).collect())
+    found = []
+    for part, count, *ends in sizes:
+        few = max(1, -(-count // QUERY_BLOCK))
+        for piece in range(few):
+            block = asked.filter(F.col("_part") == part)
+            block = (block if few == 1 else block.filter(F.pmod(F.xxhash64("id"), F.lit(few)) == piece)).drop("_part").toArrow()
+            if not block.num_rows:
+                continue
+            here = items.filter(F.col(by).between(*(F.lit(x) for x in ends))) if by else items
+            found.append(_block(block, here, k, least, by))
+    if not found:
+        return items.sparkSession.createDataFrame([], f"query_id long, {id_col} long, score double, rank int")
+    met = found[0] if len(found) == 1 else reduce(DataFrame.unionByName, [stored(x) for x in found])
+    w = Window.partitionBy("query_id").orderBy(F.desc("near"), "id")
+    return met.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", F.col("id").alias(id_col), "score", "rank")
+
+
+def _block(block: pa.Table, items: DataFrame, k: int, least: float | None, by: str | None) -> DataFrame:
+    names = block.column("id").to_numpy()
+    q = np.array(block.column("v").to_pylist(), float)
+    of = np.array(block.column(by).to_pylist(), object) if by else None
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if by is None:
+            yield _scan(q, names, k, batches, least)
+            return
+        for b in batches:
+            values = np.array(b.column(by).to_pylist(), object)
+            for value in sorted(set(values.tolist()) & set(of.tolist())):
+                mine = of == value
+                yield _scan(q[mine], names[mine], k, iter([b.take(pa.array(np.flatnonzero(values == value)))]), least)
+
+    columns = ["id", "v"] + [by] * (by is not None)
+    return items.select(*columns).mapInArrow(task, "query_id long, id long, score double, near double")
+
+
+def resolve(new: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """new (name, domain, vector) to known (id, name, domain, vector): the exact name, of several the least id, else the nearest of the domain at or above the threshold, else null.
+
+    Open names are numbered and searched in blocks by domain; no name is joined with its whole domain.
+    """
+    exact = new.join(known.groupBy("name", "domain").agg(F.min("id").alias("exact_id")), ["name", "domain"], "left")
+    open_ = stored(exact.filter("exact_id is null").select("name", "domain", "vector").distinct().withColumn("_q", -1 - F.monotonically_increasing_id()))
+    asked = open_.select(F.col("_q").alias("id"), "domain", "vector")
+    best = nearest(asked, known.select("id", "domain", "vector"), 1, "id", "vector", least=threshold, by="domain")
+    near = open_.join(best.select(F.col("query_id").alias("_q"), F.col("id").alias("near_id")), "_q").select("name", "domain", "vector", "near_id")
+    return exact.join(near, ["name", "domain", "vector"], "left").select("name", "domain", F.coalesce("exact_id", "near_id").alias("id"))
 
 
-def nearest(queries: DataFrame, items: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", block: int = 512) -> DataFrame:
-    """(query_id, id, score): the k items with the highest cosine for each query.
+def publications_for(concepts: DataFrame, links: DataFrame, publications: DataFrame, n: int) -> DataFrame:
+    """For each question (question_id, concept) its n publications of the highest coverage: matched concepts over the publication's own; then cited most, then id.
 
-    A stated set of queries meets all items in blocks: queries are gathered into blocks of `block` vectors, each task
-    multiplies its items with every block and keeps k for each query, and only these are ranked together. Scores rank by nine digits, then by id, in both.
-    Rows without an id or a vector are left aside, as queries and as items.
+    Publications with the same concepts differ in citations and id only, so n of each such group are enough: questions
+    meet groups, not publications, and a concept that very many publications have alone is one group.
     """
-    queries, items = queries.dropna(subset=[id_col, vector]), items.dropna(subset=[id_col, vector])
-    kind = f"query_id long, {id_col} long, score double, near double"
-    blocks = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("q")).withColumn("block", F.pmod(F.xxhash64("query_id"), F.greatest(F.ceil(F.lit(queries.count() / block)), F.lit(1))))
-    grouped = blocks.groupBy("block").agg(F.collect_list("query_id").alias("ids"), F.collect_list("q").alias("qs"))
-    size = items.count()
-    parts = max(1, min(items.sparkSession.sparkContext.defaultParallelism, size // 1000 + 1))
-    packed = items.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(max(parts, size // 20_000)))).groupBy("part").agg(F.collect_list("id").alias("item_ids"), F.collect_list("v").alias("vs"))
-
-    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for ids, qs, item_ids, vs in zip(f["ids"], f["qs"], f["item_ids"], f["vs"], strict=True):
-                q, v, names = np.array(list(qs)), np.array(list(vs)), np.asarray(item_ids)
-                unit = lambda m: m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) == 0, 1, n)
-                scores = unit(q) @ unit(v).T
-                near = np.round(scores, 9)
-                for i, query in enumerate(ids):
-                    order = np.lexsort((names, -near[i], names == query))[:k]
-                    yield pd.DataFrame({"query_id": query, id_col: names[order], "score": scores[i][order], "near": near[i][order]})
-
-    met = packed.join(grouped).mapInPandas(best, kind).filter(F.col("query_id") != F.col(id_col))
-    w = Window.partitionBy("query_id").orderBy(F.desc("near"), id_col)
-    return met.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("near")
-
-
-def resolve(new: DataFrame, stored: DataFrame, threshold: float) -> DataFrame:
-    """new (name, domain, vector) to stored (id, name, domain, vector): the exact name, else the nearest of the domain at or above the threshold, else null."""
-    exact = new.join(stored.select("name", "domain", F.col("id").alias("exact_id")), ["name", "domain"], "left")
-    open_ = exact.filter("exact_id is null").drop("exact_id")
-    near = open_.join(stored.select("domain", "id", F.col("vector").alias("v")), "domain").withColumn("score", cosine(F.col("vector"), F.col("v"))).filter(F.col("score") >= threshold)
-    best = near.groupBy("name", "domain").agg(F.max_by("id", F.struct(F.round("score", 9), -F.col("id"))).alias("near_id"))
-    return exact.join(best, ["name", "domain"], "left").select("name", "domain", F.coalesce("exact_id", "near_id").alias("id"))
+    own = links.select("publication_id", "concept").distinct().groupBy("publication_id").agg(F.array_sort(F.collect_list("concept")).alias("concepts"))
+    order = [F.desc_nulls_last("citations"), F.col("publication_id")]
+    best = stored(own.join(publications.select("publication_id", "citations"), "publication_id").withColumn("group", F.md5(F.to_json(F.struct("concepts")))).withColumn("_at", F.row_number().over(Window.partitionBy("group").orderBy(*order))).filter(F.col("_at") <= n))
+    groups = best.filter("_at = 1").select("group", F.size("concepts").alias("own"), F.explode("concepts").alias("concept"))
+    hits = concepts.select("question_id", "concept").distinct().join(groups, "concept").groupBy("question_id", "group").agg((F.count("*") / F.first("own")).alias("score"))
+    first = hits.withColumn("_rank", F.rank().over(Window.partitionBy("question_id").orderBy(F.desc("score")))).filter(F.col("_rank") <= n)
+    w = Window.partitionBy("question_id").orderBy(F.desc("score"), *order)
+    met = first.join(best.select("group", "publication_id", "citations"), "group")
+    return met.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select("question_id", "publication_id", "score", "rank")
 
 
-def publications_for(concepts: DataFrame, links: DataFrame, publications: DataFrame, n: int) -> DataFrame:
-    """For each question (question_id, concept) its n publications of the highest coverage: matched concepts over the publication's own; then cited most, then id."""
-    sizes = links.groupBy("publication_id").agg(F.count_distinct("concept").alias("own"))
-    hits = concepts.distinct().join(links.select("publication_id", "concept").distinct(), "concept").groupBy("question_id", "publication_id").agg(F.count("*").alias("hits"))
-    scored = hits.join(sizes, "publication_id").join(publications, "publication_id").withColumn("score", F.col("hits") / F.col("own"))
-    w = Window.partitionBy("question_id").orderBy(F.desc("score"), F.desc_nulls_last("citations"), "publication_id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select("question_id", "publication_id", "score", "rank")
+def metadata_of(store: DataFrame, publications: DataFrame, chunks: bool = False) -> DataFrame:
+    """The store's rows without their vectors, of the publications asked for (publication_id), or of stated (publication_id, chunk_id)."""
+    key = ["publication_id", "chunk_id"] if chunks else ["publication_id"]
+    return store.join(publications.select(*key).distinct(), key, "left_semi").drop("vector")
+
+
+def pick_chunks(asked: DataFrame, store: DataFrame, n: int) -> DataFrame:
+    """(question_id, chunk_id, score, rank): of each question's chunks (question_id, vector, chunk_ids) the n nearest to its vector.
+
+    store: chunk_id, vector. A chunk that is named twice counts once; a question of which a chunk has no vector gets none.
+    """
+    each = asked.select("question_id", "vector", F.explode(F.array_distinct("chunk_ids")).alias("chunk_id"))
+    met = each.join(store.select("chunk_id", F.col("vector").alias("_v")), "chunk_id", "left")
+    lost = met.filter("_v is null").select("question_id").distinct()
+    scored = met.join(lost, "question_id", "left_anti").withColumn("score", cosine(F.col("vector"), F.col("_v")))
+    w = Window.partitionBy("question_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select("question_id", "chunk_id", "score", "rank")
 
 
 def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+#: Terms of all queries that are sent to every task; beyond that Spark chooses the join.
+TERMS_SENT = 200_000
+
+
 def bm25(docs: DataFrame, queries: DataFrame, id_col: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, id, score) of every document with a query term; queries has query_id and text."""
-    words = docs.select(id_col, F.explode(terms(F.col("text"))).alias("term"))
-    tf = words.groupBy(id_col, "term").agg(F.count("*").alias("tf"))
-    wanted = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    stats = docs.select(F.size(terms(F.col("text"))).alias("n")).agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
-    lengths = docs.select(id_col, F.size(terms(F.col("text"))).alias("n"))
-    hits = tf.join(wanted, "term")
-    df = tf.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    s = hits.join(df, "term").join(lengths, id_col).join(F.broadcast(stats))
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
+    """(query_id, id, score) of every document with a query term; queries has query_id and text.
+
+    Words are filtered to the wanted terms before they are counted, so what is shuffled is the terms asked for. The
+    number of documents and their mean length are taken in the same pass.
+    """
+    wanted = stored(queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")))
+    names = wanted.select("term").distinct()
+    names = F.broadcast(names) if names.count() <= TERMS_SENT else names
+    split = docs.select(id_col, terms(F.col("text")).alias("_t")).withColumn("n", F.size("_t"))
+    seen = Observation()
+    words = split.observe(seen, F.count(F.lit(1)).alias("docs"), F.sum("n").alias("all")).select(id_col, "n", F.explode("_t").alias("term"))
+    tf = stored(words.join(names, "term", "left_semi").groupBy(id_col, "n", "term").agg(F.count("*").alias("tf")))
+    docs_, mean = seen.get["docs"], (seen.get["all"] or 0) / max(1, seen.get["docs"])
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    s = tf.join(df, "term").join(wanted, "term")
+    idf = F.log(1 + (F.lit(docs_) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.lit(float(mean or 1))))
     return s.groupBy("query_id", id_col).agg(F.sum(part).alias("score"))
 
 

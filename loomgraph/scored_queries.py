@@ -303,10 +303,16 @@ def q240_inverse_weights(spark, d):
     return linking.edge_weights(e, "l_orderkey", "l_quantity", inverse=True).select("l_orderkey", "l_linenumber", "normalised")
 
 
-@query("SELECT o_orderpriority, least(count(*), 50)::BIGINT AS n FROM orders GROUP BY 1")
+@query("""SELECT o_orderpriority, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5('0|' || o_orderkey), o_orderkey) AS r FROM orders) WHERE r <= 50""")
 def q165_stratified_sample(spark, d):
-    """Sizes of a sample of 50 orders of each priority; which ones is up to the hash."""
-    return linking.stratified(t(spark, d, "orders"), ["o_orderpriority"], "o_orderkey", 50).groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+    """A sample of 50 orders of each priority, the feature."""
+    return linking.stratified(t(spark, d, "orders"), ["o_orderpriority"], "o_orderkey", 50).select("o_orderpriority", "o_orderkey")
+
+
+@query("""SELECT o_orderpriority, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5('3|' || o_orderkey), o_orderkey) AS r, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) WHERE r <= ceil(n * CAST(0.1 AS DOUBLE))""")
+def q165_stratified_share(spark, d):
+    """A tenth of the orders of each priority."""
+    return linking.stratified(t(spark, d, "orders"), ["o_orderpriority"], "o_orderkey", seed=3, fraction=0.1).select("o_orderpriority", "o_orderkey")
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_shipdate <= (SELECT min(o_orderdate) FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderdate >= TIMESTAMP '1995-06-01')")

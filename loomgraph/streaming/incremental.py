@@ -6,30 +6,41 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
 
 from ..operators.relational import insert_ignore
 
+#: Parts of a store that a batch may have to read.
+BUCKETS = 64
+
 
 def append_new(stream: DataFrame, store: str, keys: Sequence[str], checkpoint: str) -> StreamingQuery:
-    """Appends to the Parquet table `store` the rows whose keys it lacks. A batch that is repeated after a failure adds nothing twice."""
+    """Appends to the Parquet table `store` the rows whose keys it lacks. A batch that is repeated after a failure adds nothing twice.
+
+    The store is partitioned by `_bucket`, a hash of the keys, and a batch reads only the buckets that it has rows for.
+    """
     spark = stream.sparkSession
-    schema = stream.schema
+    schema = T.StructType([*stream.schema.fields, T.StructField("_bucket", T.IntegerType())])
 
     def write(batch: DataFrame, _: int) -> None:
+        placed = batch.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")).persist()
         try:
-            existing = spark.read.schema(schema).parquet(store)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            existing = spark.createDataFrame([], schema)
-        insert_ignore(existing, batch, keys).write.mode("append").parquet(store)
+            met = [r[0] for r in placed.select("_bucket").distinct().collect()]
+            try:
+                existing = spark.read.schema(schema).parquet(store).filter(F.col("_bucket").isin(met))
+            except Exception as e:
+                if "PATH_NOT_FOUND" not in str(e):
+                    raise
+                existing = spark.createDataFrame([], schema)
+            insert_ignore(existing, placed, keys).write.mode("append").partitionBy("_bucket").parquet(store)
+        finally:
+            placed.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def file_stream(spark: SparkSession, folder: str, schema: StructType, files: int = 10) -> DataFrame:
+def file_stream(spark: SparkSession, folder: str, schema: T.StructType, files: int = 10) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
