@@ -25,9 +25,8 @@ from .stores import Kept, enter
 
 #: Hashed features, and the documents that train the scorer (a bound, whatever the input).
 DIMENSIONS, SAMPLE_ROWS = 4096, 10_000
-#: A document is kept if it is at least this likely to be good. The labellers aren't independent given the class (some
-#: kinds of bad text are seen by one of them only), so posteriors of such texts lean to good; the bar allows for that.
-THRESHOLD = 0.93
+#: Steps of the scores that the bar is chosen among.
+STEPS = 10_000
 BAD, NOTHING, GOOD = 0, 1, 2
 LABELLERS = ("length", "symbols", "capitals", "stutter", "variety", "word_length", "lines", "letters")
 _UPPER, _LOWER, _OTHER, _DIGIT, _SYMBOL, _SPACE, _MARK = range(7)
@@ -174,8 +173,8 @@ def train(rows: list[tuple[list[int], list[float], float]], rounds: int = 200, r
     return Scorer(weights, bias)
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> tuple[Scorer, DataFrame]:
-    """The scorer, and every row's doc_id, pattern and posterior. All rows' votes are counted.
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> tuple[Scorer, DataFrame, float]:
+    """The scorer, every row's doc_id, pattern and posterior, and the estimated share of good rows. All rows' votes are counted.
 
     sample_rows documents train the scorer: the ids first by hash, of repeated ids the least text. Null texts count as
     empty; rows without an id vote but don't train.
@@ -187,7 +186,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samp
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pattern_of(votes(measures(x))) for x in texts_of(b, 1)], pa.int64())], ["doc_id", "pattern"])
 
     voted = stored(rows.mapInArrow(vote, "doc_id long, pattern long"), "votes")
-    posterior, _, _ = expectation_maximisation({r.pattern: r["count"] for r in voted.groupBy("pattern").count().collect()})
+    posterior, _, share = expectation_maximisation({r.pattern: r["count"] for r in voted.groupBy("pattern").count().collect()})
     chosen = rows.select("doc_id").dropna().distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     sample = rows.join(F.broadcast(chosen), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
 
@@ -205,13 +204,14 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samp
     gathered = sample.mapInArrow(features, "doc_id long, slots array<int>, shares array<float>, label double").collect()
     scorer = train([(r.slots, r.shares, r.label) for r in sorted(gathered, key=lambda r: r.doc_id)])
     by_pattern = docs.sparkSession.createDataFrame([*posterior.items()] or [(0, 0.5)], "pattern long, posterior double")
-    return scorer, voted.join(F.broadcast(by_pattern), "pattern").select("doc_id", "pattern", "posterior")
+    return scorer, voted.join(F.broadcast(by_pattern), "pattern").select("doc_id", "pattern", "posterior"), share
 
 
-def score(docs: DataFrame, scorer: Scorer, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score (chance of good), kept (score at or above the threshold) for every row, in one pass without a shuffle.
+def score(docs: DataFrame, scorer: Scorer, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and score (chance of good) for every row, in one pass without a shuffle.
 
-    A null text counts as empty; other columns of docs are left out, whatever their names.
+    A null text counts as empty, a very long one is scored whole; null ids and repeated rows stay, an empty table gives
+    an empty result, and other columns of docs are left out, whatever their names.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,15 +224,32 @@ def score(docs: DataFrame, scorer: Scorer, *, threshold: float = THRESHOLD, id_c
                 words = text.split()
                 z = scorer.bias + sum(map(worth.__getitem__, words)) / max(1, len(words)) + float(weights[whole_slots(measures(text))].sum())
                 scores.append(float(1 / (1 + np.exp(-np.clip(z, -500, 500)))))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array([s >= threshold for s in scores], pa.bool_())], ["doc_id", "score", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(task, "doc_id long, score double, kept boolean")
+    return id_and_text(docs, id_col, text_col).mapInArrow(task, "doc_id long, score double")
+
+
+def bar(scored: DataFrame, share: float) -> float:
+    """The score from which on rows are kept, so that they are the estimated share of good ones, to a step of 1 / STEPS.
+
+    Scores are counted by step, at most STEPS + 1 rows; the highest step is taken whose rows and those above reach the
+    share.
+    """
+    counts = {r.step: r["count"] for r in scored.groupBy(F.floor(F.col("score") * STEPS).alias("step")).count().collect()}
+    wanted, above = share * sum(counts.values()), 0
+    for step in sorted(counts, reverse=True):
+        above += counts[step]
+        if above >= wanted:
+            return step / STEPS
+    return 0.0
 
 
 def classify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """fit() and score(). Null ids and repeated rows stay as they are; an empty table gives an empty result.
+    """doc_id, score (chance of good) and kept for every row: fit(), score(), and the bar that the estimated share of good sets.
 
-    A very long text is measured and scored whole.
+    Null ids and repeated rows stay as they are; an empty table gives an empty result. A very long text is measured and
+    scored whole.
     """
-    scorer, _ = fit(docs, id_col=id_col, text_col=text_col)
-    return score(docs, scorer, id_col=id_col, text_col=text_col)
+    scorer, _, share = fit(docs, id_col=id_col, text_col=text_col)
+    scored = stored(score(docs, scorer, id_col=id_col, text_col=text_col), "scores")
+    return scored.withColumn("kept", F.floor(F.col("score") * STEPS) >= F.lit(round(bar(scored, share) * STEPS)))

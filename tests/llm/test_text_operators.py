@@ -638,6 +638,79 @@ def test_op10_finds_accuracies():
         assert abs(chances[1, k, 2] / (chances[1, k, 2] + chances[1, k, 0]) - s) < 0.05
 
 
+def plain_em(patterns):
+    """Posteriors and share of good, vote by vote."""
+    votes_of = {p: [p // 3**k % 3 for k in range(8)] for p in patterns}
+    total = sum(patterns.values())
+    post = {}
+    for p, v in votes_of.items():
+        good, bad = v.count(2), v.count(0)
+        post[p] = min(0.99, max(0.01, (good + 1) / (good + bad + 2) - 0.15 * bad))
+    scale = max(1.0, total * 0.002) / 4
+    prior = {0: [4.0 * scale, 2.0 * scale, 2.0 * scale], 1: [0.5 * scale, 2.0 * scale, 8.0 * scale]}
+    for _ in range(100):
+        chance = {}
+        for c in (0, 1):
+            for k in range(8):
+                n = list(prior[c])
+                for p, v in votes_of.items():
+                    n[v[k]] += patterns[p] * (post[p] if c else 1 - post[p])
+                chance[c, k] = [x / sum(n) for x in n]
+        share = (sum(patterns[p] * post[p] for p in patterns) + 1) / (total + 2)
+        new = {}
+        for p, v in votes_of.items():
+            logs = [math.log(share if c else 1 - share) + sum(math.log(chance[c, k][v[k]]) for k in range(8)) for c in (0, 1)]
+            new[p] = 1 / (1 + math.exp(logs[0] - logs[1]))
+        gap = max(abs(new[p] - post[p]) for p in post)
+        post = new
+        if gap < 1e-6:
+            break
+    return post, share
+
+
+def plain_scorer(rows):
+    """Logistic regression of (features, target), one row and one feature at a time."""
+    weights, seen, bias = collections.defaultdict(float), collections.defaultdict(lambda: 1e-6), 0.0
+    names = {k for x, _ in rows for k in x}
+    for _ in range(200):
+        gradient, gaps = collections.defaultdict(float), []
+        for x, target in rows:
+            z = bias + sum(v * weights[k] for k, v in x.items())
+            gap = 1 / (1 + math.exp(-min(30, max(-30, z)))) - target
+            gaps.append(gap)
+            for k, v in x.items():
+                gradient[k] += v * gap
+        for k in names:
+            g = gradient[k] / len(rows) + 1e-4 * weights[k]
+            seen[k] += g * g
+            weights[k] -= 0.5 * g / math.sqrt(seen[k])
+        bias -= 0.5 * sum(gaps) / len(gaps)
+    return weights, bias
+
+
+def test_op10_equals_a_plain_version(docs, texts):
+    """Votes, EM, training, scores and the bar by plain loops: the same scores, and as many kept as EM finds good."""
+    found = {i: weak_label.measures(x or "") for i, x in texts.items()}
+    patterns = {i: weak_label.pattern_of(weak_label.votes(m)) for i, m in found.items()}
+    post, share = plain_em(collections.Counter(patterns.values()))
+    rows = {}
+    for i, x in texts.items():
+        words = (x or "").split()
+        f = collections.Counter(weak_label.whole_slots(found[i]))
+        for w in words:
+            for slot in weak_label.word_slots(w):
+                f[slot] += 1 / len(words)
+        rows[i] = f
+    weights, bias = plain_scorer([(rows[i], post[patterns[i]]) for i in sorted(rows)])
+    want = {i: 1 / (1 + math.exp(-bias - sum(v * weights[k] for k, v in f.items()))) for i, f in rows.items()}
+    got = {r.doc_id: r for r in weak_label.classify(docs).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i].score - want[i]) < 1e-4 for i in want)
+    kept = [r.score for r in got.values() if r.kept]
+    least = min(kept)
+    assert all(r.kept == (r.score >= least) for r in got.values())
+    assert len(kept) >= share * len(got) > sum(s >= least + 1e-4 for s in kept)
+
+
 # The pipeline
 
 
