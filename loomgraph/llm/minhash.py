@@ -305,7 +305,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that have their class's least id; of rows with the same id and text, one."""
+    """The rows of docs, all columns, that have their class's least id; of rows with the same id and text, one.
+
+    Null texts count as empty, and are alike with other empty ones only; a row with a null id stays only in a class
+    without ids. A very long text is compared whole. An empty table gives an empty result; other columns may have any
+    names, and of repeated rows that differ in them an arbitrary one stays.
+    """
     classes = near_duplicates(docs, id_col=id_col, text_col=text_col, with_node=True)
     first = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_key"), F.col("node").alias("_node")).distinct()
     keyed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_key"), F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("_node"))

@@ -122,14 +122,20 @@ def apply_policy(book: DataFrame, policy: str) -> DataFrame:
 
 
 def kept_rows(docs: DataFrame, policy: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns whatever their names, that pass the policy; of repeated rows all or none."""
+    """The rows of docs, all columns whatever their names, that pass the policy; of repeated rows all or none.
+
+    A null text counts as empty; rows with null ids stay or go by their text; a very long text is measured whole; an
+    empty table gives an empty result.
+    """
     return apply_policy(ledger(docs, id_col=id_col, text_col=text_col, carry=True), policy).filter("kept").select("row.*")
 
 
 def ablation(book: DataFrame, policies: Mapping[str, tuple[str, ...]] | None = None) -> DataFrame:
     """For each policy and rule of it: rows, rejected (by the policy), failed (the rule), only_this (kept but for it).
 
-    The ledger is first counted by its bits, so at most 2^rules rows meet the policies, whatever the input.
+    The ledger is first counted by its bits, so at most 2^rules rows meet the policies, whatever the input. Every row
+    of the ledger counts, those of null ids and texts and repeated ones too; an empty ledger gives an empty result; no
+    text is read, so long ones cost nothing, and other columns of the ledger don't matter.
     """
     patterns = book.groupBy("failures").agg(F.count("*").alias("n"))
     plans = []
