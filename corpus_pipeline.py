@@ -13,14 +13,19 @@ from loomgraph.llm.shared import stored
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labelled rows of the whole documents table; keeps the rows of docs that score below 0.7.
 
-    Null and empty texts have no evidence and stay; repeated rows stay; an empty docs gives an empty result.
+    Null and empty texts have no evidence and stay; repeated rows stay; very long texts are scored whole; an empty docs
+    gives an empty result. Other columns of docs stay, whatever their names.
     """
     model = toxicity.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.without_toxic(docs, model)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the rows that pass every rule of the policy; null and empty texts are too short and go, repeated rows stay."""
+    """Keeps the rows that pass every rule of the policy.
+
+    Null and empty texts are too short and go, repeated rows stay, very long texts are measured whole, an empty docs
+    gives an empty result. Other columns of docs stay, whatever their names.
+    """
     return quality_rules.kept_rows(docs, "strict-1")
 
 
@@ -28,12 +33,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Keeps the row with the least id of each near-duplicate class; of rows with equal id and text one, whatever else differs.
 
     Texts without a word are alike only if equal; null counts as empty; a null id stays only in a class without ids.
+    Very long texts are compared whole; an empty docs gives an empty result. Other columns stay, whatever their names.
     """
     return minhash.one_of_each(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences, of every row; a null or empty text has its end id alone. Other columns of docs are left out."""
+    """Pieces of sequences, of every row, repeated ones as often as they come; a null or empty text has its end id alone.
+
+    A very long text is moved in sections; an empty docs gives an empty result. Other columns of docs are left out.
+    """
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
