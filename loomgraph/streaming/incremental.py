@@ -11,31 +11,35 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.relational import insert_ignore
 
-#: Parts of a store that a batch may have to read.
-BUCKETS = 64
+#: The column that a store is partitioned by.
+BUCKET = "_bucket"
 
 
-def append_new(stream: DataFrame, store: str, keys: Sequence[str], checkpoint: str) -> StreamingQuery:
+def append_new(stream: DataFrame, store: str, keys: Sequence[str], checkpoint: str, buckets: int | None = None) -> StreamingQuery:
     """Appends to the Parquet table `store` the rows whose keys it lacks. A batch that is repeated after a failure adds nothing twice.
 
-    The store is partitioned by `_bucket`, a hash of the keys, and a batch reads only the buckets that it has rows for.
+    buckets: the store is partitioned by a hash of the keys into so many parts, the column BUCKET, and a batch reads
+    only the parts that it has rows for. Without, the store has the stream's columns only, and each batch reads its keys.
     """
     spark = stream.sparkSession
-    schema = T.StructType([*stream.schema.fields, T.StructField("_bucket", T.IntegerType())])
+    schema = T.StructType([*stream.schema.fields, *([T.StructField(BUCKET, T.IntegerType())] if buckets else [])])
 
-    def write(batch: DataFrame, _: int) -> None:
-        placed = batch.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")).persist()
+    def existing(met: list[int] | None) -> DataFrame:
         try:
-            met = [r[0] for r in placed.select("_bucket").distinct().collect()]
-            try:
-                existing = spark.read.schema(schema).parquet(store).filter(F.col("_bucket").isin(met))
-            except Exception as e:
-                if "PATH_NOT_FOUND" not in str(e):
-                    raise
-                existing = spark.createDataFrame([], schema)
-            insert_ignore(existing, placed, keys).write.mode("append").partitionBy("_bucket").parquet(store)
-        finally:
-            placed.unpersist()
+            there = spark.read.schema(schema).parquet(store)
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return spark.createDataFrame([], schema)
+        return there if met is None else there.filter(F.col(BUCKET).isin(met))
+
+    def write(batch: DataFrame, _: int) -> None:
+        if not buckets:
+            insert_ignore(existing(None), batch, keys).write.mode("append").parquet(store)
+            return
+        placed = batch.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        met = [r[0] for r in placed.select(BUCKET).distinct().collect()]  # `buckets` numbers at most
+        insert_ignore(existing(met), placed, keys).write.mode("append").partitionBy(BUCKET).parquet(store)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

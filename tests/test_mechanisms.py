@@ -171,7 +171,7 @@ def test_store_takes_only_new_keys(spark, tmp_path):
     for k in range(3):
         spark.range(k * 50, k * 50 + 100).withColumn("v", F.lit(k)).repartition(2).write.mode("append").parquet(str(tmp_path / "in"))
         stream = incremental.file_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], "id long, v int").schema)
-        incremental.append_new(stream, str(tmp_path / "store"), ["id"], str(tmp_path / "c")).awaitTermination()
+        incremental.append_new(stream, str(tmp_path / "store"), ["id"], str(tmp_path / "c"), buckets=8).awaitTermination()
     rows = spark.read.parquet(str(tmp_path / "store")).select("id", "v").collect()
     assert len(rows) == 200 and {r.id for r in rows} == set(range(200))
 
