@@ -666,12 +666,12 @@ def q218_neighbourhood(spark, d):
     return graph.neighbourhood(_places(spark, d), t(spark, d, "region").filter("r_regionkey = 1").select(tx.node_id("REGION", F.col("r_regionkey")).alias("node")), 2)
 
 
-def _rank_sql(rounds: int) -> str:
+def _rank_sql(rounds: int, graph_sql: str = PLACE_SQL) -> str:
     steps = []
     for k in range(1, rounds + 1):
         steps.append(f"r{k} AS (SELECT node, 0.85 * coalesce(s, 0) + (1 - 0.85 * (SELECT coalesce(sum(s), 0) FROM s{k})) / (SELECT count(*) FROM n) AS rank FROM n LEFT JOIN s{k} USING (node))")
         steps.insert(-1, f"s{k} AS (SELECT dst AS node, sum(rank / deg) AS s FROM r{k - 1} JOIN g ON src = node JOIN o USING (src) GROUP BY 1)")
-    return f"WITH {EDGES_SQL}, {PLACE_SQL}, n AS (SELECT src AS node FROM g UNION SELECT dst FROM g), o AS (SELECT src, count(*) AS deg FROM g GROUP BY 1), r0 AS (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM n) AS rank FROM n), {', '.join(steps)} SELECT node, rank FROM r{rounds}"
+    return f"WITH {EDGES_SQL}, {graph_sql}, n AS (SELECT src AS node FROM g UNION SELECT dst FROM g), o AS (SELECT src, count(*) AS deg FROM g GROUP BY 1), r0 AS (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM n) AS rank FROM n), {', '.join(steps)} SELECT node, rank FROM r{rounds}"
 
 
 @query(_rank_sql(4), rank=9)
@@ -679,13 +679,16 @@ def q224_page_rank(spark, d):
     return graph.page_rank(_places(spark, d), 4)
 
 
-@query("WITH " + EDGES_SQL + ", " + PLACE_SQL + """, n AS (SELECT src AS node FROM g UNION SELECT dst FROM g), l1 AS (SELECT n.node, md5(CASE WHEN x IS NULL THEN n.node ELSE n.node || '-' || x END) AS label
+LABELS_SQL = """, n AS (SELECT src AS node FROM g UNION SELECT dst FROM g), l1 AS (SELECT n.node, md5(CASE WHEN x IS NULL THEN n.node ELSE n.node || '-' || x END) AS label
   FROM n
   LEFT JOIN (SELECT dst AS node, array_to_string(list_sort(list(src)), '-') AS x
   FROM (SELECT DISTINCT src, dst FROM g) GROUP BY 1) USING (node)), l2 AS (SELECT l1.node, md5(CASE WHEN x IS NULL THEN l1.label ELSE l1.label || '-' || x END) AS label FROM l1
   LEFT JOIN (SELECT dst AS node, array_to_string(list_sort(list(label)), '-') AS x
   FROM (SELECT DISTINCT src, dst FROM g) JOIN l1 ON src = l1.node GROUP BY 1) y ON y.node = l1.node)
-  SELECT * FROM l2""")
+  SELECT * FROM l2"""
+
+
+@query("WITH " + EDGES_SQL + ", " + PLACE_SQL + LABELS_SQL)
 def q238_weisfeiler_lehman(spark, d):
     return graph.weisfeiler_lehman(_places(spark, d), 2)
 
@@ -735,7 +738,26 @@ def q217_weighted_distances(spark, d):
     return graph.weighted_distances(g, t(spark, d, "supplier").select(tx.node_id("SUPPLIER", F.col("s_suppkey")).alias("source")), 3)
 
 
-# The same operators on the whole graph, without SQL: tests compare them with plain Python
+# The same operators on the whole graph: tests compare them with plain Python as well
+
+
+WHOLE_SQL = "g AS (SELECT subject_id AS src, relation_type AS rel, object_id AS dst, CAST(1.0 / number_of_occurrences AS DOUBLE) AS weight FROM edges), u AS (SELECT src, dst FROM g UNION SELECT dst, src FROM g)"
+
+
+def _near_sql(depth: int) -> str:
+    """Levels from all regions."""
+    steps = ["l0 AS (SELECT md5('REGION|' || r_regionkey) AS source, md5('REGION|' || r_regionkey) AS node FROM region)", "a0 AS (SELECT source, node, 0 AS d FROM l0)"]
+    for k in range(1, depth + 1):
+        steps += [f"l{k} AS MATERIALIZED (SELECT DISTINCT l.source, u.dst AS node FROM l{k - 1} l JOIN u ON u.src = l.node WHERE NOT EXISTS (SELECT 1 FROM a{k - 1} x WHERE x.source = l.source AND x.node = u.dst))", f"a{k} AS MATERIALIZED (FROM a{k - 1} UNION ALL SELECT source, node, {k} FROM l{k})"]
+    return f"WITH {EDGES_SQL}, {WHOLE_SQL}, {', '.join(steps)} SELECT source, node, CAST(d AS INTEGER) AS distance FROM a{depth}"
+
+
+def _cost_sql(rounds: int) -> str:
+    """Relaxations from the customers whose key is divisible by 50."""
+    steps = ["c0 AS (SELECT md5('CUSTOMER|' || c_custkey) AS source, md5('CUSTOMER|' || c_custkey) AS node, 0.0::DOUBLE AS cost FROM customer WHERE c_custkey % 50 = 0)"]
+    for k in range(1, rounds + 1):
+        steps.append(f"c{k} AS MATERIALIZED (SELECT source, node, min(cost) AS cost FROM (FROM c{k - 1} UNION ALL SELECT source, dst, cost + weight FROM c{k - 1} JOIN g ON src = node) GROUP BY 1, 2)")
+    return f"WITH {EDGES_SQL}, {WHOLE_SQL}, {', '.join(steps)} SELECT source, node, cost FROM c{rounds}"
 
 
 def _whole(spark, d) -> DataFrame:
@@ -748,39 +770,39 @@ def _some_customers(spark, d, name) -> DataFrame:
     return t(spark, d, "customer").filter("c_custkey % 50 = 0").select(tx.node_id("CUSTOMER", F.col("c_custkey")).alias(name))
 
 
-@query()
+@query(_near_sql(4))
 def q216_distances_whole(spark, d):
     """From the regions to all nodes within 4 steps."""
     return graph.distances(graph.undirected(_whole(spark, d)), _regions(spark, d), 4)
 
 
-@query(rank=9)
+@query(_rank_sql(4, WHOLE_SQL), rank=9)
 def q224_page_rank_whole(spark, d):
     return graph.page_rank(_whole(spark, d), 4)
 
 
-@query()
+@query("WITH " + EDGES_SQL + ", " + WHOLE_SQL + LABELS_SQL)
 def q238_weisfeiler_lehman_whole(spark, d):
     return graph.weisfeiler_lehman(_whole(spark, d), 2)
 
 
-@query()
+@query("WITH " + EDGES_SQL + ", " + WHOLE_SQL + """ SELECT DISTINCT a.src AS start, b.dst AS node FROM g a JOIN g b ON b.src = a.dst WHERE a.rel = 'PLACED' AND b.rel = 'CONTAINS'""")
 def q241_follow_chain_whole(spark, d):
     """The parts that each customer has ordered."""
     return graph.follow(_whole(spark, d), t(spark, d, "customer").select(tx.node_id("CUSTOMER", F.col("c_custkey")).alias("start")), ["PLACED", "CONTAINS"])
 
 
-@query()
+@query("WITH " + EDGES_SQL + ", " + WHOLE_SQL + " SELECT src, rel, dst, count(*) OVER (PARTITION BY dst) AS object_freq, count(*) OVER (PARTITION BY rel) AS relation_freq, count(*) OVER (PARTITION BY rel, dst) AS pair_freq FROM g")
 def q240_sampler_weights_whole(spark, d):
     return graph.sampler_weights(_whole(spark, d))
 
 
-@query()
+@query("WITH " + EDGES_SQL + ", " + WHOLE_SQL + " SELECT src, rel, dst, 0 AS direction FROM g UNION ALL SELECT dst, rel, src, 1 FROM g")
 def q227_reverse_edges_whole(spark, d):
     return graph.with_reverse(_whole(spark, d).drop("weight"))
 
 
-@query(cost=9)
+@query(_cost_sql(3), cost=9)
 def q217_weighted_distances_whole(spark, d):
     return graph.weighted_distances(_whole(spark, d), _some_customers(spark, d, "source"), 3)
 
