@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from loomgraph import mechanism_queries, queries, scored_queries, walk_queries  # noqa: F401
+from loomgraph import dataset_queries, mechanism_queries, queries, scored_queries, walk_queries  # noqa: F401
 
 from .conftest import SF
 
