@@ -9,10 +9,10 @@ Jaccard similarity, and only as many points are drawn as come before the latest
 
 Candidates. Equal texts are one node first. Nodes that agree on a whole band share a bucket.
 
-Links. Nodes of a bucket are compared by their multisets themselves, in three rounds; after each, linked nodes are
+Links. Nodes of a bucket are compared by their multisets themselves, in four rounds; after each, linked nodes are
 merged into components, and only pairs across components go on. First all with one pivot of their bucket. Then all
-with the bucket's best linked node, which is the text that copies were made from where there is one. Last, all pairs of
-nodes that are left in buckets of several components, by an exact prefix filter: each
+with the bucket's best linked node, which is the text that copies were made from where there is one, and with one more
+node by hash. Last, all pairs of nodes that are left in buckets of several components, by an exact prefix filter: each
 node's elements are put in one order for all, those in few nodes first, and a pair at the threshold shares an element
 that comes early in both. No pair is dropped for a bucket's size or by chance, and a group of copies costs a pair or two
 for each of its nodes.
@@ -264,24 +264,28 @@ def links(signed: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         up = components(linked, "ra", "rb").select(F.col("node").alias("root"), F.col("root").alias("up"))
         return stored(roots.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")), "roots", few=True)
 
-    def unmerged(roots: DataFrame, linked: DataFrame) -> DataFrame:
-        """Members of buckets that still have several components, with their root and the bucket's best linked node."""
+    def unmerged(roots: DataFrame, linked: DataFrame, turn: int = 0) -> DataFrame:
+        """Members of buckets that still have several components, with their root and a node to compare with.
+
+        That is the bucket's best linked node at first, and then one by hash.
+        """
+        order = F.xxhash64("node", F.lit(turn)) if turn else F.struct("degree", F.xxhash64("node"))
         degree = linked.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
         now = members.join(roots, "node").join(degree, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-        several = now.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.max_by("node", F.struct("degree", F.xxhash64("node"))).alias("best")).filter("r1 <> r2").select("band", "best")
+        several = now.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.max_by("node", order).alias("best")).filter("r1 <> r2").select("band", "best")
         return stored(now.filter("nodes > 2").join(several, "band"), "unmerged", few=True)
 
     alone = members.withColumn("root", F.col("node"))
     roots = members.select("node", F.col("node").alias("root")).distinct()
-    first = verified(_pairs(alone.filter("node <> pivot"), alone.filter("node = pivot")))
-    roots = merged(roots, first)
-    left = unmerged(roots, first)
-    second = verified(_pairs(left.filter(F.col("node") == F.col("best")), left))
-    roots = merged(roots, second)
-    linked = first.unionByName(second)
+    linked = verified(_pairs(alone.filter("node <> pivot"), alone.filter("node = pivot")))
+    roots = merged(roots, linked)
+    for turn in range(2):
+        left = unmerged(roots, linked, turn)
+        more = verified(_pairs(left.filter(F.col("node") == F.col("best")), left))
+        roots, linked = merged(roots, more), linked.unionByName(more)
     left = unmerged(roots, linked).select("node", "root").distinct()
-    third = verified(stored(prefixed_pairs(bags.join(left, "node")), "pairs", few=True))
-    return linked.unionByName(third).select("a", "b"), merged(roots, third)
+    last = verified(stored(prefixed_pairs(bags.join(left, "node")), "pairs", few=True))
+    return linked.unionByName(last).select("a", "b"), merged(roots, last)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_node: bool = False) -> DataFrame:
