@@ -34,8 +34,6 @@ LOOK_ALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 SIGN_COST, REPEAT_COST, GAP_COST = 1.0, 0.7, 0.3
 #: Lengths of the beginnings of words, and how many words of one beginning are told apart.
 PREFIXES, FAMILY = (3, 4, 5, 6, 7, 8), 3
-#: Labelled rows that train the model, by the hash of their ids.
-SAMPLE_ROWS = 20_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SIGNS = re.escape("".join(LOOK_ALIKES))
@@ -130,15 +128,18 @@ class Model:
     bias: float = -4.6
 
 
-def train(hits: list[list[int]], labels: list[int], size: int, *, ridge: float = 0.1, rounds: int = 400, rate: float = 0.3) -> tuple[np.ndarray, float]:
-    """Weights >= 0 and the bias of a logistic scorer, by full-batch gradient steps with step sizes of their own."""
-    y = np.array(labels, float)
+def train(hits: list[list[int]], toxic: list[int], clean: list[int], size: int, *, ridge: float = 0.1, rounds: int = 400, rate: float = 0.3) -> tuple[np.ndarray, float]:
+    """Weights >= 0 and the bias of a logistic scorer, by full-batch gradient steps with step sizes of their own.
+
+    Texts with equal features are one row, with how many of them are toxic and how many clean.
+    """
+    y, all_ = np.array(toxic, float), np.array(toxic, float) + np.array(clean, float)
     at, slot = np.repeat(np.arange(len(hits)), [len(x) for x in hits]), np.array([k for x in hits for k in x], np.int64)
     weights, seen = np.zeros(size), np.full(size, 1e-8)
-    bias, seen_bias = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)), 1e-8
+    bias, seen_bias = math.log((y.sum() + 0.5) / (all_.sum() - y.sum() + 0.5)), 1e-8
     for _ in range(rounds):
         z = np.bincount(at, weights[slot], minlength=len(y)) + bias
-        gap = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
+        gap = all_ / (1 + np.exp(-np.clip(z, -30, 30))) - y
         gradient = np.bincount(slot, gap[at], minlength=size) + ridge * weights
         seen += gradient**2
         weights = np.maximum(weights - rate * gradient / np.sqrt(seen), 0)
@@ -160,29 +161,31 @@ def _batch(name: str, counts: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], [name, "n"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, least: int = 3, lift: float = 5.0) -> Model:
-    """Learns from at most sample_rows labelled rows that aren't held out, chosen by the hash of their ids.
+def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", least: int = 3, lift: float = 5.0) -> Model:
+    """Learns from all labelled rows that aren't held out.
 
     Rows without a label, a text or an id are left aside; of several labels of one id the highest counts. Without a
     toxic row, as in an empty table, the model has no features, and every score is its bias's. What is collected is
-    features and rows of the sample, whatever the size of docs.
+    trigrams, features, and the different sets of chosen features that texts have, with their numbers of texts.
     """
     label = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropna()
-    chosen = label.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    sample = stored(id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").dropna(), "toxicity")
+    chosen = label.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
+    texts = id_and_text(docs, id_col, text_col).dropna().filter(~held_out(F.col("doc_id")))
+    known = stored(texts.join(chosen.hint("merge"), "doc_id"), "toxicity")  # labels grow with the texts: never one broadcast
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
+            texts_with = Counter(w for text in texts_of(b, "text") for w in set(_WORD.findall(text.lower())))
             counts: Counter = Counter()
-            for text in texts_of(b, "text"):
-                for w in set(_WORD.findall(text.lower())):
-                    padded = f"  {w} "
-                    counts.update([padded[i : i + 3] for i in range(len(padded) - 2)])
+            for w, n in texts_with.items():
+                padded = f"  {w} "
+                for i in range(len(padded) - 2):
+                    counts[padded[i : i + 3]] += n
             yield _batch("gram", counts)
 
-    letters = {r.gram: r.n for r in _sums(sample, "gram", grams).collect()}
-    toxic_rows = sample.filter("label = 1").count()
-    clean_rows = sample.count() - toxic_rows
+    letters = {r.gram: r.n for r in _sums(known, "gram", grams).collect()}
+    toxic_rows = known.filter("label = 1").count()
+    clean_rows = known.count() - toxic_rows
     if not toxic_rows:
         return Model(letters, {}, math.log(0.5 / (clean_rows + 1)))
 
@@ -196,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", id_col:
                 counts.update(features(all_words(text, model, kept)))
             yield _batch("feature", counts)
 
-    toxic = {r.feature: r.n for r in _sums(sample.filter("label = 1"), "feature", of_toxic).filter(F.col("n") >= least).collect()}
+    toxic = {r.feature: r.n for r in _sums(known.filter("label = 1"), "feature", of_toxic).filter(F.col("n") >= least).collect()}
     names = sorted(toxic)
     number = {f: i for i, f in enumerate(names)}
 
@@ -208,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", id_col:
             found = [sorted(number[f] for f in features(all_words(text, model, kept)) if f in number) for text in texts_of(b, "text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "label", "hits"])
 
-    with_hits = stored(sample.mapInArrow(hits, "doc_id long, label int, hits array<int>"), "toxicity")
+    with_hits = stored(known.mapInArrow(hits, "doc_id long, label int, hits array<int>"), "toxicity")
     clean = np.zeros(len(names))
     for r in with_hits.filter("label <> 1").select(F.explode("hits").alias("k")).groupBy("k").count().collect():
         clean[r.k] = r["count"]
@@ -221,9 +224,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", id_col:
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array([[place[k] for k in x if k in place] for x in b.column("hits").to_pylist()], pa.list_(pa.int32()))], ["doc_id", "label", "hits"])
 
-    rows = with_hits.mapInArrow(chosen_only, "doc_id long, label int, hits array<int>").toArrow().to_pydict()
-    order = sorted(range(len(rows["doc_id"])), key=lambda i: (rows["doc_id"][i], rows["hits"][i]))
-    weights, bias = train([rows["hits"][i] for i in order], [int(rows["label"][i] == 1) for i in order], len(place))
+    each = with_hits.mapInArrow(chosen_only, "doc_id long, label int, hits array<int>")
+    sets = each.groupBy("hits").agg(F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") != 1).alias("clean")).toArrow().to_pylist()
+    sets.sort(key=lambda r: r["hits"])
+    weights, bias = train([r["hits"] for r in sets], [r["toxic"] for r in sets], [r["clean"] for r in sets], len(place))
     return Model(letters, {names[k]: float(weights[i]) for k, i in place.items() if weights[i] > 0}, bias)
 
 

@@ -762,3 +762,14 @@ def test_pipeline(spark, texts):
     assert len(set(left.values())) == len(left)
     packed = pipeline.run(spark, SF)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == set(left)
+
+
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    """More labelled rows than any sample: every one that isn't held out counts, once for equal labels, by its highest one."""
+    ids = spark.range(33_000)
+    docs = ids.select(F.col("id").alias("doc_id"), F.when(F.col("id") % 1000 == 7, "vile abc").otherwise("abc").alias("text"))
+    labels = ids.select(F.col("id").alias("doc_id"), (F.col("id") % 1000 == 7).cast("int").alias("toxic"))
+    model = toxicity.fit(docs, labels.unionByName(labels))
+    learned = sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(33_000))
+    assert learned > 20_000 and model.letters["abc"] == learned
+    assert model.weights["vile$"] > 0 and "abc$" not in model.weights
