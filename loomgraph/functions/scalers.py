@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import stored
 from .vectors import min_max, sigmoid, sigmoid_temperature, standard
 
 SKETCH_SIZE = 400
@@ -23,14 +24,18 @@ def states(df: DataFrame, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
 
 
 def merged(parts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """One state a key: means weigh by their counts, squared gaps add up with those of the means, sketches merge."""
-    whole = parts.where("n > 0")
+    """One state a key: means weigh by their counts, squared gaps add up with those of the means, sketches merge.
+
+    States are stored, so that Spark knows their size: a few are sent to the rows, which then aren't dealt by key.
+    """
+    whole = stored(parts.where("n > 0"))
     mean = whole.groupBy(*keys).agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_mean"))
     placed = whole.join(mean, list(keys)) if keys else whole.join(F.broadcast(mean))
     gap = F.col("mean") - F.col("_mean")
-    return placed.groupBy(*keys).agg(
+    states_ = placed.groupBy(*keys).agg(
         F.sum("n").alias("n"), F.first("_mean").alias("mean"), F.sum(F.col("m2") + F.col("n") * gap * gap).alias("m2"), F.min("low").alias("low"), F.max("high").alias("high"), F.kll_merge_agg_double("sketch", F.lit(SKETCH_SIZE)).alias("sketch")
     )
+    return stored(states_)
 
 
 def scaled(df: DataFrame, value: str, state: DataFrame, kind: str, keys: tuple[str, ...] = ()) -> DataFrame:
