@@ -6,6 +6,7 @@ import io
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scalers
+from loomgraph.operators import graph
 
 
 def plan(df):
@@ -20,3 +21,12 @@ def test_scaler_states_are_sent_to_the_rows(spark):
     out = scalers.scaled(rows, "x", state, "min_max", ("k",))
     assert "BroadcastHashJoin" in plan(out) and "SortMergeJoin" not in plan(out)
     assert {(r.k, round(r.scaled, 6)) for r in out.filter("x >= 57").collect()} == {(0, 1.0), (1, 1.0), (2, 1.0)}
+
+
+def test_n_gram_walks_deal_walks_once(spark):
+    walks = spark.createDataFrame([("a", ["a", "r", "b", "r", "c"]), ("a", ["a", "q", "b", "r", "c"]), ("a", ["a", "r", "b", "q", "d", "r", "e"]), ("b", ["b", "r", "c"])], "root string, walk array<string>")
+    for wildcards in ((), (1, 3)):
+        out = plan(graph.n_gram_walks(walks, 3, wildcards))
+        assert out.count("Exchange") == 1 and "Join" not in out
+    got = {tuple(r.walk) for r in graph.n_gram_walks(walks, 3).collect()}
+    assert got == {("a", "q", "b", "r", "0"), ("a", "r", "b", "q", "1", "r", "2"), ("a", "r", "b", "r", "0"), ("b", "r", "c")}
