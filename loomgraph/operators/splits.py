@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import year_start
-from .graph import in_order, stored
+from ..functions.text import packed, unpacked, year_start
+from .graph import in_order, stored, stored_with
 from .walks import draw, uniform
 
 
@@ -78,27 +78,31 @@ def corrupt_one_slot(facts: DataFrame, entities: DataFrame, relations: DataFrame
     if abs(sum(chances) - 1) > 1e-9:
         raise ValueError("the chances must sum to 1")
     key = ["subject_id", "relation_type", "object_id"]
-    known = stored(known.select(*key).distinct())
     n_entities, n_relations = entities.count(), relations.count()
     if not n_entities or not n_relations:
         return facts.select(*key, F.lit(0).alias("k"), F.lit("").alias("slot")).limit(0)
+    digest = lambda s, r, o: F.unhex(F.md5(F.to_json(F.array(s, r, o))))
+    known = stored(known.select(digest(*map(F.col, key)).alias("_digest")))
+    index = lambda df: stored(df.select(F.col("index").cast("long").alias("at"), packed(F.col("id")).alias("_new")))
+    names, relations = index(entities), index(relations)
     of = (f"{seed}", *map(F.col, key), F.col("k"))
     u = uniform(*of, "slot")
     slot = F.when(u < chances[0], "s").when(u < chances[0] + chances[1], "r").otherwise("o")
     size = F.when(F.col("slot") == "r", F.lit(n_relations)).otherwise(F.lit(n_entities))
     asked = facts.select(*key, F.explode(F.sequence(F.lit(1), F.lit(negatives))).alias("k")).withColumn("slot", slot).withColumn("at", F.pmod(draw(*of, "value"), size))
-    names = stored(entities.select(F.lit(False).alias("_r"), F.col("index").cast("long").alias("at"), F.col("id").alias("_new")).unionByName(relations.select(F.lit(True).alias("_r"), F.col("index").cast("long").alias("at"), F.col("id").alias("_new"))))
-    done, open_, tries = [], asked, 0
-    while True:
-        named = open_.withColumn("_r", F.col("slot") == "r").join(names, ["_r", "at"])
-        made = {c: F.when(F.col("slot") == x, F.col("_new")).otherwise(F.col(c)).alias(f"_{c}") for c, x in zip(key, "sro", strict=True)}
-        triple = named.select(*key, "k", "slot", "at", *made.values())
-        taken = known.select(*(F.col(c).alias(f"_{c}") for c in key), F.lit(True).alias("_taken"))
-        state = stored(triple.join(taken, [f"_{c}" for c in key], "left"))
-        done.append(state.filter("_taken is null").select(*(F.col(f"_{c}").alias(c) for c in key), "k", "slot"))
-        open_ = state.filter("_taken").select(*key, "k", "slot", F.pmod(F.col("at") + 1, F.when(F.col("slot") == "r", F.lit(n_relations)).otherwise(F.lit(n_entities))).alias("at"))
-        if open_.isEmpty():
+    kept = [F.when(F.col("slot") != x, packed(F.col(c))).alias(c) for c, x in zip(key, "sro", strict=True)]
+    done, open_, tries = [], asked.select(*kept, "k", "slot", "at"), 0
+    while True:  # in an open row, the slot to fill is null
+        named = open_.filter("slot <> 'r'").join(names, "at").unionByName(open_.filter("slot = 'r'").join(relations, "at"))
+        made = {c: F.when(F.col("slot") == x, F.col("_new")).otherwise(F.col(c)).alias(c) for c, x in zip(key, "sro", strict=True)}
+        triple = named.select(*made.values(), "k", "slot", "at")
+        taken = known.distinct().withColumn("_taken", F.lit(True))
+        state, seen = stored_with(triple.join(taken, digest(*(unpacked(F.col(c)) for c in key)) == F.col("_digest"), "left").drop("_digest"), open=F.count("_taken"))
+        done.append(state.filter("_taken is null").select(*(unpacked(F.col(c)).alias(c) for c in key), "k", "slot"))
+        if not seen["open"]:
             return reduce(DataFrame.unionByName, done)
+        empty = [F.when(F.col("slot") != x, F.col(c)).alias(c) for c, x in zip(key, "sro", strict=True)]
+        open_ = state.filter("_taken").select(*empty, "k", "slot", F.pmod(F.col("at") + 1, size).alias("at"))
         tries += 1
         if tries > max(n_entities, n_relations):
             raise ValueError("every value of the slot makes a known fact")

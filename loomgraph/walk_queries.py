@@ -181,8 +181,7 @@ fr AS (SELECT m.*, row_number() OVER (PARTITION BY m.s, m.r, m.o, k ORDER BY tri
 SELECT s2 AS subject_id, r2 AS relation_type, o2 AS object_id, CAST(k AS INTEGER) AS k, slot FROM fr WHERE first = 1""")
 def q258_one_slot(spark, d):
     """Two negatives of each supply, with one slot drawn anew; values that make known facts are passed over."""
-    known = kg.edges(spark, d).select("subject_id", "relation_type", "object_id").distinct()
-    facts = known.filter("relation_type = 'SUPPLIES'")
+    known, facts = kg.facts(spark, d), kg.facts(spark, d, "SUPPLIES")
     entities = relational.dense_index(facts.select(F.explode(F.array("subject_id", "object_id")).alias("id")), "id")
     return splits.corrupt_one_slot(facts, entities, relational.dense_index(known.select(F.col("relation_type").alias("id")), "id"), known, 2, (0.4, 0.2, 0.4), seed=1)
 

@@ -5,9 +5,12 @@ import io
 
 from pyspark.sql import functions as F
 
+from loomgraph import kg
 from loomgraph.functions import scalers
 from loomgraph.operators import graph
 
+from .conftest import SF
+
 
 def plan(df):
     with contextlib.redirect_stdout(io.StringIO()) as out:
@@ -30,3 +33,11 @@ def test_n_gram_walks_deal_walks_once(spark):
         assert out.count("Exchange") == 1 and "Join" not in out
     got = {tuple(r.walk) for r in graph.n_gram_walks(walks, 3).collect()}
     assert got == {("a", "q", "b", "r", "0"), ("a", "r", "b", "q", "1", "r", "2"), ("a", "r", "b", "r", "0"), ("b", "r", "c")}
+
+
+def test_facts_are_made_distinct_by_keys(spark):
+    key = ["subject_id", "relation_type", "object_id"]
+    want = {tuple(r) for r in kg.edges(spark, SF).select(*key).distinct().collect()}
+    got = [tuple(r) for r in kg.facts(spark, SF).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert "md5" not in "".join(x for x in plan(kg.facts(spark, SF, "SUPPLIES")).splitlines() if "Exchange" in x)
