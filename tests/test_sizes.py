@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph import kg
 from loomgraph.functions import scalers
-from loomgraph.operators import graph
+from loomgraph.operators import graph, paths
 
 from .conftest import SF
 
@@ -41,3 +41,16 @@ def test_facts_are_made_distinct_by_keys(spark):
     got = [tuple(r) for r in kg.facts(spark, SF).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert "md5" not in "".join(x for x in plan(kg.facts(spark, SF, "SUPPLIES")).splitlines() if "Exchange" in x)
+
+
+def test_searches_run_on_numbers(spark, monkeypatch):
+    seen = []
+    found = paths.search
+    monkeypatch.setattr(paths, "search", lambda edges, pairs, most=None: seen.extend([edges.dtypes, pairs.dtypes]) or found(edges, pairs, most))
+    edges = spark.createDataFrame([("b", "a"), ("a", "c"), ("b", "d"), ("d", "c"), ("x", "y"), ("b", "a")], "src string, dst string")
+    pairs = spark.createDataFrame([("b", "c"), ("b", "x"), ("b", "b")], "source string, target string")
+    got = sorted(tuple(r.path) for r in paths.shortest_paths(edges, pairs, both=True).collect())
+    assert got == [("b",), ("b", "a", "c"), ("b", "d", "c")]
+    assert sorted(tuple(r.path) for r in paths.shortest_paths(edges, pairs, first=1).collect()) == [("b",), ("b", "a", "c")]
+    assert {(r.source, r.target, r.length) for r in paths.pair_lengths(edges, pairs, both=True).collect()} == {("b", "c", 2), ("b", "x", -1), ("b", "b", 0)}
+    assert {t for d in seen for _, t in d} == {"bigint"}
