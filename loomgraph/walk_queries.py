@@ -217,5 +217,5 @@ def q254_pair_scores(spark, d):
 SELECT subject_id, relation_type, object_id, CAST(CAST('0x' || substr(md5(subject_id || '|' || relation_type || '|' || object_id), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS score FROM f ORDER BY score DESC, ALL LIMIT 25""".replace("score DESC, ALL", "score DESC, subject_id, relation_type, object_id"), score=9)
 def q156_top_triples(spark, d):
     """The 25 facts of the highest score: a top-k report."""
-    facts = kg.edges(spark, d).select("subject_id", "relation_type", "object_id").distinct()
+    facts = kg.facts(spark, d)
     return combine.top_triples(facts.withColumn("score", conditions.hash_score(F.col("subject_id"), F.col("relation_type"), F.col("object_id"))), 25)

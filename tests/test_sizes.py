@@ -54,3 +54,9 @@ def test_searches_run_on_numbers(spark, monkeypatch):
     assert sorted(tuple(r.path) for r in paths.shortest_paths(edges, pairs, first=1).collect()) == [("b",), ("b", "a", "c")]
     assert {(r.source, r.target, r.length) for r in paths.pair_lengths(edges, pairs, both=True).collect()} == {("b", "c", 2), ("b", "x", -1), ("b", "b", 0)}
     assert {t for d in seen for _, t in d} == {"bigint"}
+
+
+def test_facts_with_years(spark):
+    want = {tuple(r) for r in kg.edges(spark, SF).filter("relation_type in ('SUPPLIES', 'PLACED')").select("subject_id", "relation_type", "object_id", "year").distinct().collect()}
+    got = [tuple(r) for r in kg.facts(spark, SF, "SUPPLIES", "PLACED", years=True).collect()]
+    assert len(got) == len(want) and set(got) == want
