@@ -14,8 +14,7 @@ FACTS_SQL = EDGES_SQL + ", f AS (SELECT DISTINCT subject_id, relation_type, obje
 
 
 def _facts(spark, d):
-    e = kg.edges(spark, d).filter("relation_type IN ('SUPPLIES', 'PLACED')")
-    return e.select("subject_id", "relation_type", "object_id", "year").distinct()
+    return kg.facts(spark, d, "SUPPLIES", "PLACED", years=True)
 
 
 @query(f"""WITH {FACTS_SQL}, sp AS (SELECT *, CASE WHEN year <= 1995 THEN 'train' WHEN year BETWEEN 1996 AND 1996 THEN 'val' ELSE 'test' END AS split FROM f),
@@ -35,8 +34,7 @@ en AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i FROM (SELECT subject_
 SELECT CAST(a.i AS BIGINT) AS s, CAST(b.i AS BIGINT) AS o, split FROM k JOIN en a ON a.id = subject_id JOIN en b ON b.id = object_id""")
 def q023_split_tables(spark, d):
     """One table for each split, with the indexes of their union."""
-    f = _facts(spark, d).select("subject_id", "relation_type", "object_id").distinct()
-    return datasets.from_splits({r: f.filter(F.col("relation_type") == r) for r in ("PLACED", "SUPPLIES")}).facts.select("s", "o", "split")
+    return datasets.from_splits({r: kg.facts(spark, d, r) for r in ("PLACED", "SUPPLIES")}).facts.select("s", "o", "split")
 
 
 @query(f"WITH {FACTS_SQL} SELECT subject_id, object_id, string_agg(relation_type, '|' ORDER BY relation_type) AS relations FROM f GROUP BY 1, 2")
@@ -77,7 +75,7 @@ def q111_unique_values(spark, d):
 
 @query(f"WITH {EDGES_SQL}, f AS (SELECT DISTINCT least(subject_id, object_id) AS src, greatest(subject_id, object_id) AS dst, relation_type AS rel FROM edges) SELECT src, min(rel) AS rel, dst FROM f GROUP BY src, dst")
 def q229_simple_graph(spark, d):
-    return datasets.build_graph(kg.edges(spark, d), directed=False, multi=False)
+    return datasets.build_graph(kg.facts(spark, d), directed=False, multi=False)
 
 
 @query("SELECT event_id, substr(md5(event_type || '|' || user_id), 1, 8) AS vertex, CAST(year(ts) AS INTEGER) AS year FROM events")
@@ -110,5 +108,5 @@ def q253_complete_domains(spark, d):
 @query(f"WITH {FACTS_SQL} SELECT DISTINCT subject_id, relation_type, object_id FROM f")
 def q308_fact_table(spark, d):
     """Indexed edges back to facts."""
-    made = datasets.mapped(_facts(spark, d).select("subject_id", "relation_type", "object_id").distinct())
+    made = datasets.mapped(kg.facts(spark, d, "SUPPLIES", "PLACED"))
     return datasets.fact_table(made.facts.select("s", "r", "o"), made)

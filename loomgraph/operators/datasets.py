@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import packed, unpacked
+from .graph import _ids
 from .relational import concat, dense_index, encode
 from .splits import proportion_split, prune_unseen
 
@@ -46,9 +48,11 @@ def mapped(facts: DataFrame, timestamp: str | None = None) -> Dataset:
     """Dense indexes of all entities, relations and timestamps of the facts, shared by all splits, and the facts with them."""
     entities = dense_index(facts.select(F.explode(F.array("subject_id", "object_id")).alias("id")), "id")
     relations = dense_index(facts.select(F.col("relation_type").alias("id")), "id")
-    out = facts
-    for column, table, name in (("subject_id", entities, "s"), ("relation_type", relations, "r"), ("object_id", entities, "o")):
+    pack, back = _ids(facts, "subject_id")
+    out, short = facts.withColumns({c: pack(F.col(c)) for c in ("subject_id", "object_id")}), entities.withColumn("id", pack(F.col("id")))
+    for column, table, name in (("subject_id", short, "s"), ("relation_type", relations, "r"), ("object_id", short, "o")):
         out = encode(out, column, table, "id", "index", name)
+    out = out.withColumns({c: back(F.col(c)) for c in ("subject_id", "object_id")})
     if timestamp is None:
         return Dataset(out, entities, relations)
     times = dense_index(facts.select(F.date_format(F.make_date(F.col(timestamp), F.lit(1), F.lit(1)), "yyyy").alias("id")), "id")
@@ -94,7 +98,10 @@ def build_graph(facts: DataFrame, *, directed: bool = True, multi: bool = True)
     edges = facts.select(F.col("subject_id").alias("src"), F.col("relation_type").alias("rel"), F.col("object_id").alias("dst"))
     if not directed:
         edges = edges.select(F.least("src", "dst").alias("src"), "rel", F.greatest("src", "dst").alias("dst"))
-    return edges.distinct() if multi else edges.groupBy("src", "dst").agg(F.min("rel").alias("rel")).select("src", "rel", "dst")
+    pack, back = _ids(edges, "src")
+    edges = edges.select(pack(F.col("src")).alias("src"), "rel", pack(F.col("dst")).alias("dst"))
+    edges = edges.distinct() if multi else edges.groupBy("src", "dst").agg(F.min("rel").alias("rel"))
+    return edges.select(back(F.col("src")).alias("src"), "rel", back(F.col("dst")).alias("dst"))
 
 
 def ordered_matrix(index: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -146,10 +153,10 @@ def decode(df: DataFrame, column: str, index: DataFrame, name: str) -> DataFrame
 
 def fact_table(edges: DataFrame, dataset: Dataset) -> DataFrame:
     """(subject_id, relation_type, object_id) of indexed edges (s, r, o)."""
-    out = edges
-    for column, table, name in (("s", dataset.entities, "subject_id"), ("r", dataset.relations, "relation_type"), ("o", dataset.entities, "object_id")):
+    out, short = edges, dataset.entities.withColumn("id", packed(F.col("id")))
+    for column, table, name in (("s", short, "subject_id"), ("r", dataset.relations, "relation_type"), ("o", short, "object_id")):
         out = decode(out, column, table, name)
-    return out.select("subject_id", "relation_type", "object_id")
+    return out.select(unpacked(F.col("subject_id")).alias("subject_id"), "relation_type", unpacked(F.col("object_id")).alias("object_id"))
 
 
 def save(dataset: Dataset, folder: str) -> None:
