@@ -7,12 +7,13 @@ before rows move: a hub's edges never meet in one task. Edges have src and dst,
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import distances, forget, stored, undirected
+from .graph import distances, forget, stored, stored_by, undirected
 from .relational import dense_index
 
 
@@ -27,30 +28,39 @@ def uniform(*parts: Column | str) -> Column:
     return (draw(*parts) + F.lit(0.5)) / F.lit(float(1 << 48))
 
 
-def _chosen(options: DataFrame, seed: int, step: int, weight: str | None, name: str) -> DataFrame:
+def as_text(c: Column) -> Column:
+    return c.cast("string")
+
+
+Name = Callable[[Column], Column]
+
+
+def _chosen(options: DataFrame, seed: int, step: int, weight: str | None, name: Column, walk_name: Name = as_text) -> DataFrame:
     """One row for each walk: the option of the least key, an exponential draw over its weight; of equal weights, of the least draw."""
-    of = (f"{seed}", F.col("walk"), F.lit(step), F.col(name))
+    of = (f"{seed}", walk_name(F.col("walk")), F.lit(step), name)
     key = draw(*of).cast("double") if weight is None else -F.log(uniform(*of)) / F.col(weight)
     row = F.struct(*(c for c in options.columns if c != "walk"))
-    return options.groupBy("walk").agg(F.min_by(row, F.struct(key, F.col(name))).alias("_row")).select("walk", "_row.*")
+    return options.groupBy("walk").agg(F.min_by(row, F.struct(key, name)).alias("_row")).select("walk", "_row.*")
 
 
-def seeded_walks(edges: DataFrame, starts: DataFrame, steps: int, *, seed: int = 0, weight: str | None = None) -> DataFrame:
+def seeded_walks(edges: DataFrame, starts: DataFrame, steps: int, *, seed: int = 0, weight: str | None = None, name: Name = as_text, walk_name: Name = as_text) -> DataFrame:
     """(walk, step, node, rel) of walks from `starts` (walk, node): step 0 is the start, with a null rel.
 
     Each step goes to a neighbour by weight (positive; all equal by default); parallel edges of other relations are
-    options of their own. A walk ends where no edge leads on.
+    options of their own. A walk ends where no edge leads on. name, walk_name: the texts that are drawn by, made of
+    nodes and walks where these are numbers; the texts are not moved. Edges are dealt by their start once.
     """
     has_rel = "rel" in edges.columns
     out_of = edges.select(F.col("src").alias("node"), "dst", (F.col("rel") if has_rel else F.lit(None).cast("string")).alias("rel"), *([weight] if weight else []))
-    out_of = stored(out_of.distinct())
+    out_of = stored_by(out_of.distinct(), "node")
     at = stored(starts.select("walk", F.lit(0).alias("step"), "node", F.lit(None).cast("string").alias("rel")))
     levels = [at]
     for k in range(1, steps + 1):
         options = at.select("walk", "node").join(out_of, "node").drop("node")
-        options = options.withColumn("_name", F.concat_ws(">", F.coalesce("rel", F.lit("")), "dst"))
-        at = stored(_chosen(options, seed, k, weight, "_name").select("walk", F.lit(k).alias("step"), F.col("dst").alias("node"), "rel"))
+        told = F.concat_ws(">", F.coalesce("rel", F.lit("")), name(F.col("dst")))
+        at = stored(_chosen(options, seed, k, weight, told, walk_name).select("walk", F.lit(k).alias("step"), F.col("dst").alias("node"), "rel"))
         levels.append(at)
+    forget(out_of)
     return reduce(DataFrame.unionByName, levels)
 
 
@@ -62,17 +72,26 @@ def walk_arrays(walks: DataFrame) -> DataFrame:
     return made.select("walk", flat.alias("path"))
 
 
-def sampled_walks(edges: DataFrame, roots: DataFrame, depth: int, most: int, *, seed: int = 0, weight: str | None = None) -> DataFrame:
-    """(root, walk): the distinct walks among `most` that are drawn from each root (column root), of at most `depth` hops."""
-    starts = roots.select("root", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("k")).select(F.concat_ws("#", "root", F.col("k").cast("string")).alias("walk"), F.col("root").alias("node"))
-    walks = walk_arrays(seeded_walks(edges, starts, depth, seed=seed, weight=weight))
+def sampled_walks(edges: DataFrame, roots: DataFrame, depth: int, most: int, *, seed: int = 0, weight: str | None = None, name: Name = as_text) -> DataFrame:
+    """(root, walk): the distinct walks among `most` that are drawn from each root (column root), of at most `depth` hops.
+
+    name: of the nodes, where these are numbers; roots and walks have the names.
+    """
+    numbered = F.explode(F.sequence(F.lit(1), F.lit(most))).alias("k")
+    starts = roots.select("root", numbered).select(F.struct("root", "k").alias("walk"), F.col("root").alias("node"))
+    walk_name = lambda w: F.concat_ws("#", name(w["root"]), w["k"].cast("string"))
+    steps = seeded_walks(edges, starts, depth, seed=seed, weight=weight, name=name, walk_name=walk_name)
+    walks = walk_arrays(steps.withColumn("node", name(F.col("node"))))
     return walks.select(F.element_at("path", 1).alias("root"), F.col("path").alias("walk")).distinct()
 
 
-def walk_subgraph(edges: DataFrame, starts: DataFrame, steps: int, *, seed: int = 0) -> DataFrame:
-    """The edges (src, rel, dst) that seeded walks from `starts` (walk, node) use, each once; walks take edges both ways."""
+def walk_subgraph(edges: DataFrame, starts: DataFrame, steps: int, *, seed: int = 0, name: Name = as_text) -> DataFrame:
+    """The edges (src, rel, dst) that seeded walks from `starts` (walk, node) use, each once; walks take edges both ways.
+
+    name: of the nodes and walks, where these are numbers.
+    """
     both = edges.select("src", F.concat(F.lit(">"), "rel").alias("rel"), "dst").unionByName(edges.select(F.col("dst").alias("src"), F.concat(F.lit("<"), "rel").alias("rel"), F.col("src").alias("dst")))
-    walks = seeded_walks(both, starts, steps, seed=seed)
+    walks = seeded_walks(both, starts, steps, seed=seed, name=name, walk_name=name)
     before = walks.select("walk", (F.col("step") + 1).alias("step"), F.col("node").alias("_from"))
     used = walks.filter("step > 0").join(before, ["walk", "step"])
     ahead = F.startswith("rel", F.lit(">"))
@@ -91,7 +110,7 @@ def visit_shares(edges: DataFrame, homes: DataFrame, walks: int, steps: int, *,
     counts = []
     for k in range(1, steps + 1):
         stays = uniform(f"{seed}", F.col("walk"), F.lit(k), "restart") < alpha
-        goes = _chosen(at.filter(stays).select("walk", "node").join(out_of, "node").drop("node"), seed, k, None, "dst")
+        goes = _chosen(at.filter(stays).select("walk", "node").join(out_of, "node").drop("node"), seed, k, None, F.col("dst"))
         older, at = at, stored(at.select("home", "walk").join(goes, "walk", "left").select("home", "walk", F.coalesce("dst", "home").alias("node")))
         counts.append(stored(at.groupBy("home", "node").agg(F.count("*").alias("n"))))
         forget(older)

@@ -10,7 +10,7 @@ from .functions import vectors as vx
 from .operators import communities, paths, relational, splits, walks
 from .plans import combine, conditions, explain
 from .queries import EDGES_SQL, PLACE_SQL, _places, query, t
-from .scored_queries import BULK_SQL, _bulk, _neighbours, _supplies
+from .scored_queries import BULK_SQL, _bulk, _neighbours
 
 
 def draw_sql(*parts: str) -> str:
@@ -24,6 +24,14 @@ def _suppliers(spark, d, *names):
     return t(spark, d, "supplier").select(*(tx.node_id("SUPPLIER", F.col("s_suppkey")).alias(n) for n in names))
 
 
+def _coded_suppliers(spark, d):
+    return t(spark, d, "supplier").select(*(kg.code("SUPPLIER", F.col("s_suppkey")).alias(n) for n in ("walk", "node")))
+
+
+def _coded_supplies(spark, d):
+    return kg.coded_rows(spark, d, "SUPPLIES").select("src", "rel", "dst").distinct()
+
+
 def _walks_sql(options: str, steps: int, seed: int, weighted: bool = False) -> str:
     """w0 must be there (walk, node); then w1 ... with walk, node, rel and the node before."""
     out = []
@@ -39,7 +47,8 @@ def _walks_sql(options: str, steps: int, seed: int, weighted: bool = False) -> s
 SELECT DISTINCT CASE WHEN rel[1] = '>' THEN prev ELSE node END AS src, rel[2:] AS rel, CASE WHEN rel[1] = '>' THEN node ELSE prev END AS dst FROM a""")
 def q221_walk_subgraph(spark, d):
     """The supplies that a walk of four steps from each supplier uses."""
-    return walks.walk_subgraph(_supplies(spark, d), _suppliers(spark, d, "walk", "node"), 4, seed=7)
+    used = walks.walk_subgraph(_coded_supplies(spark, d), _coded_suppliers(spark, d), 4, seed=7, name=kg.id_of)
+    return used.select(kg.id_of(F.col("src")).alias("src"), "rel", kg.id_of(F.col("dst")).alias("dst"))
 
 
 @query(f"""WITH {EDGES_SQL}, o AS (SELECT subject_id AS src, relation_type AS rel, object_id AS dst, sum(number_of_occurrences) AS w FROM edges WHERE relation_type IN ('PLACED', 'CONTAINS') GROUP BY ALL),
@@ -47,10 +56,9 @@ def q221_walk_subgraph(spark, d):
 SELECT DISTINCT w0.node AS root, concat_ws('>', w0.node, w1.rel, w1.node, w2.rel, w2.node) AS walk FROM w0 LEFT JOIN w1 USING (walk) LEFT JOIN w2 USING (walk)""")
 def q231_sampled_walks(spark, d):
     """Of each customer the distinct walks among three, to an order and a part, by how often an edge occurs."""
-    e = kg.edges(spark, d).filter("relation_type IN ('PLACED', 'CONTAINS')")
-    g = e.groupBy(F.col("subject_id").alias("src"), F.col("relation_type").alias("rel"), F.col("object_id").alias("dst")).agg(F.sum("number_of_occurrences").alias("w"))
-    roots = t(spark, d, "customer").select(tx.node_id("CUSTOMER", F.col("c_custkey")).alias("root"))
-    return walks.sampled_walks(g, roots, 2, 3, seed=3, weight="w").select("root", F.array_join("walk", ">").alias("walk"))
+    g = kg.coded_rows(spark, d, "PLACED", "CONTAINS").groupBy("src", "rel", "dst").agg(F.count("*").alias("w"))
+    roots = t(spark, d, "customer").select(kg.code("CUSTOMER", F.col("c_custkey")).alias("root"))
+    return walks.sampled_walks(g, roots, 2, 3, seed=3, weight="w", name=kg.id_of).select("root", F.array_join("walk", ">").alias("walk"))
 
 
 MEMBERS_SQL = "mem AS (SELECT md5('SUPPLIER|' || s_suppkey) AS node, 's' || s_nationkey AS community FROM supplier UNION ALL SELECT md5('PART|' || p_partkey), p_brand FROM part), num AS (SELECT node, community, row_number() OVER (PARTITION BY community ORDER BY node) - 1 AS number, count(*) OVER (PARTITION BY community) AS size FROM mem)"
@@ -62,11 +70,12 @@ MEMBERS_SQL = "mem AS (SELECT md5('SUPPLIER|' || s_suppkey) AS node, 's' || s_na
 SELECT walk, CAST(step AS INTEGER) AS step, coalesce(num.node, x.node) AS node FROM x LEFT JOIN num USING (community, number)""")
 def q239_community_hops(spark, d):
     """Walks over supplies; four in ten nodes are replaced by a supplier of the same nation or a part of the same brand."""
-    both = _supplies(spark, d)
+    both = _coded_supplies(spark, d)
     both = both.unionByName(both.select(F.col("dst").alias("src"), "rel", F.col("src").alias("dst")))
     members = _suppliers(spark, d, "node").select("node").join(t(spark, d, "supplier").select(tx.node_id("SUPPLIER", F.col("s_suppkey")).alias("node"), F.concat(F.lit("s"), F.col("s_nationkey").cast("string")).alias("community")), "node")
     members = members.unionByName(t(spark, d, "part").select(tx.node_id("PART", F.col("p_partkey")).alias("node"), F.col("p_brand").alias("community")))
-    made = walks.seeded_walks(both, _suppliers(spark, d, "walk", "node"), 3, seed=5)
+    made = walks.seeded_walks(both, _coded_suppliers(spark, d), 3, seed=5, name=kg.id_of, walk_name=kg.id_of)
+    made = made.withColumns({c: kg.id_of(F.col(c)) for c in ("walk", "node")})
     return walks.hop_walks(made, members, 0.4, seed=5).select("walk", "step", "node")
 
 
