@@ -145,8 +145,9 @@ def _community_sql(rounds: int, levels: int) -> str:
 @query(_community_sql(4, 2).replace("p0 AS (SELECT DISTINCT unnest([u, v]) AS node, node AS community FROM g0)", "p0 AS (SELECT node, node AS community FROM (SELECT u AS node FROM g0 UNION SELECT v FROM g0))"))
 def q226_communities(spark, d):
     """Communities of suppliers and parts by how often one supplies the other."""
-    e = kg.edges(spark, d).filter("relation_type = 'SUPPLIES'").select(F.col("subject_id").alias("src"), F.col("object_id").alias("dst"), F.col("number_of_occurrences").alias("w"))
-    return communities.communities(e, rounds=4, levels=2)
+    e = kg.coded_rows(spark, d, "SUPPLIES").select("src", "dst", F.lit(1).alias("w"))
+    found = communities.communities(e, rounds=4, levels=2, name=kg.id_of)
+    return found.select(*(kg.id_of(F.col(c)).alias(c) for c in ("node", "community")))
 
 
 @query(f"""WITH {BULK_SQL}, tg AS (SELECT s || '>' || p AS target, s, rel AS r, p AS o FROM g WHERE rel = 'SUPPLIES_1995'),
