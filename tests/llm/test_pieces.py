@@ -46,6 +46,20 @@ def test_odd_pieces(tok, monkeypatch, at_once):
         assert enc.ids(pa.array([*texts, None], pa.string())) == [*map(tok, texts), b""]
 
 
+def test_pieces_stay_kept(tok, monkeypatch):
+    """op5, op2: 60,000 words fit into 8 MB, so they are asked for once; as entries of a dict they took 13 MB."""
+    stores.empty()
+    monkeypatch.setattr(stores, "_most", 8 << 20)
+    enc, asked = tokens.PieceEncoder(BYTE), []
+    many = enc._pieces
+    monkeypatch.setattr(enc, "_pieces", lambda rests: (asked.append(len(rests)), many(rests))[1])
+    texts = [" ".join(["x", *(f"w{i}e{i % 7}" for i in range(first, first + 10_000))]) for first in range(0, 60_000, 10_000)]
+    for _ in range(2):
+        for x in texts:
+            assert enc.ids(pa.array([x])) == [tok(x)]
+    assert sum(asked) == 60_001 and stores._used <= 8 << 20
+
+
 def test_store_starts_anew(monkeypatch):
     """The budget holds for dicts and arrays together; what was dropped is made again."""
     stores.empty()
