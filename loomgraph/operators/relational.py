@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -101,16 +101,19 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
 
 
-def dense_index(df: DataFrame, column: str, name: str = "index") -> DataFrame:
+def dense_index(df: DataFrame, column: str, name: str = "index", by: Callable[[Column], Column] | None = None) -> DataFrame:
     """Distinct strings and their places in ascending order, gapless from 0, without sorting all in one task.
 
     Values are range-partitioned, numbered inside their part and moved up by the values of the parts before; that table
-    has a row for each part. The parts are stored, so an index that is used twice is made once.
+    has a row for each part. The parts are stored, so an index that is used twice is made once. by: values of another
+    type, in the order of the texts that this makes of them, which differ; the texts are not stored.
     """
-    placed = in_order(df.select(F.col(column).cast("string").alias(column)).dropna().distinct(), column)
+    order = (by or (lambda c: c))(F.col(column))
+    values = df.select((F.col(column) if by else F.col(column).cast("string")).alias(column)).dropna().distinct()
+    placed = in_order(values, order)
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    row = F.row_number().over(Window.partitionBy("_part").orderBy(column))
+    row = F.row_number().over(Window.partitionBy("_part").orderBy(order))
     return placed.withColumn("_row", row).join(F.broadcast(before), "_part").select(column, (F.col("_before") + F.col("_row") - 1).cast("long").alias(name))
 
 

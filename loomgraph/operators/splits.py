@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import packed, unpacked, year_start
 from .graph import in_order, stored, stored_with
-from .walks import draw, uniform
+from .walks import Name, as_text, draw, uniform
 
 
 def between_years(facts: DataFrame, start: str | None, end: str | None, year: str = "year") -> DataFrame:
@@ -123,10 +123,14 @@ def corrupt_in_subgraph(pairs: DataFrame, nodes: DataFrame, negatives: int, seed
     return drawn.select("batch", "subject_id", "object_id", "k", F.when(subject, F.col("node")).otherwise(F.col("subject_id")).alias("negative_subject"), F.when(subject, F.col("object_id")).otherwise(F.col("node")).alias("negative_object"))
 
 
-def corrupt_objects(facts: DataFrame, entities: DataFrame, known: DataFrame, negatives: int) -> DataFrame:
-    """For each fact `negatives` objects drawn by hash from the indexed entities, without those that make known facts."""
+def corrupt_objects(facts: DataFrame, entities: DataFrame, known: DataFrame, negatives: int, *, name: Name = as_text) -> DataFrame:
+    """For each fact `negatives` objects drawn by hash from the indexed entities, without those that make known facts.
+
+    name: the texts that are drawn by, made of subjects and objects where these are numbers; the texts are not moved.
+    """
     total = entities.agg(F.count("*").alias("n_entities"))
     drawn = facts.join(F.broadcast(total)).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(negatives))))
-    drawn = drawn.withColumn("index", F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", "subject_id", "relation_type", "object_id", F.col("k").cast("string"))), 1, 12), 16, 10).cast("long"), F.col("n_entities")))
-    named = drawn.drop("object_id").join(entities.select("index", F.col("id").alias("object_id")), "index")
+    of = (name(F.col("subject_id")), F.col("relation_type"), name(F.col("object_id")), F.col("k"))
+    drawn = drawn.withColumn("index", F.pmod(draw(*of), F.col("n_entities")))
+    named = drawn.drop("object_id", "n_entities").join(entities.select("index", F.col("id").alias("object_id")), "index")
     return named.select("subject_id", "relation_type", "object_id", "k").join(known.select("subject_id", "relation_type", "object_id").distinct(), ["subject_id", "relation_type", "object_id"], "left_anti")
