@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import packed, unpacked, year_start
-from .graph import in_order, stored, stored_with
+from ..functions.text import year_start
+from .graph import _ids, forget, in_order, stored, stored_by, stored_with
 from .walks import Name, as_text, draw, uniform
 
 
@@ -68,12 +68,14 @@ def timestamp_batches(facts: DataFrame, time: str, order: str, size: int) -> Dat
     return numbered.select(*facts.columns, F.floor((F.col("_before") + F.col("_row") - 1) / size).cast("long").alias("batch"))
 
 
-def corrupt_one_slot(facts: DataFrame, entities: DataFrame, relations: DataFrame, known: DataFrame, negatives: int, chances: Sequence[float] = (1 / 3, 1 / 3, 1 / 3), seed: int = 0) -> DataFrame:
+def corrupt_one_slot(facts: DataFrame, entities: DataFrame, relations: DataFrame, known: DataFrame, negatives: int, chances: Sequence[float] = (1 / 3, 1 / 3, 1 / 3), seed: int = 0, *, name: Name = as_text) -> DataFrame:
     """(subject_id, relation_type, object_id, k, slot): `negatives` rows for each fact, with just one slot of it replaced.
 
     The slot (s, r or o) is drawn with the given chances, its new value from the index (id, index from 0) of entities or
     relations. While the triple is a known fact, as the fact itself is, the next value of the index takes its place; so
     no row is lost, unless every value makes a known fact: then ValueError. Draws are hashes of seed, fact and k.
+    name: the texts that are drawn by, made of subjects and objects where these are numbers; the texts are not moved.
+    Known facts are dealt by their triple once; those that are repeated are made distinct where they are.
     """
     if abs(sum(chances) - 1) > 1e-9:
         raise ValueError("the chances must sum to 1")
@@ -81,25 +83,26 @@ def corrupt_one_slot(facts: DataFrame, entities: DataFrame, relations: DataFrame
     n_entities, n_relations = entities.count(), relations.count()
     if not n_entities or not n_relations:
         return facts.select(*key, F.lit(0).alias("k"), F.lit("").alias("slot")).limit(0)
-    digest = lambda s, r, o: F.unhex(F.md5(F.to_json(F.array(s, r, o))))
-    known = stored(known.select(digest(*map(F.col, key)).alias("_digest")))
-    index = lambda df: stored(df.select(F.col("index").cast("long").alias("at"), packed(F.col("id")).alias("_new")))
-    names, relations = index(entities), index(relations)
-    of = (f"{seed}", *map(F.col, key), F.col("k"))
+    pack, back = _ids(facts, "subject_id")
+    ends = lambda df: df.select(pack(F.col("subject_id")).alias("subject_id"), "relation_type", pack(F.col("object_id")).alias("object_id"))
+    known = stored_by(ends(known), *key)
+    names = stored(entities.select(F.col("index").cast("long").alias("at"), pack(F.col("id")).alias("_new")))
+    relations = stored(relations.select(F.col("index").cast("long").alias("at"), F.col("id").alias("_new")))
+    of = (f"{seed}", name(F.col("subject_id")), F.col("relation_type"), name(F.col("object_id")), F.col("k"))
     u = uniform(*of, "slot")
     slot = F.when(u < chances[0], "s").when(u < chances[0] + chances[1], "r").otherwise("o")
     size = F.when(F.col("slot") == "r", F.lit(n_relations)).otherwise(F.lit(n_entities))
     asked = facts.select(*key, F.explode(F.sequence(F.lit(1), F.lit(negatives))).alias("k")).withColumn("slot", slot).withColumn("at", F.pmod(draw(*of, "value"), size))
-    kept = [F.when(F.col("slot") != x, packed(F.col(c))).alias(c) for c, x in zip(key, "sro", strict=True)]
+    kept = [F.when(F.col("slot") != x, c if x == "r" else pack(c)).alias(n) for (n, c), x in zip(((n, F.col(n)) for n in key), "sro", strict=True)]
     done, open_, tries = [], asked.select(*kept, "k", "slot", "at"), 0
     while True:  # in an open row, the slot to fill is null
-        named = open_.filter("slot <> 'r'").join(names, "at").unionByName(open_.filter("slot = 'r'").join(relations, "at"))
-        made = {c: F.when(F.col("slot") == x, F.col("_new")).otherwise(F.col(c)).alias(c) for c, x in zip(key, "sro", strict=True)}
-        triple = named.select(*made.values(), "k", "slot", "at")
+        fill = lambda df, slots: df.select(*(F.when(F.col("slot") == x, F.col("_new")).otherwise(F.col(c)).alias(c) if x in slots else c for c, x in zip(key, "sro", strict=True)), "k", "slot", "at")
+        triple = fill(open_.filter("slot <> 'r'").join(names, "at"), "so").unionByName(fill(open_.filter("slot = 'r'").join(relations, "at"), "r"))
         taken = known.distinct().withColumn("_taken", F.lit(True))
-        state, seen = stored_with(triple.join(taken, digest(*(unpacked(F.col(c)) for c in key)) == F.col("_digest"), "left").drop("_digest"), open=F.count("_taken"))
-        done.append(state.filter("_taken is null").select(*(unpacked(F.col(c)).alias(c) for c in key), "k", "slot"))
+        state, seen = stored_with(triple.join(taken, key, "left"), open=F.count("_taken"))
+        done.append(state.filter("_taken is null").select(back(F.col("subject_id")).alias("subject_id"), "relation_type", back(F.col("object_id")).alias("object_id"), "k", "slot"))
         if not seen["open"]:
+            forget(known)
             return reduce(DataFrame.unionByName, done)
         empty = [F.when(F.col("slot") != x, F.col(c)).alias(c) for c, x in zip(key, "sro", strict=True)]
         open_ = state.filter("_taken").select(*empty, "k", "slot", F.pmod(F.col("at") + 1, size).alias("at"))

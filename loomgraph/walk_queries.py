@@ -191,9 +191,11 @@ fr AS (SELECT m.*, row_number() OVER (PARTITION BY m.s, m.r, m.o, k ORDER BY tri
 SELECT s2 AS subject_id, r2 AS relation_type, o2 AS object_id, CAST(k AS INTEGER) AS k, slot FROM fr WHERE first = 1""")
 def q258_one_slot(spark, d):
     """Two negatives of each supply, with one slot drawn anew; values that make known facts are passed over."""
-    known, facts = kg.facts(spark, d), kg.facts(spark, d, "SUPPLIES")
-    entities = relational.dense_index(facts.select(F.explode(F.array("subject_id", "object_id")).alias("id")), "id")
-    return splits.corrupt_one_slot(facts, entities, relational.dense_index(known.select(F.col("relation_type").alias("id")), "id"), known, 2, (0.4, 0.2, 0.4), seed=1)
+    rows = lambda *r: kg.coded_rows(spark, d, *r).select(F.col("src").alias("subject_id"), F.col("rel").alias("relation_type"), F.col("dst").alias("object_id"))
+    entities = relational.dense_index(rows("SUPPLIES").select(F.explode(F.array("subject_id", "object_id")).alias("id")), "id", by=kg.id_of)
+    relations = relational.dense_index(rows().select(F.col("relation_type").alias("id")), "id")
+    made = splits.corrupt_one_slot(rows("SUPPLIES").distinct(), entities, relations, rows(), 2, (0.4, 0.2, 0.4), seed=1, name=kg.id_of)
+    return made.select(kg.id_of(F.col("subject_id")).alias("subject_id"), "relation_type", kg.id_of(F.col("object_id")).alias("object_id"), "k", "slot")
 
 
 @query(f"""WITH b AS (SELECT DISTINCT s_nationkey AS batch, md5('SUPPLIER|' || l_suppkey) AS s, md5('PART|' || l_partkey) AS o FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity >= 50),
